@@ -5,9 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taktwerk.llm import chat, langid, secrets
+from taktwerk.llm.bpe import bpe_encode
 from taktwerk.llm.common import read
 from taktwerk.llm.decontaminate import decontaminate
+from taktwerk.llm.embeddings import near_vectors
+from taktwerk.llm.html import extract_text
+from taktwerk.llm.sharding import shard
 from taktwerk.llm.simhash import simhash_components
+from taktwerk.llm.units import repeated_units
+
+
+def vocabulary_path() -> str:
+    """Where the public word BPE vocabulary lies, on the driver as on the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +67,161 @@ FROM words LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 """
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        said.alias("text"),
+    )
+    turns = turns.unionByName(planted)
+    out = chat.format_chat(turns.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))
+    out = out.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("said"), chat.learned(F.col("formatted"), F.col("loss")).alias("loss"))
+    turn = F.transform("said", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return out.select(
+        "conv_id",
+        F.size("said").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(turn, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP2_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '<', '\<'), '>', '\>') AS et,
+            replace(replace(replace(role, '\', '\\'), '<', '\<'), '>', '\>') AS er FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, et)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, et) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<turn ' || er || '>' || chr(10) || et || '</turn>' || chr(10)))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, c = vec_id AS kept
+FROM embeddings JOIN (SELECT a AS vec_id, min(b) AS c FROM reach GROUP BY a) USING (vec_id)
+LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a) USING (vec_id)
+"""
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op4_simhash": op4_simhash}
-ORACLES = {"op1_decontamination": OP1_SQL}
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", langid.held_out().alias("held_out"), "text")
+    return langid.identify(rows, ["doc_id", "held_out"], langid.fit_on_documents(docs))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(read(spark, sf_dir, "documents"), ["doc_id"])
+
+
+OP6_SQL = """
+WITH d AS (
+  SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h,
+         coalesce(strlen(text), 0) AS n_bytes FROM documents),
+per_hash AS (SELECT h, sum(n_bytes) AS n_bytes FROM d GROUP BY h),
+level AS (
+  SELECT k AS depth, h >> (32 - k) AS prefix, sum(n_bytes) AS n, min(h) = max(h) AS alone
+  FROM per_hash, range(0, 33) AS r(k) GROUP BY ALL),
+leaf AS (
+  SELECT h, min(k) AS depth FROM per_hash, range(0, 33) AS r(k) JOIN level ON level.depth = k AND level.prefix = h >> (32 - k)
+  WHERE n <= 16 * 1048576 OR alone OR k = 32 GROUP BY h)
+SELECT doc_id, d.n_bytes::BIGINT AS n_bytes, depth::BIGINT AS shard_depth,
+       CASE depth WHEN 0 THEN 'all' ELSE lpad(bin(d.h >> (32 - depth)), depth::INT, '0') END AS shard,
+       level.n <= 16 * 1048576 AS fits
+FROM d JOIN leaf USING (h) JOIN level USING (depth) WHERE level.prefix = d.h >> (32 - depth)
+"""
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe_encode(read(spark, sf_dir, "documents"), ["doc_id"], vocabulary_path(), outputs=outputs)
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = secrets.scan(docs, ["doc_id"], secrets.fit(docs))
+
+    def listed(spans: str):
+        one = F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string")))
+        return F.array_join(one, ",")
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, secrets.KINDS), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+def op10_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_units(read(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH part AS (
+  SELECT DISTINCT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line, text
+  FROM documents WHERE text IS NOT NULL),
+placed AS (
+  SELECT doc_id, k - 1 AS unit_no, line,
+         sum(length(line) + 1) OVER (PARTITION BY doc_id, text ORDER BY k) - length(line) - 1 AS start,
+         regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+') AS w
+  FROM part),
+unit AS (SELECT *, array_to_string(w, ' ') AS norm FROM placed WHERE len(w) >= 5),
+ranked AS (
+  SELECT *, first_value(doc_id) OVER f AS kept_doc_id, first_value(unit_no) OVER f AS kept_unit_no FROM unit
+  WINDOW f AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, unit_no))
+SELECT doc_id, unit_no::INT AS unit_no, start::INT AS start, (start + length(line))::INT AS "end", len(w)::INT AS n_words,
+       kept_doc_id, kept_unit_no::INT AS kept_unit_no
+FROM ranked WHERE doc_id IS DISTINCT FROM kept_doc_id OR unit_no <> kept_unit_no
+"""
+
+
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_chat": op2_chat,
+    "op3_embeddings": op3_embeddings,
+    "op4_simhash": op4_simhash,
+    "op5_language": op5_language,
+    "op6_sharding": op6_sharding,
+    "op7_bpe": op7_bpe,
+    "op8_secrets": op8_secrets,
+    "op9_html": op9_html,
+    "op10_units": op10_units,
+}
+ORACLES = {
+    "op1_decontamination": OP1_SQL,
+    "op2_chat": OP2_SQL,
+    "op3_embeddings": OP3_SQL,
+    "op6_sharding": OP6_SQL,
+    "op10_units": OP10_SQL,
+}
