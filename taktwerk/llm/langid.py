@@ -28,23 +28,15 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 def counted(texts: DataFrame, order: int, flush: int = 200_000) -> DataFrame:
-    """(n, token, lang, count) of words (n = 0) and their n-grams up to `order`, summed in the tasks first."""
+    """(n, token, lang, count) of words (n = 0) and their n-grams up to `order`; tasks sum before rows move."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            grams: Counter = Counter()
-            for (lang, word), count in sums.items():
-                grams[0, word, lang] += count
-                for n in range(1, order + 1):
-                    for g in grams_of(word, n):
-                        grams[n, g, lang] += count
+            rows = [(w, lang, c) for (lang, w), c in sums.items()]
             sums.clear()
-            n, token, lang = (list(x) for x in zip(*grams, strict=True)) if grams else ([], [], [])
-            columns = [pa.array(n, pa.int32()), pa.array(token, pa.string()), pa.array(lang, pa.string())]
-            columns.append(pa.array(list(grams.values()), pa.int64()))
-            return pa.RecordBatch.from_arrays(columns, names=["n", "token", "lang", "count"])
+            return table(rows, ["token", "lang", "count"])
 
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -54,8 +46,27 @@ def counted(texts: DataFrame, order: int, flush: int = 200_000) -> DataFrame:
                 yield out()
         yield out()
 
-    parts = texts.mapInArrow(run, "n int, token string, lang string, count long")
-    return parts.groupBy("n", "token", "lang").agg(F.sum("count").alias("count"))
+    def table(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+        kinds = {"n": pa.int32(), "token": pa.string(), "lang": pa.string(), "count": pa.int64()}
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
+        arrays = [pa.array(c, kinds[name]) for c, name in zip(columns, names, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[str, Counter] = {}
+            for word, lang, count in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                own = sums.setdefault(lang, Counter())
+                for n in range(1, order + 1):
+                    for g in grams_of(word, n):
+                        own[g] += count
+            yield table([(len(g), g, lang, c) for lang, own in sums.items() for g, c in own.items()], ["n", "token", "lang", "count"])
+
+    found = texts.mapInArrow(words, "token string, lang string, count long")
+    found = found.groupBy("token", "lang").agg(F.sum("count").alias("count"))
+    parts = found.mapInArrow(grams, "n int, token string, lang string, count long")
+    parts = parts.groupBy("n", "token", "lang").agg(F.sum("count").alias("count"))
+    return found.select(F.lit(0).alias("n"), "token", "lang", "count").union(parts)
 
 
 class LanguageModel:
@@ -72,43 +83,64 @@ class LanguageModel:
             counts.setdefault((n, token), np.zeros(k))[at[lang]] += count
             totals[n, at[lang]] += count
         kinds = Counter(n for n, _ in counts)
-        self.log: dict[tuple[int, str], np.ndarray] = {
+        logs = {
             (n, token): np.log((c + 0.5) / (totals[n] + 0.5 * (kinds[n] + 1))) for (n, token), c in counts.items()
         }
+        words = {token: x for (n, token), x in logs.items() if n == 0}
+        grams = [{token: x for (m, token), x in logs.items() if m == n} for n in range(1, order + 1)]
+        self.grams = [{token: i for i, token in enumerate(g)} for g in grams]
+        self.gram_tables = [np.array(list(g.values())).reshape(-1, k) for g in grams]
+        # a row of the table for each known word, then for unseen words as they come; row 0 tells nothing
+        self.known = {w: i + 1 for i, w in enumerate(words)}
+        self.first_free = len(words) + 1
+        self.table = np.vstack([np.zeros(k), *words.values()]) if words else np.zeros((1, k))
         total = sum(prior.values())
         self.prior = np.array([math.log((prior[lang] + 1) / (total + k)) for lang in self.langs])
-        self.cache: dict[str, np.ndarray | None] = {}
-
-    def word(self, word: str) -> np.ndarray | None:
-        """The log frequencies of a known word; else the mean of its longest known n-grams; None if there are none."""
-        known = self.log.get((0, word))
-        if known is not None:
-            return known
-        if word in self.cache:
-            return self.cache[word]
-        found = None
+        self.unseen: dict[str, int] = {}
+
+    def backoff(self, word: str) -> np.ndarray | None:
+        """The mean log frequencies of the longest known n-grams of a word; None if there are none."""
         for n in range(self.order, 0, -1):
-            logs = [x for g in grams_of(word, n) if g not in "^$" and (x := self.log.get((n, g))) is not None]
-            if logs:
-                found = np.mean(logs, axis=0)
-                break
-        if len(self.cache) >= 200_000:
-            self.cache.clear()
-        if len(word) <= 64:
-            self.cache[word] = found
-        return found
+            get = self.grams[n - 1].get
+            rows = [r for g in grams_of(word, n) if g not in "^$" and (r := get(g)) is not None]
+            if rows:
+                return self.gram_tables[n - 1][rows].mean(axis=0)
+        return None
+
+    def _row(self, word: str) -> int:
+        """The table's row of a word that is not known; rows of unseen words are reused when 100,000 are full."""
+        row = self.unseen.get(word)
+        if row is None:
+            found = self.backoff(word)
+            if found is None:
+                row = 0
+            else:
+                row = self.free
+                if row == len(self.table):
+                    self.table = np.vstack([self.table, np.zeros((100_000, len(self.langs)))])
+                self.table[row] = found
+                self.free += 1
+            self.unseen[word] = row
+        return row
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language of a text and its share of the likelihood; und and 0 without a letter or a model."""
         if not self.langs or not text or not LETTER.search(text):
             return UNKNOWN, 0.0
-        logs, counts = [], []
-        for word, count in Counter(WORDS.findall(text.lower())).items():
-            x = self.word(word)
-            if x is not None:
-                logs.append(x)
-                counts.append(count)
-        total = self.prior + (np.array(counts, float) @ np.array(logs) if logs else 0)
+        if len(self.unseen) >= 90_000:
+            self.unseen.clear()
+        if not self.unseen:
+            self.free = self.first_free
+        total = self.prior.copy()
+        counted = Counter(WORDS.findall(text.lower()))
+        words, counts = list(counted), np.fromiter(counted.values(), float, len(counted))
+        for at in range(0, len(words), 5_000):
+            some = words[at : at + 5_000]
+            rows = [r if r is not None else self._row(w) for w, r in zip(some, map(self.known.get, some), strict=True)]
+            total += counts[at : at + 5_000] @ self.table[rows]
+            if len(self.unseen) >= 90_000:
+                self.unseen.clear()
+                self.free = self.first_free
         share = np.exp(total - total.max())
         best = int(share.argmax())
         return self.langs[best], float(share[best] / share.sum())
@@ -118,8 +150,8 @@ def train(
     labelled: DataFrame,
     text_col: str = "text",
     lang_col: str = "lang",
-    max_docs: int = 20_000,
-    max_entries: int = 400_000,
+    max_docs: int = 4_000,
+    max_entries: int = 300_000,
     order: int = 5,
 ) -> LanguageModel:
     """Fits a model to the labelled rows; rows without text or language are left out.
