@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-taktwerk-")
-        spark.conf.set("spark.checkpoint.dir", found)
+    found = spark.conf.get("spark.checkpoint.dir", None) or own_dir(spark.sparkContext.applicationId)
     return found.rstrip("/")
 
 
+@lru_cache
+def own_dir(application: str) -> str:
+    """A folder for an application whose session names none, as in local tests."""
+    return tempfile.mkdtemp(prefix=f"spark-{application}-")
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, written as a table to the shared folder and read again: cuts the lineage, survives a lost executor."""
     path = f"{shared_dir(df.sparkSession)}/taktwerk/{uuid.uuid4().hex}"

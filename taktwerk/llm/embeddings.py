@@ -106,8 +106,7 @@ def pairs_in_buckets(rows: DataFrame, threshold: float) -> DataFrame:
                 part = batch.slice(int(at[g]), int(at[g + 1] - at[g]))
                 cid, weight, block = (part.column(c).to_numpy() for c in ("cid", "weight", "block"))
                 table = part.column("table")[0].as_py()
-                hashes = part.column("hashes").values.to_numpy()[part.column("hashes").offsets[0].as_py() :]
-                hashes = hashes[: len(cid) * (len(hashes) // len(cid))].reshape(len(cid), -1) if len(cid) else hashes
+                hashes = part.column("hashes").flatten().to_numpy().reshape(len(cid), -1)
                 unit = unit_rows(part.column("blob"))
                 linked = unit @ unit.T >= threshold
                 np.fill_diagonal(linked, False)

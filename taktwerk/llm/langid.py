@@ -89,7 +89,7 @@ class LanguageModel:
         words = {token: x for (n, token), x in logs.items() if n == 0}
         grams = [{token: x for (m, token), x in logs.items() if m == n} for n in range(1, order + 1)]
         self.grams = [{token: i for i, token in enumerate(g)} for g in grams]
-        self.gram_tables = [np.array(list(g.values())).reshape(-1, k) for g in grams]
+        self.gram_tables = [np.array(list(g.values())).reshape(len(g), k) for g in grams]
         # a row of the table for each known word, then for unseen words as they come; row 0 tells nothing
         self.known = {w: i + 1 for i, w in enumerate(words)}
         self.first_free = len(words) + 1
