@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from taktwerk.plans import charts, tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**charts.QUERIES, **tables.QUERIES}
+ORACLES: dict[str, str] = {**charts.ORACLES, **tables.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
