@@ -72,28 +72,30 @@ def counted(texts: DataFrame, order: int, flush: int = 200_000) -> DataFrame:
 class LanguageModel:
     """Log frequencies by language of words and n-grams; scores are sums over the words of a text."""
 
-    def __init__(self, rows: list[tuple[int, str, str, int]], prior: dict[str, int], order: int = 5):
+    def __init__(self, rows: pa.Table, prior: dict[str, int], order: int = 5):
+        """rows: the columns n, token, lang and count, in that order."""
         self.langs = sorted(prior)
         self.order = order
         at = {lang: i for i, lang in enumerate(self.langs)}
         k = len(self.langs)
-        totals = np.zeros((order + 1, k))
-        counts: dict[tuple[int, str], np.ndarray] = {}
-        for n, token, lang, count in rows:
-            counts.setdefault((n, token), np.zeros(k))[at[lang]] += count
-            totals[n, at[lang]] += count
-        kinds = Counter(n for n, _ in counts)
-        logs = {
-            (n, token): np.log((c + 0.5) / (totals[n] + 0.5 * (kinds[n] + 1))) for (n, token), c in counts.items()
-        }
-        words = {token: x for (n, token), x in logs.items() if n == 0}
-        grams = [{token: x for (m, token), x in logs.items() if m == n} for n in range(1, order + 1)]
-        self.grams = [{token: i for i, token in enumerate(g)} for g in grams]
-        self.gram_tables = [np.array(list(g.values())).reshape(len(g), k) for g in grams]
+        indexes: list[dict[str, int]] = [{} for _ in range(order + 1)]
+        places: list[tuple[list[int], list[int], list[int]]] = [([], [], []) for _ in range(order + 1)]
+        for n, token, lang, count in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            own, index = places[n], indexes[n]
+            own[0].append(index.setdefault(token, len(index)))
+            own[1].append(at[lang])
+            own[2].append(count)
+        tables = []
+        for index, (row, lang, count) in zip(indexes, places, strict=True):
+            counts = np.zeros((len(index), k))
+            if index:
+                np.add.at(counts, (row, lang), count)
+            tables.append(np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * (len(index) + 1))))
+        self.grams, self.gram_tables = indexes[1:], tables[1:]
         # a row of the table for each known word, then for unseen words as they come; row 0 tells nothing
-        self.known = {w: i + 1 for i, w in enumerate(words)}
-        self.first_free = len(words) + 1
-        self.table = np.vstack([np.zeros(k), *words.values()]) if words else np.zeros((1, k))
+        self.known = {w: i + 1 for w, i in indexes[0].items()}
+        self.first_free = len(self.known) + 1
+        self.table = np.vstack([np.zeros((1, k)), tables[0]])
         total = sum(prior.values())
         self.prior = np.array([math.log((prior[lang] + 1) / (total + k)) for lang in self.langs])
         self.unseen: dict[str, int] = {}
@@ -165,8 +167,8 @@ def train(
     if n > max_docs:
         rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * max_docs / n))
     prior = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    found = counted(rows, order).orderBy(F.desc("count"), "n", "token", "lang").limit(max_entries).collect()
-    return LanguageModel([tuple(r) for r in found], prior, order)
+    found = counted(rows, order).orderBy(F.desc("count"), "n", "token", "lang").limit(max_entries).toArrow()
+    return LanguageModel(found, prior, order)
 
 
 def identify(docs: DataFrame, keep: list[str], model: LanguageModel, text_col: str = "text") -> DataFrame:
