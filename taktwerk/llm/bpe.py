@@ -60,7 +60,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """A word-end BPE vocabulary read from a tokenizer file, with a bounded cache of parts between spaces."""
 
-    def __init__(self, path: str, cache_entries: int = 120_000):
+    def __init__(self, path: str, cache_entries: int = 100_000):
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         model = data["model"]
@@ -196,7 +196,7 @@ def bpe_encode(
     path: str,
     text_col: str = "text",
     outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"),
-    cache_entries: int = 120_000,
+    cache_entries: int = 100_000,
 ) -> DataFrame:
     """Carries `keep` and adds the chosen outputs, in one pass without a shuffle.
 

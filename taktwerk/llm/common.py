@@ -17,6 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 # A table of at most this many rows is small enough to be broadcast (a few MB).
 BROADCAST_ROWS = 20_000
+# Rows of which a row-wise map holds the new values at a time.
+SLICE_ROWS = 500
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,24 +69,29 @@ def map_column(
 ) -> DataFrame:
     """Carry `keep` through and add `fields`, which setup()(values of `column`) returns as lists by name.
 
-    setup runs once in each task. Batches are streamed, so a task holds one Arrow batch at a time. With
-    binary=True a text arrives as its UTF-8 bytes. A kept column named like a new field gives way to it.
+    setup runs once in each task. Batches are streamed, and worked on in slices of SLICE_ROWS rows, so a task
+    holds one Arrow batch and the new values of one slice. With binary=True a text arrives as its UTF-8 bytes.
+    A kept column named like a new field gives way to it; `column` itself travels once, kept or not.
     """
     new = {f.name for f in fields}
     keep = [k for k in dict.fromkeys(keep) if k not in new]
     schema = T.StructType([*(df.schema[k] for k in keep), *fields])
     arrow = to_arrow_schema(schema)
+    moved = [column, *(k for k in keep if k != column)]
+    at = [moved.index(k) for k in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = setup()
         for batch in batches:
-            values = batch.column(0)
-            got = work((values.cast(pa.binary()) if binary else values).to_pylist())
-            arrays = [batch.column(i + 1) for i in range(len(keep))]
-            arrays += [pa.array(got[f.name], arrow.field(f.name).type) for f in fields]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *(f.name for f in fields)])
-
-    return df.select(F.col(column).alias("__column"), *keep).mapInArrow(run, schema)
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                values = part.column(0)
+                got = work((values.cast(pa.binary()) if binary else values).to_pylist())
+                arrays = [part.column(i) for i in at]
+                arrays += [pa.array(got[f.name], arrow.field(f.name).type) for f in fields]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *(f.name for f in fields)])
+
+    return df.select(*moved).mapInArrow(run, schema)
 
 
 def deal(rows: DataFrame, key: str, row: str, heavy: DataFrame) -> DataFrame:
