@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taktwerk.operators import causes, feed, spc
+from taktwerk.operators import causes, feed, kernels, spc
 from taktwerk.sources import plant
 
 
@@ -145,6 +145,10 @@ QUERIES = {
     "q_late_repair": lambda s, d: rounded(repaired(s, d).select("unit", "j", "x_late")),
     "q_interp_missing": lambda s, d: rounded(feed.interpolate(repaired(s, d)).select("unit", "j", "x_fill")),
     "q_reconstruct_states": lambda s, d: rounded(feed.reconstruct(plant.scans(s, d))),
+    "q_soft_sensor_mle": lambda s, d: rounded(kernels.censored_cycle_times(feed.reconstruct(plant.scans(s, d)))),
+    "q_line_run": lambda s, d: rounded(
+        kernels.run_line(plant.scans(s, d).select(F.floor(F.col("unit") / 500).alias("run"), "unit", "j", "release_s", "proc_s"))
+    ),
     "q_contingency": lambda s, d: rounded(cause_table(s, d).select("kind", "label", "ne", "a", "rate_exposed", "rate_unexposed", "lift")),
     "q_fisher": lambda s, d: rounded(causes.fisher(cause_table(s, d)).select("kind", "label", "p")),
     "q_bh_fdr": lambda s, d: rounded(causes.benjamini_hochberg(causes.fisher(cause_table(s, d)), ["kind", "label"]).select("kind", "label", "p", "q")),

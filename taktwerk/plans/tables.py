@@ -1,7 +1,8 @@
 """Registered queries that are one SQL text for both engines; `spark_text` and `duck_text` settle the dialects.
 
 Texts use e0 for doubles, `EPOCH_US(ts)` for microseconds, `DIV(a, b)` for whole quotients, and `PCTL(x, p)` for
-linear quantiles.
+linear quantiles, and
+`SEQ(lo, hi)` for a row a whole number.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from taktwerk.sources import plant
 
 def spark_text(text: str) -> str:
     text = re.sub(r"EPOCH_US\((\w+)\)", r"unix_micros(CAST(\1 AS TIMESTAMP))", text)
-    text = text.replace("PCTL(", "percentile(")
+    text = text.replace("PCTL(", "percentile(").replace("SEQ(lo, hi)", "explode(sequence(lo, hi))")
     return re.sub(r"DIV\(([^,()]*(?:\([^()]*\)[^,()]*)*), ([^()]*)\)", r"CAST(floor((\1) / (\2)) AS BIGINT)", text)
 
 
@@ -35,6 +36,7 @@ def counted(text: str) -> str:
 def duck_text(text: str) -> str:
     text = counted(text)
     text = text.replace("EPOCH_US(", "epoch_us(").replace("PCTL(", "quantile_cont(")
+    text = text.replace("SEQ(lo, hi)", "unnest(range(lo, hi + 1))")
     return re.sub(r"DIV\(([^,()]*(?:\([^()]*\)[^,()]*)*), ([^()]*)\)", r"CAST(floor((\1) / (\2)) AS BIGINT)", text)
 
 
@@ -61,6 +63,13 @@ act AS (SELECT event_type AS sid, event_id, EPOCH_US(ts) AS s, EPOCH_US(ts) + CA
 runs AS (SELECT *, max(e) OVER (PARTITION BY sid ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM act),
 marked AS (SELECT *, sum(CASE WHEN top IS NULL OR s > top + 2000000 THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY s, event_id) AS p FROM runs),
 period AS (SELECT sid, p, min(s) AS s, max(e) AS e FROM marked GROUP BY sid, p)"""
+SHARE = PERIOD + """,
+ticks AS (SELECT sid, e - s AS dur, CAST(ceil(s / 6e7) AS BIGINT) AS lo, CAST(floor(e / 6e7) AS BIGINT) AS hi FROM period),
+cover AS (SELECT sid, dur, SEQ(lo, hi) AS t FROM ticks WHERE hi >= lo),
+led AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY dur DESC, sid) AS r FROM cover),
+best AS (SELECT t, max(CASE WHEN r = 1 THEN sid END) AS sid, max(CASE WHEN r = 2 THEN dur ELSE 0 END) >= 0.85e0 * max(CASE WHEN r = 1 THEN dur END) AS shifting
+         FROM led GROUP BY t),
+grid AS (SELECT max(hi) - min(lo) + 1 AS n FROM ticks)"""
 RISK = """
 risk AS (SELECT d.doc_id AS unit, least(n_chars / 20000e0, 1e0) AS score, toxic AS y FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
 calib AS (SELECT y, CASE WHEN y = 1 THEN 1 - score ELSE score END AS s FROM risk WHERE unit % 2 = 0),
@@ -132,6 +141,13 @@ TEXTS = {
       SELECT j, n, round(slope, 6) AS slope, round(sqrt((syy - slope * slope * sxx) / (n - 2) / sxx), 6) AS se, abs(slope) > 2 * sqrt((syy - slope * slope * sxx) / (n - 2) / sxx) AS kept FROM fit WHERE n >= 240""",
     # bottleneck
     "q_active_periods": f"WITH {PERIOD} SELECT sid, CAST(p AS BIGINT) AS p, s, e FROM period",
+    "q_bottleneck_share": f"""WITH {SHARE} SELECT sid, round(count_if(NOT shifting) / (max(n) * 1e0), 6) AS sole_share, round(count_if(shifting) / (max(n) * 1e0), 6) AS shifting_share,
+      round(count(*) / (max(n) * 1e0), 6) AS total_share FROM best, grid GROUP BY sid""",
+    "q_bn_timeline": f"""WITH {SHARE}, per AS (SELECT DIV(t, 2880) AS blk, sid, count(*) AS n FROM best GROUP BY DIV(t, 2880), sid),
+      rk AS (SELECT *, row_number() OVER (PARTITION BY blk ORDER BY n DESC, sid) AS r FROM per) SELECT blk, r, sid, n FROM rk WHERE r <= 4""",
+    "q_impute_proc": f"""WITH {STATES}, gated AS (SELECT *, lag(start_s) OVER (PARTITION BY j ORDER BY true_s, unit) AS earlier_s FROM state),
+      theta AS (SELECT *, lead(earlier_s) OVER (PARTITION BY unit ORDER BY j) - start_s AS theta_s FROM gated)
+      SELECT unit, j, round(greatest(CASE WHEN dwell_s - theta_s < 1.5e0 THEN least(dwell_s, theta_s) ELSE dwell_s END, 0.1e0), 6) AS proc_s FROM theta""",
     "q_rc_exposures": f"WITH {SIGNAL} SELECT unit, 'S' || CAST(j AS STRING) || CASE WHEN z > 0 THEN ':high' ELSE ':low' END AS label FROM zed WHERE abs(z) > 2",
     "q_regime_lead": """WITH day AS (SELECT DIV(EPOCH_US(ts), 86400000000) AS d, event_type, count(*) AS n FROM events GROUP BY DIV(EPOCH_US(ts), 86400000000), event_type),
       top AS (SELECT d, event_type, row_number() OVER (PARTITION BY d ORDER BY n DESC, event_type) AS r FROM day),
