@@ -1,6 +1,5 @@
 """The ten operators against brute force, and on nulls, empty and long texts, ties, repeats and clashing columns."""
 
-import hashlib
 import re
 
 import numpy as np
@@ -250,7 +249,7 @@ def test_units(spark):
     assert left == {0: texts[0], 1: "first\n", 2: "end of it all here", 3: None, 4: "", 5: "short\nshort"}
     assert repeated_units(df.union(df)).distinct().count() == 3 and repeated_units(df.limit(0)).count() == 0
     null_ids = df.withColumn("doc_id", F.lit(None).cast("long"))
-    assert {r.kept_doc_id for r in repeated_units(df.union(null_ids)).collect()} == {0, 2} or True
+    assert {r.kept_doc_id for r in repeated_units(df.union(null_ids)).collect()} == {0, 2}
 
 
 def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
@@ -265,5 +264,4 @@ def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
     und = {r.doc_id for r in langid.identify(docs_in, ["doc_id"], langid.fit_on_documents(docs_in)).filter("lang_pred = 'und' OR score < 0.5").collect()}
     assert kept == {d for d, c in parts.items() if d == c and d not in dirty and d not in und}
     r = out.orderBy("doc_id").first()
-    text = docs_in.filter(F.col("doc_id") == r.doc_id).first().text
-    assert r.n_tokens == len(r.ids.split()) and hashlib.sha256(text.encode()).hexdigest()
+    assert r.n_tokens == len(r.ids.split())
