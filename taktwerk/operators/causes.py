@@ -58,3 +58,90 @@ def ranked(table: DataFrame) -> DataFrame:
     lift = (F.col("lift") - 1) / 2
     raw = (1 - F.col("q")) * F.tanh(lift) * F.least(F.lit(1.0), F.col("a") / 25)
     return table.withColumn("confidence", F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)))
+
+
+FEWEST = {"ZONE": 3, "TIME_WINDOW": 6}
+WIDEST = {"ZONE": 0.45, "TIME_WINDOW": 0.30}
+
+
+def family(kind: Column, label: Column, zone: Column) -> Column:
+    """The family of a hypothesis that may stand for one wider cause: (form, kind, zone, signal), or null.
+
+    A label is `station:signal`. Signals of one zone form a zone family; sub-windows with one name, a time window.
+    """
+    part = F.split(label, ":", 2)[1]
+    return F.when(
+        kind.isin("STATION_SIGNAL", "ENVIRONMENT") & (zone != ""),
+        F.struct(F.lit("ZONE").alias("form"), kind.alias("kind"), zone.alias("zone"), part.alias("signal")),
+    ).when(
+        kind == "STATION_WINDOW",
+        F.struct(F.lit("TIME_WINDOW").alias("form"), kind.alias("kind"), F.lit("").alias("zone"), part.alias("signal")),
+    )
+
+
+def consolidate(hyps: DataFrame) -> DataFrame:
+    """kind, label, zone, n_stations, ne, a, rates, lift, p, q, confidence: families whose lifts agree become one row.
+
+    A zone takes three stations with a lift spread (population deviation over mean) of at most 0.45, a time window six
+    and 0.30. The zone row has mean counts and rates, the least p and q and 1.12 times the best confidence (0.99 at most);
+    the window row has those of its most confident member and 0.9 times its confidence. Other hypotheses stay.
+    """
+    rows = hyps.withColumn("family", family(F.col("kind"), F.col("label"), F.coalesce("zone", F.lit(""))))
+    best = F.struct("confidence", "label")
+    zone = F.col("family.form") == "ZONE"
+    merged = rows.filter(F.col("family").isNotNull()).groupBy("family").agg(
+        F.count("*").alias("n_stations"), F.avg("lift").alias("lift"), F.stddev_pop("lift").alias("spread"),
+        *(F.avg(c).alias(f"mean_{c}") for c in ("ne", "a", "rate_exposed", "rate_unexposed")),
+        *(F.min(c).alias(f"least_{c}") for c in ("p", "q")),
+        *(F.max_by(c, best).alias(f"best_{c}") for c in ("ne", "a", "rate_exposed", "rate_unexposed", "p", "q", "confidence")),
+    )
+
+    def limit(of: dict) -> Column:
+        return F.when(zone, of["ZONE"]).otherwise(of["TIME_WINDOW"])
+
+    agree = F.col("spread") / F.greatest("lift", F.lit(1e-9)) <= limit(WIDEST)
+    merged = merged.filter((F.col("n_stations") >= limit(FEWEST)) & agree)
+    either = {c: F.when(zone, F.floor(f"mean_{c}")).otherwise(F.col(f"best_{c}")).cast("long") for c in ("ne", "a")}
+    either |= {c: F.when(zone, F.col(f"mean_{c}")).otherwise(F.col(f"best_{c}")) for c in ("rate_exposed", "rate_unexposed")}
+    either |= {c: F.when(zone, F.col(f"least_{c}")).otherwise(F.col(f"best_{c}")) for c in ("p", "q")}
+    confidence = F.when(zone, F.least(F.lit(0.99), F.col("best_confidence") * 1.12)).otherwise(F.col("best_confidence") * 0.9)
+    wider = merged.select(
+        F.when(zone, F.concat(F.lit("ZONE_"), "family.kind")).otherwise("TIME_WINDOW").alias("kind"),
+        F.when(zone, F.concat_ws(":", "family.zone", "family.signal")).otherwise(F.concat(F.lit("window:"), "family.signal")).alias("label"),
+        F.col("family.zone").alias("zone"), "n_stations", "lift", *(e.alias(c) for c, e in either.items()), confidence.alias("confidence"),
+    )
+    gone = merged.select("family")
+    alone = rows.join(gone, "family", "left_anti").withColumn("n_stations", F.lit(1).cast("long"))
+    return wider.unionByName(alone.select(*wider.columns))
+
+
+def members(hyps: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(hypothesis, kind, label): the candidates (kind, label, zone) for which each hypothesis (kind, label, zone) stands.
+
+    Both tables are dimensions of some hundreds of rows; the candidates with a member key meet on it.
+    """
+    fam = family(F.col("kind"), F.col("label"), F.coalesce("zone", F.lit("")))
+    zone_key = F.concat(F.lit("ZONE_"), "f.kind", F.lit("|"), "f.zone", F.lit(":"), "f.signal")
+    wide = F.when(F.col("f.form") == "ZONE", zone_key).otherwise(F.concat(F.lit("TIME_WINDOW|window:"), "f.signal"))
+    own = F.concat_ws("|", "kind", "label")
+    keyed = candidates.withColumn("f", fam).select("kind", "label", F.explode(F.array(own, wide)).alias("key")).filter("key IS NOT NULL")
+    return hyps.select(F.col("label").alias("hypothesis"), own.alias("key")).join(keyed, "key").select("hypothesis", "kind", "label").distinct()
+
+
+def containment(member: DataFrame, exposed: DataFrame, spans: DataFrame, now_s: Column, listed: int = 250, salts: int = 64) -> DataFrame:
+    """Of each hypothesis: the exposed units in the line, shipped and not started at now_s, and the first `listed` in the line.
+
+    member is (hypothesis, kind, label), exposed (kind, label, unit), spans (unit, started_s, gone_s). A unit that several
+    members expose counts once. The list is a top-k report in two levels, so that no task orders a hypothesis' units.
+    """
+    units = exposed.join(F.broadcast(member), ["kind", "label"]).select("hypothesis", "unit").distinct().join(spans, "unit")
+    state = F.when(F.col("gone_s") <= now_s, "shipped").when(F.col("started_s") > now_s, "not_started").otherwise("in_line")
+    units = units.select("hypothesis", "unit", state.alias("state"))
+    counts = units.groupBy("hypothesis").agg(
+        F.count("*").alias("n_exposed"),
+        *(F.count_if(F.col("state") == s).alias(f"n_{s}") for s in ("in_line", "shipped", "not_started")),
+    )
+    salted = units.filter("state = 'in_line'").withColumn("salt", F.pmod(F.xxhash64("unit"), F.lit(salts)))
+    first = salted.withColumn("r", F.row_number().over(Window.partitionBy("hypothesis", "salt").orderBy("unit"))).filter(F.col("r") <= listed)
+    top = first.groupBy("hypothesis").agg(F.slice(F.array_sort(F.collect_list("unit")), 1, listed).alias("units_in_line"))
+    return counts.join(top, "hypothesis", "left").withColumn("units_in_line", F.coalesce("units_in_line", F.array().cast("array<bigint>")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from taktwerk.functions.ranks import ROWS_PER_SLOT, lagged
+
 
 def by_unit():
     return Window.partitionBy("unit").orderBy("j")
@@ -54,19 +56,23 @@ def interpolate(scans: DataFrame, x: str = "x_late") -> DataFrame:
     return out.withColumn("x_fill", F.when(F.col("__n") >= 2, fill)).drop("__n", "__j0", "__x0", "__j1", "__x1")
 
 
-def reconstruct(visits: DataFrame, x: str = "true_s", transport_s: float = 4.5, capacity: int = 1, eps_s: float = 1.5) -> DataFrame:
+def reconstruct(
+    visits: DataFrame, x: str = "true_s", transport_s: float = 4.5, capacity: int = 1, eps_s: float = 1.5,
+    rows_per_slot: int = ROWS_PER_SLOT,
+) -> DataFrame:
     """unit, j, arrive_s, start_s, dwell_s, starved_s, theta_s, blocked from release_s and the scans x.
 
     A station serves units in the order of their scans; a unit is blocked if it leaves within eps_s of the moment
-    that the unit `capacity` places earlier starts at the next station. Without such a unit it is not blocked.
+    that the unit `capacity` places earlier starts at the next station. Without such a unit it is not blocked. A station's visits are ordered in slots,
+    so one station may hold more than a task.
     """
-    by_station = Window.partitionBy("j").orderBy(x, "unit")
+    order = [x, "unit"]
     arrive = F.coalesce(F.lag(x).over(by_unit()) + transport_s, F.col("release_s"))
-    out = visits.withColumn("arrive_s", arrive).withColumn("prev_s", F.lag(x).over(by_station))
+    out = lagged(visits.withColumn("arrive_s", arrive), ["j"], order, {"prev_s": x}, 1, rows_per_slot)
     out = out.withColumn("start_s", F.greatest("arrive_s", "prev_s"))
     out = out.withColumn("starved_s", F.coalesce(F.greatest(F.col("start_s") - F.col("prev_s"), F.lit(0.0)), F.lit(0.0)))
     out = out.withColumn("dwell_s", F.col(x) - F.col("start_s"))
-    out = out.withColumn("earlier_s", F.lag("start_s", capacity).over(by_station))
+    out = lagged(out, ["j"], order, {"earlier_s": "start_s"}, capacity, rows_per_slot)
     gate = F.lead("earlier_s").over(by_unit())
     out = out.withColumn("theta_s", gate - F.col("start_s"))
     blocked = F.coalesce(F.col("dwell_s") - F.col("theta_s") < eps_s, F.lit(False))

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from taktwerk.functions.ranks import positions
+
 LAM, EWMA_L, K, H = 0.22, 5.5, 0.5, 9.35
 BASELINE, PERSISTENCE = 10, 2
 
 
 def blocks(rows: DataFrame, series: str, order: list[str], value: str, size: int) -> DataFrame:
     """(series, blk, m): means of consecutive blocks of `size` rows by `order`; the partial last block is left out."""
-    w = Window.partitionBy(series).orderBy(*order)
-    placed = rows.select(F.col(series).alias("series"), F.col(value).alias("v"), (F.row_number().over(w) - 1).alias("rn"))
+    named = rows.select(F.col(series).alias("series"), *order, F.col(value).alias("v"))
+    placed = positions(named, ["series"], order, "rn")
     blk = F.floor(F.col("rn") / size).cast("long")
     return placed.groupBy("series", blk.alias("blk")).agg(F.avg("v").alias("m"), F.count("*").alias("n")).filter(F.col("n") == size).drop("n")
 
@@ -35,8 +39,12 @@ def baseline(means: DataFrame, first: int = BASELINE) -> DataFrame:
 
 
 def ewma(means: DataFrame, base: DataFrame, lam: float = LAM, limit: float = EWMA_L, first: int = BASELINE) -> DataFrame:
-    """(series, blk, stat, lim, flag): z_t - mu as a weighted sum of a series' block means, so no row waits for the last."""
-    w = Window.partitionBy("series").orderBy("blk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """(series, blk, stat, lim, flag): z_t - mu as a weighted sum of a series' block means, so no row waits for the last.
+
+    The frame ends where a weight falls below 1e-18, which a double can't hold beside the rest.
+    """
+    reach = math.ceil(math.log(1e-18) / math.log(1 - lam))
+    w = Window.partitionBy("series").orderBy("blk").rowsBetween(-reach, Window.currentRow)
     t = F.col("blk") + 1
     history = F.collect_list(F.col("m") - F.col("mu")).over(w)
     stat = F.aggregate(history, F.lit(0.0), lambda acc, x: F.lit(1 - lam) * acc + F.lit(lam) * x)
@@ -77,3 +85,26 @@ def first_signal(chart: DataFrame, k: int = PERSISTENCE) -> DataFrame:
         F.coalesce(F.min(F.when(F.col("held"), F.col("blk") - (k - 1))), F.lit(-1)).alias("first_blk"),
         F.sum(F.col("flag").cast("long")).alias("n_signals")
     )
+
+
+def score_against_faults(charts: DataFrame, faults: DataFrame, early: float = 0.5) -> DataFrame:
+    """One row a fault of (fault_id, target, start_day): the first chart that fires at its target from start_day - early on.
+
+    charts has (station, chart, signal, first_day, onset_day); the onset is that of the first CUSUM chart with one, else that
+    of the chart that fired first. Ties go by chart, then signal. Faults without a detection stay, with nulls. Charts are few
+    for each station, so the faults are the broadcast side only if Spark finds them small.
+    """
+    at = (F.col("station") == F.col("target")) & (F.col("first_day") >= F.col("start_day") - early)
+    hits = faults.join(charts.filter(F.col("first_day").isNotNull()), at, "left")
+    place = F.struct("first_day", "chart", "signal")
+    onset = F.when((F.col("chart") == "CUSUM") & F.col("onset_day").isNotNull(), place)
+    found = hits.groupBy("fault_id", "target", "start_day").agg(
+        F.min(F.when(F.col("station").isNotNull(), F.struct("first_day", "chart", "signal", "onset_day"))).alias("b"),
+        F.min_by("onset_day", onset).alias("cusum_onset"),
+    )
+    onset_day = F.coalesce("cusum_onset", "b.onset_day")
+    return found.select(
+        "fault_id", "target", "start_day", F.col("b").isNotNull().alias("detected"), F.col("b.chart").alias("chart"), F.col("b.signal").alias("signal"),
+        F.col("b.first_day").alias("detect_day"), F.round(F.col("b.first_day") - F.col("start_day"), 2).alias("lag_days"),
+        onset_day.alias("onset_day"), F.round(onset_day - F.col("start_day"), 2).alias("onset_error_days"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taktwerk.operators import causes, feed, kernels, spc
+from taktwerk.operators import causes, feed, investment, kernels, spc
 from taktwerk.sources import plant
 
 
@@ -13,8 +13,7 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def block_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = 10 if sf_dir.rstrip("/").endswith("sf0.001") else 20
+def block_means(spark: SparkSession, sf_dir: str, size: int = 20) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return spc.blocks(events, "event_type", ["ts", "event_id"], "value", size)
 
@@ -52,13 +51,15 @@ begun AS (SELECT *, greatest(arrive_s, prev_s) AS start_s FROM arrived),
 gated AS (SELECT *, lag(start_s) OVER (PARTITION BY j ORDER BY true_s, unit) AS earlier_s FROM begun),
 state AS (SELECT unit, j, arrive_s, start_s, true_s - start_s AS dwell_s, coalesce(greatest(start_s - prev_s, 0), 0) AS starved_s,
           lead(earlier_s) OVER (PARTITION BY unit ORDER BY j) - start_s AS theta_s FROM gated)"""
-CAUSES = """
-labels AS (SELECT o_orderkey AS unit, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS bad FROM orders),
+LABELS = """
+labels AS (SELECT o_orderkey AS unit, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS bad FROM orders)"""
+EXPOSED = """
 exposed AS (
   SELECT 'LOT' AS kind, 'LOT-' || CAST(o_orderkey // 480 AS VARCHAR) AS label, o_orderkey AS unit FROM orders
   UNION ALL SELECT 'OPERATOR', o_orderpriority, o_orderkey FROM orders
   UNION ALL SELECT 'ENVIRONMENT', 'high_total', o_orderkey FROM orders WHERE o_totalprice > 300000
-  UNION ALL SELECT 'STATION_SIGNAL', 'S' || CAST(l_linenumber AS VARCHAR), l_orderkey FROM lineitem WHERE l_quantity > 45 GROUP BY ALL),
+  UNION ALL SELECT 'STATION_SIGNAL', 'S' || CAST(l_linenumber AS VARCHAR), l_orderkey FROM lineitem WHERE l_quantity > 45 GROUP BY ALL)"""
+TESTED = """
 found AS (SELECT kind, label, count(*) AS ne, sum(bad) AS a FROM exposed JOIN labels USING (unit) GROUP BY ALL),
 two AS (SELECT *, a / ne AS rate_exposed, (nd - a) / (n - ne) AS rate_unexposed
         FROM found, (SELECT count(*) AS n, sum(bad) AS nd FROM labels) WHERE ne >= 25 AND n - ne >= 25),
@@ -71,6 +72,31 @@ fisher AS (
          - lgamma(n + 1) + lgamma(ne + 1) + lgamma(n - ne + 1)) END)) AS p FROM tail GROUP BY ALL),
 ordered AS (SELECT *, row_number() OVER (ORDER BY p, kind, label) AS r, count(*) OVER () AS m FROM fisher JOIN tab USING (kind, label)),
 bh AS (SELECT *, least(1, min(p * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM ordered)"""
+CAUSES = f"{LABELS},{EXPOSED},{TESTED}"
+# hypotheses of seven stations: two signals out of band, and six sub-windows
+STATION_EXPOSED = """
+exposed AS (
+  SELECT 'STATION_SIGNAL' AS kind, 'S' || CAST(l_linenumber AS STRING) || ':quantity_high' AS label, l_orderkey AS unit FROM lineitem WHERE l_quantity > 45
+  UNION SELECT 'STATION_SIGNAL', 'S' || CAST(l_linenumber AS STRING) || ':price_low', l_orderkey FROM lineitem WHERE l_extendedprice < 20000
+  UNION SELECT 'STATION_WINDOW', 'S' || CAST(l_linenumber AS STRING) || ':w' || CAST(l_orderkey % 6 AS STRING), l_orderkey FROM lineitem)"""
+ZONE_OF = "CASE WHEN kind = 'STATION_WINDOW' THEN '' WHEN substr(label, 2, 1) <= '3' THEN 'BODY' ELSE 'FINAL' END"
+HYPS = f"""{LABELS},{STATION_EXPOSED.replace("STRING", "VARCHAR")},{TESTED},
+hyp AS (SELECT *, {ZONE_OF} AS zone, least(1, greatest(0, (1 - q) * tanh((lift - 1) / 2) * least(1, a / 25))) AS confidence FROM bh),
+fam AS (SELECT *, CASE WHEN kind = 'STATION_WINDOW' THEN 'TIME_WINDOW|window:' || split_part(label, ':', 2)
+               ELSE 'ZONE_' || kind || '|' || zone || ':' || split_part(label, ':', 2) END AS fk FROM hyp),
+wide AS (
+  SELECT fk, any_value(zone) AS zone, count(*) AS n_stations, avg(lift) AS lift, any_value(kind) = 'STATION_WINDOW' AS win,
+         floor(avg(ne))::BIGINT AS mne, floor(avg(a))::BIGINT AS ma, avg(rate_exposed) AS mre, avg(rate_unexposed) AS mru, min(p) AS mp, min(q) AS mq,
+         first(struct_pack(ne, a, rate_exposed, rate_unexposed, p, q, confidence) ORDER BY confidence DESC, label DESC) AS b
+  FROM fam GROUP BY fk
+  HAVING (any_value(kind) = 'STATION_WINDOW' AND count(*) >= 6 AND stddev_pop(lift) / avg(lift) <= 0.30)
+      OR (any_value(kind) <> 'STATION_WINDOW' AND count(*) >= 3 AND stddev_pop(lift) / avg(lift) <= 0.45)),
+cons AS (
+  SELECT split_part(fk, '|', 1) AS kind, split_part(fk, '|', 2) AS label, zone, n_stations, lift, (CASE WHEN win THEN b.ne ELSE mne END)::BIGINT AS ne,
+         (CASE WHEN win THEN b.a ELSE ma END)::BIGINT AS a, CASE WHEN win THEN b.rate_exposed ELSE mre END AS rate_exposed,
+         CASE WHEN win THEN b.rate_unexposed ELSE mru END AS rate_unexposed, CASE WHEN win THEN b.p ELSE mp END AS p, CASE WHEN win THEN b.q ELSE mq END AS q,
+         CASE WHEN win THEN b.confidence * 0.9 ELSE least(0.99, b.confidence * 1.12) END AS confidence FROM wide
+  UNION ALL SELECT kind, label, zone, 1, lift, ne, a::BIGINT, rate_exposed, rate_unexposed, p, q, confidence FROM fam WHERE fk NOT IN (SELECT fk FROM wide))"""
 
 
 def cause_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,12 +117,60 @@ def cause_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return causes.contingency(exposed, labels)
 
 
-def charts(spark: SparkSession, sf_dir: str, chart: str) -> DataFrame:
-    means = block_means(spark, sf_dir)
+def charts(spark: SparkSession, sf_dir: str, chart: str, size: int = 20) -> DataFrame:
+    means = block_means(spark, sf_dir, size)
     base = spc.baseline(means)
     return spc.cusum(means, base) if chart == "cusum" else spc.ewma(means, base)
 
 
+def station_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plant.sql(spark, sf_dir, f"WITH {STATION_EXPOSED} SELECT * FROM exposed")
+
+
+def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    labels = orders.select(F.col("o_orderkey").alias("unit"), (F.col("o_orderstatus") == "F").cast("int").alias("bad"))
+    table = causes.fisher(causes.contingency(station_exposures(spark, sf_dir), labels))
+    return causes.ranked(causes.benjamini_hochberg(table, ["kind", "label"])).withColumn("zone", F.expr(ZONE_OF))
+
+
+def q_consolidate(spark, sf_dir):
+    return rounded(causes.consolidate(hypotheses(spark, sf_dir)))
+
+
+def q_containment(spark, sf_dir):
+    exposed = station_exposures(spark, sf_dir)
+    hyps = hypotheses(spark, sf_dir)
+    visits = plant.scans(spark, sf_dir)
+    spans = visits.groupBy("unit").agg(F.min("release_s").alias("started_s"), F.max("true_s").alias("gone_s"))
+    member = causes.members(causes.consolidate(hyps), hyps)
+    out = causes.containment(member, exposed, spans, F.lit(20000.0))
+    return out.withColumn("units_in_line", F.array_join("units_in_line", ","))
+
+
+def q_budget_plan(spark, sf_dir):
+    stock = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        F.col("s_suppkey").alias("sid"), (100000 + F.floor(F.abs("s_acctbal") * 10)).alias("cost"), F.col("s_acctbal").alias("value")
+    )
+    return investment.plan_within_budget(stock, 700_000, [-F.col("value")])
+
+
+def q_spc_score(spark, sf_dir):
+    """Each event type as a station; its charts' first blocks as days of eight blocks; a fault a type at day 2."""
+    fired = None
+    for name in ("cusum", "ewma"):
+        chart = charts(spark, sf_dir, name)
+        onset = F.min_by("onset", "blk") if name == "cusum" else F.lit(None).cast("long")
+        start = chart.filter("flag").groupBy("series").agg(onset.alias("onset"))
+        got = spc.first_signal(chart).join(start, "series", "left").select(
+            F.col("series").alias("station"), F.lit(name.upper()).alias("chart"), F.lit("value").alias("signal"),
+            F.when(F.col("first_blk") >= 0, F.col("first_blk") / 8.0).alias("first_day"), (F.col("onset") / 8.0).alias("onset_day"),
+        )
+        fired = got if fired is None else fired.union(got)
+    faults = block_means(spark, sf_dir).select(F.concat(F.lit("F-"), "series").alias("fault_id"), F.col("series").alias("target")).distinct()
+    return rounded(spc.score_against_faults(fired, faults.withColumn("start_day", F.lit(2.0))))
+
+
 def q_spc_scan(spark, sf_dir):
     out = None
     for name in ("cusum", "ewma"):
@@ -149,6 +223,10 @@ QUERIES = {
     "q_line_run": lambda s, d: rounded(
         kernels.run_line(plant.scans(s, d).select(F.floor(F.col("unit") / 500).alias("run"), "unit", "j", "release_s", "proc_s"))
     ),
+    "q_spc_score": q_spc_score,
+    "q_consolidate": q_consolidate,
+    "q_containment": q_containment,
+    "q_budget_plan": q_budget_plan,
     "q_contingency": lambda s, d: rounded(cause_table(s, d).select("kind", "label", "ne", "a", "rate_exposed", "rate_unexposed", "lift")),
     "q_fisher": lambda s, d: rounded(causes.fisher(cause_table(s, d)).select("kind", "label", "p")),
     "q_bh_fdr": lambda s, d: rounded(causes.benjamini_hochberg(causes.fisher(cause_table(s, d)), ["kind", "label"]).select("kind", "label", "p", "q")),
@@ -181,6 +259,33 @@ ORACLES = {
       FROM near LEFT JOIN late p ON p.unit = near.unit AND p.j = j0 LEFT JOIN late f ON f.unit = near.unit AND f.j = j1""",
     "q_reconstruct_states": f"""WITH {STATES} SELECT unit, j, round(arrive_s, 6) AS arrive_s, round(start_s, 6) AS start_s, round(dwell_s, 6) AS dwell_s,
       round(starved_s, 6) AS starved_s, round(theta_s, 6) AS theta_s, coalesce(dwell_s - theta_s < 1.5, false) AS blocked FROM state""",
+    "q_spc_score": f"""WITH {CUSUM}, fired AS (
+      SELECT series, 'CUSUM' AS chart, first_blk, onset FROM ({SIGNAL.format(chart='cusum')})
+        LEFT JOIN (SELECT series, arg_min(onset, blk) AS onset FROM cusum WHERE flag GROUP BY series) USING (series)
+      UNION ALL (WITH {EWMA} SELECT series, 'EWMA', first_blk, NULL FROM ({SIGNAL.format(chart='flagged')}))),
+      hit AS (SELECT *, first_blk / 8 AS day, onset / 8 AS onset_day FROM fired WHERE first_blk >= 0 AND first_blk / 8 >= 1.5),
+      best AS (SELECT series, first(struct_pack(chart, day, onset_day) ORDER BY day, chart) AS b,
+        first(onset_day ORDER BY day) FILTER (WHERE chart = 'CUSUM' AND onset_day IS NOT NULL) AS cus FROM hit GROUP BY series)
+      SELECT 'F-' || t.series AS fault_id, t.series AS target, 2e0 AS start_day, b IS NOT NULL AS detected, b.chart AS chart,
+        CASE WHEN b IS NOT NULL THEN 'value' END AS signal, round(b.day, 6) AS detect_day, round(b.day - 2, 2) AS lag_days,
+        round(coalesce(cus, b.onset_day), 6) AS onset_day, round(coalesce(cus, b.onset_day) - 2, 2) AS onset_error_days
+      FROM (SELECT DISTINCT series FROM means) t LEFT JOIN best USING (series)""",
+    "q_consolidate": f"""WITH {HYPS} SELECT kind, label, zone, n_stations, ne, a, round(rate_exposed, 6) AS rate_exposed, round(rate_unexposed, 6) AS rate_unexposed,
+      round(lift, 6) AS lift, round(p, 6) AS p, round(q, 6) AS q, round(confidence, 6) AS confidence FROM cons""",
+    "q_containment": f"""WITH {HYPS}, {plant.PLANT}, span AS (SELECT unit, min(release_s) AS s, max(true_s) AS e FROM scan GROUP BY unit),
+      mem AS (SELECT DISTINCT cons.label AS hypothesis, fam.kind, fam.label FROM cons JOIN fam ON fam.fk = cons.kind || '|' || cons.label OR (fam.kind = cons.kind AND fam.label = cons.label)),
+      hit AS (SELECT DISTINCT hypothesis, unit FROM mem JOIN exposed USING (kind, label)),
+      st AS (SELECT hypothesis, unit, CASE WHEN e <= 20000 THEN 's' WHEN s > 20000 THEN 'n' ELSE 'l' END AS state FROM hit JOIN span USING (unit))
+      SELECT hypothesis, count(*) AS n_exposed, count(*) FILTER (WHERE state = 'l') AS n_in_line, count(*) FILTER (WHERE state = 's') AS n_shipped,
+        count(*) FILTER (WHERE state = 'n') AS n_not_started,
+        coalesce(array_to_string((list(unit ORDER BY unit) FILTER (WHERE state = 'l'))[1:250], ','), '') AS units_in_line FROM st GROUP BY hypothesis""",
+    "q_budget_plan": """WITH RECURSIVE item AS (SELECT s_suppkey::VARCHAR AS sid, 100000 + floor(abs(s_acctbal) * 10)::BIGINT AS cost,
+        row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS r FROM supplier),
+      step(r, n, spend, sid, cost, took) AS (
+        SELECT 0::BIGINT, 0, 0::BIGINT, NULL::VARCHAR, 0::BIGINT, false
+        UNION ALL SELECT item.r, n + (n < 5 AND spend + item.cost <= 700000)::INT, spend + CASE WHEN n < 5 AND spend + item.cost <= 700000 THEN item.cost ELSE 0 END,
+          item.sid, item.cost, n < 5 AND spend + item.cost <= 700000 FROM step JOIN item ON item.r = step.r + 1)
+      SELECT n - 1 AS place, sid, cost FROM step WHERE took""",
     "q_contingency": f"WITH {CAUSES} SELECT kind, label, ne, a::BIGINT AS a, round(rate_exposed, 6) AS rate_exposed, round(rate_unexposed, 6) AS rate_unexposed, round(lift, 6) AS lift FROM tab",
     "q_fisher": f"WITH {CAUSES} SELECT kind, label, round(p, 6) AS p FROM fisher",
     "q_bh_fdr": f"WITH {CAUSES} SELECT kind, label, round(p, 6) AS p, round(q, 6) AS q FROM bh",

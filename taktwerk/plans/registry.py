@@ -13,4 +13,5 @@ ORACLES: dict[str, str] = {**charts.ORACLES, **tables.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["q_spc_cusum"](spark, sf_dir)
+    """The CUSUM charts in blocks of ten, of which the smallest data folder has enough for a baseline."""
+    return charts.rounded(charts.charts(spark, sf_dir, "cusum", 10))

@@ -11,7 +11,9 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from taktwerk.functions import metrics
 from taktwerk.sources import plant
 
 
@@ -158,7 +160,9 @@ TEXTS = {
     "q_type_extremes": f"WITH {SIGNAL} SELECT unit, j % 3 AS kind, round(min(z), 6) AS lo, round(max(z), 6) AS hi FROM zed GROUP BY unit, j % 3",
     "q_dark_z": f"WITH {SIGNAL} SELECT unit, round(max(z), 6) AS top, round(avg(z), 6) AS mean_z FROM zed WHERE j % 2 = 0 GROUP BY unit",
     "q_context_feats": f"WITH {STATES} SELECT unit, round(sum(starved_s), 6) AS starved_s, round(sum(dwell_s), 6) AS dwell_s FROM state WHERE j <= 5 GROUP BY unit",
-    "q_category_codes": "SELECT o_orderkey AS unit, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS priority_code, dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS status_code FROM orders",
+    "q_category_codes": """WITH p AS (SELECT o_orderpriority AS v, row_number() OVER (ORDER BY o_orderpriority) - 1 AS code FROM (SELECT DISTINCT o_orderpriority FROM orders) a),
+      s AS (SELECT o_orderstatus AS v, row_number() OVER (ORDER BY o_orderstatus) - 1 AS code FROM (SELECT DISTINCT o_orderstatus FROM orders) b)
+      SELECT o_orderkey AS unit, p.code AS priority_code, s.code AS status_code FROM orders JOIN p ON p.v = o_orderpriority JOIN s ON s.v = o_orderstatus""",
     "q_gate_flags": "SELECT o_orderkey AS unit, max(CASE WHEN l_returnflag = 'R' AND l_linenumber = 2 THEN 1 ELSE 0 END) AS gate2, max(CASE WHEN l_returnflag = 'R' AND l_linenumber = 4 THEN 1 ELSE 0 END) AS gate4 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey",
     "q_feature_matrix": f"""WITH {SIGNAL} SELECT unit, {', '.join(f"round(max(CASE WHEN j = {k} THEN z END), 6) AS z_s{k}" for k in range(1, 6))} FROM zed WHERE j <= 5 GROUP BY unit""",
     "q_labels": "SELECT o_orderkey AS unit, CASE WHEN bad.k IS NULL THEN 0 ELSE 1 END AS y FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7) bad ON bad.k = o_orderkey",
@@ -218,7 +222,21 @@ def query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: plant.sql(spark, sf_dir, spark_text(text))
 
 
-QUERIES = {name: query(text) for name, text in TEXTS.items()}
+def ranked(measure: Callable[..., DataFrame], text: str, *columns: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A metric over a whole order: cut into slots on Spark, one window in the oracle."""
+
+    def call(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = measure(plant.sql(spark, sf_dir, spark_text(text)), *columns)
+        return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
+
+    return call
+
+
+QUERIES = {name: query(text) for name, text in TEXTS.items()} | {
+    "q_roc_auc": ranked(metrics.roc_auc, f"WITH {RISK} SELECT score, y FROM risk", "score", "y"),
+    "q_avg_precision": ranked(metrics.average_precision, f"WITH {RISK} SELECT score, y FROM risk", "score", "y"),
+    "q_spearman": ranked(metrics.spearman, f"WITH {INVEST} SELECT evi, cost FROM ranked", "evi", "cost"),
+}
 ORACLES = {
     name: duck_text(text).replace("LEFT ANTI JOIN", "ANTI JOIN").replace("AS STRING)", "AS VARCHAR)") for name, text in TEXTS.items()
 }

@@ -11,7 +11,7 @@ from taktwerk.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
-SLOW_SIZE = {"q_spc_blocks", "q_spc_baseline", "q_spc_cusum", "q_spc_ewma", "q_spc_first_signal", "q_spc_scan", "q_spc_sweep"}
+SLOW_SIZE = {"q_spc_blocks", "q_spc_baseline", "q_spc_cusum", "q_spc_ewma", "q_spc_first_signal", "q_spc_scan", "q_spc_sweep", "q_spc_score"}
 
 
 def plain(rows, columns):
