@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 VISITS = "run long, unit long, j int, start_s double, finish_s double, depart_s double"
 
@@ -43,20 +44,24 @@ def normal_cdf(z: np.ndarray) -> np.ndarray:
     return np.array([0.5 * math.erfc(-x / math.sqrt(2)) for x in z])
 
 
-def fit_lognormal(exact: np.ndarray, upper: np.ndarray, rounds: int = 500) -> tuple[float, float, bool]:
-    """mu and sigma of log cycle times from exact ones and upper bounds (left-censored), by EM; whether it settled."""
-    x, c = np.log(exact[exact > 0]), np.log(upper[upper > 0])
-    if len(x) + len(c) < 30 or len(x) < 2:
+def fit_lognormal(n: int, total: float, squares: float, bound: np.ndarray, weight: np.ndarray, rounds: int = 500) -> tuple[float, float, bool]:
+    """mu and sigma of log cycle times, by EM; whether it settled.
+
+    n, total and squares are the count and sums of the exact logs; bound and weight the upper bounds' logs (left-censored
+    times) and how many have each.
+    """
+    every = n + float(weight.sum())
+    if every < 30 or n < 2:
         return math.nan, math.nan, False
-    mu, s = float(x.mean()), max(float(x.std(ddof=1)), 1e-3)
+    mu = total / n
+    s = max(math.sqrt(max(squares - n * mu * mu, 0.0) / (n - 1)), 1e-3)
     for _ in range(rounds):
-        z = (c - mu) / s
+        z = (bound - mu) / s
         ratio = np.exp(-0.5 * z * z) / math.sqrt(2 * math.pi) / np.clip(normal_cdf(z), 1e-12, 1)
         mean = mu - s * ratio
         square = mean**2 + s * s * (1 - z * ratio - ratio**2)
-        n = len(x) + len(c)
-        new = float((x.sum() + mean.sum()) / n)
-        new_s = math.sqrt(max(float((((x - new) ** 2).sum() + (square - 2 * new * mean + new * new).sum()) / n), 1e-12))
+        new = float((total + weight @ mean) / every)
+        new_s = math.sqrt(max(float(squares + weight @ square) / every - new * new, 1e-12))
         done = abs(new - mu) + abs(new_s - s) < 1e-9
         mu, s = new, new_s
         if done:
@@ -64,21 +69,33 @@ def fit_lognormal(exact: np.ndarray, upper: np.ndarray, rounds: int = 500) -> tu
     return mu, s, False
 
 
-def censored_cycle_times(visits: DataFrame) -> DataFrame:
+def censored_cycle_times(visits: DataFrame, width: float = 0.001) -> DataFrame:
     """(j, n, n_censored, mean_s, sd_s, method) for each station, from (j, dwell_s, theta_s, blocked).
 
-    A blocked visit only bounds its processing time from above by theta_s. Where the fit fails, the mean of
-    the exact visits stands, with method `direct`.
+    A blocked visit only bounds its processing time from above by theta_s. The visits are pre-aggregated: exact ones to
+    sums, bounds to counts in bins of `width` in the log, each at its own mean, so a station's task gets at most a few
+    thousand rows however many visits it has. Where the fit fails, the mean of the exact visits stands, with method `direct`.
     """
+    value = F.when(F.col("blocked"), F.col("theta_s")).otherwise(F.col("dwell_s"))
+    rows = visits.select("j", "blocked", value.alias("v"))
+    log = F.when(F.col("v") > 0, F.ln("v"))
+    cell = F.when(F.col("blocked"), F.floor(log / width))
+    sums = rows.groupBy("j", "blocked", cell.alias("cell")).agg(
+        F.count("*").alias("n"), F.count(log).alias("n_log"), F.sum(log).alias("x"), F.sum(log * log).alias("xx"),
+        F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"),
+    )
 
     def one(df: pd.DataFrame) -> pd.DataFrame:
-        blocked = df["blocked"].to_numpy(bool)
-        exact, upper = df["dwell_s"].to_numpy(float)[~blocked], df["theta_s"].to_numpy(float)[blocked]
-        mu, s, ok = fit_lognormal(exact, upper)
-        mean = math.exp(mu + s * s / 2) if ok else float(exact.mean()) if len(exact) else math.nan
-        sd = mean * math.sqrt(math.exp(s * s) - 1) if ok else float(exact.std(ddof=1)) if len(exact) > 1 else math.nan
-        row = (df["j"].iloc[0], len(df), int(blocked.sum()), mean, sd, "censored-mle" if ok else "direct")
+        exact, upper = df[~df["blocked"]], df[df["blocked"] & (df["n_log"] > 0)]
+        n, x, xx = (float(exact[c].fillna(0).sum()) for c in ("n_log", "x", "xx"))
+        weight = upper["n_log"].to_numpy(float)
+        mu, s, ok = fit_lognormal(int(n), x, xx, upper["x"].to_numpy(float) / weight, weight)
+        direct = exact[["mean", "sd"]].iloc[0] if len(exact) else {"mean": math.nan, "sd": math.nan}
+        mean = math.exp(mu + s * s / 2) if ok else float(direct["mean"])
+        sd = mean * math.sqrt(math.exp(s * s) - 1) if ok else float(direct["sd"])
+        n_censored = int(df.loc[df["blocked"], "n"].sum())
+        row = (df["j"].iloc[0], int(df["n"].sum()), n_censored, mean, sd, "censored-mle" if ok else "direct")
         return pd.DataFrame([row], columns=["j", "n", "n_censored", "mean_s", "sd_s", "method"])
 
     schema = "j int, n long, n_censored long, mean_s double, sd_s double, method string"
-    return visits.select("j", "dwell_s", "theta_s", "blocked").groupBy("j").applyInPandas(one, schema)
+    return sums.groupBy("j").applyInPandas(one, schema)

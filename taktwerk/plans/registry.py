@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taktwerk.plans import charts, tables
+from taktwerk.plans import charts, forecasts, tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**charts.QUERIES, **tables.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**charts.QUERIES, **tables.QUERIES, **forecasts.QUERIES}
 ORACLES: dict[str, str] = {**charts.ORACLES, **tables.ORACLES}
 
 
