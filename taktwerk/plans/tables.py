@@ -101,18 +101,13 @@ rk AS (SELECT sid, (rank() OVER (ORDER BY evi) + (count(*) OVER (PARTITION BY ev
 
 TEXTS = {
     # lines, faults, knowledge graph
-    "q_line_coverage": f"WITH {STATION} SELECT count(*) AS n_stations, count_if(NOT instrumented) AS n_dark, round(avg(CASE WHEN instrumented THEN 1e0 ELSE 0e0 END), 6) AS coverage FROM station",
-    "q_coverage_after": f"WITH {STATION} SELECT round((count_if(instrumented) + 2) / (count(*) * 1e0), 6) AS coverage FROM station",
     "q_observable_view": f"WITH {STATION} SELECT l_orderkey AS unit, l_linenumber AS j, count(*) AS n, round(sum(l_quantity), 6) AS v FROM lineitem JOIN station ON station_idx = l_linenumber WHERE instrumented GROUP BY l_orderkey, l_linenumber",
-    "q_affected_stations": f"""WITH {STATION}, {FAULT} SELECT DISTINCT fault_id, sid FROM fault JOIN station
-      ON target = sid OR target = zone OR (kind = 'ELECTRICAL' AND instrumented)""",
     "q_kg_schema": """SELECT * FROM (VALUES ('Unit', 'HAS_VISIT', 'Visit'), ('Visit', 'AT', 'Station'), ('Unit', 'IN_LOT', 'Lot'), ('Unit', 'IN_SHIFT', 'Shift'),
       ('Visit', 'BY', 'Operator'), ('Station', 'IN_ZONE', 'Zone'), ('Station', 'OF_TYPE', 'StationType'), ('Visit', 'MEASURED', 'Signal'),
       ('Unit', 'HAS_FINDING', 'Finding'), ('Finding', 'AT_GATE', 'Gate'), ('Finding', 'OF_DEFECT', 'DefectType')) AS t(src, relation, dst)""",
     "q_kg_neighbourhood": """SELECT 'Unit' AS src, 'IN_LOT' AS relation, 'LOT-' || CAST(DIV(o_orderkey, 480) AS STRING) AS dst FROM orders WHERE o_orderkey = 7
       UNION ALL SELECT 'Unit', 'BY', o_orderpriority FROM orders WHERE o_orderkey = 7
       UNION ALL SELECT 'Visit', 'AT', 'S' || CAST(l_linenumber AS STRING) FROM lineitem WHERE l_orderkey = 7""",
-    "q_gate_map": f"WITH {STATION} SELECT zone AS defect_type, min(station_idx) AS gate_idx FROM station WHERE instrumented GROUP BY zone",
     # scan feed and states
     "q_corrupt_scans": f"WITH {plant.PLANT} SELECT unit, j, round(x, 6) AS x FROM scan",
     "q_starved_naive": f"WITH {STATES} SELECT unit, j, round(greatest(start_s - lag(true_s) OVER (PARTITION BY j ORDER BY unit), 0e0), 6) AS starved_s FROM state WHERE unit > 0",
@@ -190,22 +185,8 @@ TEXTS = {
     "q_rationale": f"WITH {INVEST} SELECT sid, CASE WHEN uncertainty > 0.3e0 THEN 'wide interval' ELSE 'narrow interval' END || CASE WHEN exposure > 0.3e0 THEN '; limits the line' ELSE '' END AS rationale FROM ranked",
     "q_spearman": f"WITH {INVEST}, {RANKS} SELECT count(*) AS n, round(corr(ra, rb), 6) AS rho FROM rk",
     # alerts
-    "q_alert_log": f"WITH {ALERT} SELECT alert_id, kind, round(t_s / 86400, 3) AS day, t_s / 86400 < 19400 AS shadow FROM alert",
-    "q_alert_budget": f"WITH {ALERT} SELECT alert_id, shift_no, place FROM budget WHERE place <= 5",
-    "q_adjudicate": f"""WITH {ALERT}, verdict AS (SELECT event_id - 1 AS event_id, event_id % 2 AS v, 1 AS seq FROM events WHERE event_id % 5 = 1 UNION ALL SELECT event_id - 2, event_id % 3, 2 FROM events WHERE event_id % 7 = 2)
-      SELECT alert_id, coalesce(v, -1) AS verdict FROM alert LEFT JOIN (SELECT event_id, max_by(v, seq) AS v FROM verdict GROUP BY event_id) w ON w.event_id = alert.event_id""",
-    "q_feedback": f"WITH {ALERT} SELECT count(*) AS n, count_if(outcome = 0) AS confirmed, count_if(outcome = 1) AS rejected, round(count_if(outcome = 0) / (count_if(outcome < 2) * 1e0), 6) AS confirm_rate FROM alert",
-    "q_scorecard": f"""WITH {ALERT} SELECT kind, count(*) AS issued, count_if(place <= 5) AS surfaced, count_if(place > 5) AS suppressed, count_if(place <= 5 AND outcome < 2) AS judged,
-      round(avg(CASE WHEN place <= 5 AND outcome < 2 THEN CASE WHEN outcome = 0 THEN 1e0 ELSE 0e0 END END), 6) AS accuracy, round(avg(confidence), 6) AS confidence, round(sum(impact), 2) AS impact FROM budget GROUP BY kind""",
-    "q_calibration": f"""WITH {ALERT} SELECT CAST(greatest(ceil(confidence * 5), 1) AS BIGINT) AS bin, count(*) AS n, round(avg(confidence), 6) AS mean_conf,
-      round(avg(CASE WHEN outcome = 0 THEN 1e0 ELSE 0e0 END), 6) AS hit_rate, round(avg(confidence) - avg(CASE WHEN outcome = 0 THEN 1e0 ELSE 0e0 END), 6) AS gap FROM alert WHERE outcome < 2 GROUP BY CAST(greatest(ceil(confidence * 5), 1) AS BIGINT)""",
-    "q_impact": f"WITH {STATION} SELECT sid, round(CASE WHEN nominal_s > 56 THEN (8 * 3600e0 / 56 - 8 * 3600e0 / nominal_s) * 8500 ELSE 0e0 END, 6) AS per_shift_inr FROM station",
     "q_ledger_build": f"""WITH {ALERT} SELECT 'bottleneck' AS source, count(*) AS n, round(sum(impact), 2) AS impact FROM alert WHERE kind = 'click'
       UNION ALL SELECT 'defect', count(*), round(sum(impact), 2) FROM alert WHERE kind = 'error' UNION ALL SELECT 'trace', count(*), round(sum(impact), 2) FROM alert WHERE kind = 'view'""",
-    "q_business_case": """WITH scen AS (SELECT * FROM (VALUES ('conservative', 0.5e0, 0.3e0, 0.35e0), ('base', 1e0, 0.5e0, 0.6e0), ('optimistic', 1e0, 0.7e0, 0.8e0)) AS t(name, rec_f, act_f, gap_f)),
-      fact AS (SELECT avg(CASE WHEN l_returnflag = 'R' THEN 1e0 ELSE 0e0 END) AS rate, avg(l_quantity) / 10 AS gap FROM lineitem)
-      SELECT name, round((8 * 3600e0 / 60 - 8 * 3600e0 / (60 + gap * gap_f)) * 8500 * 2 * 250, 2) AS throughput_inr,
-      round(960 * 250 * rate * rec_f * act_f * (0.82e0 * 1800 + 0.18e0 * 22000), 2) AS quality_inr FROM scen, fact""",
     "q_envelope": """WITH env AS (SELECT * FROM (VALUES ('mean_quantity', 20e0, 30e0), ('mean_discount', 0e0, 0.02e0), ('mean_tax', 0e0, 0.1e0)) AS t(metric, lo, hi)),
       m AS (SELECT 'mean_quantity' AS metric, avg(l_quantity) AS v FROM lineitem UNION ALL SELECT 'mean_discount', avg(l_discount) FROM lineitem UNION ALL SELECT 'mean_tax', avg(l_tax) FROM lineitem)
       SELECT env.metric AS metric, round(v, 6) AS v, v >= lo AND v <= hi AS ok FROM env JOIN m ON m.metric = env.metric""",
@@ -214,7 +195,6 @@ TEXTS = {
     "q_false_alarm": f"""WITH {STATION}, {FAULT}, touched AS (SELECT DISTINCT sid FROM fault JOIN station ON target = sid OR target = zone),
       fired AS (SELECT 'S' || CAST(l_linenumber AS STRING) AS sid, l_linestatus AS chart, CASE WHEN avg(l_quantity) > 25.5e0 THEN 1e0 ELSE 0e0 END AS fires FROM lineitem GROUP BY l_linenumber, l_linestatus)
       SELECT chart, count(*) AS n, round(avg(fires), 6) AS rate FROM fired LEFT ANTI JOIN touched ON touched.sid = fired.sid GROUP BY chart""",
-    "q_inr_format": "SELECT s_suppkey AS id, CASE WHEN abs(s_acctbal) >= 1e7 THEN CAST(round(s_acctbal / 1e7, 2) AS STRING) || ' cr' WHEN abs(s_acctbal) >= 1e5 THEN CAST(round(s_acctbal / 1e5, 2) AS STRING) || ' L' ELSE 'Rs ' || CAST(CAST(round(s_acctbal) AS BIGINT) AS STRING) END AS inr FROM supplier",
 }
 
 
