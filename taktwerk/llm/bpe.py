@@ -21,30 +21,32 @@ PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}
 
 
 class PairTree:
-    """A segment tree: leaves hold rank and place of the pairs, each node the least of its leaves; tree[1] is the root."""
+    """A segment tree, 16 children a node: leaves hold rank and place of the pairs, each node the least of its children.
 
-    __slots__ = ("size", "tree")
+    Wide nodes make an update a few minima of 16 numbers each; a piece of up to 16 pairs has a root and leaves only.
+    """
+
+    __slots__ = ("levels", "put", "top")
 
     def __init__(self, keys: list[int]):
-        size = self.size = 1 << (len(keys) - 1).bit_length()
-        tree = keys + [NONE] * (size - len(keys))
-        level = tree
-        while len(level) > 1:
-            level = list(map(min, level[::2], level[1::2]))
-            tree = level + tree
-        self.tree = [NONE, *tree]
-
-    def put(self, place: int, key: int) -> None:
-        tree, i = self.tree, self.size + place
-        tree[i] = key
-        while i > 1:
-            beside = tree[i ^ 1]
-            if beside < key:
-                key = beside
-            i >>= 1
-            if tree[i] == key:
+        level = keys
+        self.levels = [level]
+        while len(level) > 16:
+            level = [min(level[i : i + 16]) for i in range(0, len(level), 16)]
+            self.levels.append(level)
+        self.top = level  # the children of the root
+        self.put = self.update if len(self.levels) > 1 else keys.__setitem__
+
+    def update(self, place: int, key: int) -> None:
+        level = self.levels[0]
+        level[place] = key
+        for above in self.levels[1:]:
+            place >>= 4
+            low = min(level[place << 4 : place + 1 << 4])
+            if above[place] == low:
                 return
-            tree[i] = key
+            above[place] = low
+            level = above
 
 
 def byte_letters() -> list[str]:
@@ -107,8 +109,8 @@ class WordBpe:
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         ranks = map(found, zip(ids, ids[1:], strict=False))
         tree = PairTree([NONE if r is None else r[0] << bits | i for i, r in enumerate(ranks)])
-        put, nodes = tree.put, tree.tree
-        while (low := nodes[1]) != NONE:
+        put, top = tree.put, tree.top
+        while (low := min(top)) != NONE:
             i = low & place
             gone = after[i]
             ids[i] = new = found((ids[i], ids[gone]))[1]
