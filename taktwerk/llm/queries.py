@@ -11,6 +11,7 @@ from taktwerk.llm.common import read
 from taktwerk.llm.decontaminate import decontaminate
 from taktwerk.llm.embeddings import near_vectors
 from taktwerk.llm.html import extract_text
+from taktwerk.llm.passages import repeated_passages
 from taktwerk.llm.sharding import shard
 from taktwerk.llm.simhash import simhash_components
 from taktwerk.llm.units import repeated_units
@@ -187,6 +188,11 @@ def op10_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_units(read(spark, sf_dir, "documents"))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 51 words or more wherever lines break; op10_units finds whole lines, as OP10_SQL says."""
+    return repeated_passages(read(spark, sf_dir, "documents"))
+
+
 OP10_SQL = r"""
 WITH part AS (
   SELECT DISTINCT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line, text
@@ -217,6 +223,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_html": op9_html,
     "op10_units": op10_units,
+    "op10_passages": op10_passages,
 }
 ORACLES = {
     "op1_decontamination": OP1_SQL,

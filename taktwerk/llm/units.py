@@ -79,10 +79,10 @@ def repeated_units(
     return again.filter(~first).select("doc_id", "unit_no", "start", "end", "n_words", "kept_doc_id", "kept_unit_no")
 
 
-def without_units(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_units(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text", after: int = 1) -> DataFrame:
     """docs with the removed units cut out of their texts; a document's other columns and units stay as they are.
 
-    The line break after a removed unit goes with it. Documents without an id are matched to removed units without one.
+    The line break after a removed unit goes with it; for passages, which no break need follow, set after=0. Documents without an id are matched to removed units without one.
     """
     spans = removed.groupBy(F.col("doc_id").alias("__id")).agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans")
@@ -92,7 +92,7 @@ def without_units(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", t
 
     def cut(acc, span):
         piece = F.substring(F.col(text_col), acc["at"] + 1, span["start"] - acc["at"])
-        return F.struct(F.concat(acc["out"], piece).alias("out"), (span["end"] + 1).alias("at"))
+        return F.struct(F.concat(acc["out"], piece).alias("out"), (span["end"] + after).alias("at"))
 
     def finish(acc):
         return F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.lit(2**31 - 1)))

@@ -1,5 +1,6 @@
 """The ten operators against brute force, and on nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import random
 import re
 
 import numpy as np
@@ -12,6 +13,7 @@ from taktwerk.llm.components import connected_components
 from taktwerk.llm.decontaminate import decontaminate, words_of
 from taktwerk.llm.embeddings import near_vectors
 from taktwerk.llm.html import extract, extract_text
+from taktwerk.llm.passages import repeated_passages
 from taktwerk.llm.queries import vocabulary_path
 from taktwerk.llm.sharding import shard
 from taktwerk.llm.simhash import fingerprint, simhash_components
@@ -252,6 +254,48 @@ def test_units(spark):
     assert {r.kept_doc_id for r in repeated_units(df.union(null_ids)).collect()} == {0, 2}
 
 
+def removed_words(texts, size):
+    """Brute force: of each text, the words of every run of `size` words that stands earlier too."""
+    first, gone = {}, [set() for _ in texts]
+    for d, text in enumerate(texts):
+        w = re.findall("[\u0e00-\u0eff\u3040-\u30ff\u4e00-\u9fff]|[^\\s\u0e00-\u0eff\u3040-\u30ff\u4e00-\u9fff]+", text or "")
+        w = [x.translate(str.maketrans({c: c + 32 for c in range(65, 91)})) for x in w]
+        for i in range(len(w) - size + 1):
+            at = first.setdefault(tuple(w[i : i + size]), (d, i))
+            if at != (d, i):
+                gone[d] |= set(range(max(i, at[1] + size) if at[0] == d else i, i + size))
+    return gone
+
+
+def test_passages(spark):
+    rng = random.Random(5)
+    word = lambda: rng.choice("abcdefgh") + rng.choice("xyzABC") * rng.randint(1, 3)
+    text = lambda n: [word() for _ in range(n)]
+    shared, chinese = text(70), "".join(chr(rng.randint(0x4E00, 0x4FFF)) for _ in range(80))
+    texts = [
+        " ".join(text(30) + shared + text(20)),
+        " ".join(text(9)) + "\n" + "\n ".join(shared[:60]) + ", " + " ".join(text(40)),  # other line breaks, mid-sentence
+        " ".join(text(80) + shared[10:61]).upper(),
+        " ".join(shared[:50]),  # a word too short
+        chinese,
+        "x " + chinese[15:] + " y",
+        "la " * 200,
+        " ".join(text(7) * 12),
+        " ".join(text(60) + shared[5:70] + shared),
+        None,
+        "",
+    ]
+    got = [set() for _ in texts]
+    for r in repeated_passages(docs(spark, *texts)).collect():
+        part = texts[r.doc_id][r.start : r.end]
+        assert r.n_words >= 1 and part.strip() and not got[r.doc_id] & set(range(r.unit_no, r.unit_no + r.n_words))
+        got[r.doc_id] |= set(range(r.unit_no, r.unit_no + r.n_words))
+    want = removed_words(texts, 51)
+    assert got == want and all(want[i] for i in (1, 2, 5, 6, 7, 8)) and not any(want[i] for i in (0, 3, 4))
+    cut = {r.doc_id: r.text for r in without_units(docs(spark, *texts), repeated_passages(docs(spark, *texts)), after=0).collect()}
+    assert cut[5] == "x  y" and cut[0] == texts[0] and len(cut[6].split()) == 51
+
+
 def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
