@@ -136,6 +136,9 @@ TEXTS = {
       SELECT count(*) AS n_exposed, count_if(gone_s > 30200) AS n_in_line, count_if(gone_s <= 30200) AS n_shipped FROM ex JOIN last ON ex.unit = last.unit""",
     "q_drift_slope": f"""WITH {STATES}, fit AS (SELECT j, count(*) AS n, regr_slope(dwell_s, unit) AS slope, regr_sxx(dwell_s, unit) AS sxx, regr_syy(dwell_s, unit) AS syy FROM state WHERE unit >= 240 AND unit < 720 GROUP BY j)
       SELECT j, n, round(slope, 6) AS slope, round(sqrt((syy - slope * slope * sxx) / (n - 2) / sxx), 6) AS se, abs(slope) > 2 * sqrt((syy - slope * slope * sxx) / (n - 2) / sxx) AS kept FROM fit WHERE n >= 240""",
+    "q_drift_slope_triggers": f"""WITH {STATES}, fit AS (SELECT DIV(unit, 480) * 480 + 480 AS trigger_unit, j, count(*) AS n, regr_slope(dwell_s, unit) AS slope, regr_sxx(dwell_s, unit) AS sxx, regr_syy(dwell_s, unit) AS syy FROM state GROUP BY DIV(unit, 480) * 480 + 480, j),
+      err AS (SELECT *, sqrt(greatest(syy - slope * slope * sxx, 0e0) / (n - 2) / sxx) AS se FROM fit WHERE n >= 240)
+      SELECT trigger_unit, j, n, round(slope, 6) AS slope, round(se, 6) AS se, abs(slope) > 2 * se AS kept FROM err""",
     # bottleneck
     "q_active_periods": f"WITH {PERIOD} SELECT sid, CAST(p AS BIGINT) AS p, s, e FROM period",
     "q_bottleneck_share": f"""WITH {SHARE} SELECT sid, round(count_if(NOT shifting) / (max(n) * 1e0), 6) AS sole_share, round(count_if(shifting) / (max(n) * 1e0), 6) AS shifting_share,
@@ -179,6 +182,9 @@ TEXTS = {
     "q_top_evidence": f"""WITH {SIGNAL}, med AS (SELECT j, median(v) AS med FROM signal GROUP BY j), dev AS (SELECT signal.unit AS unit, signal.j AS j, v - med AS d FROM signal JOIN med ON med.j = signal.j),
       mad AS (SELECT j, median(abs(d)) AS mad FROM dev GROUP BY j), sc AS (SELECT unit, dev.j AS j, abs(d) / (mad + 1e-9) AS e FROM dev JOIN mad ON mad.j = dev.j WHERE unit % 100 = 7),
       top AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY e DESC, j) AS r FROM sc) SELECT unit, j, round(e, 6) AS e, r FROM top WHERE r <= 3""",
+    "q_top_evidence_all": f"""WITH {SIGNAL}, med AS (SELECT j, median(v) AS med FROM signal GROUP BY j), dev AS (SELECT signal.unit AS unit, signal.j AS j, v - med AS d FROM signal JOIN med ON med.j = signal.j),
+      mad AS (SELECT j, median(abs(d)) AS mad FROM dev GROUP BY j), sc AS (SELECT unit, dev.j AS j, abs(d) / (mad + 1e-9) AS e FROM dev JOIN mad ON mad.j = dev.j),
+      top AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY e DESC, j) AS r FROM sc) SELECT unit, j, round(e, 6) AS e, r FROM top WHERE r <= 3""",
     # investment
     "q_value_score": f"WITH {INVEST} SELECT sid, round((0.5e0 * disc + 0.35e0 * exposure * least(uncertainty / 2, 1e0) + 0.15e0 * least(hits / 5e0, 1e0)) / (cost / 100000e0), 6) AS value_per_lakh FROM ranked",
     "q_evi_rank": f"WITH {INVEST} SELECT sid, round(uncertainty, 6) AS uncertainty, round(exposure, 6) AS exposure, round(ambiguity, 6) AS ambiguity, round(evi, 6) AS evi, round(evi_per_lakh, 6) AS evi_per_lakh FROM ranked",

@@ -4,10 +4,11 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from taktwerk.operators import causes, feed, spc
-from taktwerk.plans import registry
+from taktwerk.plans import registry, tables
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
@@ -33,6 +34,18 @@ def test_query_equals_oracle(spark, name):
     assert plain(got.collect(), got.columns) == plain(want.fetchall(), names)
 
 
+def test_evidence_and_drift_of_the_whole_table(spark):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    units = {r.l_orderkey for r in lines.select("l_orderkey").distinct().collect()}
+    assert {r.unit for r in registry.QUERIES["q_top_evidence_all"](spark, SF).collect()} == units
+    got = {(r.trigger_unit, r.j): r for r in registry.QUERIES["q_drift_slope_triggers"](spark, SF).collect()}
+    assert set(got) == {(t, j) for t in (480, 960, 1440) for j in range(1, 8)} and {r.n for r in got.values()} == {480}
+    visits = tables.plant.sql(spark, SF, tables.spark_text(f"WITH {tables.STATES} SELECT unit, j, dwell_s FROM state WHERE j = 4")).toPandas()
+    near = visits[(visits.unit >= 960) & (visits.unit < 1440)].dropna()
+    slope = np.polyfit(near.unit - 960.0, near.dwell_s, 1)[0]
+    assert math.isclose(got[1440, 4].slope, slope, abs_tol=2e-6)
+
+
 def test_flagship_has_rows(spark):
     assert registry.flagship(spark, SF).count() > 0
 
