@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -158,17 +158,31 @@ def train(
 ) -> LanguageModel:
     """Fits a model to the labelled rows; rows without text or language are left out.
 
-    The fit takes at most about max_docs rows, chosen by a hash of their text, and the model keeps the
-    max_entries most frequent words and n-grams, so its size is bounded; rarer ones fall back to shorter
-    n-grams. Without rows the model knows no language and predicts und.
+    Equal texts of a language count once. The fit takes about max_docs of the rest: all of a language that has no more than its
+    equal share, and of the others, by a hash of their text, as many each as then have room. The prior counts all different
+    texts. Words and n-grams are kept if they are among the max_entries / languages most frequent of any language, with their
+    counts in every language, so the model's size is bounded; rarer ones fall back to shorter n-grams. Without rows the model
+    knows no language and predicts und.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    n = rows.count()
-    if n > max_docs:
-        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * max_docs / n))
-    prior = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    found = counted(rows, order).orderBy(F.desc("count"), "n", "token", "lang").limit(max_entries).toArrow()
-    return LanguageModel(found, prior, order)
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    prior = {r.lang: r["count"] for r in rows.select("lang", "hash").distinct().groupBy("lang").count().collect()}
+    room, share = max_docs, {}
+    for left, lang in zip(range(len(prior), 0, -1), sorted(prior, key=lambda x: (prior[x], x)), strict=True):
+        share[lang] = min(prior[lang], max(room // left, 1))
+        room -= share[lang]
+    parts = [F.lit(v) for x, n in share.items() if n < prior[x] for v in (x, int((1 << 40) * n / prior[x]))]
+    if parts:
+        limit = F.coalesce(F.create_map(*parts)[F.col("lang")], F.lit(1 << 40))
+        rows = rows.filter(F.pmod("hash", F.lit(1 << 40)) < limit)
+    rows = rows.groupBy("lang", "hash").agg(F.min("text").alias("text")).select("text", "lang")
+    found = counted(rows, order).persist()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "n", "token"))
+    kept = found.withColumn("place", place).filter(F.col("place") <= max(max_entries // max(len(prior), 1), 1))
+    found_rows = found.join(kept.select("n", "token").distinct(), ["n", "token"], "left_semi")
+    table = found_rows.select("n", "token", "lang", "count").orderBy(F.desc("count"), "n", "token", "lang").toArrow()
+    found.unpersist()
+    return LanguageModel(table, prior, order)
 
 
 def identify(docs: DataFrame, keep: list[str], model: LanguageModel, text_col: str = "text") -> DataFrame:

@@ -165,6 +165,15 @@ def test_language(spark):
     assert langid.identify(df, ["doc_id"], langid.train(df.limit(0))).first().lang_pred == "und"
 
 
+def test_language_fit_has_rare_languages_and_counts_copies_once(spark):
+    rows = [(f"the house number{i} and the garden", "en") for i in range(400)] + [("talo ja puutarha", "fi"), ("talo on suuri", "fi")]
+    rows += [("ein und dasselbe", "de")] * 300 + [(f"der garten nummer{i} und das haus", "de") for i in range(100)]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"), max_docs=50)
+    assert model.langs == ["de", "en", "fi"] and model.predict("suuri talo")[0] == "fi"
+    assert np.allclose(np.exp(model.prior), np.array([102, 401, 3]) / 506)
+    assert model.predict("der garten und das haus")[0] == "de"
+
+
 def test_sharding(spark):
     texts = ["x" * (i % 50) for i in range(300)] + [None, "y" * 900]
     df = docs(spark, *texts)
