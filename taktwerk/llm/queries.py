@@ -189,7 +189,7 @@ def op10_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of 51 words or more wherever lines break; op10_units finds whole lines, as OP10_SQL says."""
+    """Passages of 51 words or more wherever lines break; op10_units, the same with lines as units, finds whole lines only."""
     return repeated_passages(read(spark, sf_dir, "documents"))
 
 
@@ -222,8 +222,8 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op8_secrets": op8_secrets,
     "op9_html": op9_html,
-    "op10_units": op10_units,
     "op10_passages": op10_passages,
+    "op10_units": op10_units,
 }
 ORACLES = {
     "op1_decontamination": OP1_SQL,

@@ -79,15 +79,8 @@ def repeated_units(
     return again.filter(~first).select("doc_id", "unit_no", "start", "end", "n_words", "kept_doc_id", "kept_unit_no")
 
 
-def without_units(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text", after: int = 1) -> DataFrame:
-    """docs with the removed units cut out of their texts; a document's other columns and units stay as they are.
-
-    The line break after a removed unit goes with it; for passages, which no break need follow, set after=0. Documents without an id are matched to removed units without one.
-    """
-    spans = removed.groupBy(F.col("doc_id").alias("__id")).agg(
-        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans")
-    )
-    joined = docs.join(spans, docs[id_col].eqNullSafe(F.col("__id")), "left")
+def without_spans(text_col: str, spans_col: str, after: int):
+    """An expression: the text without the spans, which are sorted by start, and without `after` letters behind each."""
     empty = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def cut(acc, span):
@@ -97,6 +90,13 @@ def without_units(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", t
     def finish(acc):
         return F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.lit(2**31 - 1)))
 
-    cut_text = F.aggregate(F.col("__spans"), empty, cut, finish)
-    text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut_text)
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    return F.when(F.col(spans_col).isNull(), F.col(text_col)).otherwise(F.aggregate(F.col(spans_col), empty, cut, finish))
+
+
+def without_units(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the removed units cut out of their texts, each with the line break after it; a document's other columns and
+    units stay as they are. Documents without an id are matched to removed units without one.
+    """
+    spans = removed.groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans"))
+    joined = docs.join(spans, docs[id_col].eqNullSafe(F.col("__id")), "left")
+    return joined.withColumn(text_col, without_spans(text_col, "__spans", 1)).select(*docs.columns)

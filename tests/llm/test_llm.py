@@ -13,7 +13,7 @@ from taktwerk.llm.components import connected_components
 from taktwerk.llm.decontaminate import decontaminate, words_of
 from taktwerk.llm.embeddings import near_vectors
 from taktwerk.llm.html import extract, extract_text
-from taktwerk.llm.passages import repeated_passages
+from taktwerk.llm.passages import repeated_passages, without_passages
 from taktwerk.llm.queries import vocabulary_path
 from taktwerk.llm.sharding import shard
 from taktwerk.llm.simhash import fingerprint, simhash_components
@@ -276,7 +276,8 @@ def removed_words(texts, size):
     return gone
 
 
-def test_passages(spark):
+@pytest.mark.parametrize("rows", [1, 4096])
+def test_passages(spark, rows):
     rng = random.Random(5)
     word = lambda: rng.choice("abcdefgh") + rng.choice("xyzABC") * rng.randint(1, 3)
     text = lambda n: [word() for _ in range(n)]
@@ -295,14 +296,19 @@ def test_passages(spark):
         "",
     ]
     got = [set() for _ in texts]
-    for r in repeated_passages(docs(spark, *texts)).collect():
+    removed = repeated_passages(docs(spark, *texts), anchor_rows=rows)
+    for r in removed.collect():
         part = texts[r.doc_id][r.start : r.end]
         assert r.n_words >= 1 and part.strip() and not got[r.doc_id] & set(range(r.unit_no, r.unit_no + r.n_words))
         got[r.doc_id] |= set(range(r.unit_no, r.unit_no + r.n_words))
     want = removed_words(texts, 51)
     assert got == want and all(want[i] for i in (1, 2, 5, 6, 7, 8)) and not any(want[i] for i in (0, 3, 4))
-    cut = {r.doc_id: r.text for r in without_units(docs(spark, *texts), repeated_passages(docs(spark, *texts)), after=0).collect()}
+    cut = {r.doc_id: r.text for r in without_passages(docs(spark, *texts), removed).collect()}
     assert cut[5] == "x  y" and cut[0] == texts[0] and len(cut[6].split()) == 51
+    more = docs(spark, *texts[:2]).withColumn("doc_id", F.lit(None).cast("long"))
+    null_ids = repeated_passages(docs(spark, *texts).union(docs(spark, *texts)).union(more).union(more), anchor_rows=rows).collect()
+    assert {r.n_words for r in null_ids if r.doc_id is None} == {len(texts[0].split()), len(texts[1].split())} and len(null_ids) == removed.count() + 2
+    assert repeated_passages(docs(spark)).count() == 0
 
 
 def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
