@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taktwerk.llm.common import map_column
+from taktwerk.llm.common import apart, forget, map_column, written
 
 # One table from byte to byte: A-Z to a-z, everything of ASCII but letters and digits to a space.
 FOLD = bytes(
@@ -160,21 +160,6 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_chunks(items: DataFrame, id_col: str, text_col: str, chunk_words: int) -> Iterator[list]:
-    """The items with their words, in lists of at most chunk_words words each (a longer item alone)."""
-    rows = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
-    chunk, size = [], 0
-    for r in rows.filter("t is not null").distinct().toLocalIterator():
-        words = words_of(r.t.encode())
-        if chunk and size + len(words) > chunk_words:
-            yield chunk
-            chunk, size = [], 0
-        chunk.append((r.i, words))
-        size += len(words)
-    if chunk:
-        yield chunk
-
-
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -188,7 +173,7 @@ def decontaminate(
     window: int = 13,
     max_span_words: int | None = None,
     coverage: float = 0.05,
-    chunk_words: int = 200_000,
+    chunk_bytes: int = 1 << 20,
     clean: bool = False,
 ) -> DataFrame:
     """Carries the columns `keep` and adds, for each row of docs, in one pass and without a shuffle:
@@ -198,74 +183,74 @@ def decontaminate(
     or a span of more than max_span_words words where that is given) and, with clean=True, cleaned (the text
     without its hit spans).
 
-    The automaton of at most chunk_words words of items goes to the executors by broadcast; more items make
-    more automata, which the documents pass one after the other, so its size is bounded whatever the benchmark.
-    Null or wordless texts have no words and no hits; an item without id is found but not listed; repeated
-    items count once; repeated documents are judged each; no items: nothing is hit.
+    An automaton is of about chunk_bytes of items (or of one longer item) and goes to the executors by broadcast. More items
+    are dealt over more automata by a hash; the documents pass one after the other, each pass a written table, and an automaton is
+    gone before the next is made, so memory is bounded whatever the benchmark. Null or wordless texts have no words and no hits;
+    an item without id is found but not listed; repeated items count once; repeated documents are judged each; no items: nothing
+    is hit.
     """
-    spark = docs.sparkSession
-    out = docs.select(F.col(text_col).alias("__text"), *keep)
-    chunks = item_chunks(items, item_id_col, item_text_col, chunk_words)
-    chunk, k = next(chunks, []), 0
-    while True:
-        after = next(chunks, None)
-        shared = spark.sparkContext.broadcast(Automaton(chunk, window))
-
-        def setup(shared=shared, k=k):
+    context = docs.sparkSession.sparkContext
+    rows = items.select(F.col(item_id_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t"))
+    rows = rows.filter("t is not null").distinct()
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n = max(-(-size // chunk_bytes), 1)
+    if n > 1:
+        rows = written(rows.withColumn("chunk", F.pmod(F.xxhash64("t", "i"), F.lit(n))))
+    names = apart(keep, {"__text", "__spans", "__items", "n_words", "n_hit", "items", "spans", "contaminated", *(["cleaned"] if clean else [])})
+    out = docs.select(F.col(text_col).alias("__text"), *(F.col(k).alias(v) for k, v in names.items()))
+    for k in range(n):
+        own = [(r.i, words_of(r.t.encode())) for r in (rows.filter(F.col("chunk") == k) if n > 1 else rows).collect()]
+        shared = context.broadcast(Automaton(own, window))
+        last = k == n - 1
+
+        def setup(shared=shared, last=last):
             automaton = shared.value
 
-            def work(texts: list) -> dict[str, list]:
-                got: dict[str, list] = {"n_words": [], f"__spans{k}": [], f"__items{k}": []}
-                for t in texts:
+            def work(texts: list, *before: list) -> dict[str, list]:
+                got: dict[str, list] = {f.name: [] for f in (final if last else between)}
+                for i, t in enumerate(texts):
                     words = words_of(t)
-                    spans, items = automaton.scan(words)
+                    spans, found = automaton.scan(words)
+                    found = {x for x in found if x is not None}
+                    if before:
+                        spans += [(s["start"], s["end"]) for s in before[0][i]]
+                        found.update(before[1][i])
+                    spans = merged(spans)
+                    listed = [{"start": s, "end": e} for s, e in spans]
+                    if not last:
+                        got["__spans"].append(listed)
+                        got["__items"].append(list(found))
+                        continue
+                    hit = sum(e - s for s, e in spans)
+                    long = max_span_words is not None and any(e - s > max_span_words for s, e in spans)
                     got["n_words"].append(len(words))
-                    got[f"__spans{k}"].append([{"start": s, "end": e} for s, e in merged(spans)])
-                    got[f"__items{k}"].append([i for i in items if i is not None])
+                    got["n_hit"].append(hit)
+                    got["items"].append(sorted(found))
+                    got["spans"].append(listed)
+                    got["contaminated"].append(hit > 0 and (long or hit >= round(coverage * len(words), 9)))
+                    if clean:
+                        got["cleaned"].append(None if t is None else without(t.decode(), spans))
                 return got
 
             return work
 
-        text = ["__text"] if after is not None or clean else []  # carried only as far as it is needed
-        fields = [
+        between = [T.StructField("__spans", SPANS), T.StructField("__items", T.ArrayType(T.StringType()))]
+        final = [
             T.StructField("n_words", T.LongType()),
-            T.StructField(f"__spans{k}", SPANS),
-            T.StructField(f"__items{k}", T.ArrayType(T.StringType())),
+            T.StructField("n_hit", T.LongType()),
+            T.StructField("items", T.ArrayType(T.StringType())),
+            T.StructField("spans", SPANS),
+            T.StructField("contaminated", T.BooleanType()),
+            *([T.StructField("cleaned", T.StringType())] if clean else []),
         ]
-        carried = [c for c in out.columns if c != "__text"]
-        out = map_column(out, "__text", [*text, *carried], fields, setup, binary=True)
-        k += 1
-        if after is None:
-            break
-        chunk = after
-    fields = [
-        T.StructField("n_hit", T.LongType()),
-        T.StructField("spans", SPANS),
-        T.StructField("contaminated", T.BooleanType()),
-        *([T.StructField("cleaned", T.StringType())] if clean else []),
-    ]
-
-    def judge():
-        def work(rows: list) -> dict[str, list]:
-            got: dict[str, list] = {f.name: [] for f in fields}
-            for row in rows:
-                spans = merged([(s["start"], s["end"]) for s in row["s"]]) if row["s"] else []
-                hit = sum(e - s for s, e in spans)
-                long = max_span_words is not None and any(e - s > max_span_words for s, e in spans)
-                got["n_hit"].append(hit)
-                got["spans"].append([{"start": s, "end": e} for s, e in spans])
-                got["contaminated"].append(hit > 0 and (long or hit >= round(coverage * row["n"], 9)))
-                if clean:
-                    got["cleaned"].append(None if row["t"] is None else without(row["t"], spans))
-            return got
-
-        return work
-
-    row = [F.col("n_words").alias("n"), F.concat(*(f"__spans{i}" for i in range(k))).alias("s")]
-    row += [F.col("__text").alias("t")] if clean else []
-    out = out.withColumn("__row", F.struct(*row))
-    out = out.withColumn("items", F.array_sort(F.array_distinct(F.concat(*(f"__items{i}" for i in range(k))))))
-    return map_column(out, "__row", [*keep, "n_words", "items"], fields, judge)
+        columns = ["__text", *(["__spans", "__items"] if k else [])]
+        if last:
+            return map_column(out, columns, list(names.values()), final, setup, binary=True)
+        passed = written(map_column(out, columns, ["__text", *names.values()], between, setup, binary=True))
+        shared.destroy()
+        if k:
+            forget(out)
+        out = passed
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
