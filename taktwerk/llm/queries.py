@@ -177,7 +177,9 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str):
         return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, secrets.KINDS), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    learned = F.size(F.filter("spans", lambda x: x["kind"] == secrets.LEARNED)).cast("long").alias("n_grammar")
+    digest = F.sha2(listed("base"), 256).alias("base_sha256")
+    return found.select("doc_id", *map(count, secrets.KINDS), digest, listed("spans").alias("spans"), learned, "best_bits")
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
