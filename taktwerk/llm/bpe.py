@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from functools import lru_cache, partial
+from functools import partial
 
 import regex
 from pyspark.sql import DataFrame
@@ -62,7 +62,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """A word-end BPE vocabulary read from a tokenizer file, with a bounded cache of parts between spaces."""
 
-    def __init__(self, path: str, cache_entries: int = 100_000):
+    def __init__(self, path: str, cache_entries: int = 40_000):
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         model = data["model"]
@@ -173,12 +173,6 @@ def joined(rows: list[tuple[int, str, str]]) -> tuple[int, str, str]:
     return sum([r[0] for r in rows]), " ".join([r[1] for r in rows]), " ".join([r[2] for r in rows])
 
 
-@lru_cache(maxsize=2)
-def vocabulary(path: str, cache_entries: int) -> WordBpe:
-    """One for each Python worker: its caches serve all tasks that the worker gets."""
-    return WordBpe(path, cache_entries)
-
-
 FIELDS = {
     "n_tokens": T.LongType(),
     "ids": T.StringType(),
@@ -198,19 +192,19 @@ def bpe_encode(
     path: str,
     text_col: str = "text",
     outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"),
-    cache_entries: int = 100_000,
+    cache_entries: int = 40_000,
 ) -> DataFrame:
     """Carries `keep` and adds the chosen outputs, in one pass without a shuffle.
 
     outputs: n_tokens; ids (decimal, joined by one space); decoded (the vocabulary has no decoder, so tokens
     are joined by one space); ids_sha256 and decoded_sha256, their digests, made in the task so that the long
     strings needn't leave it. A null text counts as empty: 0 tokens, empty ids. Strings of special tokens
-    become their ids. Every executor must find the vocabulary under `path`; a Python worker reads it once, and its
-    four caches hold cache_entries entries of at most 64 letters each, so its memory is bounded.
+    become their ids. Every executor must find the vocabulary under `path`; a task reads it once, and its four caches
+    hold cache_entries entries of at most 64 letters each, so its memory is bounded and ends with the task.
     """
 
     def setup():
-        bpe = vocabulary(path, cache_entries)
+        bpe = WordBpe(path, cache_entries)
 
         def work(texts: list) -> dict[str, list]:
             got: dict[str, list] = {name: [] for name in outputs}

@@ -19,6 +19,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 BROADCAST_ROWS = 20_000
 # Rows of which a row-wise map holds the new values at a time.
 SLICE_ROWS = 500
+# Letters that are worked on at a time in arrays; a longer text alone.
+CHUNK = 1 << 18
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +30,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or own_dir(spark.sparkContext.applicationId)
+    """The folder that all executors share: spark.checkpoint.dir; where it is unset, our own, in local mode only."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = own_dir(spark.sparkContext.applicationId)
     return found.rstrip("/")
 
 
@@ -39,10 +46,16 @@ def own_dir(application: str) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df, written as a table to the shared folder and read again: cuts the lineage, survives a lost executor."""
-    path = f"{shared_dir(df.sparkSession)}/taktwerk/{uuid.uuid4().hex}"
+    """df, written as a table to the shared folder and read again: cuts the lineage, survives a lost executor.
+
+    The table is deleted when the application ends, or by forget() before.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/taktwerk/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:
@@ -59,41 +72,91 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def apart(keep: list[str], new: set[str]) -> dict[str, str]:
+    """The names that kept columns get beside new ones: their own, or with `_kept` behind it where a new one has it."""
+    names: dict[str, str] = {}
+    for k in dict.fromkeys(keep):
+        name = k
+        while name in new or name in names.values() or (name != k and name in keep):
+            name += "_kept"
+        names[k] = name
+    return names
+
+
 def map_column(
     df: DataFrame,
-    column: str,
+    column: str | list[str],
     keep: list[str],
     fields: list[T.StructField],
-    setup: Callable[[], Callable[[list], dict[str, list]]],
+    setup: Callable[[], Callable[..., dict[str, list]]],
     binary: bool = False,
 ) -> DataFrame:
     """Carry `keep` through and add `fields`, which setup()(values of `column`) returns as lists by name.
 
-    setup runs once in each task. Batches are streamed, and worked on in slices of SLICE_ROWS rows, so a task
-    holds one Arrow batch and the new values of one slice. With binary=True a text arrives as its UTF-8 bytes.
-    A kept column named like a new field gives way to it; `column` itself travels once, kept or not.
+    column: one, or several, whose values come as so many lists. setup runs once in each task. Batches are streamed, and worked
+    on in slices of SLICE_ROWS rows, so a task holds one Arrow batch (which Spark bounds by bytes) and the new values of one
+    slice. With binary=True the first column, a text, arrives as its UTF-8 bytes. A kept column named like a new field gets
+    `_kept` behind its name; `column` itself travels once, kept or not.
     """
-    new = {f.name for f in fields}
-    keep = [k for k in dict.fromkeys(keep) if k not in new]
-    schema = T.StructType([*(df.schema[k] for k in keep), *fields])
+    columns = [column] if isinstance(column, str) else column
+    names = apart(keep, {f.name for f in fields})
+    schema = T.StructType([*(T.StructField(n, df.schema[k].dataType, df.schema[k].nullable) for k, n in names.items()), *fields])
     arrow = to_arrow_schema(schema)
-    moved = [column, *(k for k in keep if k != column)]
-    at = [moved.index(k) for k in keep]
+    moved = [*columns, *(k for k in names if k not in columns)]
+    at = [moved.index(k) for k in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = setup()
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
-                values = part.column(0)
-                got = work((values.cast(pa.binary()) if binary else values).to_pylist())
+                values = [part.column(i) for i in range(len(columns))]
+                if binary:
+                    values[0] = values[0].cast(pa.binary())
+                got = work(*(v.to_pylist() for v in values))
                 arrays = [part.column(i) for i in at]
                 arrays += [pa.array(got[f.name], arrow.field(f.name).type) for f in fields]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *(f.name for f in fields)])
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return df.select(*moved).mapInArrow(run, schema)
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def rolled(values: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every k values in a row, put together from those of powers of two."""
+    power, width, part = BASE, 1, values
+    out, done = None, 0
+    while True:
+        if k & width:
+            if out is None:
+                out, done = part, width
+            else:
+                n = len(values) - done - width + 1
+                out, done = out[:n] * power + part[done : done + n], done + width
+        if done == k:
+            return mixed(out)
+        part = part[:-width] * power + part[width:]
+        power, width = np.uint64(int(power) ** 2 & (1 << 64) - 1), width * 2
+
+
+def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """The texts some at a time, with the first one's number: CHUNK letters at most, a longer text alone."""
+    at = 0
+    while at < len(texts):
+        to, letters = at + 1, len(texts[at])
+        while to < len(texts) and letters + len(texts[to]) < CHUNK:
+            letters += len(texts[to]) + 1
+            to += 1
+        yield at, texts[at:to]
+        at = to
+
+
 def deal(rows: DataFrame, key: str, row: str, heavy: DataFrame) -> DataFrame:
     """Deal the rows of each key so that any two of them meet in one (key, block_i, block_j), however many they are.
 

@@ -3,166 +3,178 @@
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taktwerk.llm.common import map_column
+from taktwerk.llm.common import BASE, chunks, map_column, mixed, rolled
 
-WORDS = re.compile(r"[^\W\d_]+")
-LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
-
-
-def grams_of(word: str, n: int) -> list[str]:
-    """The n-grams of a word with its borders marked; none if it is shorter."""
-    marked = f"^{word}$"
-    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
-
-
-def counted(texts: DataFrame, order: int, flush: int = 200_000) -> DataFrame:
-    """(n, token, lang, count) of words (n = 0) and their n-grams up to `order`; tasks sum before rows move."""
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            rows = [(w, lang, c) for (lang, w), c in sums.items()]
-            sums.clear()
-            return table(rows, ["token", "lang", "count"])
-
+# Code points beyond all letters, which mark where a word begins and ends.
+BEGIN, END = 0x110000, 0x110001
+
+
+@lru_cache
+def classes() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point: whether it can stand in a word (letters, and signs that count as such, but no digits), and whether it is a letter."""
+    word, letter = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+    for i in range(0x110000):
+        c = chr(i)
+        word[i] = c.isalnum() and not c.isdecimal()
+        letter[i] = unicodedata.category(c)[0] == "L"
+    return word, letter
+
+
+class Words:
+    """The words of some texts in lower case, in order: text (its number), start and end in `points`, hash."""
+
+    def __init__(self, texts: list[str]):
+        lowered = [t.lower() for t in texts]
+        self.points = np.frombuffer("\n".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        bounds = np.cumsum([0, *(len(t) + 1 for t in lowered)])
+        word, letter = classes()
+        inside = word[self.points]
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.text = np.searchsorted(bounds, self.start, "right") - 1
+        self.letters = np.zeros(len(texts), bool)
+        self.letters[np.searchsorted(bounds, np.flatnonzero(letter[self.points]), "right") - 1] = True
+        self.hash = np.zeros(0, np.uint64)
+        if len(self.start):
+            place = np.where(inside, np.arange(len(inside)) - self.start[np.maximum(np.cumsum(first) - 1, 0)], 0)
+            powers = np.cumprod(np.full(int(place.max()) + 1, BASE))
+            terms = np.where(inside, mixed(self.points.astype(np.uint64) + BASE) * powers[place], np.uint64(0))
+            self.hash = mixed(np.add.reduceat(terms, self.start) + (self.end - self.start).astype(np.uint64))
+
+
+def grams(words: Words, some: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of some words: hashes of their n-grams, borders marked, with the word's number among them; no gram is a border alone."""
+    length = words.end[some] - words.start[some] + 2
+    own = np.repeat(np.arange(len(some)), length)
+    ends = np.cumsum(length)
+    within = np.arange(len(own)) - np.repeat(ends - length, length)
+    points = np.full(len(own), END)
+    inner = (within > 0) & (within < length[own] - 1)
+    points[inner] = words.points[words.start[some][own[inner]] + within[inner] - 1]
+    points[within == 0] = BEGIN
+    if len(points) < n:
+        return np.zeros(0, np.uint64), own[:0]
+    whole = own[: len(own) - n + 1] == own[n - 1 :]
+    if n == 1:
+        whole &= inner
+    return rolled(mixed(points.astype(np.uint64) + BASE), n)[whole], own[: len(own) - n + 1][whole]
+
+
+def counted(texts: DataFrame, langs: list[str], order: int) -> DataFrame:
+    """(n, hash, lang, count) of words (n = 0) and their n-grams up to `order`, lang as its place in langs; tasks sum before rows move."""
+    at = {lang: i for i, lang in enumerate(langs)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            by_lang: dict[int, list[str]] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for word, count in Counter(WORDS.findall(text.lower())).items():
-                    sums[lang, word] += count
-            if len(sums) >= flush:
-                yield out()
-        yield out()
-
-    def table(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-        kinds = {"n": pa.int32(), "token": pa.string(), "lang": pa.string(), "count": pa.int64()}
-        columns = list(zip(*rows, strict=True)) or [()] * len(names)
-        arrays = [pa.array(c, kinds[name]) for c, name in zip(columns, names, strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, names=names)
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums: dict[str, Counter] = {}
-            for word, lang, count in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                own = sums.setdefault(lang, Counter())
-                for n in range(1, order + 1):
-                    for g in grams_of(word, n):
-                        own[g] += count
-            yield table([(len(g), g, lang, c) for lang, own in sums.items() for g, c in own.items()], ["n", "token", "lang", "count"])
-
-    found = texts.mapInArrow(words, "token string, lang string, count long")
-    found = found.groupBy("token", "lang").agg(F.sum("count").alias("count"))
-    parts = found.mapInArrow(grams, "n int, token string, lang string, count long")
-    parts = parts.groupBy("n", "token", "lang").agg(F.sum("count").alias("count"))
-    return found.select(F.lit(0).alias("n"), "token", "lang", "count").union(parts)
+                by_lang.setdefault(at[lang], []).append(text)
+            for lang, own in by_lang.items():
+                for _, some in chunks(own):
+                    words = Words(some)
+                    found, first, counts = np.unique(words.hash, return_index=True, return_counts=True)
+                    yield table(0, found, lang, counts)
+                    for n in range(1, order + 1):
+                        hashes, word = grams(words, first, n)
+                        different, to = np.unique(hashes, return_inverse=True)
+                        yield table(n, different, lang, np.bincount(to, counts[word], len(different)))
+
+    def table(n: int, hashes: np.ndarray, lang: int, counts: np.ndarray) -> pa.RecordBatch:
+        same = [pa.array(np.full(len(hashes), x), pa.int32()) for x in (n, lang)]
+        arrays = [same[0], pa.array(hashes.view(np.int64)), same[1], pa.array(counts.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(arrays, names=["n", "hash", "lang", "count"])
+
+    found = texts.mapInArrow(run, "n int, hash long, lang int, count long")
+    return found.groupBy("n", "hash", "lang").agg(F.sum("count").alias("count"))
 
 
 class LanguageModel:
-    """Log frequencies by language of words and n-grams; scores are sums over the words of a text."""
+    """Log frequencies by language of words and n-grams, as sorted arrays of hashes; scores are sums over the words of a text."""
 
     def __init__(self, rows: pa.Table, prior: dict[str, int], order: int = 5):
-        """rows: the columns n, token, lang and count, in that order."""
-        self.langs = sorted(prior)
-        self.order = order
-        at = {lang: i for i, lang in enumerate(self.langs)}
+        """rows: the columns n, hash, lang (its place among the sorted languages of prior) and count, in that order."""
+        self.langs, self.order = sorted(prior), order
         k = len(self.langs)
-        indexes: list[dict[str, int]] = [{} for _ in range(order + 1)]
-        places: list[tuple[list[int], list[int], list[int]]] = [([], [], []) for _ in range(order + 1)]
-        for n, token, lang, count in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-            own, index = places[n], indexes[n]
-            own[0].append(index.setdefault(token, len(index)))
-            own[1].append(at[lang])
-            own[2].append(count)
-        tables = []
-        for index, (row, lang, count) in zip(indexes, places, strict=True):
-            counts = np.zeros((len(index), k))
-            if index:
-                np.add.at(counts, (row, lang), count)
-            tables.append(np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * (len(index) + 1))))
-        self.grams, self.gram_tables = indexes[1:], tables[1:]
-        # a row of the table for each known word, then for unseen words as they come; row 0 tells nothing
-        self.known = {w: i + 1 for w, i in indexes[0].items()}
-        self.first_free = len(self.known) + 1
-        self.table = np.vstack([np.zeros((1, k)), tables[0]])
+        n, hashes, lang, count = (c.to_numpy() for c in rows.columns)
+        self.hashes, self.logs = [], []
+        for size in range(order + 1):
+            own = n == size
+            found, to = np.unique(hashes[own].view(np.uint64), return_inverse=True)
+            counts = np.zeros((len(found), k))
+            np.add.at(counts, (to, lang[own]), count[own])
+            self.hashes.append(found)
+            self.logs.append(np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * (len(found) + 1))).astype(np.float32))
         total = sum(prior.values())
         self.prior = np.array([math.log((prior[lang] + 1) / (total + k)) for lang in self.langs])
-        self.unseen: dict[str, int] = {}
 
-    def backoff(self, word: str) -> np.ndarray | None:
-        """The mean log frequencies of the longest known n-grams of a word; None if there are none."""
+    def look(self, n: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of hashes in the table of n, and which of them are there."""
+        known = self.hashes[n]
+        if not len(known):
+            return np.zeros(len(hashes), int), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        return at, known[at] == hashes
+
+    def word_scores(self, words: Words, some: np.ndarray) -> np.ndarray:
+        """A row for each of some words: its log frequencies; for an unseen one the mean over its longest known n-grams, else 0."""
+        out = np.zeros((len(some), len(self.langs)))
+        at, known = self.look(0, words.hash[some])
+        out[known] = self.logs[0][at[known]]
+        open_words = np.flatnonzero(~known)
         for n in range(self.order, 0, -1):
-            get = self.grams[n - 1].get
-            rows = [r for g in grams_of(word, n) if g not in "^$" and (r := get(g)) is not None]
-            if rows:
-                return self.gram_tables[n - 1][rows].mean(axis=0)
-        return None
-
-    def _row(self, word: str) -> int:
-        """The table's row of a word that is not known; rows of unseen words are reused when 100,000 are full."""
-        row = self.unseen.get(word)
-        if row is None:
-            found = self.backoff(word)
-            if found is None:
-                row = 0
-            else:
-                row = self.free
-                if row == len(self.table):
-                    self.table = np.vstack([self.table, np.zeros((100_000, len(self.langs)))])
-                self.table[row] = found
-                self.free += 1
-            self.unseen[word] = row
-        return row
+            if not len(open_words):
+                break
+            hashes, word = grams(words, some[open_words], n)
+            at, known = self.look(n, hashes)
+            at, word = at[known], word[known]
+            found = np.bincount(word, minlength=len(open_words))
+            sums = [np.bincount(word, self.logs[n][at, k], len(open_words)) for k in range(len(self.langs))]
+            done = found > 0
+            out[open_words[done]] = np.array(sums).T[done] / found[done, None]
+            open_words = open_words[~done]
+        return out
+
+    def predict_all(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The language of each text and its share of the likelihood; und and 0 without a letter or a model."""
+        langs, shares = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        for base, some in chunks([t or "" for t in texts]) if self.langs else ():
+            words = Words(some)
+            different, first, to = np.unique(words.hash, return_index=True, return_inverse=True)
+            totals = np.tile(self.prior, (len(some), 1))
+            if len(different):
+                at = np.flatnonzero(np.append(True, np.diff(words.text) > 0))
+                totals[words.text[at]] += np.add.reduceat(self.word_scores(words, first)[to], at)
+            likely = np.exp(totals - totals.max(axis=1, keepdims=True))
+            best = likely.argmax(axis=1)
+            share = likely[np.arange(len(some)), best] / likely.sum(axis=1)
+            for i in np.flatnonzero(words.letters).tolist():
+                langs[base + i], shares[base + i] = self.langs[best[i]], float(share[i])
+        return langs, shares
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The language of a text and its share of the likelihood; und and 0 without a letter or a model."""
-        if not self.langs or not text or not LETTER.search(text):
-            return UNKNOWN, 0.0
-        if len(self.unseen) >= 90_000:
-            self.unseen.clear()
-        if not self.unseen:
-            self.free = self.first_free
-        total = self.prior.copy()
-        counted = Counter(WORDS.findall(text.lower()))
-        words, counts = list(counted), np.fromiter(counted.values(), float, len(counted))
-        for at in range(0, len(words), 5_000):
-            some = words[at : at + 5_000]
-            rows = [r if r is not None else self._row(w) for w, r in zip(some, map(self.known.get, some), strict=True)]
-            total += counts[at : at + 5_000] @ self.table[rows]
-            if len(self.unseen) >= 90_000:
-                self.unseen.clear()
-                self.free = self.first_free
-        share = np.exp(total - total.max())
-        best = int(share.argmax())
-        return self.langs[best], float(share[best] / share.sum())
-
-
-def train(
-    labelled: DataFrame,
-    text_col: str = "text",
-    lang_col: str = "lang",
-    max_docs: int = 4_000,
-    max_entries: int = 300_000,
-    order: int = 5,
-) -> LanguageModel:
+        (lang,), (share,) = self.predict_all([text])
+        return lang, share
+
+
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = 2_000, order: int = 5) -> LanguageModel:
     """Fits a model to the labelled rows; rows without text or language are left out.
 
     Equal texts of a language count once. The fit takes about max_docs of the rest: all of a language that has no more than its
     equal share, and of the others, by a hash of their text, as many each as then have room. The prior counts all different
-    texts. Words and n-grams are kept if they are among the max_entries / languages most frequent of any language, with their
-    counts in every language, so the model's size is bounded; rarer ones fall back to shorter n-grams. Without rows the model
-    knows no language and predicts und.
+    texts. Every word and n-gram of what is taken is learned. Without rows the model knows no language and predicts und.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
     rows = rows.withColumn("hash", F.xxhash64("text"))
@@ -176,30 +188,23 @@ def train(
         limit = F.coalesce(F.create_map(*parts)[F.col("lang")], F.lit(1 << 40))
         rows = rows.filter(F.pmod("hash", F.lit(1 << 40)) < limit)
     rows = rows.groupBy("lang", "hash").agg(F.min("text").alias("text")).select("text", "lang")
-    found = counted(rows, order).persist()
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "n", "token"))
-    kept = found.withColumn("place", place).filter(F.col("place") <= max(max_entries // max(len(prior), 1), 1))
-    found_rows = found.join(kept.select("n", "token").distinct(), ["n", "token"], "left_semi")
-    table = found_rows.select("n", "token", "lang", "count").orderBy(F.desc("count"), "n", "token", "lang").toArrow()
-    found.unpersist()
-    return LanguageModel(table, prior, order)
+    return LanguageModel(counted(rows, sorted(prior), order).toArrow(), prior, order)
 
 
 def identify(docs: DataFrame, keep: list[str], model: LanguageModel, text_col: str = "text") -> DataFrame:
     """Carries `keep` and adds lang_pred and score (0 to 1) for every whole text, in one pass without a shuffle.
 
     A null text, or one without a letter, is und with score 0. A text whose words tell nothing gets the most
-    frequent language of the training rows, with that language's share as score.
+    frequent language of the training rows, with that language's share as score; of equally likely languages the first by
+    name is taken. Repeated rows are predicted each; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
     def setup():
-        model = shared.value
-
         def work(texts: list) -> dict[str, list]:
-            found = [model.predict(t) for t in texts]
-            return {"lang_pred": [x for x, _ in found], "score": [x for _, x in found]}
+            langs, shares = shared.value.predict_all(texts)
+            return {"lang_pred": langs, "score": shares}
 
         return work
 

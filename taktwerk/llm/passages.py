@@ -10,14 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taktwerk.llm.common import forget, runs, small, written
+from taktwerk.llm.common import BASE, chunks, forget, mixed, rolled, runs, small, written
 from taktwerk.llm.units import without_spans
 
 # Code points of scripts that put no blanks between words; each counts as a word.
 UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
-# Code points that are hashed at a time; a longer text is hashed alone.
-CHUNK = 1 << 20
-BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 @lru_cache
@@ -30,13 +27,6 @@ def classes() -> tuple[np.ndarray, np.ndarray]:
     return space, single
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def tokens(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The start, end and hash of each word, A-Z folded; offsets in code points."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -56,23 +46,6 @@ def tokens(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, mixed(np.add.reduceat(terms, starts) + (ends - starts).astype(np.uint64))
 
 
-def rolled(values: np.ndarray, k: int) -> np.ndarray:
-    """A hash of every k values in a row, put together from those of powers of two."""
-    power, width, part = BASE, 1, values
-    out, done = None, 0
-    while True:
-        if k & width:
-            if out is None:
-                out, done = part, width
-            else:
-                n = len(values) - done - width + 1
-                out, done = out[:n] * power + part[done : done + n], done + width
-        if done == k:
-            return mixed(out)
-        part = part[:-width] * power + part[width:]
-        power, width = np.uint64(int(power) ** 2 & (1 << 64) - 1), width * 2
-
-
 def leftmost(values: np.ndarray, k: int) -> np.ndarray:
     """The place of the least of every k values in a row, the leftmost of equal ones."""
     width, part = 1, np.arange(len(values))
@@ -125,18 +98,6 @@ class Stretches:
         return digests, starts, ends
 
 
-def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """The texts some at a time, with the first one's number: CHUNK letters at most, a longer text alone."""
-    at = 0
-    while at < len(texts):
-        to, letters = at + 1, len(texts[at])
-        while to < len(texts) and letters + len(texts[to]) < CHUNK:
-            letters += len(texts[to]) + 1
-            to += 1
-        yield at, texts[at:to]
-        at = to
-
-
 #: A stretch of windows of a document.
 STRETCH = "anchor long, doc_id long, doc_key long, first int, digests binary, starts binary, ends binary"
 #: A stretch of words that stands earlier too: from word `unit_no` up to word `to`.
@@ -230,7 +191,7 @@ def doc_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 51, anchor_rows: int = 4096) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 51, anchor_rows: int = 32_768) -> DataFrame:
     """A row for each passage to remove: doc_id, doc_key (of id and text), unit_no, start, end (code points of the original text,
     end exclusive), n_words, kept_doc_id and kept_unit_no; a unit_no is the number of a passage's first word.
 

@@ -42,14 +42,14 @@ def test_components_of_a_path_a_star_and_null(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [5, 10_000])
+@pytest.mark.parametrize("chunk", [300, 1 << 20])
 def test_decontamination(spark, chunk):
     rng = np.random.default_rng(1)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 6, n)]
     items = [(str(i), " ".join(word(int(rng.integers(1, 30))))) for i in range(12)] + [("e", ""), ("n", None), ("0", "w1 W2")]
     texts = [" ".join(word(int(n))) for n in rng.integers(0, 300, 25)] + [None, "", "?!", "É w1-w2 " * 3]
     table = spark.createDataFrame(items, "item_id string, text string")
-    got = decontaminate(docs(spark, *texts), table, ["doc_id", "n_words"], chunk_words=chunk, clean=True).orderBy("doc_id").collect()
+    got = decontaminate(docs(spark, *texts), table, ["doc_id", "n_words"], chunk_bytes=chunk, clean=True).orderBy("doc_id").collect()
     for text, r in zip(texts, got, strict=True):
         words, hit, ids = words_of((text or "").encode()), set(), set()
         for i, t in items:
@@ -60,7 +60,7 @@ def test_decontamination(spark, chunk):
                 if tuple(words[p : p + k]) in windows:
                     hit |= set(range(p, p + k))
                     ids.add(i)
-        assert (r.n_words, r.n_hit, r["items"]) == (len(words), len(hit), sorted(ids))
+        assert (r.n_words, r.n_hit, r["items"], r.n_words_kept) == (len(words), len(hit), sorted(ids), "clash")
         assert r.contaminated == (len(hit) > 0 and 20 * len(hit) >= len(words))
         left = None if text is None else len(words_of(r.cleaned.encode()))
         assert left is None or left == len(words) - len(hit)
@@ -224,15 +224,53 @@ def test_secrets(spark):
     assert not got[-1].spans
     red = secrets.scan(df, ["text"], secrets.fit(df)).select("text", secrets.redacted("text", "spans").alias("red"))
     assert all("Token" not in r.red and r.red.endswith("and more words") for r in red.collect() if r.text and r.text.startswith("word T"))
+    assert sum(x.kind == secrets.LEARNED for r in got for x in r.spans) >= 60  # the labelled values, scored like all candidates
     empty = secrets.fit(df.limit(0))
     assert not empty.grammars and secrets.scan(df, ["doc_id"], empty).count() == len(texts)
 
 
-def test_grammar_merges_states_and_scores_formats():
+def test_grammar_keeps_lengths_and_prefixes():
     rng = np.random.default_rng(5)
-    model = secrets.Grammar(["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(200)])
-    assert len(model.states) < 45
-    assert model.score("0f" * 10) > -3 and model.score("zz") == float("-inf")
+    made = lambda letters, n: "".join(rng.choice(list(letters), n))
+    model = secrets.Grammar([made("0123456789abcdef", 40) for _ in range(200)])
+    assert len(model.states) == 41
+    # a likely run is one of its length and letters; each way of missing that costs bits
+    good = model.score(made("0123456789abcdef", 40))
+    assert good > -4 * 40 - 8 and all(model.score(x) < -4 * len(x) - 8 for x in ("0f" * 19, "0f" * 22, "0f" * 19 + "zz", "deadbeefab"))
+    key = secrets.Grammar(["AKIA" + made("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16) for _ in range(100)])
+    assert key.score("AKIA" + "X7" * 8) > key.score("BKIA" + "X7" * 8) + 4
+    # no fixed length: states merge into a loop
+    assert len(secrets.Grammar(["ab" * int(n) for n in rng.geometric(0.2, 300)]).states) < 12
+    texts = ["x " + made(secrets.LETTERS[:62], int(n)) for n in (3, 40, 40, 700)] + ["AKIA" + made("ABC", 16) + ".", "-" * 9, "", "a=" * 9, "abc=== .key-.", "ü" * 50]
+    shared = secrets.FormatModel({"key": ["AKIA" + made("ABCDEFG0123456789", 16) for _ in range(50)]}, {"ab": 5, " a": 3, "b ": 3})
+    for text, (found, best) in zip(texts, shared.scan(texts), strict=True):
+        want, (g,) = [], shared.grammars.values()
+        for m in re.finditer(r"[A-Za-z0-9+/_.-]+={0,2}", text):  # brute force: each candidate on its own
+            run = m[0].lstrip(".-")
+            run = run if run.endswith("=") else run.rstrip(".-")
+            if len(run.rstrip("=")) and len(run) >= g.shortest:
+                signs = [secrets.BORDER, *map(secrets.LETTERS.index, run), secrets.BORDER]
+                plain = sum(float(shared.pairs[a, b]) for a, b in zip(signs, signs[1:], strict=False))
+                want.append((m.start() + m[0].index(run), run, g.score(run) - plain))
+        assert found == [(s, s + len(r)) for s, r, bits in want if bits > 20]
+        assert best == (pytest.approx(max(x for *_, x in want), abs=1e-2) if want else None)
+
+
+def test_a_labelled_format_is_found_where_no_pattern_finds_it(spark):
+    rng = np.random.default_rng(6)
+    made = lambda: "sk_live_" + "".join(rng.choice(list(secrets.LETTERS[:62]), 24))
+    words = ["".join(rng.choice(list("etaoinshrdlucmwfgypbvk"), int(n))) for n in rng.integers(2, 12, 4000)]
+    words = [(w, w.title(), w.upper(), str(int(rng.integers(10**9))))[int(k)] for w, k in zip(words, rng.choice(4, 4000, p=[0.8, 0.12, 0.04, 0.04]), strict=True)]
+    prose = lambda i: " ".join(words[i * 20 : i * 20 + 20])
+    labelled = [f"{prose(i)} secret: {made()} {prose(i + 1)}" for i in range(60)]
+    bare = [f"{prose(i)} {made()}. {prose(i + 1)}" for i in range(60, 160)]
+    df = docs(spark, *labelled, *bare, *(prose(i) for i in range(160, 200)))
+    got = secrets.scan(df, ["doc_id"], secrets.fit(df)).orderBy("doc_id").collect()
+    found = [[x for x in r.spans if x.kind == secrets.LEARNED] for r in got]
+    exact = sum([bare[i][x.start : x.end] for x in f] == [bare[i].split("sk_")[1].split(".")[0].join(["sk_", ""])] for i, f in enumerate(found[60:160]))
+    assert exact >= 90 and not any(r.base for r in got[60:]) and not any(found[160:])
+    wide = docs(spark, f"x svc_{'0123456789abcdef' * 2}_tail y")
+    assert secrets.scan(wide, ["text"], secrets.fit(df)).select(secrets.redacted("text", "spans")).first()[0].startswith("x ")
 
 
 def test_html(spark):
@@ -312,15 +350,42 @@ def test_passages(spark, rows):
 
 
 def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
 
-    sf = "/root/testdata/sf0.001"
+    sf = "/root/testdata/sf0.01"
     out = corpus_pipeline.run(spark, sf)
     docs_in = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = {r.doc_id for r in out.select("doc_id").collect()}
-    parts = {r.doc_id: r.component_id for r in simhash_components(docs_in).collect()}
-    dirty = {r.doc_id for r in decontaminate(docs_in, spark.read.parquet(f"{sf}/benchmark.parquet"), ["doc_id"]).filter("contaminated").collect()}
+    kept = {r.doc_id: r for r in out.collect()}
     und = {r.doc_id for r in langid.identify(docs_in, ["doc_id"], langid.fit_on_documents(docs_in)).filter("lang_pred = 'und' OR score < 0.5").collect()}
-    assert kept == {d for d, c in parts.items() if d == c and d not in dirty and d not in und}
-    r = out.orderBy("doc_id").first()
-    assert r.n_tokens == len(r.ids.split())
+    first = docs_in.filter(~F.col("doc_id").isin(list(und)))
+    parts = {r.doc_id: r.component_id for r in simhash_components(first).collect()}
+    second = first.filter(F.col("doc_id").isin([d for d, c in parts.items() if d == c]))
+    dirty = {r.doc_id for r in decontaminate(second, spark.read.parquet(f"{sf}/benchmark.parquet"), ["doc_id"]).filter("contaminated").collect()}
+    third = second.filter(~F.col("doc_id").isin(list(dirty)))
+    assert set(kept) == {r.doc_id for r in third.collect()}
+    tok = Tokenizer.from_file(vocabulary_path())
+    spans = {r.doc_id: r for r in secrets.scan(third, ["doc_id", "text"], secrets.fit(third)).collect()}
+    assert any(r.spans for r in spans.values())
+    for doc, r in kept.items():
+        text = list(spans[doc].text or "")
+        covered = sorted({i for x in spans[doc].spans for i in range(x.start, x.end)}, reverse=True)
+        for i in covered:
+            text[i : i + 1] = [] if i - 1 in covered else ["[secret]"]
+        ids = tok.encode("".join(text), add_special_tokens=False).ids
+        assert r.ids == " ".join(map(str, ids)) and r.n_tokens == len(ids) and r.decoded == tok.decode(ids, skip_special_tokens=False)
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, base string, fp string, n_words int"
+    rows = [(None, None, None, None, None, "b", "f", 1), (None, "the house and the garden", None, "s", 9, "b", "f", 1), (3, "", "en", None, None, "b", "f", 1)]
+    rows += [(i, f"the house and the garden number {i} of many more", "en", "s", 5, "b", "f", 1) for i in range(4, 20)] * 2
+    for df in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, "/root/testdata/sf0.001")
+            assert not df.count() or set(df.columns) - {"text"} <= set(out.columns)
+            df = out
+        assert df.count() in (0, 33)
