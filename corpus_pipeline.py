@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taktwerk.llm import langid, secrets
 from taktwerk.llm.bpe import bpe_encode
-from taktwerk.llm.common import read, shared_dir
+from taktwerk.llm.common import forget, read, written
 from taktwerk.llm.decontaminate import decontaminate
 from taktwerk.llm.queries import vocabulary_path
 from taktwerk.llm.simhash import simhash_components
@@ -54,9 +52,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The BPE tokens of every document: doc_id, lang, source, n_chars, n_tokens and ids."""
+    """The BPE tokens of every document, n_tokens, ids and what they decode to, beside its other columns but the text."""
     keep = [c for c in docs.columns if c != "text"]
-    return bpe_encode(docs, keep, vocabulary_path(), outputs=("n_tokens", "ids"))
+    return bpe_encode(docs, keep, vocabulary_path(), outputs=("n_tokens", "ids", "decoded"))
 
 
 STAGES = [
@@ -74,8 +72,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each result is a table in the shared folder that the next one reads."""
     docs = read(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/taktwerk/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+        after = written(stage(spark, docs, sf_dir))
+        if k:
+            forget(docs)
+        docs = after
     return docs
