@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -34,36 +35,81 @@ LIKE = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-# Names of class, id or role that mark what is no article, as whole words of the name.
-UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|"
-    r"subscribe|signup|login|nav\w*|menu\w*|breadcrumbs?|side-?bar|footer|masthead|site-?header|page-?header|comments?|"
-    r"comment-?\w+|disqus|replies|reply|respond|share|sharing|social|related|recommend\w*|pagination|pager|widget|toolbar|"
-    r"skip|search|complementary|navigation|contentinfo|alert|disclaimer)(?:$|[\s_-])",
-    re.IGNORECASE,
+# Names of class, id or role that mark what is no article: a core, alone or with these words before or behind it.
+CORE = (
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|popups?|modal|overlay|newsletter|subscribe|"
+    r"sign-?up|log-?in|nav|navbar|navigation|menu|breadcrumbs?|side-?bar|footer|header|masthead|top-?bar|copyright|colophon|"
+    r"comments?|disqus|replies|reply|respond|share|sharing|social|related|recommend\w*|pagination|pager|widgets?|toolbar|"
+    r"skip-link|search|complementary|contentinfo|banner|alert|disclaimer"
 )
-TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|!--(?:>|->)?|[!?/])")
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
+AROUND = (
+    r"site|page|main|global|top|bottom|left|right|primary|secondary|user|reader|post|list|section|area|box|bar|form|wrap|wrapper|"
+    r"container|block|links?|items?|menu|posts?|articles?|stories|content|thread|body|banner|notice|inner|widget|nav|reader|\d+"
+)
+UNLIKELY = re.compile(rf"(?:(?:{AROUND})[_-]+)*({CORE})(?:[_-]+(?:{AROUND}|{CORE}))*", re.IGNORECASE)
+TALK = re.compile(r"comments?|disqus|replies|reply|respond", re.IGNORECASE)  # of those, what readers say
+# Elements that a name can mark; an article only as what a reader says.
+NAMED = frozenset("div section ul ol dl span p a table details center figure article".split())
+LEGAL = re.compile(r"©|\bcopyright\b|\ball rights reserved\b", re.IGNORECASE)
+TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--(?:>|->)?|[!?/])")
+REST = re.compile(r"(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+>")  # of a start tag
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|style|hidden|aria-hidden)(?![^\s=/])(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE) for tag in RAW}
 COMMAS = re.compile("[,،、，;]")
-SCORED = frozenset("p pre td blockquote li dd div section article main body".split())
+SCORED = frozenset("p pre td blockquote li dd div section article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# What an end tag of something else doesn't reach across; where the search for an open p ends.
+TABLE = frozenset("table tbody thead tfoot tr td th caption".split())
+P_SCOPE = frozenset("button td th caption table object template".split())
+MAX_DEPTH = 500  # elements nested deeper become siblings, as in browsers
+MAX_FAILS = 20  # start tags without an end, after which quotes count no more
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "drop", "index")
+    __slots__ = ("tag", "parent", "children", "drop", "named", "p", "depth", "size", "linked", "commas", "block", "main", "points", "score")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: Node | None, drop: bool = False, named: str = ""):
+        self.tag, self.parent, self.drop, self.named = tag, parent, drop, named
         self.children: list[Node | str] = []
-        self.score = 0.0
+        self.depth = parent.depth + 1 if parent else 0
+        self.p = self if tag == "p" else None if parent is None or tag in P_SCOPE else parent.p  # the open p around it
+
+
+def marks(tag: str, attributes: str) -> tuple[bool, str]:
+    """Whether attributes hide an element, and the core of a name that marks it as no article."""
+    hidden, named = False, ""
+    for name, value in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
+            hidden = True
+        elif name == "style":
+            hidden |= "display:none" in value.lower().replace(" ", "")
+        elif name in ("class", "id", "role") and tag in NAMED:
+            for word in value.split():
+                m = UNLIKELY.fullmatch(word)
+                if m and (tag != "article" or TALK.fullmatch(m[1])):
+                    named = named if TALK.fullmatch(named) else m[1].lower()
+    return hidden, named
 
 
 def parse(page: str) -> Node:
-    """The tree of a page: its open elements end where HTML lets them, and comments and markup are gone."""
-    root = Node("html", None, False)
-    here, at, find = root, 0, TAG.search
+    """The tree of a page: its open elements end where HTML lets them, and comments and markup are gone. Its time is linear."""
+    root = Node("html", None)
+    here, at, fails = root, 0, 0
+    last_end = page.rfind(">")
+    is_open: Counter = Counter()
+    unclosed: set[str] = set()  # raw elements whose end is nowhere ahead
+
+    def leave(to: Node) -> Node:
+        node = here
+        while node is not to:
+            is_open[node.tag] -= 1
+            node = node.parent
+        return to
+
     while True:
-        m = find(page, at)
-        if m is None:
+        m = TAG.search(page, at)
+        if m is None or m.start() > last_end:
             here.children.append(page[at:])
             return root
         if m.start() > at:
@@ -80,133 +126,181 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            node = here
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if node is not None and node.parent is not None:
-                here = node.parent
+            at = page.find(">", at) + 1 or len(page)
+            if is_open[tag] > 0:
+                node = here
+                while node.tag != tag and (node.tag not in TABLE or tag in TABLE):
+                    node = node.parent
+                if node.tag == tag:
+                    here = leave(node.parent)
             continue
-        if tag in ("html", "body") and here is root and tag == "html":
+        rest = REST.match(page, at) if fails < MAX_FAILS else None
+        if rest is None:
+            fails += 1
+            end = page.find(">", at)
+            attributes, at = page[at:end], end + 1
+        else:
+            attributes, at = page[at : rest.end() - 1], rest.end()
+        if tag == "html" and here is root:
             continue
-        if tag in ENDS_P:
-            node = here
-            while node is not None and node.tag not in ("p", "div", "article", "section", "td", "li", "body", "html", "blockquote", "button"):
-                node = node.parent
-            if node is not None and node.tag == "p":
-                here = node.parent
+        if tag in ENDS_P and here.p is not None:
+            here = leave(here.p.parent)
         if tag in LIKE:
             own, stop = LIKE[tag]
-            node = here
-            while node.parent is not None and node.tag not in stop:
-                if node.tag in own:
-                    here = node.parent
-                node = node.parent
-        drop = tag in NEVER
-        if not drop and m[3] and tag not in ("html", "body", "article", "main"):
-            for name, value in ATTRIBUTE.findall(m[3]):
-                name = name.lower()
-                value = value.strip("\"'")
-                if name in ("class", "id", "role"):
-                    drop = drop or bool(UNLIKELY.search(value))
-                elif name == "hidden" or value.lower() == "true":
-                    drop = True
-        node = Node(tag, here, drop)
+            if any(is_open[x] > 0 for x in own):
+                node = here
+                while node.parent is not None and node.tag not in stop:
+                    if node.tag in own:
+                        here = leave(node.parent)
+                    node = node.parent
+        hidden, named = marks(tag, attributes) if attributes else (False, "")
+        node = Node(tag, here, tag in NEVER or (hidden and tag != "body"), named)
         here.children.append(node)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
-            at = len(page) if end is None else end.end()
-            continue
-        if tag not in VOID and not m[3].endswith("/"):
+        if tag in RAW and tag not in unclosed:
+            end = RAW_END[tag].search(page, at)
+            if end is not None:
+                at = end.end()
+                continue
+            if tag in ("script", "style"):
+                return root
+            unclosed.add(tag)
+            node.drop = tag != "noscript" and node.drop
+        if tag not in VOID and node.depth < MAX_DEPTH and tag not in RAW:
             here = node
-        elif tag not in VOID and tag in ("svg", "math"):
-            continue
-        elif tag not in VOID:
-            here = node  # a slash means nothing on an element with content
+            is_open[tag] += 1
 
 
-def text_of(node: Node) -> tuple[int, int, int]:
-    """Letters, letters inside links, and commas of the kept text below a node."""
-    size = linked = commas = 0
-    stack: list[tuple[Node, bool]] = [(node, node.tag == "a")]
+def counted(root: Node) -> list[Node]:
+    """The kept nodes in page order, with counts of all that is below each: letters, those in links, commas, blocks, marks of an article."""
+    nodes, stack = [], [root]
     while stack:
-        n, link = stack.pop()
+        n = stack.pop()
+        n.size = n.linked = n.commas = 0
+        n.block = n.main = False
+        n.points = n.score = 0.0
+        nodes.append(n)
         for c in n.children:
             if isinstance(c, str):
-                k = len(c.strip())
-                size += k
-                linked += k if link else 0
-                commas += len(COMMAS.findall(c))
-            elif not c.drop:
-                stack.append((c, link or c.tag == "a"))
-    return size, linked, commas
+                n.size += len(c.strip())
+                n.commas += len(COMMAS.findall(c))
+        stack += [c for c in reversed(n.children) if not isinstance(c, str) and not c.drop]
+    for n in reversed(nodes):
+        if n.tag == "a":
+            n.linked = n.size
+        n.main |= n.tag in ("h1", "article", "main") and not n.named
+        if n.parent is not None and n is not root:
+            up = n.parent
+            up.size += n.size
+            up.linked += n.linked
+            up.commas += n.commas
+            up.block |= n.block or n.tag in BLOCK
+            up.main |= n.main
+    return nodes
 
 
-def has_block(node: Node) -> bool:
-    return any(not isinstance(c, str) and not c.drop and (c.tag in BLOCK or has_block_inline(c)) for c in node.children)
+def inside(node: Node, tag: str) -> Node | None:
+    """The outermost element of a kind that holds a node, or is it."""
+    found, n = None, node
+    while n is not None:
+        found = n if n.tag == tag and not n.named else found
+        n = n.parent
+    return found
 
 
-def has_block_inline(node: Node) -> bool:
-    stack = [node]
+def keep_headings(header: Node) -> None:
+    """What stays of the header of an article: its headings."""
+    found, stack = [], [header]
     while stack:
         n = stack.pop()
-        for c in n.children:
-            if not isinstance(c, str) and not c.drop:
-                if c.tag in BLOCK:
-                    return True
-                stack.append(c)
-    return False
+        if n.tag in HEADINGS:
+            found.append(n)
+        else:
+            stack += [c for c in reversed(n.children) if not isinstance(c, str)]
+    header.children, header.drop, header.named = list(found), False, ""
+    for n in found:
+        n.parent = header
 
 
-def choose(root: Node) -> list[Node]:
-    """The best container with those siblings that score well, in page order; the root if nothing scores."""
-    nodes, stack = [], [root]
+def settle_names(root: Node) -> None:
+    """Decides what a name means: a marked element goes, unless it holds most of the page's text and the article with it."""
+    stack, headers = [(root, False)], []
     while stack:
-        n = stack.pop()
-        nodes.append(n)
-        stack += [c for c in reversed(n.children) if not isinstance(c, str) and not c.drop]
+        n, article = stack.pop()
+        article |= n.tag == "article" and not n.named
+        for c in n.children:
+            if not isinstance(c, str):
+                if article and (c.tag == "header" or c.named == "header"):
+                    headers.append(c)
+                elif not c.drop:
+                    stack.append((c, article))
+    for header in headers:
+        keep_headings(header)
+    nodes = counted(root)
+    plain = root.size - root.linked
+    for n in nodes:
+        if n.named:
+            most = 2 * (n.size - n.linked) > plain
+            holds = n.main or (not root.main and not TALK.fullmatch(n.named))
+            n.drop = not (most and holds)
+
+
+def dense(n: Node) -> bool:
+    """Whether a node is rather a list of links than text."""
+    return n.size > 0 and 2 * n.linked > n.size and n.tag not in HEADINGS
+
+
+def choose(root: Node) -> list[Node | str]:
+    """The best container and its siblings, in page order; the root if nothing scores.
+
+    Paragraphs give points for length and commas, less for links: all to the parent, half to the next, a quarter to the third.
+    The article around the best container, or else the main element, is taken whole. Otherwise it goes with all siblings that
+    aren't lists of links, and so do its ancestors as long as they add a tenth to the points.
+    """
+    settle_names(root)
+    nodes = counted(root)
     candidates: dict[int, Node] = {}
     for n in nodes:
-        if n.tag not in SCORED or n is root or n.tag == "body" or (n.tag not in ("p", "pre", "td") and has_block(n)):
-            continue
-        size, linked, commas = text_of(n)
-        if not size:
+        if n.tag not in SCORED or not n.size or (n.block and n.tag not in ("p", "pre", "td")):
             continue
-        points = (1 + commas + min(size / 100, 3)) * (1 - linked / size)
+        points = (1 + n.commas + min(n.size / 100, 3)) * (1 - n.linked / n.size)
+        n.points += points
         up, share = n.parent, 1.0
-        for _ in range(3):
-            if up is None:
-                break
+        while up is not None and share >= 0.25:
             up.score += points * share
             candidates[id(up)] = up
             up, share = up.parent, share / 2
+    for n in reversed(nodes):
+        if n.parent is not None and n is not root:
+            n.parent.points += n.points
     if not candidates:
         return [root]
     for n in candidates.values():
-        if n.tag in ("article", "main"):
-            n.score = n.score * 2 + 25
-        elif n.tag in ("ul", "ol", "dl"):
-            n.score /= 2
-        size, linked, _ = text_of(n)
-        n.score *= 1 - linked / max(size, 1)
+        n.score *= (1 - n.linked / max(n.size, 1)) * (2 if n.tag in ("article", "main") else 0.5 if n.tag in ("ul", "ol", "dl") else 1)
     order = {id(n): i for i, n in enumerate(nodes)}
     best = max(candidates.values(), key=lambda n: (n.score, -order[id(n)]))
-    if best.parent is None or best.tag in ("article", "main", "body", "html"):
-        same = [n for n in candidates.values() if n.tag == best.tag and n.parent is best.parent and n.tag == "article"]
-        return [n for n in same if n.score >= 0.2 * best.score] or [best]
-    kept = []
-    for c in best.parent.children:
-        if isinstance(c, str) or c.drop:
-            continue
-        if c is best or c.score >= max(10, 0.2 * best.score):
-            kept.append(c)
-        elif c.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"):
-            size, linked, _ = text_of(c)
-            if size and linked / size < 0.3:
-                kept.append(c)
+    article = inside(best, "article")
+    if article is not None:
+        same = [c for c in article.parent.children if not isinstance(c, str) and c.tag == "article" and not c.drop] if article.parent else [article]
+        return [n for n in same if n is article or (n.points >= 0.2 * article.points and not dense(n))]
+    main = inside(best, "main")
+    if main is not None:
+        return [main]
+    kept: list[Node | str] = [best]
+    levels = 0
+    while best.parent is not None and (levels == 0 or best.parent.points - best.points >= 0.1 * best.points):
+        at = next(i for i, c in enumerate(best.parent.children) if c is best)
+        around = [c if isinstance(c, str) or not (c.drop or dense(c) or legal(c)) else " " for c in best.parent.children]
+        kept = [*around[:at], *kept, *around[at + 1 :]]
+        best, levels = best.parent, levels + 1
     return kept
 
 
-def blocks_of(nodes: list[Node]) -> list[str]:
+def legal(n: Node) -> bool:
+    """Whether a short element is a line about rights."""
+    return n.size < 300 and bool(LEGAL.search(" ".join(blocks_of([n]))))
+
+
+def blocks_of(nodes: list[Node | str]) -> list[str]:
     """The text of each block below the nodes, references decoded, white space folded; empty ones left out."""
     blocks: list[str] = []
     parts: list[str] = []
@@ -245,8 +339,11 @@ def extract(page: str | None) -> str:
 def extract_text(pages: DataFrame, keep: list[str], html_col: str = "html", text_col: str = "text") -> DataFrame:
     """Carries `keep` and adds the main text and n_chars, its code points, in one pass without a shuffle.
 
-    A null or empty page has an empty text; a page without scored paragraphs gives all its text outside of
-    menus, forms, scripts and the like. Pages of any length and nesting are read whole; repeated rows each.
+    What stays is the best container by tree scoring and what stands beside it. Elements that are never text of an article go
+    (menus, headers, footers, asides, forms, scripts and the like), and so do those that a class, id or role names as such; a name
+    on a wrapper that holds most of the text and the article with it means nothing. The header of an article leaves its headings. A
+    null or empty page has an empty text; a page without scored paragraphs gives all its text outside of what goes. Pages of any
+    length and nesting are read whole, in linear time; repeated rows each.
     """
 
     def setup():
