@@ -62,16 +62,15 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """A word-end BPE vocabulary read from a tokenizer file, with a bounded cache of parts between spaces."""
 
-    def __init__(self, path: str, cache_entries: int = 40_000):
+    def __init__(self, path: str, cache_entries: int = 200_000):
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         model = data["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.pairs = {
-            (self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(merges)
-        }
+        self.ranks = {(self.vocab[a], self.vocab[b]): rank for rank, (a, b) in enumerate(merges)}
+        self.merged = [self.vocab[a + b] for a, b in merges]
         self.special = {x["content"]: x["id"] for x in data["added_tokens"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.letters = byte_letters()
@@ -79,19 +78,18 @@ class WordBpe:
         self.spaces = regex.compile(f"[{SPACE}]+")
         self.odd = regex.compile("[\x1c-\x1f]")  # white space to str.split, but not to the vocabulary
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.caches: tuple[dict, dict] = ({}, {})  # of parts between spaces: those seen lately, and those before
-        self.piece_caches: tuple[dict, dict] = ({}, {})
+        self.young: dict[str, tuple] = {}  # of parts between spaces and the pieces inside them: those seen lately,
+        self.old: dict[str, tuple] = {}  # and those before
         self.cache_entries = cache_entries
 
-    def _keep(self, caches: tuple[dict, dict], key: str, value: tuple) -> tuple:
+    def _keep(self, key: str, value: tuple) -> tuple:
         """Puts an entry into the younger cache, which replaces the older one when it is full."""
-        young, old = caches
-        if len(young) >= self.cache_entries:
-            old.clear()
-            old.update(young)
-            young.clear()
         if len(key) <= 64:
-            young[key] = value
+            if len(self.young) >= self.cache_entries:
+                self.old.clear()
+                self.old.update(self.young)  # as the callers hold on to the dicts themselves
+                self.young.clear()
+            self.young[key] = value
         return value
 
     def merge(self, piece: str) -> list[int]:
@@ -103,56 +101,52 @@ class WordBpe:
         ids = [self.vocab[x] for x in letters if x in self.vocab]
         if len(ids) < 2:
             return ids
-        n, found = len(ids), self.pairs.get
+        n, rank, merged = len(ids), self.ranks.get, self.merged
         bits = n.bit_length()
         place = (1 << bits) - 1
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        ranks = map(found, zip(ids, ids[1:], strict=False))
-        tree = PairTree([NONE if r is None else r[0] << bits | i for i, r in enumerate(ranks)])
+        keys = [NONE if (r := rank(p)) is None else r << bits | i for i, p in enumerate(zip(ids, ids[1:], strict=False))]
+        tree = PairTree(keys)
         put, top = tree.put, tree.top
         while (low := min(top)) != NONE:
             i = low & place
             gone = after[i]
-            ids[i] = new = found((ids[i], ids[gone]))[1]
+            ids[i] = new = merged[low >> bits]
             ids[gone] = -1
             after[i] = right = after[gone]
             if right >= 0:
                 before[right] = i
                 put(gone, NONE)
-                r = found((new, ids[right]))
-                put(i, NONE if r is None else r[0] << bits | i)
+                r = rank((new, ids[right]))
+                put(i, NONE if r is None else r << bits | i)
             else:
                 put(i, NONE)
             left = before[i]
             if left >= 0:
-                r = found((ids[left], new))
-                put(left, NONE if r is None else r[0] << bits | left)
+                r = rank((ids[left], new))
+                put(left, NONE if r is None else r << bits | left)
         return [x for x in ids if x >= 0]
 
-    def _piece(self, piece: str) -> tuple[int, str, str]:
-        young, old = self.piece_caches
-        found = young.get(piece)
-        if found is None:
-            found = old.get(piece)
-            if found is None:
-                ids = self.merge(piece)
-                found = (len(ids), " ".join(map(str, ids)), " ".join([self.names[i] for i in ids]))
-            self._keep(self.piece_caches, piece, found)
-        return found
-
     def _part(self, part: str) -> tuple[int, str, str]:
         """Of a part without white space: number of tokens, ids and tokens, each joined by spaces."""
-        found = self.caches[1].get(part)
+        found = self.young.get(part)
+        if found is not None:
+            return found
+        found = self.old.get(part)
         if found is None:
-            pieces = [self._piece(p) for p in self.pieces.findall(part)]
-            found = pieces[0] if len(pieces) == 1 else joined([p for p in pieces if p[0]])
-        return self._keep(self.caches, part, found)
+            pieces = self.pieces.findall(part)
+            if len(pieces) > 1:
+                found = joined([x for x in map(self._part, pieces) if x[0]])
+            else:
+                ids = self.merge(pieces[0]) if pieces else []
+                found = (len(ids), " ".join(map(str, ids)), " ".join([self.names[i] for i in ids]))
+        return self._keep(part, found)
 
     def _plain(self, text: str) -> list[tuple[int, str, str]]:
         text = text if text.isascii() else unicodedata.normalize("NFC", text)
         text = text.replace("Σ", "σ").lower()  # letter by letter: no final sigma
         parts = self.spaces.split(text) if self.odd.search(text) else text.split()
-        cache = self.caches[0].get
+        cache = self.young.get
         return [cache(p) or self._part(p) for p in parts if p]
 
     def encode(self, text: str) -> tuple[int, str, str]:
@@ -192,14 +186,14 @@ def bpe_encode(
     path: str,
     text_col: str = "text",
     outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"),
-    cache_entries: int = 40_000,
+    cache_entries: int = 200_000,
 ) -> DataFrame:
     """Carries `keep` and adds the chosen outputs, in one pass without a shuffle.
 
     outputs: n_tokens; ids (decimal, joined by one space); decoded (the vocabulary has no decoder, so tokens
     are joined by one space); ids_sha256 and decoded_sha256, their digests, made in the task so that the long
     strings needn't leave it. A null text counts as empty: 0 tokens, empty ids. Strings of special tokens
-    become their ids. Every executor must find the vocabulary under `path`; a task reads it once, and its four caches
+    become their ids. Every executor must find the vocabulary under `path`; a task reads it once, and its two caches
     hold cache_entries entries of at most 64 letters each, so its memory is bounded and ends with the task.
     """
 
