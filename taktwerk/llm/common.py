@@ -160,19 +160,18 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 def deal(rows: DataFrame, key: str, row: str, heavy: DataFrame) -> DataFrame:
     """Deal the rows of each key so that any two of them meet in one (key, block_i, block_j), however many they are.
 
-    heavy has (key, n_blocks) of the keys with more rows than one task should hold. Their rows fall into
-    blocks by a hash of `row`; the row then goes to every pair of blocks that holds its own (column `block`).
-    Rows of other keys get one block pair, (0, 0).
+    heavy has (key, n_blocks) of the keys with more rows than one task should hold; rows of other keys get one block pair, (0, 0).
     """
-    out = rows.join(small(heavy), key, "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
-    out = out.withColumn("block", F.pmod(F.xxhash64(row, F.lit(7)), F.col("n_blocks")).cast("int"))
+    return in_blocks(rows.join(small(heavy), key, "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1))), row)
+
+
+def in_blocks(rows: DataFrame, row: str) -> DataFrame:
+    """Rows that hold their key's n_blocks, dealt: they fall into blocks by a hash of `row`, and a row goes to every pair of blocks
+    that holds its own (column `block`)."""
+    out = rows.withColumn("block", F.pmod(F.xxhash64(row, F.lit(7)), F.col("n_blocks")).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1)))
-    return out.select(
-        *rows.columns,
-        "block",
-        F.least("block", "other").alias("block_i"),
-        F.greatest("block", "other").alias("block_j"),
-    )
+    out = out.withColumn("block_i", F.least("block", "other")).withColumn("block_j", F.greatest("block", "other"))
+    return out.drop("n_blocks", "other")
 
 
 def heavy_keys(keys: DataFrame, key: str, block_rows: int) -> DataFrame:

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from taktwerk.llm.common import deal, heavy_keys, runs, star, written
+from taktwerk.llm.common import forget, in_blocks, runs, star, written
 from taktwerk.llm.components import connected_components
 
 SEED = 20_240_229
@@ -52,45 +53,48 @@ def class_key() -> list:
     return [F.xxhash64("label", "v").alias("h1"), F.xxhash64("v", F.lit(1), "label").alias("h2")]
 
 
+def plain_vector(vectors: DataFrame, vector_col: str):
+    """The vector column in its own precision if that is single, in double precision otherwise."""
+    single = vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType())
+    return F.col(vector_col).cast("array<float>" if single else "array<double>")
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    v = F.col(vector_col).cast("array<double>")
+    v = plain_vector(vectors, vector_col)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return rows.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("v", lambda x: x != 0))
 
 
-def unit_rows(blob: pa.Array) -> np.ndarray:
-    x = np.array([np.frombuffer(b, np.float64) for b in blob.to_pylist()])
+def unit_rows(vectors: list) -> np.ndarray:
+    x = np.array(vectors, np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def hashed(classes: DataFrame, tables: int, size: int, width: float) -> DataFrame:
-    """(cid, weight, blob, hashes): the vector as bytes and its bucket in each table, of which label and length are part."""
+    """(cid, hashes): the bucket of a vector in each table, of which label and length are part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Projections] = {}
         for batch in batches:
-            vectors = [np.array(v, np.float64) for v in batch.column("v").to_pylist()]
-            labels = batch.column("label_hash").to_numpy()
+            vectors = batch.column(1)
+            labels = batch.column(2).to_numpy()
+            lengths = np.diff(vectors.offsets.to_numpy())
+            values, start = vectors.flatten().to_numpy(), np.cumsum(lengths) - lengths
             buckets = np.zeros((len(vectors), tables), np.int64)
-            blobs = [v.tobytes() for v in vectors]
-            lengths = np.array([len(v) for v in vectors])
             for dim in np.unique(lengths).tolist():
                 at = np.flatnonzero(lengths == dim)
                 use = made.setdefault(dim, Projections(dim, tables, size, width))
-                found = use.buckets(unit_rows(pa.array([blobs[i] for i in at.tolist()], pa.binary())))
+                found = use.buckets(unit_rows(values[start[at][:, None] + np.arange(dim)]))
                 buckets[at] = found ^ labels[at, None] ^ (dim * 0x632BE59BD9B4E019 % 2**62)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("cid"), batch.column("weight"), pa.array(blobs, pa.binary()), pa.array(list(buckets), pa.list_(pa.int64()))],
-                names=["cid", "weight", "blob", "hashes"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(buckets), pa.list_(pa.int64()))], names=["cid", "hashes"])
 
-    rows = classes.select("cid", "weight", "v", F.xxhash64("label", F.lit(3)).alias("label_hash"))
-    return rows.mapInArrow(run, "cid long, weight long, blob binary, hashes array<long>")
+    rows = classes.select("cid", "v", F.xxhash64("label", F.lit(3)).alias("label_hash"))
+    return rows.mapInArrow(run, "cid long, hashes array<long>")
 
 
-def pairs_in_buckets(rows: DataFrame, threshold: float) -> DataFrame:
+def pairs_in_buckets(rows: DataFrame, threshold: float, tables: int, size: int, width: float) -> DataFrame:
     """(a, b, weight) from the dealt rows of buckets: b null and the weight of linked classes for a, or an edge a - b.
 
     A pair is weighed in the first table in which it shares a bucket, so that none counts twice; edges are
@@ -98,6 +102,7 @@ def pairs_in_buckets(rows: DataFrame, threshold: float) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, Projections] = {}
         for batch, at in runs(batches, ["bucket", "block_i", "block_j"]):
             a: list[np.ndarray] = []
             b: list[np.ndarray] = []
@@ -106,8 +111,7 @@ def pairs_in_buckets(rows: DataFrame, threshold: float) -> DataFrame:
                 part = batch.slice(int(at[g]), int(at[g + 1] - at[g]))
                 cid, weight, block = (part.column(c).to_numpy() for c in ("cid", "weight", "block"))
                 table = part.column("table")[0].as_py()
-                hashes = part.column("hashes").flatten().to_numpy().reshape(len(cid), -1)
-                unit = unit_rows(part.column("blob"))
+                unit = unit_rows(part.column("v").flatten().to_numpy().reshape(len(cid), -1))
                 linked = unit @ unit.T >= threshold
                 np.fill_diagonal(linked, False)
                 linked &= linked.T
@@ -120,8 +124,10 @@ def pairs_in_buckets(rows: DataFrame, threshold: float) -> DataFrame:
                 a.append(cid[moved])
                 b.append(cid[label[moved]])
                 w.append(np.zeros(len(moved), np.int64))
-                for t in range(table):
-                    linked &= hashes[:, None, t] != hashes[None, :, t]
+                if table:
+                    hashes = made.setdefault(unit.shape[1], Projections(unit.shape[1], tables, size, width)).buckets(unit)
+                    for t in range(table):
+                        linked &= hashes[:, None, t] != hashes[None, :, t]
                 total = linked @ weight
                 some = np.flatnonzero(total)
                 a.append(cid[some])
@@ -153,17 +159,20 @@ def near_vectors(
     Rows of equal, not null label link at cosine >= threshold, computed in double precision for every pair that
     shares a bucket of a table. Vectors that are null, zero, or hold null or non-finite components, and rows
     without id or label, link with nothing: n_links 0, component_id their own id, kept. Equal vectors of a
-    label collapse into one class with a weight first, so a group of copies costs one row; the rows of a full
-    bucket are dealt over pairs of blocks, and the blocks give sums and stars, never the list of pairs. Rows that
+    label collapse into one class with a weight first, so a group of copies costs one row; only ids travel by bucket, and
+    vectors where a bucket has two classes at least. The rows of a full bucket are dealt over pairs of blocks, and the blocks give
+    sums and stars, never the list of pairs. Rows that
     repeat an id are vectors of their own, joined in one component. Vectors of different length never link.
     """
     classes = written(vector_classes(vectors, id_col, vector_col, label_col))
-    prints = written(hashed(classes, tables, size, width))
-    rows = prints.select("cid", "weight", "blob", "hashes", F.posexplode("hashes").alias("table", "bucket"))
-    counts = prints.select(F.explode("hashes").alias("bucket"))
-    dealt = deal(rows, "bucket", "cid", heavy_keys(counts, "bucket", block_rows))
+    buckets = hashed(classes, tables, size, width).select("cid", F.posexplode("hashes").alias("table", "bucket"))
+    full = buckets.groupBy("bucket").count().filter(F.col("count") > 1)
+    rows = buckets.join(full.select("bucket", F.ceil(F.col("count") / block_rows).cast("int").alias("n_blocks")), "bucket")
+    shared = written(in_blocks(rows, "cid"))
     group = ["bucket", "block_i", "block_j"]
-    found = written(pairs_in_buckets(dealt.repartition(*group).sortWithinPartitions(*group), threshold))
+    dealt = shared.join(classes.select("cid", "weight", "v"), "cid").repartition(*group).sortWithinPartitions(*group)
+    found = written(pairs_in_buckets(dealt, threshold, tables, size, width))
+    forget(shared)
     parts = connected_components(found.filter("b IS NOT NULL"))
     links = found.filter("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("weight").alias("others"))
     by_class = written(
@@ -177,7 +186,9 @@ def near_vectors(
             F.coalesce("component", "cid").alias("component_id"),
         )
     )
-    v = F.col(vector_col).cast("array<double>")
+    forget(classes)
+    forget(found)
+    v = plain_vector(vectors, vector_col)
     keyed = vectors.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("v"))
     out = keyed.select("id", *class_key()).join(by_class, ["h1", "h2"], "left")
     component = F.coalesce("component_id", "id")
