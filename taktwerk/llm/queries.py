@@ -140,7 +140,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(read(spark, sf_dir, "documents"), ["doc_id"])
+    return shard(read(spark, sf_dir, "documents"), ["doc_id"], max_bytes=128 << 10)
 
 
 OP6_SQL = """
@@ -153,10 +153,10 @@ level AS (
   FROM per_hash, range(0, 33) AS r(k) GROUP BY ALL),
 leaf AS (
   SELECT h, min(k) AS depth FROM per_hash, range(0, 33) AS r(k) JOIN level ON level.depth = k AND level.prefix = h >> (32 - k)
-  WHERE n <= 16 * 1048576 OR alone OR k = 32 GROUP BY h)
+  WHERE n <= 131072 OR alone OR k = 32 GROUP BY h)
 SELECT doc_id, d.n_bytes::BIGINT AS n_bytes, depth::BIGINT AS shard_depth,
        CASE depth WHEN 0 THEN 'all' ELSE lpad(bin(d.h >> (32 - depth)), depth::INT, '0') END AS shard,
-       level.n <= 16 * 1048576 AS fits
+       level.n <= 131072 AS fits
 FROM d JOIN leaf USING (h) JOIN level USING (depth) WHERE level.prefix = d.h >> (32 - depth)
 """
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taktwerk.llm.common import small, written
+from taktwerk.llm.common import apart, forget, small, written
 
 MAX_BITS = 32
 
@@ -67,27 +67,30 @@ def shard(
     row's text in UTF-8) and fits (whether the shard keeps to max_bytes; false where one id alone exceeds it).
 
     The same rows give the same shards at any partitioning. A null text counts no bytes; a null id hashes as
-    an empty one; rows that repeat an id share its shard unless salt_col parts them; an empty table stays empty.
+    an empty one; rows that repeat an id share its shard unless salt_col parts them; an empty table stays empty. A kept column
+    named like a new one gets `_kept` behind its name.
     The directory is broadcast if its rows are few and joined by a shuffle of the hashes otherwise.
     """
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
-    rows = docs.select(*keep, hash_bits(id_col, salt_col).alias("__hash"), size.alias("n_bytes"))
+    new = {"n_bytes", "shard", "shard_depth", "fits"}
+    names = apart(keep, new)
+    rows = docs.select(F.struct(*(F.col(k).alias(v) for k, v in names.items()), size.alias("n_bytes")).alias("row"), hash_bits(id_col, salt_col).alias("hash"))
     hashes = docs.select(hash_bits(id_col, salt_col).alias("hash"), size.alias("n_bytes"))
     sizes = written(hashes.groupBy("hash").agg(F.count("*").alias("n_docs"), F.sum("n_bytes").alias("n_bytes")))
     table = directory(sizes, max_bytes)
-    depths = sorted(r.depth for r in table.select("depth").distinct().collect())
-    if not depths:
-        depths = [0]
+    forget(sizes)
+    depths = sorted(r.depth for r in table.select("depth").distinct().collect()) or [0]  # at most 33
     # a row's prefixes at the depths in use, one of which is a shard
-    at = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), prefix("__hash", d).alias("prefix")) for d in depths)))
+    at = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), prefix("hash", d).alias("prefix")) for d in depths)))
     name = F.when(F.col("depth") == 0, F.lit("all")).otherwise(F.lpad(F.bin("prefix"), F.col("depth"), F.lit("0")))
-    found = rows.withColumn("__at", at).select("*", "__at.depth", "__at.prefix").drop("__at", "__hash")
+    found = rows.select("row", at.alias("at")).select("row", "at.depth", "at.prefix")
     return found.join(small(table.select("depth", "prefix", "fits")), ["depth", "prefix"]).select(
-        *keep, "n_bytes", name.alias("shard"), F.col("depth").alias("shard_depth"), "fits"
+        "row.*", name.alias("shard"), F.col("depth").alias("shard_depth"), "fits"
     )
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 16 << 20) -> None:
     """Writes docs to path, a folder for each shard. Rows go to writers by shard, so each shard is one file."""
     out = shard(docs, docs.columns, id_col, text_col, max_bytes)
-    out.repartition("shard").select(*docs.columns, "shard").write.partitionBy("shard").parquet(path)
+    kept = apart(docs.columns, {"n_bytes", "shard", "shard_depth", "fits"})
+    out.repartition("shard").select(*kept.values(), "shard").write.partitionBy("shard").parquet(path)
