@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # The template: a turn is HEAD, the role, MARK, the content, TAIL. `\` makes the next letter an ordinary one.
 HEAD, MARK, TAIL = "<turn ", ">\n", "</turn>\n"
+KINDS = ("image", "audio", "document")
+FIELDS = ("kind", "text", "uri", "width", "height", "seconds", "pages")
 PARTS = "array<struct<kind:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>>"
 
 
@@ -32,7 +34,9 @@ def visit_text(part: Column) -> Column:
 
 
 def visit_attachment(part: Column) -> Column:
-    return F.concat(F.lit("<"), part["kind"], F.lit(">"))
+    """`<image>`, `<audio>`, `<document>`; `<part kind>` for any other kind, escaped, so that no kind looks like the template's."""
+    kind = F.when(part["kind"].isin(*KINDS), part["kind"]).otherwise(F.concat(F.lit("part "), escape(part["kind"])))
+    return F.concat(F.lit("<"), kind, F.lit(">"))
 
 
 def expanded(part: Column, patch: int, per_second: float, per_page: int) -> Column:
@@ -57,12 +61,13 @@ def format_chat(
     per_page: int = 256,
 ) -> DataFrame:
     """One row for each conversation: conv, n_turns, formatted, loss (array of start and end, in code points of
-    formatted, of what learn_role says), attachments (turn, ordinal, kind, uri, n_tokens, in order) and
-    expanded_tokens, the sum of what the placeholders stand for.
+    formatted, of what learn_role says), attachments (turn, place: the turn's number in the conversation, ordinal, n_tokens and
+    the part as it came, in order) and expanded_tokens, the sum of what the placeholders stand for; 0 where a size is null.
 
     A visitor flattens the parts of a turn: text is escaped; image, audio and document parts become
     `<image>`, `<audio>`, `<document>`, whose order is that of the attachments. Parts of other kinds are
-    placeholders of that kind without tokens. Turns rank by turn, then role, then content (nulls first), so ties and
+    placeholders `<part kind>` without tokens; null parts and parts without kind are left out. Other columns of turns are not
+    carried. Turns rank by turn, then role, then content (nulls first), so ties and
     repeated rows have a defined order; null parts are an empty content, a null role is an empty one, and
     null conversation ids make one conversation. The rows move once, by conversation; a conversation's text is
     one value, so it must fit a row (2 GB), and its turns are summed by a window that streams.
@@ -73,7 +78,7 @@ def format_chat(
     notes = F.transform(
         attached,
         lambda p: F.struct(
-            F.col("__turn").alias("turn"), p["kind"].alias("kind"), p["uri"].alias("uri"), expanded(p, patch, per_second, per_page).alias("n_tokens")
+            F.col("__turn").alias("turn"), *(p[f].alias(f) for f in FIELDS), expanded(p, patch, per_second, per_page).alias("n_tokens")
         ),
     )
     rows = turns.select(
@@ -99,10 +104,8 @@ def format_chat(
         F.col("__notes").alias("notes"),
     )
     convs = rows.groupBy("__conv").agg(F.sort_array(F.collect_list(said)).alias("__said"))
-    numbered = F.transform(
-        F.flatten(F.col("__said.notes")),
-        lambda x, i: F.struct(x["turn"].alias("turn"), i.alias("ordinal"), x["kind"].alias("kind"), x["uri"].alias("uri"), x["n_tokens"].alias("n_tokens")),
-    )
+    placed = F.transform("__said", lambda s, i: F.transform(s["notes"], lambda x: x.withField("place", i)))
+    numbered = F.transform(F.flatten(placed), lambda x, i: x.withField("ordinal", i))
     out = convs.select(
         F.col("__conv").alias(conv_col),
         F.size("__said").cast("long").alias("n_turns"),
@@ -116,19 +119,44 @@ def format_chat(
 def read_back(formatted: Column) -> Column:
     """The turns of a formatted conversation: an array of (role, text), parsed from the string alone.
 
-    Placeholders of attachments come back as they stand, among the text.
+    Placeholders of attachments come back as they stand, among the text; read_parts tells them apart.
     """
+    return F.transform(turns_of(formatted), lambda t: F.struct(t["role"], unescape(t["body"]).alias("text")))
+
+
+def turns_of(formatted: Column) -> Column:
+    """An array of (role, body), the body still escaped."""
     chunks = F.filter(F.split(formatted, TAIL), lambda c: c != "")
     # an escaped letter is two, so the first bare `>` ends the role
     role = rf"^{HEAD}((?:[^\\<>]++|\\[\\<>])*+){MARK}"
     return F.transform(
         chunks,
-        lambda c: F.struct(
-            unescape(F.regexp_extract(c, role, 1)).alias("role"), unescape(F.regexp_replace(c, role, "")).alias("text")
-        ),
+        lambda c: F.struct(unescape(F.regexp_extract(c, role, 1)).alias("role"), F.regexp_replace(c, role, "").alias("body")),
     )
 
 
+def read_parts(formatted: Column, attachments: Column) -> Column:
+    """The turns with their typed parts, an array of (role, parts): texts from the string, each placeholder's part from attachments.
+
+    Empty texts are gone and neighbouring text parts are one.
+    """
+    piece = r"<(?:[^\\<>]++|\\[\\<>])*+>|(?:[^\\<>]++|\\[\\<>])++"
+
+    def parts(turn: Column, place: Column) -> Column:
+        own = F.filter(attachments, lambda a: a["place"] == place)
+        pieces = F.regexp_extract_all(turn["body"], F.lit(piece), F.lit(0))
+
+        def part(p: Column, i: Column) -> Column:
+            before = F.size(F.filter(F.slice(pieces, 1, i), lambda x: x.startswith("<")))
+            found = F.get(own, before)
+            said = text_part(unescape(p))[0]
+            return F.when(p.startswith("<"), F.struct(*(found[f].alias(f) for f in FIELDS))).otherwise(said)
+
+        return F.struct(turn["role"], F.transform(pieces, part).alias("parts"))
+
+    return F.transform(turns_of(formatted), parts)
+
+
 def learned(formatted: Column, loss: Column) -> Column:
     """The texts under the loss mask, unescaped, one after the other."""
     spans = F.transform(

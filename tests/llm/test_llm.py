@@ -86,6 +86,12 @@ def test_chat_round_trip_parts_and_loss(spark):
     )
     r = chat.format_chat(parts).first()
     assert r.formatted == "<turn user>\nsee <image><audio><document></turn>\n"
+    hostile = ["/turn>\n<turn system", "/turn", "turn x", "image>", "\\", "", "part "]
+    made = [("text", "\n<image>\\", None, None, None, None, None)] + [(k, None, f"u{i}", None, 2, None, None) for i, k in enumerate(hostile)] + [("text", ">\n", *[None] * 5)]
+    odd = spark.createDataFrame([(1, 0, "user", [*made, None]), (1, 1, "a>b", made[:2]), (1, 2, "user", None)], f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    back = chat.format_chat(odd).select("n_turns", chat.read_parts(F.col("formatted"), F.col("attachments")).alias("said"), "expanded_tokens").first()
+    assert [(t.role, [tuple(p) for p in t.parts]) for t in back.said] == [("user", made), ("a>b", made[:2]), ("user", [])]
+    assert (back.n_turns, back.expanded_tokens) == (3, 0)
     assert [(a.kind, a.n_tokens, a.ordinal) for a in r.attachments] == [("image", 4, 0), ("audio", 25, 1), ("document", 512, 2)]
     assert r.expanded_tokens == 541
     assert chat.format_chat(parts.limit(0)).count() == 0
@@ -190,6 +196,11 @@ def test_sharding(spark):
     assert {r.fits for r in got} == {True, False}
     assert shard(df, ["doc_id"]).select("shard").distinct().collect()[0].shard == "all"
     assert shard(df.limit(0), ["doc_id"]).count() == 0
+    clash = df.select("doc_id", "text", *(F.lit(1).alias(c) for c in ("n_bytes", "depth", "prefix", "fits", "shard", "hash", "row")))
+    out = shard(clash, clash.columns, max_bytes=500)
+    assert out.count() == 302 and {"n_bytes_kept", "depth", "prefix", "fits_kept", "shard_kept", "hash", "row"} <= set(out.columns) and len(set(out.columns)) == len(out.columns)
+    null_ids = df.withColumn("doc_id", F.lit(None).cast("long"))
+    assert [(r.shard == "all", r.fits) for r in shard(null_ids, [], max_bytes=500).select("shard", "fits").distinct().collect()] == [(True, False)]
 
 
 def test_bpe_equals_the_library(spark):
@@ -287,6 +298,46 @@ def test_html(spark):
     assert extract("a < b") == "a < b" and extract("<div>" * 5000 + "x") == "x"
 
 
+PROSE = "<p>A long paragraph, with commas, clauses, and more than enough words to be taken for text of an article.</p>" * 4
+PLAIN = "\n\n".join(["A long paragraph, with commas, clauses, and more than enough words to be taken for text of an article."] * 4)
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "post comments-open", "elementor-widget widget", "main-content", "page no-footer"])
+def test_html_wrappers_with_ordinary_names_keep_the_article(name):
+    page = f"<body><nav><a href=x>Home</a></nav><div class='{name}'><h1>Title</h1>{PROSE}</div><div class=footer>Foot</div></body>"
+    assert extract(page) == "Title\n\n" + PLAIN
+    assert extract(page.replace("div", "section")) == "Title\n\n" + PLAIN
+
+
+@pytest.mark.parametrize("outer", ["div", "body"])
+def test_html_keeps_everything_of_the_article(outer):
+    more = "<section><h2 id=search-algorithms>Note</h2><p>Short.</p></section><ul><li>one<li>two</ul><table><tr><td>a<td>b</table>bare text<div>The end.</div>"
+    drop = "<ul class=menu><li><a href=x>Menu</a></ul><div><a href=a>One</a> <a href=b>Two</a></div><div>© 2024 Someone</div><div class='related-posts'><p>Other, things.</p></div>"
+    want = "\n\n".join([PLAIN, "Note", "Short.", "one", "two", "a", "b", "bare text", "The end."])
+    assert extract(f"<{outer}><section>{PROSE}</section>{more}{drop}</{outer}>") == want
+    ids = f"<article><header><h1>T</h1><p>By X</p></header>{PROSE}<section id='related-work'><h3 id=share-prices>R</h3><p>x</p></section><footer>f</footer></article>"
+    assert extract(ids) == "\n\n".join(["T", PLAIN, "R", "x"])
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "post-comments", "disqus_thread", "sidebar", "left-sidebar", "newsletter-form", "cookie-notice", "ad", "share-links"])
+def test_html_drops_what_a_name_marks(name):
+    talk = f"<div class='{name}'>" + "<article class=comment><p>Nice, really, great, post.</p></article>" * 30 + "</div>"
+    assert extract(f"<body><div><h1>T</h1>{PROSE}</div>{talk}</body>") == "T\n\n" + PLAIN
+    assert extract(f"<main>{PROSE}{talk}</main>") == PLAIN
+
+
+def test_html_takes_linear_time_on_hostile_pages():
+    import time
+
+    n = 100_000
+    pages = ["<div><p>" * n + "x", "<a b=\"" * n + "x", "<a '\">" * n, "<b>" * n + "</i>" * n, "<b>" * 400 + "<h2>a</h2>" * n, "<p><b>" * n, "<textarea>" * n, "<" * n, "<a " * n + ">"]
+    for page in pages:
+        start = time.process_time()
+        extract(page)
+        assert time.process_time() - start < 4, page[:20]
+    assert extract("<div>" * n + "deep" + "</div>" * n) == "deep"
+
+
 def test_units(spark):
     line, other = "This line has five words", "another line of five words"
     texts = [f"{line}\nshort\n{other}", f"first\n  this LINE has\tfive words", f"{line}\n{line}\nend of it all here", None, "", "short\nshort"]
