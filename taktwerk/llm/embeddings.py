@@ -73,13 +73,17 @@ def unit_rows(vectors: list) -> np.ndarray:
 
 
 def hashed(classes: DataFrame, tables: int, size: int, width: float) -> DataFrame:
-    """(cid, hashes): the bucket of a vector in each table, of which label and length are part."""
+    """cid, weight, v, h1, h2 and hashes: the bucket of a vector in each table, of which label and length are part.
+
+    They are computed once and written: the same product over other rows may round otherwise.
+    """
+    carried = ["cid", "weight", "v", "h1", "h2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Projections] = {}
         for batch in batches:
-            vectors = batch.column(1)
-            labels = batch.column(2).to_numpy()
+            vectors = batch.column("v")
+            labels = batch.column("label_hash").to_numpy()
             lengths = np.diff(vectors.offsets.to_numpy())
             values, start = vectors.flatten().to_numpy(), np.cumsum(lengths) - lengths
             buckets = np.zeros((len(vectors), tables), np.int64)
@@ -88,13 +92,15 @@ def hashed(classes: DataFrame, tables: int, size: int, width: float) -> DataFram
                 use = made.setdefault(dim, Projections(dim, tables, size, width))
                 found = use.buckets(unit_rows(values[start[at][:, None] + np.arange(dim)]))
                 buckets[at] = found ^ labels[at, None] ^ (dim * 0x632BE59BD9B4E019 % 2**62)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(buckets), pa.list_(pa.int64()))], names=["cid", "hashes"])
+            own = [batch.column(c) for c in carried]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(list(buckets), pa.list_(pa.int64()))], names=[*carried, "hashes"])
 
-    rows = classes.select("cid", "v", F.xxhash64("label", F.lit(3)).alias("label_hash"))
-    return rows.mapInArrow(run, "cid long, hashes array<long>")
+    rows = classes.select(*carried, F.xxhash64("label", F.lit(3)).alias("label_hash"))
+    fields = [*(classes.schema[c] for c in carried), T.StructField("hashes", T.ArrayType(T.LongType()))]
+    return rows.mapInArrow(run, T.StructType(fields))
 
 
-def pairs_in_buckets(rows: DataFrame, threshold: float, tables: int, size: int, width: float) -> DataFrame:
+def pairs_in_buckets(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b, weight) from the dealt rows of buckets: b null and the weight of linked classes for a, or an edge a - b.
 
     A pair is weighed in the first table in which it shares a bucket, so that none counts twice; edges are
@@ -102,7 +108,6 @@ def pairs_in_buckets(rows: DataFrame, threshold: float, tables: int, size: int,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, Projections] = {}
         for batch, at in runs(batches, ["bucket", "block_i", "block_j"]):
             a: list[np.ndarray] = []
             b: list[np.ndarray] = []
@@ -115,7 +120,7 @@ def pairs_in_buckets(rows: DataFrame, threshold: float, tables: int, size: int,
                 linked = unit @ unit.T >= threshold
                 np.fill_diagonal(linked, False)
                 linked &= linked.T
-                if (block != block[0]).any():
+                if part.column("block_i")[0] != part.column("block_j")[0]:  # even if one of the blocks is empty
                     linked &= block[:, None] != block[None, :]
                 if not linked.any():
                     continue
@@ -124,10 +129,9 @@ def pairs_in_buckets(rows: DataFrame, threshold: float, tables: int, size: int,
                 a.append(cid[moved])
                 b.append(cid[label[moved]])
                 w.append(np.zeros(len(moved), np.int64))
-                if table:
-                    hashes = made.setdefault(unit.shape[1], Projections(unit.shape[1], tables, size, width)).buckets(unit)
-                    for t in range(table):
-                        linked &= hashes[:, None, t] != hashes[None, :, t]
+                hashes = part.column("hashes").flatten().to_numpy().reshape(len(cid), -1)
+                for t in range(table):
+                    linked &= hashes[:, None, t] != hashes[None, :, t]
                 total = linked @ weight
                 some = np.flatnonzero(total)
                 a.append(cid[some])
@@ -164,14 +168,14 @@ def near_vectors(
     sums and stars, never the list of pairs. Rows that
     repeat an id are vectors of their own, joined in one component. Vectors of different length never link.
     """
-    classes = written(vector_classes(vectors, id_col, vector_col, label_col))
-    buckets = hashed(classes, tables, size, width).select("cid", F.posexplode("hashes").alias("table", "bucket"))
+    classes = written(hashed(vector_classes(vectors, id_col, vector_col, label_col), tables, size, width))
+    buckets = classes.select("cid", F.posexplode("hashes").alias("table", "bucket"))
     full = buckets.groupBy("bucket").count().filter(F.col("count") > 1)
     rows = buckets.join(full.select("bucket", F.ceil(F.col("count") / block_rows).cast("int").alias("n_blocks")), "bucket")
     shared = written(in_blocks(rows, "cid"))
     group = ["bucket", "block_i", "block_j"]
-    dealt = shared.join(classes.select("cid", "weight", "v"), "cid").repartition(*group).sortWithinPartitions(*group)
-    found = written(pairs_in_buckets(dealt, threshold, tables, size, width))
+    dealt = shared.join(classes.select("cid", "weight", "v", "hashes"), "cid").repartition(*group).sortWithinPartitions(*group)
+    found = written(pairs_in_buckets(dealt, threshold))
     forget(shared)
     parts = connected_components(found.filter("b IS NOT NULL"))
     links = found.filter("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("weight").alias("others"))

@@ -142,7 +142,7 @@ def connect(ring: Ring, start: int, fp: np.ndarray, exact: np.ndarray, block: np
         return [(0, 1)] if ring.linked(start, fp[:1], fp[1:])[0, 0] else []
     inside = np.flatnonzero(exact)
     edges: list[tuple[int, int]] = []
-    across = block[0] != block[-1] or (block != block[0]).any()
+    across = bool((block != block[0]).any())
     step = max(1, 4_000_000 // len(fp))
     parent = np.arange(len(fp))
     for k in range(0, len(inside), step):
