@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taktwerk.plans import charts, decisions, forecasts, layouts, tables
+from taktwerk.plans import charts, decisions, forecasts, layouts, tables, traces
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**charts.QUERIES, **tables.QUERIES, **forecasts.QUERIES, **layouts.QUERIES, **decisions.QUERIES}
-ORACLES: dict[str, str] = {**charts.ORACLES, **tables.ORACLES, **layouts.ORACLES, **decisions.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**charts.QUERIES, **tables.QUERIES, **forecasts.QUERIES, **layouts.QUERIES, **decisions.QUERIES, **traces.QUERIES}
+ORACLES: dict[str, str] = {**charts.ORACLES, **tables.ORACLES, **layouts.ORACLES, **decisions.ORACLES, **traces.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
