@@ -143,14 +143,17 @@ def repeated_in_anchors(size: int):
             # windows in a row of one stretch make one piece; its kept place is that of where it begins
             cut = np.append(True, (np.diff(at) > 1) | (np.diff(row[at]) > 0))
             piece = np.cumsum(cut) - 1
-            by_place = np.lexsort((since, piece))[np.flatnonzero(cut)]
-            last = np.append(np.flatnonzero(cut)[1:], len(at)) - 1
             doc = batch.column("doc_id")
+            kept = since - (word[at] - word[first])
+            kept_doc = doc.fill_null(0).to_numpy()[row[first]]
+            null = doc.is_null().to_numpy(zero_copy_only=False)[row[first]]
+            by_place = np.lexsort((kept, kept_doc, null, since, piece))[np.flatnonzero(cut)]
+            last = np.append(np.flatnonzero(cut)[1:], len(at)) - 1
             columns = [
                 doc.take(pa.array(row[at[by_place]])), pa.array(key[at[by_place]]), pa.array(since[by_place], pa.int32()),
                 pa.array(word[at[last]] + size, pa.int32()), pa.array(begin[by_place], pa.int32()), pa.array(end[at[last]], pa.int32()),
                 doc.take(pa.array(row[first[by_place]])),
-                pa.array(since[by_place] - (word[at[by_place]] - word[first[by_place]]), pa.int32()),
+                pa.array(kept[by_place], pa.int32()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in FOUND.split(", ")])
 

@@ -192,7 +192,40 @@ def op10_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 51 words or more wherever lines break; op10_units, the same with lines as units, finds whole lines only."""
-    return repeated_passages(read(spark, sf_dir, "documents"))
+    return repeated_passages(read(spark, sf_dir, "documents")).drop("doc_key")
+
+
+# White space, and letters that are words of their own.
+WHITE = r"\x20\x09-\x0D\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+ALONE = r"\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}"
+OP10_PASSAGES_SQL = f"""
+WITH token AS (
+  SELECT DISTINCT doc_id, text, regexp_extract_all(text, '[{WHITE}]*(?:[{ALONE}]|[^{WHITE}{ALONE}]+)') AS t FROM documents WHERE text IS NOT NULL),
+placed AS (
+  SELECT row_number() OVER () AS r, doc_id, t, list_transform(t, lambda x: regexp_replace(x, '^[{WHITE}]+', '')) AS w FROM token WHERE len(t) > 50),
+one AS (SELECT r, doc_id, generate_subscripts(w, 1) - 1 AS i, unnest(w) AS w, unnest(t) AS t FROM placed),
+word AS (
+  SELECT r, doc_id, i, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, length(w) AS n,
+         sum(length(t)) OVER (PARTITION BY r ORDER BY i) AS e FROM one),
+doc AS (SELECT r, doc_id, list(w ORDER BY i) AS w, list(e - n ORDER BY i) AS s, list(e ORDER BY i) AS e FROM word GROUP BY r, doc_id),
+win AS (
+  SELECT r, doc_id, unnest(range(0, len(w) - 50)) AS i,
+         unnest(list_transform(range(1, len(w) - 49), lambda i: md5(array_to_string(w[i:i + 50], chr(10))))) AS h FROM doc),
+ranked AS (
+  SELECT *, first_value(r) OVER f AS kr, first_value(doc_id) OVER f AS kd, first_value(i) OVER f AS ki FROM win
+  WINDOW f AS (PARTITION BY h ORDER BY doc_id NULLS LAST, r, i)),
+again AS (
+  SELECT *, kr = r AND ki + 51 > i AS over, CASE WHEN kr = r AND ki + 51 > i THEN ki + 51 ELSE i END AS since FROM ranked WHERE kr <> r OR ki <> i),
+cut AS (
+  SELECT *, CASE WHEN since > max(i + 51) OVER (PARTITION BY r ORDER BY since, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM again),
+part AS (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY since, i) AS p FROM cut),
+merged AS (
+  SELECT r, p, min(since) AS unit_no, max(i) + 51 AS upto, min(CASE WHEN over THEN e[ki + 51] ELSE s[i + 1] END) AS start, max(e[i + 51]) AS "end",
+         first(struct_pack(d := kd, k := since - i + ki) ORDER BY since, kd NULLS LAST, since - i + ki) AS kept
+  FROM part JOIN (SELECT r, s, e FROM doc) USING (r) GROUP BY r, p)
+SELECT doc_id, unit_no::INT AS unit_no, start::INT AS start, "end"::INT AS "end", (upto - unit_no)::INT AS n_words, kept.d AS kept_doc_id, kept.k::INT AS kept_unit_no
+FROM merged JOIN (SELECT r, doc_id FROM doc) USING (r)
+"""
 
 
 OP10_SQL = r"""
@@ -232,5 +265,6 @@ ORACLES = {
     "op2_chat": OP2_SQL,
     "op3_embeddings": OP3_SQL,
     "op6_sharding": OP6_SQL,
+    "op10_passages": OP10_PASSAGES_SQL,
     "op10_units": OP10_SQL,
 }
