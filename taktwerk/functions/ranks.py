@@ -81,3 +81,18 @@ def average_ranks(df: DataFrame, column: str, name: str, rows_per_slot: int = RO
     ranked = cumulated(ties, "__v", ["__n"], rows_per_slot)
     ranked = ranked.select("__v", (F.col("__n_before") + (F.col("__n") + 1) / 2).alias(name))
     return df.join(ranked, F.col(column) == F.col("__v")).drop("__v")
+
+
+def quantiles(df: DataFrame, by: list[str], column: str, shares: list[float], rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
+    """(by, k, value): the quantile at shares[k] of each key, linear between neighbours; nulls don't count, keys of nulls alone have none.
+
+    Places come from slots, so no task holds a key's values; only two rows a quantile are kept.
+    """
+    known = df.select(*by, F.col(column).cast("double").alias("__x")).filter(F.col("__x").isNotNull())
+    counts = known.groupBy(*by).agg(F.count("*").alias("__n"))
+    at = counts.select(*by, "__n", F.posexplode(F.array(*map(F.lit, map(float, shares)))).alias("k", "__s"))
+    at = at.withColumn("__at", F.col("__s") * (F.col("__n") - 1))
+    wanted = at.select(*by, "k", "__at", F.explode(F.array_distinct(F.array(F.floor("__at"), F.ceil("__at")))).alias("__place"))
+    share = F.when(F.floor("__at") == F.ceil("__at"), 1.0).otherwise(1 - F.abs(F.col("__at") - F.col("__place")))
+    placed = positions(known, by, ["__x"], "__place", rows_per_slot)
+    return placed.join(wanted, [*by, "__place"]).groupBy(*by, "k").agg(F.sum(F.col("__x") * share).alias("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taktwerk.functions.ranks import ROWS_PER_SLOT, lagged
+from taktwerk.functions.ranks import ROWS_PER_SLOT, lagged, quantiles
 
 
 def by_unit():
@@ -56,6 +56,70 @@ def interpolate(scans: DataFrame, x: str = "x_late") -> DataFrame:
     return out.withColumn("x_fill", F.when(F.col("__n") >= 2, fill)).drop("__n", "__j0", "__x0", "__j1", "__x1")
 
 
+def fill_rest(scans: DataFrame, x: str = "x_fill", rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
+    """Adds x_full: what interpolation left open gets the median of its station's scans, or its unit's release where there are none."""
+    medians = quantiles(scans, ["j"], x, [0.5], rows_per_slot).select("j", F.col("value").alias("__median"))  # a row for each station
+    return scans.join(medians, "j", "left").withColumn("x_full", F.coalesce(x, "__median", "release_s")).drop("__median")
+
+
+def clock_drift(scans: DataFrame, x: str = "x", share: float = 0.01, least: int = 100, limit_s: float = 3.0) -> DataFrame:
+    """(j, drift_s, drifted): by how much the smallest gaps to the station before grew from the first half of the units to the second.
+
+    Stations with fewer than `least` gaps in a half have no row. Drift is reported, not corrected.
+    """
+    half = scans.agg((F.max("unit") / 2).alias("half")).first()["half"] or 0.0
+    gaps = scans.select("j", (F.col("unit") >= half).alias("late"), (F.col(x) - F.lag(x).over(by_unit())).alias("gap"))
+    enough = gaps.groupBy("j", "late").agg(F.count("gap").alias("n")).filter(F.col("n") >= least).groupBy("j").count().filter("count = 2")
+    low = quantiles(gaps, ["j", "late"], "gap", [share]).join(enough.select("j"), "j")
+    drift = F.sum(F.when(F.col("late"), F.col("value")).otherwise(-F.col("value")))
+    return low.groupBy("j").agg(drift.alias("drift_s")).withColumn("drifted", F.abs("drift_s") > limit_s)
+
+
+def station_quality(scans: DataFrame, drift: DataFrame, x: str = "x") -> DataFrame:
+    """(j, missing_rate, drift_s, drifted, quality): the share of real reads counts six times over, halved under clock drift."""
+    missing = scans.groupBy("j").agg(F.avg(F.col(x).isNull().cast("double")).alias("missing_rate"))
+    out = missing.join(drift, "j", "left").withColumn("drift_s", F.coalesce("drift_s", F.lit(0.0))).withColumn("drifted", F.coalesce("drifted", F.lit(False)))
+    quality = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - 6 * F.col("missing_rate"))) * F.when(F.col("drifted"), 0.5).otherwise(1.0)
+    return out.withColumn("quality", quality)
+
+
+def repair_report(repaired: DataFrame, quality: DataFrame) -> DataFrame:
+    """One row: n_missing, n_duplicates, n_late and n_drifted found, overall_quality (the mean of the stations) and notes on each.
+
+    repaired has x, x_dup and x_late; a scan counts as repaired if a step moved it.
+    """
+    moved = lambda a, b: F.coalesce(F.sum((F.abs(F.col(a) - F.col(b)) > 1e-9).cast("long")), F.lit(0))
+    counts = repaired.agg(
+        F.coalesce(F.sum(F.col("x").isNull().cast("long")), F.lit(0)).alias("n_missing"),
+        moved("x", "x_dup").alias("n_duplicates"),
+        moved("x_dup", "x_late").alias("n_late"),
+    )
+    overall = quality.agg(F.coalesce(F.sum(F.col("drifted").cast("long")), F.lit(0)).alias("n_drifted"), F.avg("quality").alias("overall_quality"))
+    said = {
+        "n_missing": "%d missing reads filled in; confidence is lower there",
+        "n_duplicates": "%d repeated or inverted reads moved",
+        "n_late": "%d late reads moved back",
+        "n_drifted": "%d readers with clock drift, not corrected",
+    }
+    notes = F.array_compact(F.array(*(F.when(F.col(c) > 0, F.format_string(text, c)) for c, text in said.items())))
+    return counts.crossJoin(overall).withColumn("notes", F.array_join(notes, "; "))
+
+
+def score_repair(report: DataFrame, injected: DataFrame) -> DataFrame:
+    """One row: what was injected (n_missed, n_duplicate, n_late) beside what the report found, and the detection rate of missed reads."""
+    both = report.crossJoin(injected)
+    return both.select(
+        F.col("n_missed").alias("missed_injected"),
+        F.col("n_missing").alias("missed_detected"),
+        F.round(F.col("n_missing") / F.greatest("n_missed", F.lit(1)), 4).alias("missed_detection_rate"),
+        F.col("n_duplicate").alias("duplicates_injected"),
+        F.col("n_duplicates").alias("duplicates_corrected"),
+        report["n_late"].alias("late_corrected"),
+        injected["n_late"].alias("late_injected"),
+        F.col("n_drifted").alias("drift_readers_flagged"),
+    )
+
+
 def reconstruct(
     visits: DataFrame, x: str = "true_s", transport_s: float = 4.5, capacity: int = 1, eps_s: float = 1.5,
     rows_per_slot: int = ROWS_PER_SLOT,

@@ -51,6 +51,17 @@ begun AS (SELECT *, greatest(arrive_s, prev_s) AS start_s FROM arrived),
 gated AS (SELECT *, lag(start_s) OVER (PARTITION BY j ORDER BY true_s, unit) AS earlier_s FROM begun),
 state AS (SELECT unit, j, arrive_s, start_s, true_s - start_s AS dwell_s, coalesce(greatest(start_s - prev_s, 0), 0) AS starved_s,
           lead(earlier_s) OVER (PARTITION BY unit ORDER BY j) - start_s AS theta_s FROM gated)"""
+DRIFT = "CASE WHEN j = 5 AND unit >= {half} THEN 8e0 ELSE 0e0 END"  # the reader of station 5 goes late half-way
+DIRTY = FEED.replace("runs AS (SELECT *,", f"dirty AS (SELECT * REPLACE (x + {DRIFT.format(half='(SELECT max(unit) / 2 FROM scan)')} AS x) FROM scan),\nruns AS (SELECT *,").replace("FROM scan),\ndup", "FROM dirty),\ndup") + f""",
+hop AS (SELECT j, unit >= (SELECT max(unit) / 2 FROM dirty) AS late, x - lag(x) OVER (PARTITION BY unit ORDER BY j) AS gap FROM dirty),
+moved AS (SELECT j, median(gap) FILTER (WHERE late) - median(gap) FILTER (WHERE NOT late) AS drift_s FROM hop GROUP BY j
+          HAVING count(gap) FILTER (WHERE late) >= 100 AND count(gap) FILTER (WHERE NOT late) >= 100),
+graded AS (SELECT j, avg((x IS NULL)::INT) AS missing_rate, any_value(coalesce(drift_s, 0)) AS drift_s, any_value(coalesce(abs(drift_s) > 3, false)) AS drifted
+           FROM dirty LEFT JOIN moved USING (j) GROUP BY j),
+quality AS (SELECT *, greatest(0, least(1, 1 - 6 * missing_rate)) * CASE WHEN drifted THEN 0.5 ELSE 1 END AS quality FROM graded),
+report AS (
+  SELECT count(*) FILTER (WHERE x IS NULL) AS n_missing, count(*) FILTER (WHERE abs(x - x_dup) > 1e-9) AS n_duplicates, count(*) FILTER (WHERE abs(x_dup - x_late) > 1e-9) AS n_late,
+         (SELECT count(*) FILTER (WHERE drifted) FROM quality) AS n_drifted, (SELECT avg(quality) FROM quality) AS overall_quality FROM late)"""
 LABELS = """
 labels AS (SELECT o_orderkey AS unit, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS bad FROM orders)"""
 EXPOSED = """
@@ -197,6 +208,39 @@ def repaired(spark, sf_dir):
     return feed.repair_late(dup, feed.late_floors(dup))
 
 
+def drifting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scans = plant.scans(spark, sf_dir)
+    half = spark.read.parquet(f"{sf_dir}/orders.parquet").agg((F.max("o_orderkey") / 2).alias("half")).first()["half"] or 0.0
+    return scans.withColumn("offset_s", F.expr(DRIFT.format(half=half))).withColumn("x", F.col("x") + F.col("offset_s"))
+
+
+def drift_of_all(scans: DataFrame) -> DataFrame:
+    return feed.clock_drift(scans, share=0.5)
+
+
+def repair_report(spark, sf_dir):
+    scans = drifting(spark, sf_dir)
+    dup = feed.repair_duplicates(scans)
+    repaired = feed.repair_late(dup, feed.late_floors(dup))
+    return feed.repair_report(repaired, feed.station_quality(scans, drift_of_all(scans)))
+
+
+def q_repair_scored(spark, sf_dir):
+    true = F.col("true_s") + F.col("offset_s")
+    injected = drifting(spark, sf_dir).agg(
+        F.sum(F.col("x").isNull().cast("long")).alias("n_missed"),
+        F.sum((F.col("x") < true - 1).cast("long")).alias("n_duplicate"),
+        F.sum((F.col("x") > true + 1).cast("long")).alias("n_late"),
+    )
+    return feed.score_repair(repair_report(spark, sf_dir), injected)
+
+
+def q_residual_fill(spark, sf_dir):
+    """A unit in fifty has one read left, at the third station."""
+    thin = repaired(spark, sf_dir).withColumn("x_late", F.when((F.col("unit") % 50 != 7) | (F.col("j") == 3), F.col("x_late")))
+    return rounded(feed.fill_rest(feed.interpolate(thin)).select("unit", "j", "x_full"))
+
+
 def q_spc_stoppage(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     first = events.filter("event_id < 2000").groupBy("event_type").agg((F.avg("value") + 4 * F.stddev_pop("value")).alias("top"))
@@ -218,6 +262,10 @@ QUERIES = {
     "q_dup_repair": lambda s, d: rounded(feed.repair_duplicates(plant.scans(s, d)).select("unit", "j", "x_dup")),
     "q_late_repair": lambda s, d: rounded(repaired(s, d).select("unit", "j", "x_late")),
     "q_interp_missing": lambda s, d: rounded(feed.interpolate(repaired(s, d)).select("unit", "j", "x_fill")),
+    "q_residual_fill": q_residual_fill,
+    "q_station_quality": lambda s, d: rounded(feed.station_quality(drifting(s, d), drift_of_all(drifting(s, d)))),
+    "q_repair_report": lambda s, d: rounded(repair_report(s, d)),
+    "q_repair_scored": q_repair_scored,
     "q_reconstruct_states": lambda s, d: rounded(feed.reconstruct(plant.scans(s, d))),
     "q_soft_sensor_mle": lambda s, d: rounded(kernels.censored_cycle_times(feed.reconstruct(plant.scans(s, d)))),
     "q_line_run": lambda s, d: rounded(
@@ -257,6 +305,22 @@ ORACLES = {
       SELECT near.unit, near.j, round(CASE WHEN n >= 2 THEN coalesce(near.x_late,
         p.x_late + (f.x_late - p.x_late) * (near.j - j0) / nullif(j1 - j0, 0), p.x_late, f.x_late) END, 6) AS x_fill
       FROM near LEFT JOIN late p ON p.unit = near.unit AND p.j = j0 LEFT JOIN late f ON f.unit = near.unit AND f.j = j1""",
+    "q_residual_fill": f"""WITH {FEED},
+      thin AS (SELECT unit, j, release_s, CASE WHEN unit % 50 <> 7 OR j = 3 THEN x_late END AS x FROM late),
+      near AS (SELECT a.unit, a.j, any_value(a.release_s) AS release_s, any_value(a.x) AS x, max(b.j) FILTER (WHERE b.j <= a.j) AS j0, min(b.j) FILTER (WHERE b.j >= a.j) AS j1, count(b.j) AS n
+        FROM thin a LEFT JOIN thin b ON a.unit = b.unit AND b.x IS NOT NULL GROUP BY a.unit, a.j),
+      fill AS (SELECT near.unit, near.j, near.release_s, CASE WHEN n >= 2 THEN coalesce(near.x, p.x + (f.x - p.x) * (near.j - j0) / nullif(j1 - j0, 0), p.x, f.x) END AS x
+        FROM near LEFT JOIN thin p ON p.unit = near.unit AND p.j = j0 LEFT JOIN thin f ON f.unit = near.unit AND f.j = j1)
+      SELECT unit, j, round(coalesce(x, median(x) OVER (PARTITION BY j), release_s), 6) AS x_full FROM fill""",
+    "q_station_quality": f"WITH {DIRTY} SELECT j, round(missing_rate, 6) AS missing_rate, round(drift_s, 6) AS drift_s, drifted, round(quality, 6) AS quality FROM quality",
+    "q_repair_report": f"""WITH {DIRTY} SELECT n_missing, n_duplicates, n_late, n_drifted, round(overall_quality, 6) AS overall_quality,
+      concat_ws('; ', CASE WHEN n_missing > 0 THEN n_missing || ' missing reads filled in; confidence is lower there' END, CASE WHEN n_duplicates > 0 THEN n_duplicates || ' repeated or inverted reads moved' END,
+        CASE WHEN n_late > 0 THEN n_late || ' late reads moved back' END, CASE WHEN n_drifted > 0 THEN n_drifted || ' readers with clock drift, not corrected' END) AS notes FROM report""",
+    "q_repair_scored": f"""WITH {DIRTY}, injected AS (
+        SELECT count(*) FILTER (WHERE x IS NULL) AS n_missed, count(*) FILTER (WHERE (unit * 5 + j * 11) % 97 = 0 AND x IS NOT NULL) AS n_duplicate,
+          count(*) FILTER (WHERE (unit * 3 + j * 7) % 53 = 0 AND (unit * 5 + j * 11) % 97 <> 0 AND x IS NOT NULL) AS n_late FROM dirty)
+      SELECT n_missed AS missed_injected, n_missing AS missed_detected, round(n_missing / greatest(n_missed, 1), 4) AS missed_detection_rate, n_duplicate AS duplicates_injected,
+        n_duplicates AS duplicates_corrected, report.n_late AS late_corrected, injected.n_late AS late_injected, n_drifted AS drift_readers_flagged FROM report, injected""",
     "q_reconstruct_states": f"""WITH {STATES} SELECT unit, j, round(arrive_s, 6) AS arrive_s, round(start_s, 6) AS start_s, round(dwell_s, 6) AS dwell_s,
       round(starved_s, 6) AS starved_s, round(theta_s, 6) AS theta_s, coalesce(dwell_s - theta_s < 1.5, false) AS blocked FROM state""",
     "q_spc_score": f"""WITH {CUSUM}, fired AS (
