@@ -78,7 +78,7 @@ calib AS (SELECT y, CASE WHEN y = 1 THEN 1 - score ELSE score END AS s FROM risk
 placed AS (SELECT y, s, row_number() OVER (PARTITION BY y ORDER BY s) AS r, count(*) OVER (PARTITION BY y) AS n FROM calib),
 quant AS (SELECT y, max(CASE WHEN r = least(n, CAST(ceil(least(1e0, ceil((n + 1) * 0.9e0) / n) * (n - 1)) AS BIGINT) + 1) THEN s END) AS q, max(n) AS n
           FROM placed GROUP BY y),
-level AS (SELECT max(CASE WHEN y = 1 THEN CASE WHEN n < 5 THEN 1e0 ELSE q END END) AS q1, max(CASE WHEN y = 0 THEN CASE WHEN n < 5 THEN 1e0 ELSE q END END) AS q0 FROM quant),
+level AS (SELECT max(CASE WHEN y = 1 THEN CASE WHEN n < 20 THEN 1e0 ELSE q END END) AS q1, max(CASE WHEN y = 0 THEN CASE WHEN n < 20 THEN 1e0 ELSE q END END) AS q0 FROM quant),
 decided AS (SELECT unit, score, y, 1 - score <= q1 AS in1, score <= q0 AS in0 FROM risk, level WHERE unit % 2 = 1),
 decision AS (SELECT *, CASE WHEN in1 AND in0 THEN 'abstain' WHEN in0 THEN 'pass' ELSE 'flag' END AS decision FROM decided)"""
 SIGNAL = """
@@ -166,7 +166,7 @@ TEXTS = {
     "q_labels": "SELECT o_orderkey AS unit, CASE WHEN bad.k IS NULL THEN 0 ELSE 1 END AS y FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7) bad ON bad.k = o_orderkey",
     "q_time_split": "SELECT o_orderkey AS unit, CASE WHEN o_orderkey % 100 < 65 THEN 'train' WHEN o_orderkey % 100 < 80 THEN 'calib' ELSE 'test' END AS part FROM orders",
     "q_type_status": "SELECT l_linenumber AS defect_type, count_if(l_returnflag = 'R') AS n_pos, CASE WHEN count_if(l_returnflag = 'R' AND l_orderkey % 100 < 65) < 60 THEN 'unmodelled: train' WHEN count_if(l_returnflag = 'R' AND l_orderkey % 100 BETWEEN 65 AND 79) < 20 THEN 'unmodelled: calib' ELSE 'fitted' END AS status FROM lineitem GROUP BY l_linenumber",
-    "q_conformal_q": f"WITH {RISK} SELECT y, n, round(CASE WHEN n < 5 THEN 1e0 ELSE q END, 6) AS q FROM quant",
+    "q_conformal_q": f"WITH {RISK} SELECT y, n, round(CASE WHEN n < 20 THEN 1e0 ELSE q END, 6) AS q FROM quant",
     "q_conformal_decision": f"WITH {RISK} SELECT unit, round(score, 6) AS score, in1, in0, decision FROM decision",
     "q_conformal_eval": f"""WITH {RISK} SELECT count(*) AS n, round(avg(CASE WHEN y = 1 THEN CASE WHEN in1 THEN 1e0 ELSE 0e0 END END), 6) AS coverage1, round(avg(CASE WHEN y = 0 THEN CASE WHEN in0 THEN 1e0 ELSE 0e0 END END), 6) AS coverage0,
       round(avg(CASE WHEN decision = 'flag' THEN 1e0 ELSE 0e0 END), 6) AS flag_rate, round(avg(CASE WHEN decision = 'abstain' THEN 1e0 ELSE 0e0 END), 6) AS abstain_rate FROM decision""",
@@ -176,8 +176,8 @@ TEXTS = {
       cum AS (SELECT tp, sum(tp) OVER (ORDER BY score DESC) AS ctp, sum(n) OVER (ORDER BY score DESC) AS cn, sum(tp) OVER () AS total FROM tie)
       SELECT round(sum(ctp / cn * tp / total), 6) AS ap FROM cum""",
     "q_rolling_conformal": f"""WITH {RISK}, blk AS (SELECT unit, y, CASE WHEN y = 1 THEN 1 - score ELSE score END AS s, DIV(unit, 250) AS b FROM risk),
-      win AS (SELECT t.b AS b, c.y AS y, c.s AS s FROM (SELECT DISTINCT b FROM blk) t JOIN blk c ON c.b < t.b AND c.b >= t.b - 4),
-      pl AS (SELECT b, y, s, row_number() OVER (PARTITION BY b, y ORDER BY s) AS r, count(*) OVER (PARTITION BY b, y) AS n FROM win)
+      win AS (SELECT blk.b + step.k AS b, y, s FROM blk CROSS JOIN (VALUES (1), (2), (3), (4)) AS step(k)),
+      pl AS (SELECT win.b AS b, y, s, row_number() OVER (PARTITION BY win.b, y ORDER BY s) AS r, count(*) OVER (PARTITION BY win.b, y) AS n FROM win JOIN (SELECT DISTINCT b FROM blk) t ON t.b = win.b)
       SELECT b, y, max(n) AS n, round(max(CASE WHEN r = least(n, CAST(ceil(least(1e0, ceil((n + 1) * 0.9e0) / n) * (n - 1)) AS BIGINT) + 1) THEN s END), 6) AS q FROM pl GROUP BY b, y""",
     "q_top_evidence": f"""WITH {SIGNAL}, med AS (SELECT j, median(v) AS med FROM signal GROUP BY j), dev AS (SELECT signal.unit AS unit, signal.j AS j, v - med AS d FROM signal JOIN med ON med.j = signal.j),
       mad AS (SELECT j, median(abs(d)) AS mad FROM dev GROUP BY j), sc AS (SELECT unit, dev.j AS j, abs(d) / (mad + 1e-9) AS e FROM dev JOIN mad ON mad.j = dev.j WHERE unit % 100 = 7),
