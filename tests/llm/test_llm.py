@@ -171,6 +171,52 @@ def test_language(spark):
     assert langid.identify(df, ["doc_id"], langid.train(df.limit(0))).first().lang_pred == "und"
 
 
+def test_language_equals_a_brute_force_of_dictionaries(spark):
+    import math
+    from collections import Counter
+
+    rng = random.Random(7)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 9)))
+    letters = {"a": "abcdeé", "b": "cdefgh", "c": "日本語ßab"}
+    text = lambda k: " ".join(word(letters[k]) for _ in range(rng.randint(1, 60))) + rng.choice([".", " 12x_y", "\n"])
+    rows = [(text(k), k) for k in "abcaab" * 12]
+    model = langid.train(spark.createDataFrame([*rows, rows[0], (None, "a"), ("x", None)], "text string, lang string"))
+    grams = lambda w, n: [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)]
+    words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    counts = [{k: Counter() for k in letters} for _ in range(6)]
+    for t, k in set(rows):
+        for w in words(t):
+            counts[0][k][w] += 1
+            for n in range(1, 6):
+                counts[n][k].update(g for g in grams(w, n) if n > 1 or g not in "^$")
+    log = lambda n, g, k: math.log((counts[n][k][g] + 0.5) / (sum(counts[n][k].values()) + 0.5 * (len(set().union(*counts[n].values())) + 1)))
+    for t in [*(t for t, _ in rows[:20]), *(text(k) for k in "abc" * 10), "ÉÉ", "zz", "12", ""]:
+        total = {k: math.log((sum(x == k for _, x in set(rows)) + 1) / (len(set(rows)) + 3)) for k in letters}
+        for w in words(t):
+            for n in (0, 5, 4, 3, 2, 1):
+                found = [g for g in ([w] if n == 0 else grams(w, n)) if any(g in counts[n][k] for k in letters) and (n != 1 or g not in "^$")]
+                if found:
+                    for k in letters:
+                        total[k] += sum(log(n, g, k) for g in found) / len(found)
+                    break
+        best = max(sorted(total), key=total.get)
+        lang, share = model.predict(t)
+        if not any(c.isalpha() for c in t):
+            assert (lang, share) == ("und", 0.0)
+        else:
+            assert lang == best and share == pytest.approx(1 / sum(math.exp(v - total[best]) for v in total.values()), abs=1e-4)
+
+
+def test_language_held_out_accuracy_and_odd_rows(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    clash = table.select("doc_id", "text", "lang", langid.held_out().alias("held_out"), F.lit("clash").alias("score"))
+    got = langid.identify(clash, ["lang", "held_out", "score"], langid.fit_on_documents(table)).filter("held_out AND lang IS NOT NULL AND lang_pred != 'und'")
+    right = [r.lang == r.lang_pred for r in got.collect()]
+    assert len(right) > 250 and np.mean(right) > 0.98
+    assert "score_kept" in got.columns
+    assert langid.identify(table.limit(0), ["doc_id"], langid.train(table.limit(0))).count() == 0
+
+
 def test_language_fit_has_rare_languages_and_counts_copies_once(spark):
     rows = [(f"the house number{i} and the garden", "en") for i in range(400)] + [("talo ja puutarha", "fi"), ("talo on suuri", "fi")]
     rows += [("ein und dasselbe", "de")] * 300 + [(f"der garten nummer{i} und das haus", "de") for i in range(100)]
@@ -338,6 +384,37 @@ def test_html_takes_linear_time_on_hostile_pages():
     assert extract("<div>" * n + "deep" + "</div>" * n) == "deep"
 
 
+def test_html_equals_the_standard_parser_on_the_given_pages(spark):
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            self.blocks[-1] += " " if tag == "br" else ""
+            if tag in ("p", "h1"):
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+
+        def handle_data(self, data):
+            self.blocks[-1] += data if self.inside else ""
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    clash = pages.withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit("clash"))
+    got = extract_text(clash, ["page_id", "html", "text", "n_chars"]).collect()
+    assert len(got) == pages.count() and {(r.text_kept, r.n_chars_kept) for r in got} == {("clash", "clash")}
+    for r in got:
+        reader = Reader()
+        reader.feed(r.html or "")
+        assert r.text == "\n\n".join(x for b in reader.blocks if (x := " ".join(b.split()))) and r.n_chars == len(r.text)
+    assert extract_text(pages.limit(0), ["page_id"]).count() == 0
+
+
 def test_units(spark):
     line, other = "This line has five words", "another line of five words"
     texts = [f"{line}\nshort\n{other}", f"first\n  this LINE has\tfive words", f"{line}\n{line}\nend of it all here", None, "", "short\nshort"]
