@@ -18,6 +18,23 @@ NONE = 1 << 62
 SPACE = "\t-\r\x20\x85\xa0  -     　"
 # How the vocabulary parts a text before the merges.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
+# Letters and digits of the regex module (first and last code point) that the tokenizers library doesn't know yet.
+LATER = """
+0558 0558 058B 058C 088F 088F 0C5C 0C5C 0CDC 0CDC 208F 208F 209D 209F A7CE A7CF A7D2 A7D2 A7D4 A7D4 A7DD A7DD A7E2 A7E2 A7F1 A7F1
+AB6C AB6D 107BB 107BF 10940 10959 10EC5 10EC7 10ED9 10EEE 11B0A 11B0A 11DB0 11DDB 11DE0 11DE9 11DF1 11DF1 1246F 1246F 12475 1247F
+12550 12686 16EA0 16EB8 16EBB 16ED3 16FF2 16FF6 187F8 187FF 18CD6 18CDA 18D09 18D20 18D80 18DF2 18E00 19191 191A0 191D2 1B123 1B128
+1B168 1B168 1D6A6 1D6A6 1DF1F 1DF24 1DF2B 1DF81 1DF90 1DF96 1DFCD 1DFFF 1E6C0 1E6DE 1E6E0 1E6E2 1E6E4 1E6E5 1E6E7 1E6ED 1E6F0 1E6F4
+1E6FE 1E6FF 2B73A 2B73F 2B81E 2B81E 2CEA2 2CEAD 323B0 33479 3D000 3FC3F
+"""
+# Capitals that the library lowers and Python doesn't yet.
+CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
+
+def ranges(bounds: str) -> str:
+    """The inside of a character class, from first and last code points in hexadecimal."""
+    points = [rf"\U{int(x, 16):08x}" for x in bounds.split()]
+    return "".join(f"{a}-{z}" for a, z in zip(points[::2], points[1::2], strict=True))
 
 
 class PairTree:
@@ -75,6 +92,11 @@ class WordBpe:
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.letters = byte_letters()
         self.pieces = regex.compile(PIECES)
+        later = ranges(LATER)
+        known = PIECES.replace(r"[\p{L}]+", rf"(?:(?![{later}])\p{{L}})+").replace(r"[\p{N}]|", rf"(?![{later}])\p{{N}}|")
+        self.known = regex.compile(known.replace(rf"[^{SPACE}\p{{L}}\p{{N}}]+", rf"(?:[{later}]|[^{SPACE}\p{{L}}\p{{N}}])+"))
+        self.later = regex.compile(f"[{later}]")
+        self.capitals = regex.compile("[" + "".join(map(chr, CAPITALS)) + "]")
         self.spaces = regex.compile(f"[{SPACE}]+")
         self.odd = regex.compile("[\x1c-\x1f]")  # white space to str.split, but not to the vocabulary
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -134,7 +156,7 @@ class WordBpe:
             return found
         found = self.old.get(part)
         if found is None:
-            pieces = self.pieces.findall(part)
+            pieces = (self.pieces if part.isascii() or not self.later.search(part) else self.known).findall(part)
             if len(pieces) > 1:
                 found = joined([x for x in map(self._part, pieces) if x[0]])
             else:
@@ -143,7 +165,9 @@ class WordBpe:
         return self._keep(part, found)
 
     def _plain(self, text: str) -> list[tuple[int, str, str]]:
-        text = text if text.isascii() else unicodedata.normalize("NFC", text)
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+            text = text.translate(CAPITALS) if self.capitals.search(text) else text
         text = text.replace("Σ", "σ").lower()  # letter by letter: no final sigma
         parts = self.spaces.split(text) if self.odd.search(text) else text.split()
         cache = self.young.get

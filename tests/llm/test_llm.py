@@ -249,6 +249,19 @@ def test_sharding(spark):
     assert [(r.shard == "all", r.fits) for r in shard(null_ids, [], max_bytes=500).select("shard", "fits").distinct().collect()] == [(True, False)]
 
 
+def test_bpe_equals_the_library_at_every_code_point():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path := vocabulary_path())
+    tok.no_truncation(), tok.no_padding()
+    bpe = WordBpe(path)
+    points = [*range(0xD800), *range(0xE000, 0x34000), *range(0x3D000, 0x3D010), *range(0xE0000, 0xE0200)]
+    for i in range(0, len(points), 20_000):
+        texts = [f"ab{chr(c)}ba 7{chr(c)}{chr(c)}" for c in points[i : i + 20_000]]
+        want = [" ".join(map(str, e.ids)) for e in tok.encode_batch(texts, add_special_tokens=False)]
+        assert [bpe.encode(t)[1] for t in texts] == want
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 
