@@ -26,9 +26,14 @@ def slot_of(df: DataFrame, order: str, rows_per_slot: int = ROWS_PER_SLOT) -> Co
     return F.coalesce(F.floor((x - F.lit(lo)) / F.lit((hi - lo) / slots)), F.lit(-1)).cast("long")
 
 
-def positions(df: DataFrame, by: list[str], order: list[str], name: str = "pos", rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
-    """Adds the place of each row, from 0, among the rows of its key; nulls of the order come first."""
-    slot = slot_of(df, order[0], rows_per_slot)
+def positions(
+    df: DataFrame, by: list[str], order: list[str], name: str = "pos", rows_per_slot: int = ROWS_PER_SLOT, slot: Column | None = None
+) -> DataFrame:
+    """Adds the place of each row, from 0, among the rows of its key; nulls of the order come first.
+
+    slot: what slot_of gave for the same order, if the caller has it; else it is computed here.
+    """
+    slot = slot_of(df, order[0], rows_per_slot) if slot is None else slot
     if slot is None:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - F.lit(1).cast("long"))
     cut = df.withColumn("__slot", slot)
@@ -50,12 +55,18 @@ def same_key_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str =
     return rows.join(named, on, how).drop(*(f"__k_{k}" for k in keys))
 
 
-def lagged(df: DataFrame, by: list[str], order: list[str], what: dict[str, str], k: int = 1, rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
-    """Adds, for each new name, the column's value k rows earlier in the order of the key; null for the first k rows."""
-    if slot_of(df, order[0], rows_per_slot) is None:
+def lagged(
+    df: DataFrame, by: list[str], order: list[str], what: dict[str, str], k: int = 1, rows_per_slot: int = ROWS_PER_SLOT, slots: list[Column | None] | None = None
+) -> DataFrame:
+    """Adds, for each new name, the column's value k rows earlier in the order of the key; null for the first k rows.
+
+    slots: the slot_of of the same order in a list of one, so that several lags over one order compute it once.
+    """
+    slot = slots[0] if slots else slot_of(df, order[0], rows_per_slot)
+    if slot is None:
         w = Window.partitionBy(*by).orderBy(*order)
         return df.select("*", *(F.lag(c, k).over(w).alias(name) for name, c in what.items()))
-    placed = positions(df, by, order, "__pos", rows_per_slot)
+    placed = positions(df, by, order, "__pos", rows_per_slot, slot)
     earlier = placed.select(*by, (F.col("__pos") + k).alias("__pos"), *(F.col(c).alias(name) for name, c in what.items()))
     return same_key_join(placed, earlier, [*by, "__pos"], "left").drop("__pos")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taktwerk.functions.ranks import ROWS_PER_SLOT, lagged, quantiles
+from taktwerk.functions.ranks import ROWS_PER_SLOT, lagged, quantiles, slot_of
 
 
 def by_unit():
@@ -122,22 +122,23 @@ def score_repair(report: DataFrame, injected: DataFrame) -> DataFrame:
 
 def reconstruct(
     visits: DataFrame, x: str = "true_s", transport_s: float = 4.5, capacity: int = 1, eps_s: float = 1.5,
-    rows_per_slot: int = ROWS_PER_SLOT,
+    rows_per_slot: int = ROWS_PER_SLOT, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """unit, j, arrive_s, start_s, dwell_s, starved_s, theta_s, blocked from release_s and the scans x.
+    """unit, j, arrive_s, start_s, dwell_s, starved_s, theta_s, blocked from release_s and the scans x, and the columns of `keep`.
 
     A station serves units in the order of their scans; a unit is blocked if it leaves within eps_s of the moment
     that the unit `capacity` places earlier starts at the next station. Without such a unit it is not blocked. A station's visits are ordered in slots,
     so one station may hold more than a task.
     """
     order = [x, "unit"]
+    slots = [slot_of(visits, x, rows_per_slot)]
     arrive = F.coalesce(F.lag(x).over(by_unit()) + transport_s, F.col("release_s"))
-    out = lagged(visits.withColumn("arrive_s", arrive), ["j"], order, {"prev_s": x}, 1, rows_per_slot)
+    out = lagged(visits.withColumn("arrive_s", arrive), ["j"], order, {"prev_s": x}, 1, rows_per_slot, slots)
     out = out.withColumn("start_s", F.greatest("arrive_s", "prev_s"))
     out = out.withColumn("starved_s", F.coalesce(F.greatest(F.col("start_s") - F.col("prev_s"), F.lit(0.0)), F.lit(0.0)))
     out = out.withColumn("dwell_s", F.col(x) - F.col("start_s"))
-    out = lagged(out, ["j"], order, {"earlier_s": "start_s"}, capacity, rows_per_slot)
+    out = lagged(out, ["j"], order, {"earlier_s": "start_s"}, capacity, rows_per_slot, slots)
     gate = F.lead("earlier_s").over(by_unit())
     out = out.withColumn("theta_s", gate - F.col("start_s"))
     blocked = F.coalesce(F.col("dwell_s") - F.col("theta_s") < eps_s, F.lit(False))
-    return out.select("unit", "j", "arrive_s", "start_s", "dwell_s", "starved_s", "theta_s", blocked.alias("blocked"))
+    return out.select("unit", "j", "arrive_s", "start_s", "dwell_s", "starved_s", "theta_s", blocked.alias("blocked"), *keep)
