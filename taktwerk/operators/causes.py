@@ -134,7 +134,7 @@ def containment(member: DataFrame, exposed: DataFrame, spans: DataFrame, now_s:
     member is (hypothesis, kind, label), exposed (kind, label, unit), spans (unit, started_s, gone_s). A unit that several
     members expose counts once. The list is a top-k report in two levels, so that no task orders a hypothesis' units.
     """
-    units = exposed.join(F.broadcast(member), ["kind", "label"]).select("hypothesis", "unit").distinct().join(spans, "unit")
+    units = exposed.join(member, ["kind", "label"]).select("hypothesis", "unit").distinct().join(spans, "unit")
     state = F.when(F.col("gone_s") <= now_s, "shipped").when(F.col("started_s") > now_s, "not_started").otherwise("in_line")
     units = units.select("hypothesis", "unit", state.alias("state"))
     counts = units.groupBy("hypothesis").agg(

@@ -28,14 +28,15 @@ def repair_duplicates(scans: DataFrame, transport_s: float = 4.5) -> DataFrame:
 
 
 def late_floors(scans: DataFrame, x: str = "x_dup", least: int = 200) -> DataFrame:
-    """(j, floor_s): the 0.5 % quantile of the gap to the station before, where there are `least` gaps."""
+    """(j, floor_s): the 0.5 % quantile of the gap to the station before, where there are `least` gaps; places come from slots."""
     gaps = scans.withColumn("gap", F.col(x) - F.lag(x).over(by_unit())).filter("gap IS NOT NULL")
-    return gaps.groupBy("j").agg(F.percentile("gap", F.lit(0.005)).alias("floor_s"), F.count("*").alias("n")).filter(F.col("n") >= least).drop("n")
+    enough = gaps.groupBy("j").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("j")
+    return quantiles(gaps, ["j"], "gap", [0.005]).join(enough, "j").select("j", F.col("value").alias("floor_s"))
 
 
 def repair_late(scans: DataFrame, floors: DataFrame, x: str = "x_dup") -> DataFrame:
     """Adds x_late: a scan after which the next station follows too soon moves back to the floor before that one."""
-    own = scans.join(F.broadcast(floors), "j", "left")
+    own = scans.join(floors, "j", "left")
     gap = F.lead(x).over(by_unit()) - F.col(x)
     floor = F.lead("floor_s").over(by_unit())
     return own.withColumn("x_late", F.when(gap < floor, F.lead(x).over(by_unit()) - floor).otherwise(F.col(x))).drop("floor_s")

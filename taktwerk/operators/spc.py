@@ -49,7 +49,7 @@ def ewma(means: DataFrame, base: DataFrame, lam: float = LAM, limit: float = EWM
     history = F.collect_list(F.col("m") - F.col("mu")).over(w)
     stat = F.aggregate(history, F.lit(0.0), lambda acc, x: F.lit(1 - lam) * acc + F.lit(lam) * x)
     lim = F.lit(limit) * F.col("sd") * F.sqrt(F.lit(lam / (2 - lam)) * (1 - F.pow(F.lit(1 - lam), 2 * t)))
-    out = means.join(F.broadcast(base), "series").withColumn("stat", stat).withColumn("lim", lim)
+    out = means.join(base, "series").withColumn("stat", stat).withColumn("lim", lim)
     flag = (F.abs("stat") > F.col("lim")) & (F.col("blk") >= first)
     return out.select("series", "blk", "stat", "lim", flag.alias("flag"))
 
@@ -59,7 +59,7 @@ def cusum(means: DataFrame, base: DataFrame, k: float = K, h: float = H, first:
     w = Window.partitionBy("series").orderBy("blk")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     z = (F.col("m") - F.col("mu")) / F.greatest("sd", F.lit(1e-9))
-    out = means.join(F.broadcast(base), "series").withColumn("z", z)
+    out = means.join(base, "series").withColumn("z", z)
     out = out.withColumn("s_hi", F.sum(F.col("z") - k).over(run)).withColumn("s_lo", F.sum(-F.col("z") - k).over(run))
     for arm in ("hi", "lo"):
         low = F.least(F.lit(0.0), F.min(f"s_{arm}").over(run))

@@ -244,7 +244,7 @@ def q_residual_fill(spark, sf_dir):
 def q_spc_stoppage(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     first = events.filter("event_id < 2000").groupBy("event_type").agg((F.avg("value") + 4 * F.stddev_pop("value")).alias("top"))
-    stops = events.join(F.broadcast(first), "event_type").withColumn("stop", (F.col("value") > F.col("top")).cast("double"))
+    stops = events.join(first, "event_type").withColumn("stop", (F.col("value") > F.col("top")).cast("double"))
     return rounded(spc.blocks(stops, "event_type", ["ts", "event_id"], "stop", 20))
 
 

@@ -56,7 +56,7 @@ def q_proc_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_top_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three largest deviations of every unit from its stations' medians, in median absolute deviations."""
     signal = plant.sql(spark, sf_dir, f"WITH {tables.SIGNAL} SELECT unit, j, v FROM signal")
-    middle = lambda df, x: F.broadcast(quantiles(df, ["j"], x, [0.5]).select("j", F.col("value").alias("__m")))  # noqa: E731  a row a station
+    middle = lambda df, x: quantiles(df, ["j"], x, [0.5]).select("j", F.col("value").alias("__m"))
     off = signal.join(middle(signal, "v"), "j").select("unit", "j", F.abs(F.col("v") - F.col("__m")).alias("d"))
     score = off.join(middle(off, "d"), "j").select("unit", "j", (F.col("d") / (F.col("__m") + 1e-9)).alias("e"))
     best = score.withColumn("r", F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("e"), "j")))

@@ -134,7 +134,7 @@ TEXTS = {
     "q_suspect_population": f"""WITH {STATES}, ex AS (SELECT DISTINCT unit FROM state WHERE j = 3 AND true_s > 20000 AND start_s < 30000),
       last AS (SELECT unit, max(true_s) AS gone_s FROM state GROUP BY unit)
       SELECT count(*) AS n_exposed, count_if(gone_s > 30200) AS n_in_line, count_if(gone_s <= 30200) AS n_shipped FROM ex JOIN last ON ex.unit = last.unit""",
-    "q_drift_slope": f"""WITH {STATES}, fit AS (SELECT j, count(*) AS n, regr_slope(dwell_s, unit) AS slope, regr_sxx(dwell_s, unit) AS sxx, regr_syy(dwell_s, unit) AS syy FROM state WHERE unit >= 240 AND unit < 720 GROUP BY j)
+    "q_drift_slope": f"""WITH {STATES}, fit AS (SELECT j, count(*) AS n, regr_slope(dwell_s, unit) AS slope, regr_sxx(dwell_s, unit) AS sxx, regr_syy(dwell_s, unit) AS syy FROM state GROUP BY j)
       SELECT j, n, round(slope, 6) AS slope, round(sqrt((syy - slope * slope * sxx) / (n - 2) / sxx), 6) AS se, abs(slope) > 2 * sqrt((syy - slope * slope * sxx) / (n - 2) / sxx) AS kept FROM fit WHERE n >= 240""",
     "q_drift_slope_triggers": f"""WITH {STATES}, fit AS (SELECT DIV(unit, 480) * 480 + 480 AS trigger_unit, j, count(*) AS n, regr_slope(dwell_s, unit) AS slope, regr_sxx(dwell_s, unit) AS sxx, regr_syy(dwell_s, unit) AS syy FROM state GROUP BY DIV(unit, 480) * 480 + 480, j),
       err AS (SELECT *, sqrt(greatest(syy - slope * slope * sxx, 0e0) / (n - 2) / sxx) AS se FROM fit WHERE n >= 240)
