@@ -45,6 +45,22 @@ def own_dir(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"spark-{application}-")
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A new, empty folder below the shared one, which is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/taktwerk/{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(hadoop)
+    system.deleteOnExit(hadoop)
+    return path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that fresh_folder() made."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, written as a table to the shared folder and read again: cuts the lineage, survives a lost executor.
 

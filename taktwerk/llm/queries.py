@@ -1,14 +1,16 @@
-"""The queries of the ten operators, each over its whole table, and their DuckDB oracles where SQL can express them."""
+"""The queries of the thirteen operators, each over its whole table, and their DuckDB oracles where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taktwerk.llm import chat, langid, secrets
+from taktwerk.llm import chat, langid, secrets, warc
 from taktwerk.llm.bpe import bpe_encode
-from taktwerk.llm.common import read
+from taktwerk.llm.collocation import mine
+from taktwerk.llm.common import fresh_folder, read, removed, written
 from taktwerk.llm.decontaminate import decontaminate
+from taktwerk.llm.divergence import audit
 from taktwerk.llm.embeddings import near_vectors
 from taktwerk.llm.html import extract_text
 from taktwerk.llm.passages import repeated_passages
@@ -247,6 +249,92 @@ FROM ranked WHERE doc_id IS DISTINCT FROM kept_doc_id OR unit_no <> kept_unit_no
 """
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(read(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+vocabulary AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+cell AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0)::HUGEINT AS n FROM g JOIN kept USING (lang) LEFT JOIN c
+    ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+own AS (
+  SELECT lang, source, term, n, 1 + 1000000000 * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v)::HUGEINT AS p
+  FROM cell JOIN vocabulary USING (lang)),
+whole AS (
+  SELECT lang, term, 1 + 1000000000 * (n + 2) // (sum(n) OVER (PARTITION BY lang) + 2 * v)::HUGEINT AS q
+  FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM cell GROUP BY ALL) JOIN vocabulary USING (lang)),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM own a JOIN own b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM own JOIN whole USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of every page, written, normalised and read back by their index; the archives go when all is read."""
+    folder = fresh_folder(spark)
+    warc.write_archives(read(spark, sf_dir, "pages"), f"{folder}/streams")
+    found = warc.read_back(warc.normalise(spark, f"{folder}/streams", f"{folder}/members"), with_payload=False)
+    page, refers_to = (F.col(c).cast("long").alias(c) for c in ("page_id", "refers_to"))
+    out = written(found.select(page, "payload_bytes", "payload_digest", "record_type", refers_to))
+    removed(spark, folder)
+    return out
+
+
+OP12_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+k AS (SELECT h, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest,
+       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN k USING (h)
+"""
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine(read(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
+w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM piece),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+run AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS p FROM w, range(1, 5) AS r(k) WHERE len(w) >= k),
+f AS (SELECT lang, p, len(p) AS size, count(*) AS f FROM run GROUP BY ALL HAVING count(*) >= 30),
+cut AS (SELECT lang, p, size, f AS a, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+scored AS (
+  SELECT c.lang, c.p, c.size, c.a, c.k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a // (x.f + y.f))::BIGINT AS score
+  FROM cut c JOIN f x ON x.lang = c.lang AND x.p = c.p[1:c.k] JOIN f y ON y.lang = c.lang AND y.p = c.p[c.k + 1:]),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+around AS (
+  SELECT DISTINCT s.lang, s.p FROM best s JOIN f q ON q.lang = s.lang AND q.size > s.size AND 100 * q.f >= 80 * s.a
+  WHERE contains(' ' || array_to_string(q.p, ' ') || ' ', ' ' || array_to_string(s.p, ' ') || ' ')),
+kept AS (
+  SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank
+  FROM best ANTI JOIN around USING (lang, p))
+SELECT lang, rank::INT AS rank, phrase, a, l, r, n, score FROM kept JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_chat": op2_chat,
@@ -259,6 +347,9 @@ QUERIES = {
     "op9_html": op9_html,
     "op10_passages": op10_passages,
     "op10_units": op10_units,
+    "op11_divergence": op11_divergence,
+    "op12_warc": op12_warc,
+    "op13_collocations": op13_collocations,
 }
 ORACLES = {
     "op1_decontamination": OP1_SQL,
@@ -267,4 +358,7 @@ ORACLES = {
     "op6_sharding": OP6_SQL,
     "op10_passages": OP10_PASSAGES_SQL,
     "op10_units": OP10_SQL,
+    "op11_divergence": OP11_SQL,
+    "op12_warc": OP12_SQL,
+    "op13_collocations": OP13_SQL,
 }
