@@ -70,15 +70,15 @@ class Automaton:
         return np.concatenate(starts), np.concatenate(counts)
 
 
-def language_hash(lang: str) -> np.uint64:
-    return np.uint64(xxhash.xxh64_intdigest(lang.encode()))
+def language_hash(lang: str) -> np.ndarray:
+    return hashed([lang.encode()])
 
 
 def hashed(words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
 
 
-def longer(start: np.ndarray | np.uint64, word: np.ndarray) -> np.ndarray:
+def longer(start: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The hash of a run and one more word."""
     return mixed(start * BASE + word)
 
@@ -110,7 +110,7 @@ def filter_of(phrases: DataFrame, max_bits: int = MAX_BITS) -> Broadcast:
         for batch in batches:
             found = []
             for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True):
-                h = language_hash(lang)[None]
+                h = language_hash(lang)
                 for w in hashed(phrase.encode().split(b" ")):
                     h = longer(h, w)
                 found.append(h)
