@@ -48,8 +48,11 @@ AROUND = (
 )
 UNLIKELY = re.compile(rf"(?:(?:{AROUND})[_-]+)*({CORE})(?:[_-]+(?:{AROUND}|{CORE}))*", re.IGNORECASE)
 TALK = re.compile(r"comments?|disqus|replies|reply|respond", re.IGNORECASE)  # of those, what readers say
-# Elements that a name can mark; an article only as what a reader says.
-NAMED = frozenset("div section ul ol dl span p a table details center figure article".split())
+OWN_HEADER = re.compile(r"(?:post|article|story|section|content|body)[_-]+(?:.*[_-])?header", re.IGNORECASE)  # of those, an article's own
+# Elements that a name can mark; an article only as what a reader says. Never one inside a line of text.
+NAMED = frozenset("div section ul ol dl p table details center article".split())
+# Headings above lists of links that belong to an article.
+SOURCES = re.compile(r"(?:\W|\d)*(?:references?|sources?|notes?|footnotes?|bibliography|works cited|citations?|further reading|literature|quellen|literatur|einzelnachweise|références|fuentes|referencias)\W*", re.IGNORECASE)
 LEGAL = re.compile(r"©|\bcopyright\b|\ball rights reserved\b", re.IGNORECASE)
 TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--(?:>|->)?|[!?/])")
 REST = re.compile(r"(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+>")  # of a start tag
@@ -62,7 +65,9 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TABLE = frozenset("table tbody thead tfoot tr td th caption".split())
 P_SCOPE = frozenset("button td th caption table object template".split())
 MAX_DEPTH = 500  # elements nested deeper become siblings, as in browsers
-MAX_FAILS = 20  # start tags without an end, after which quotes count no more
+# After so many start tags on a page whose quotes take in all that follows up to its last >, quotes count no more on that page: a tag then
+# ends at the next >. Each of them is read to the page's end, so without a bound such a page would take quadratic time.
+MAX_FAILS = 20
 
 
 class Node:
@@ -88,7 +93,8 @@ def marks(tag: str, attributes: str) -> tuple[bool, str]:
             for word in value.split():
                 m = UNLIKELY.fullmatch(word)
                 if m and (tag != "article" or TALK.fullmatch(m[1])):
-                    named = named if TALK.fullmatch(named) else m[1].lower()
+                    core = "own header" if OWN_HEADER.fullmatch(word) else m[1].lower()
+                    named = named if TALK.fullmatch(named) else core
     return hidden, named
 
 
@@ -221,15 +227,32 @@ def keep_headings(header: Node) -> None:
         n.parent = header
 
 
+def holds_links(node: Node) -> bool:
+    """Whether a node holds a link, a menu or a form."""
+    stack = [node]
+    while stack:
+        n = stack.pop()
+        if n.tag in ("a", "nav", "form", "menu"):
+            return True
+        stack += [c for c in n.children if not isinstance(c, str)]
+    return False
+
+
 def settle_names(root: Node) -> None:
-    """Decides what a name means: a marked element goes, unless it holds most of the page's text and the article with it."""
+    """Decides what a name means: a marked element goes, unless it holds most of the page's text and the article with it.
+
+    A header leaves its headings if it stands in an article or main element, if its name is that of an article's header, or if it
+    holds no links and isn't the page's.
+    """
     stack, headers = [(root, False)], []
     while stack:
         n, article = stack.pop()
-        article |= n.tag == "article" and not n.named
+        article |= n.tag in ("article", "main") and not n.named
         for c in n.children:
             if not isinstance(c, str):
-                if article and (c.tag == "header" or c.named == "header"):
+                if c.named == "own header" or (article and (c.tag == "header" or c.named == "header")):
+                    headers.append(c)
+                elif c.tag == "header" and n is not root and n.tag != "body" and not holds_links(c):
                     headers.append(c)
                 elif not c.drop:
                     stack.append((c, article))
@@ -249,12 +272,33 @@ def dense(n: Node) -> bool:
     return n.size > 0 and 2 * n.linked > n.size and n.tag not in HEADINGS
 
 
+def aside_of(node: Node, top: Node) -> None:
+    """Drops the lists of links beside a node and beside what holds it, below top, but for an article's sources."""
+    while node is not top and node.parent is not None:
+        heading = False
+        for c in node.parent.children:
+            if isinstance(c, str):
+                continue
+            if c is not node and not c.drop and dense(c) and not heading and not (c.tag in ("section", "div") and sources(c)):
+                c.drop = True
+            if not c.drop and c.size:
+                heading = c.tag in HEADINGS and bool(SOURCES.fullmatch(" ".join(blocks_of([c]))))
+        node = node.parent
+
+
+def sources(n: Node) -> bool:
+    """Whether a section starts with a heading of sources."""
+    first = next((c for c in n.children if not isinstance(c, str) and not c.drop), None)
+    return first is not None and first.tag in HEADINGS and bool(SOURCES.fullmatch(" ".join(blocks_of([first]))))
+
+
 def choose(root: Node) -> list[Node | str]:
     """The best container and its siblings, in page order; the root if nothing scores.
 
     Paragraphs give points for length and commas, less for links: all to the parent, half to the next, a quarter to the third.
-    The article around the best container, or else the main element, is taken whole. Otherwise it goes with all siblings that
-    aren't lists of links, and so do its ancestors as long as they add a tenth to the points.
+    The main element around the best container is taken whole, or else the article, with the articles and sections beside it.
+    Otherwise the best container goes with all its siblings, and so do its ancestors as long as they add a tenth to the points.
+    Lists of links beside the best container and what holds it stay out, unless a heading names them as sources.
     """
     settle_names(root)
     nodes = counted(root)
@@ -278,18 +322,20 @@ def choose(root: Node) -> list[Node | str]:
         n.score *= (1 - n.linked / max(n.size, 1)) * (2 if n.tag in ("article", "main") else 0.5 if n.tag in ("ul", "ol", "dl") else 1)
     order = {id(n): i for i, n in enumerate(nodes)}
     best = max(candidates.values(), key=lambda n: (n.score, -order[id(n)]))
-    article = inside(best, "article")
-    if article is not None:
-        same = [c for c in article.parent.children if not isinstance(c, str) and c.tag == "article" and not c.drop] if article.parent else [article]
-        return [n for n in same if n is article or (n.points >= 0.2 * article.points and not dense(n))]
-    main = inside(best, "main")
+    main, article = inside(best, "main"), inside(best, "article")
     if main is not None:
+        aside_of(article or best, main)
         return [main]
+    if article is not None:
+        beside = article.parent.children if article.parent else [article]
+        beside = [c for c in beside if not isinstance(c, str) and c.tag in ("article", "section") and not c.drop]
+        return [n for n in beside if n is article or (n.size and not (dense(n) and not sources(n)))]
     kept: list[Node | str] = [best]
     levels = 0
     while best.parent is not None and (levels == 0 or best.parent.points - best.points >= 0.1 * best.points):
+        aside_of(best, best.parent)
         at = next(i for i, c in enumerate(best.parent.children) if c is best)
-        around = [c if isinstance(c, str) or not (c.drop or dense(c) or legal(c)) else " " for c in best.parent.children]
+        around = [c if isinstance(c, str) or not (c.drop or legal(c)) else " " for c in best.parent.children]
         kept = [*around[:at], *kept, *around[at + 1 :]]
         best, levels = best.parent, levels + 1
     return kept
@@ -306,7 +352,7 @@ def blocks_of(nodes: list[Node | str]) -> list[str]:
     parts: list[str] = []
 
     def close() -> None:
-        words = html.unescape("".join(parts)).split()
+        words = "".join(parts).split()
         parts.clear()
         if words:
             blocks.append(" ".join(words))
@@ -317,7 +363,7 @@ def blocks_of(nodes: list[Node | str]) -> list[str]:
         if n is None:
             close()
         elif isinstance(n, str):
-            parts.append(n)
+            parts.append(html.unescape(n) if "&" in n else n)
         elif n.drop:
             parts.append(" " if n.tag in BLOCK else "")
         elif n.tag == "br":
@@ -341,8 +387,8 @@ def extract_text(pages: DataFrame, keep: list[str], html_col: str = "html", text
 
     What stays is the best container by tree scoring and what stands beside it. Elements that are never text of an article go
     (menus, headers, footers, asides, forms, scripts and the like), and so do those that a class, id or role names as such; a name
-    on a wrapper that holds most of the text and the article with it means nothing. The header of an article leaves its headings. A
-    null or empty page has an empty text; a page without scored paragraphs gives all its text outside of what goes. Pages of any
+    on a wrapper that holds most of the text and the article with it means nothing, and so does one on an element inside a line or on a
+    figure. The header of an article leaves its headings. A null or empty page has an empty text; a page without scored paragraphs gives all its text outside of what goes. Pages of any
     length and nesting are read whole, in linear time; repeated rows each.
     """
 
