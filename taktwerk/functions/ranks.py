@@ -1,51 +1,58 @@
-"""Positions, ranks and lags over a whole order, without one task that sorts it all.
+"""Positions, ranks, lags and running values over a whole order, without one task that sorts it all.
 
-The order column's range is cut into slots of equal width, about `rows_per_slot` rows each. A window then sorts one
-slot, and the rows before a slot are a running sum over the table of slots. Where all rows fit one slot, no cut is made.
-The order column must be numeric or a timestamp, and rows that share one of its values share a slot.
+The order column's range is cut into slots at approximate quantiles, about `rows_per_slot` rows each, so an outlier or a skewed
+clock fills no slot with all rows. Count and quantiles come from one pass. A window then sorts one slot; what a slot needs of those before
+it is a row or a few for each slot, put together over the table of slots. Where all rows fit one slot, no cut is made. The order
+column must be numeric or a timestamp, and rows that share one of its values share a slot.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_SLOT = 2_000_000
+MOST_SLOTS = 4096  # beyond, slots grow
+ACCURACY = 10_000  # of approximate quantiles: ranks are off by one in so many at most
 
 
-def slot_of(df: DataFrame, order: str, rows_per_slot: int = ROWS_PER_SLOT) -> Column | None:
-    """The slot of a row as arithmetic on literals, from one aggregate (three numbers); None if one slot does."""
-    x = F.col(order)
-    x = (x.cast("timestamp") if df.schema[order].dataType.typeName().startswith("timestamp") else x).cast("double")
-    n, lo, hi = df.agg(F.count(order), F.min(x), F.max(x)).first()
-    slots = math.ceil(n / rows_per_slot)
-    if slots <= 1 or hi <= lo:
-        return None
-    return F.coalesce(F.floor((x - F.lit(lo)) / F.lit((hi - lo) / slots)), F.lit(-1)).cast("long")
+def number(df: DataFrame, column: str) -> Column:
+    x = F.col(column)
+    return (x.cast("timestamp") if df.schema[column].dataType.typeName().startswith("timestamp") else x).cast("double")
 
 
-def positions(
-    df: DataFrame, by: list[str], order: list[str], name: str = "pos", rows_per_slot: int = ROWS_PER_SLOT, slot: Column | None = None
-) -> DataFrame:
-    """Adds the place of each row, from 0, among the rows of its key; nulls of the order come first.
+@dataclass(frozen=True)
+class Slots:
+    """Where an order is cut: slot k holds the values from bounds[k - 1] up to, without it, bounds[k]; nulls have slot -1."""
 
-    slot: what slot_of gave for the same order, if the caller has it; else it is computed here.
-    """
-    slot = slot_of(df, order[0], rows_per_slot) if slot is None else slot
-    if slot is None:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - F.lit(1).cast("long"))
-    cut = df.withColumn("__slot", slot)
-    own = F.row_number().over(Window.partitionBy(*by, "__slot").orderBy(*order)) - F.lit(1).cast("long")
-    before = running(cut.groupBy(*by, "__slot").agg(F.count("*").alias("__n")), by, "__slot", "__n", "__before")
-    return same_key_join(cut, before, [*by, "__slot"]).withColumn(name, own + F.col("__before")).drop("__slot", "__before")
+    order: str
+    bounds: tuple[float, ...]
 
+    def on(self, df: DataFrame) -> DataFrame:
+        """Adds __slot."""
+        cut = df.withColumn("__x", F.nullif(number(df, self.order), F.lit(float("nan"))))
+        if not self.bounds:
+            slot = F.lit(0.0)
+        else:
+            cut = Bucketizer(splits=[-math.inf, *self.bounds, math.inf], inputCol="__x", outputCol="__b", handleInvalid="keep").transform(cut)
+            slot = F.col("__b")
+        return cut.withColumn("__slot", F.when(F.col("__x").isNull(), -1).otherwise(slot).cast("long")).drop("__x", "__b")
 
-def running(table: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
-    """(by, order, name): the sum of value over the rows before, for a table of slots."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return table.select(*by, order, F.coalesce(F.sum(value).over(w), F.lit(0).cast(table.schema[value].dataType)).alias(name))
+
+def slots_of(df: DataFrame, order: str, rows_per_slot: int = ROWS_PER_SLOT) -> Slots | None:
+    """The slots of an order, from one aggregate; None if one slot does."""
+    probes = [k / MOST_SLOTS for k in range(1, MOST_SLOTS)]
+    x = number(df, order)
+    n, at = df.agg(F.count(order), F.percentile_approx(x, probes, 10 * MOST_SLOTS)).first()
+    slots = min(math.ceil(n / rows_per_slot), MOST_SLOTS)
+    if slots <= 1:
+        return None
+    bounds = sorted({at[math.ceil(k * MOST_SLOTS / slots) - 1] for k in range(1, slots)} - {float("-inf"), float("inf")})
+    return Slots(order, tuple(b for b in bounds if not math.isnan(b)))
 
 
 def same_key_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -55,55 +62,150 @@ def same_key_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str =
     return rows.join(named, on, how).drop(*(f"__k_{k}" for k in keys))
 
 
+def running(table: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
+    """(by, order, name): the sum of value over the rows before, for a table of slots."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return table.select(*by, order, F.coalesce(F.sum(value).over(w), F.lit(0).cast(table.schema[value].dataType)).alias(name))
+
+
+def positions(df: DataFrame, by: list[str], order: list[str], name: str = "pos", rows_per_slot: int = ROWS_PER_SLOT, slots: list[Slots | None] | None = None) -> DataFrame:
+    """Adds the place of each row, from 0, among the rows of its key; nulls of the order come first.
+
+    slots: what slots_of gave for the same order in a list of one, if the caller has it; else it is computed here.
+    """
+    cuts = slots[0] if slots else slots_of(df, order[0], rows_per_slot)
+    if cuts is None:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - F.lit(1).cast("long"))
+    cut = cuts.on(df)
+    own = F.row_number().over(Window.partitionBy(*by, "__slot").orderBy(*order)) - F.lit(1).cast("long")
+    before = running(cut.groupBy(*by, "__slot").agg(F.count("*").alias("__n")), by, "__slot", "__n", "__before")
+    return same_key_join(cut, before, [*by, "__slot"]).withColumn(name, own + F.col("__before")).drop("__slot", "__before")
+
+
 def lagged(
-    df: DataFrame, by: list[str], order: list[str], what: dict[str, str], k: int = 1, rows_per_slot: int = ROWS_PER_SLOT, slots: list[Column | None] | None = None
+    df: DataFrame, by: list[str], order: list[str], what: dict[str, str], k: int | str = 1, rows_per_slot: int = ROWS_PER_SLOT,
+    slots: list[Slots | None] | None = None, distances: list[int] | None = None,
 ) -> DataFrame:
     """Adds, for each new name, the column's value k rows earlier in the order of the key; null for the first k rows.
 
-    slots: the slot_of of the same order in a list of one, so that several lags over one order compute it once.
+    k: a number of at least one, or a column that is one of `distances` in each row; null where it isn't. A slot carries its
+    last rows, as many as the farthest distance, into the next ones, so no table is joined with itself.
     """
-    slot = slots[0] if slots else slot_of(df, order[0], rows_per_slot)
-    if slot is None:
-        w = Window.partitionBy(*by).orderBy(*order)
-        return df.select("*", *(F.lag(c, k).over(w).alias(name) for name, c in what.items()))
-    placed = positions(df, by, order, "__pos", rows_per_slot, slot)
-    earlier = placed.select(*by, (F.col("__pos") + k).alias("__pos"), *(F.col(c).alias(name) for name, c in what.items()))
-    return same_key_join(placed, earlier, [*by, "__pos"], "left").drop("__pos")
-
-
-def cumulated(table: DataFrame, order: str, values: list[str], rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
-    """Adds `<value>_before`, the sum over all rows with a smaller order value; order values must be distinct."""
-    slot = slot_of(table, order, rows_per_slot)
-    if slot is None:
-        slot = F.lit(0).cast("long")
-    cut = table.withColumn("__slot", slot)
-    within = Window.partitionBy("__slot").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    sums = cut.groupBy("__slot").agg(*(F.sum(v).alias(v) for v in values))
-    for v in values:
-        cut = same_key_join(cut, running(sums, [], "__slot", v, f"__s_{v}"), ["__slot"])
+    cuts = slots[0] if slots else slots_of(df, order[0], rows_per_slot)
+    far = sorted({k} if isinstance(k, int) else set(distances or []))
+    if not far:
+        return df.select("*", *(F.lit(None).cast(df.schema[c].dataType).alias(name) for name, c in what.items()))
+    cut = df if cuts is None else cuts.on(df)
+    w = Window.partitionBy(*by, *([] if cuts is None else ["__slot"])).orderBy(*order)
+
+    def within(column: str) -> Column:
+        if isinstance(k, int):
+            return F.lag(column, k).over(w)
+        return F.coalesce(*(F.when(F.col(k) == d, F.lag(column, d).over(w)) for d in far))
+
+    if cuts is None:
+        return cut.select("*", *(within(c).alias(name) for name, c in what.items()))
+    most = far[-1]
+    own = cut.withColumn("__rn", F.row_number().over(w)).withColumn("__n", F.count("*").over(Window.partitionBy(*by, "__slot")))
+    values = F.struct("__rn", *(F.col(c).alias(f"__v{i}") for i, c in enumerate(what.values())))
+    tails = own.filter(F.col("__rn") > F.col("__n") - most).groupBy(*by, "__slot").agg(F.sort_array(F.collect_list(values)).alias("__tail"))
+    past = Window.partitionBy(*by).orderBy("__slot").rowsBetween(-most, -1)
+    tails = tails.select(*by, "__slot", F.flatten(F.collect_list("__tail").over(past)).alias("__past"))
+    out = same_key_join(own, tails, [*by, "__slot"], "left")
+    step = F.lit(k) if isinstance(k, int) else F.when(F.col(k).isin(far), F.col(k))
+    back = F.col("__rn") - step  # from 0 down: the last row of the slots before is at 0
+    at = F.size("__past") + back
+    new = []
+    for i, (name, c) in enumerate(what.items()):
+        carried = F.when((back <= 0) & (at >= 1), F.get("__past", (at - 1).cast("int"))[f"__v{i}"])
+        new.append(F.when(back > 0, within(c)).otherwise(carried).alias(name))
+    return out.select("*", *new).drop("__slot", "__rn", "__n", "__past")
+
+
+def cumulated(table: DataFrame, order: str, values: list[str], rows_per_slot: int = ROWS_PER_SLOT, by: list[str] | None = None) -> DataFrame:
+    """Adds `<value>_before`, the sum over all rows of the key with a smaller order value; order values must be distinct in a key."""
+    by = by or []
+    cut = (slots_of(table, order, rows_per_slot) or Slots(order, ())).on(table)
+    within = Window.partitionBy(*by, "__slot").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(*by, "__slot").agg(*(F.sum(v).alias(v) for v in values))
+    past = Window.partitionBy(*by).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "__slot", *(F.coalesce(F.sum(v).over(past), F.lit(0)).alias(f"__s_{v}") for v in values))
+    cut = same_key_join(cut, sums, [*by, "__slot"])
     for v in values:
         cut = cut.withColumn(f"{v}_before", F.coalesce(F.sum(v).over(within), F.lit(0)) + F.col(f"__s_{v}"))
     return cut.drop("__slot", *(f"__s_{v}" for v in values))
 
 
-def average_ranks(df: DataFrame, column: str, name: str, rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
+def running_max(
+    df: DataFrame, by: list[str], order: list[str], what: dict[str, str], rows_per_slot: int = ROWS_PER_SLOT, slots: list[Slots | None] | None = None
+) -> DataFrame:
+    """Adds, for each new name, the largest value of a column over all earlier rows of the key; null for the first.
+
+    In two levels: within a slot by a window, and over the slots before by a window over their maxima.
+    """
+    cuts = slots[0] if slots else slots_of(df, order[0], rows_per_slot)
+    cut = df.withColumn("__slot", F.lit(0).cast("long")) if cuts is None else cuts.on(df)
+    within = Window.partitionBy(*by, "__slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    if cuts is not None:
+        past = Window.partitionBy(*by).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+        tops = cut.groupBy(*by, "__slot").agg(*(F.max(c).alias(f"__m{i}") for i, c in enumerate(what.values())))
+        tops = tops.select(*by, "__slot", *(F.max(f"__m{i}").over(past).alias(f"__m{i}") for i in range(len(what))))
+        cut = same_key_join(cut, tops, [*by, "__slot"])
+    for i, (name, c) in enumerate(what.items()):
+        top = F.max(c).over(within)
+        cut = cut.withColumn(name, top if cuts is None else F.greatest(top, f"__m{i}"))
+    return cut.drop("__slot", *(f"__m{i}" for i in range(len(what))))
+
+
+def running_sum(
+    df: DataFrame, by: list[str], order: list[str], value: str, name: str, rows_per_slot: int = ROWS_PER_SLOT, slots: list[Slots | None] | None = None
+) -> DataFrame:
+    """Adds the sum of a column over this row and all earlier ones of the key, in two levels as running_max."""
+    cuts = slots[0] if slots else slots_of(df, order[0], rows_per_slot)
+    cut = df.withColumn("__slot", F.lit(0).cast("long")) if cuts is None else cuts.on(df)
+    within = Window.partitionBy(*by, "__slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if cuts is None:
+        return cut.withColumn(name, F.sum(value).over(within)).drop("__slot")
+    before = running(cut.groupBy(*by, "__slot").agg(F.sum(value).alias("__n")), by, "__slot", "__n", "__before")
+    return same_key_join(cut, before, [*by, "__slot"]).withColumn(name, F.sum(value).over(within) + F.col("__before")).drop("__slot", "__before")
+
+
+def average_ranks(df: DataFrame, column: str, name: str, rows_per_slot: int = ROWS_PER_SLOT, by: list[str] | None = None) -> DataFrame:
     """Adds the rank from 1 by a column without nulls; ties share the mean of their ranks. Ties are counted before they are ranked."""
-    ties = df.groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
-    ranked = cumulated(ties, "__v", ["__n"], rows_per_slot)
-    ranked = ranked.select("__v", (F.col("__n_before") + (F.col("__n") + 1) / 2).alias(name))
-    return df.join(ranked, F.col(column) == F.col("__v")).drop("__v")
+    by = by or []
+    ties = df.groupBy(*by, F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
+    ranked = cumulated(ties, "__v", ["__n"], rows_per_slot, by)
+    ranked = ranked.select(*by, F.col("__v").alias("__tie"), (F.col("__n_before") + (F.col("__n") + 1) / 2).alias(name))
+    return same_key_join(df.withColumn("__tie", F.col(column)), ranked, [*by, "__tie"]).drop("__tie")
+
 
+def quantiles(df: DataFrame, by: list[str], column: str, shares: list[float]) -> DataFrame:
+    """(by, k, n, value): the quantile at shares[k] of each key, linear between neighbours; nulls don't count, keys of nulls alone have none.
 
-def quantiles(df: DataFrame, by: list[str], column: str, shares: list[float], rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
-    """(by, k, value): the quantile at shares[k] of each key, linear between neighbours; nulls don't count, keys of nulls alone have none.
+    No key may be named k, n or value.
 
-    Places come from slots, so no task holds a key's values; only two rows a quantile are kept.
+    Exact, in two passes and without a job before the query: approximate quantiles bracket each wanted place, and only what lies
+    in a bracket, some 6 rows in ACCURACY and their ties, is counted by value and ordered.
     """
     known = df.select(*by, F.col(column).cast("double").alias("__x")).filter(F.col("__x").isNotNull())
-    counts = known.groupBy(*by).agg(F.count("*").alias("__n"))
-    at = counts.select(*by, "__n", F.posexplode(F.array(*map(F.lit, map(float, shares)))).alias("k", "__s"))
-    at = at.withColumn("__at", F.col("__s") * (F.col("__n") - 1))
-    wanted = at.select(*by, "k", "__at", F.explode(F.array_distinct(F.array(F.floor("__at"), F.ceil("__at")))).alias("__place"))
-    share = F.when(F.floor("__at") == F.ceil("__at"), 1.0).otherwise(1 - F.abs(F.col("__at") - F.col("__place")))
-    placed = positions(known, by, ["__x"], "__place", rows_per_slot)
-    return placed.join(wanted, [*by, "__place"]).groupBy(*by, "k").agg(F.sum(F.col("__x") * share).alias("value"))
+    margin = 3 / ACCURACY
+    probes = [min(max(s + d, 0.0), 1.0) for s in shares for d in (-margin, margin)]
+    at = known.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("__x", probes, ACCURACY).alias("__q"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+
+    def end(i: int) -> Column:  # few rows are all in the bracket, as a margin of theirs is less than a row
+        least, most = F.col("__lo"), F.col("__hi")
+        near = least if probes[i] == 0 else most if probes[i] == 1 else F.col("__q")[i]
+        return F.when(F.col("n") < 4 * ACCURACY, most if i % 2 else least).otherwise(near)
+
+    brackets = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(s)).alias("s"), end(2 * k).alias("a"), end(2 * k + 1).alias("b")) for k, s in enumerate(shares)))
+    rows = same_key_join(known, at.select(*by, "n", brackets.alias("__w")), by) if by else known.crossJoin(F.broadcast(at.select("n", brackets.alias("__w"))))  # one row
+    rows = rows.select(*by, "__x", "n", F.explode("__w").alias("w")).filter(F.col("__x") <= F.col("w.b"))
+    below = F.col("__x") < F.col("w.a")
+    ties = rows.groupBy(*by, "n", F.col("w.k").alias("k"), F.col("w.s").alias("__s"), F.when(~below, F.col("__x")).alias("__x")).agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(*by, "k").orderBy("__x")  # what lies below the bracket is one row without a value, the first
+    ties = ties.withColumn("__end", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    place = F.col("__s") * (F.col("n") - 1)
+    part = lambda p: (F.col("__end") - F.col("__c") <= p) & (p < F.col("__end"))
+    low, high = (F.max(F.when(part(p) & F.col("__x").isNotNull(), F.col("__x"))) for p in (F.floor(place), F.ceil(place)))
+    found = ties.groupBy(*by, "k", "n", "__s").agg(low.alias("__a"), high.alias("__b"))
+    return found.select(*by, "k", "n", (F.col("__a") + (F.col("__b") - F.col("__a")) * (place - F.floor(place))).alias("value"))

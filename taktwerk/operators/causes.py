@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def contingency(exposed: DataFrame, labels: DataFrame, least: int = 25) -> DataFrame:
@@ -21,36 +26,107 @@ def contingency(exposed: DataFrame, labels: DataFrame, least: int = 25) -> DataF
     return out.withColumn("lift", F.col("rate_exposed") / F.greatest("rate_unexposed", F.lit(1e-9)))
 
 
-def log_factorial(x: Column) -> Column:
-    """ln x! by Stirling's series, exact to 1e-9 from 10 on; smaller numbers are summed."""
-    y = x.cast("double") + 1
-    shift = y + 10
-    series = (shift - 0.5) * F.ln(shift) - shift + 0.9189385332046727 + 1 / (12 * shift) - 1 / (360 * F.pow(shift, F.lit(3)))
-    series = series + 1 / (1260 * F.pow(shift, F.lit(5)))
-    return series - sum((F.ln(y + i) for i in range(1, 10)), F.ln(y))
+STEPS = 4096  # terms of a tail that are summed at a time
+
+
+def stirling_error(n: float) -> float:
+    """ln n! less Stirling's formula."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n else 0.0
+    m = n * n
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / m) / m) / m) / n
+
+
+def deviance(x: float, mean: float) -> float:
+    """x ln(x / mean) + mean - x, without cancellation where the two are close."""
+    if abs(x - mean) >= 0.1 * (x + mean):
+        return (x * math.log(x / mean) if x else 0.0) + mean - x
+    v = (x - mean) / (x + mean)
+    total, power, k = (x - mean) * v, 2 * x * v, 1
+    while True:
+        power *= v * v
+        more = total + power / (2 * k + 1)
+        if more == total:
+            return total
+        total, k = more, k + 1
+
+
+def ln_binomial(x: int, n: int, p: float) -> float:
+    """ln of the chance of x of n at p each, by its saddle point: exact at any size."""
+    if x == 0 or x == n:
+        return n * (math.log(p) if x else math.log1p(-p)) if n else 0.0
+    off = stirling_error(n) - stirling_error(x) - stirling_error(n - x) - deviance(x, n * p) - deviance(n - x, n * (1 - p))
+    return off + 0.5 * math.log(n / (2 * math.pi * x * (n - x)))
+
+
+def upper_tail(n: int, nd: int, ne: int, a: int) -> float:
+    """The chance of a or more bad among ne drawn from n with nd bad.
+
+    The tail that doesn't hold the mean is summed from its first term by the ratios of one term to the next, which shrink; it ends
+    where the rest, a geometric series at most, is below 1e-17 of the sum. Some ten deviations of terms matter, STEPS are held.
+    """
+    low, high = max(0, ne + nd - n), min(ne, nd)
+    if a <= low or a > high:
+        return float(a <= low)
+    up = a * n > ne * nd
+    k = a if up else a - 1
+    if up:
+        above, below, left = (nd - k, ne - k), (k + 1, n - nd - ne + k + 1), high - k
+    else:
+        above, below, left = (k, n - nd - ne + k), (nd - k + 1, ne - k + 1), k - low
+    share = ne / n  # between 0 and 1, or low and high would be one
+    first = ln_binomial(k, nd, share) + ln_binomial(ne - k, n - nd, share) - ln_binomial(ne, n, share)
+    term = total = 1.0
+    at = 0
+    while at < left:
+        i = np.arange(at, min(at + STEPS, left), dtype=float)
+        ratios = (above[0] - i) * (above[1] - i) / ((below[0] + i) * (below[1] + i))
+        terms = term * np.cumprod(ratios)
+        total += float(terms.sum())
+        term, at = float(terms[-1]), at + len(i)
+        if ratios[-1] < 1 and term * ratios[-1] / (1 - ratios[-1]) < 1e-17 * total:
+            break
+    part = min(1.0, math.exp(first) * total)
+    return part if up else 1 - part
+
+
+@F.pandas_udf(T.DoubleType())
+def upper_tails(n: pd.Series, nd: pd.Series, ne: pd.Series, a: pd.Series) -> pd.Series:
+    return pd.Series([upper_tail(*map(int, row)) for row in zip(n, nd, ne, a, strict=True)], dtype=float)
 
 
 def fisher(table: DataFrame) -> DataFrame:
     """Adds p, the chance of a or more bad units among ne exposed ones of n with nd bad: a hypergeometric tail."""
-    n, nd, ne = (F.col(c).cast("double") for c in ("n", "nd", "ne"))
+    return table.withColumn("p", upper_tails("n", "nd", "ne", "a"))
 
-    def ln_choose(a: Column, b: Column) -> Column:
-        return log_factorial(a) - log_factorial(b) - log_factorial(a - b)
 
-    whole = ln_choose(n, ne)
-    terms = F.transform(
-        F.sequence(F.col("a").cast("long"), F.least("ne", "nd").cast("long")),
-        lambda k: F.exp(ln_choose(nd, k.cast("double")) + ln_choose(n - nd, ne - k.cast("double")) - whole),
-    )
-    return table.withColumn("p", F.least(F.lit(1.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)))
+def slot_of_p(p: Column) -> Column:
+    """A slot of p values, in their order: 4096 equal ones, and finer ones toward 0."""
+    fine = F.floor(-F.log2(F.greatest(p, F.lit(1e-300))) * 64)
+    return F.when(p >= 2.0**-12, F.floor(p * 4096)).otherwise(-fine).cast("long")
 
 
 def benjamini_hochberg(table: DataFrame, tie: list[str]) -> DataFrame:
-    """Adds q: the least p m / rank over this rank and all larger ones. The candidates are some hundreds of rows."""
-    by_p = Window.orderBy("p", *tie)
-    out = table.withColumn("rank", F.row_number().over(by_p)).withColumn("m", F.count("*").over(Window.partitionBy()))
-    later = Window.orderBy("rank").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return out.withColumn("q", F.least(F.lit(1.0), F.min(F.col("p") * F.col("m") / F.col("rank")).over(later))).drop("m", "rank")
+    """Adds q: the least p m / rank over this rank and all larger ones; ties go by the columns of `tie`.
+
+    However many candidates there are: p values, which lie between 0 and 1, fall into fixed slots. Ranks and least values are found
+    in each slot, and carried over the slots, of which there are some 60,000 at most.
+    """
+    rows = table.withColumn("__slot", slot_of_p(F.col("p")))
+    sizes = rows.groupBy("__slot").agg(F.count("*").alias("__n"))
+    over = Window.orderBy("__slot")  # of slots
+    before = sizes.select(
+        "__slot",
+        (F.sum("__n").over(over.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")).alias("__before"),
+        F.sum("__n").over(Window.partitionBy()).alias("__m"),
+    )
+    rank = F.row_number().over(Window.partitionBy("__slot").orderBy("p", *tie)) + F.col("__before")
+    rows = rows.join(before, "__slot").withColumn("__rank", rank).withColumn("__v", F.col("p") * F.col("__m") / F.col("__rank"))
+    least = rows.groupBy("__slot").agg(F.min("__v").alias("__v"))
+    later = least.select("__slot", F.min("__v").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("__later"))
+    own = F.min("__v").over(Window.partitionBy("__slot").orderBy("__rank").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    out = rows.join(later, "__slot").withColumn("q", F.least(F.lit(1.0), own, "__later"))
+    return out.select(*table.columns, "q")
 
 
 def ranked(table: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taktwerk.functions.ranks import ROWS_PER_SLOT, lagged, quantiles, slot_of
+from taktwerk.functions.ranks import ROWS_PER_SLOT, lagged, quantiles, slots_of
 
 
 def by_unit():
@@ -28,10 +28,9 @@ def repair_duplicates(scans: DataFrame, transport_s: float = 4.5) -> DataFrame:
 
 
 def late_floors(scans: DataFrame, x: str = "x_dup", least: int = 200) -> DataFrame:
-    """(j, floor_s): the 0.5 % quantile of the gap to the station before, where there are `least` gaps; places come from slots."""
-    gaps = scans.withColumn("gap", F.col(x) - F.lag(x).over(by_unit())).filter("gap IS NOT NULL")
-    enough = gaps.groupBy("j").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("j")
-    return quantiles(gaps, ["j"], "gap", [0.005]).join(enough, "j").select("j", F.col("value").alias("floor_s"))
+    """(j, floor_s): the 0.5 % quantile of the gap to the station before, where there are `least` gaps."""
+    gaps = scans.select("j", (F.col(x) - F.lag(x).over(by_unit())).alias("gap"))
+    return quantiles(gaps, ["j"], "gap", [0.005]).filter(F.col("n") >= least).select("j", F.col("value").alias("floor_s"))
 
 
 def repair_late(scans: DataFrame, floors: DataFrame, x: str = "x_dup") -> DataFrame:
@@ -57,9 +56,9 @@ def interpolate(scans: DataFrame, x: str = "x_late") -> DataFrame:
     return out.withColumn("x_fill", F.when(F.col("__n") >= 2, fill)).drop("__n", "__j0", "__x0", "__j1", "__x1")
 
 
-def fill_rest(scans: DataFrame, x: str = "x_fill", rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
+def fill_rest(scans: DataFrame, x: str = "x_fill") -> DataFrame:
     """Adds x_full: what interpolation left open gets the median of its station's scans, or its unit's release where there are none."""
-    medians = quantiles(scans, ["j"], x, [0.5], rows_per_slot).select("j", F.col("value").alias("__median"))  # a row for each station
+    medians = quantiles(scans, ["j"], x, [0.5]).select("j", F.col("value").alias("__median"))  # a row for each station
     return scans.join(medians, "j", "left").withColumn("x_full", F.coalesce(x, "__median", "release_s")).drop("__median")
 
 
@@ -68,12 +67,12 @@ def clock_drift(scans: DataFrame, x: str = "x", share: float = 0.01, least: int
 
     Stations with fewer than `least` gaps in a half have no row. Drift is reported, not corrected.
     """
-    half = scans.agg((F.max("unit") / 2).alias("half")).first()["half"] or 0.0
-    gaps = scans.select("j", (F.col("unit") >= half).alias("late"), (F.col(x) - F.lag(x).over(by_unit())).alias("gap"))
-    enough = gaps.groupBy("j", "late").agg(F.count("gap").alias("n")).filter(F.col("n") >= least).groupBy("j").count().filter("count = 2")
-    low = quantiles(gaps, ["j", "late"], "gap", [share]).join(enough.select("j"), "j")
+    half = scans.agg((F.max("unit") / 2).alias("half"))  # one row, part of the query
+    gaps = scans.select("j", "unit", (F.col(x) - F.lag(x).over(by_unit())).alias("gap")).crossJoin(F.broadcast(half))
+    low = quantiles(gaps.withColumn("late", F.col("unit") >= F.col("half")), ["j", "late"], "gap", [share]).filter(F.col("n") >= least)
     drift = F.sum(F.when(F.col("late"), F.col("value")).otherwise(-F.col("value")))
-    return low.groupBy("j").agg(drift.alias("drift_s")).withColumn("drifted", F.abs("drift_s") > limit_s)
+    both = low.groupBy("j").agg(drift.alias("drift_s"), F.count("*").alias("halves")).filter("halves = 2").drop("halves")
+    return both.withColumn("drifted", F.abs("drift_s") > limit_s)
 
 
 def station_quality(scans: DataFrame, drift: DataFrame, x: str = "x") -> DataFrame:
@@ -123,23 +122,50 @@ def score_repair(report: DataFrame, injected: DataFrame) -> DataFrame:
 
 def reconstruct(
     visits: DataFrame, x: str = "true_s", transport_s: float = 4.5, capacity: int = 1, eps_s: float = 1.5,
-    rows_per_slot: int = ROWS_PER_SLOT, keep: tuple[str, ...] = (),
+    rows_per_slot: int = ROWS_PER_SLOT, keep: tuple[str, ...] = (), stations: list[dict] | None = None, reentry: DataFrame | None = None,
+    rework_station: int | None = None,
 ) -> DataFrame:
     """unit, j, arrive_s, start_s, dwell_s, starved_s, theta_s, blocked from release_s and the scans x, and the columns of `keep`.
 
-    A station serves units in the order of their scans; a unit is blocked if it leaves within eps_s of the moment
-    that the unit `capacity` places earlier starts at the next station. Without such a unit it is not blocked. A station's visits are ordered in slots,
-    so one station may hold more than a task.
+    A station serves units in the order of their scans. With p machines it is free once the unit p places earlier has left.
+    A unit is blocked if it leaves within eps_s of the moment at which the unit `capacity` places earlier, in the next station's own
+    order, starts there; without such a unit it is not. A station's visits are ordered in slots, so one station may hold
+    more than a task.
+
+    stations: the line's stations as dicts of j, transport_s (to the next), parallel (machines) and buffer (places before the next
+    station, the capacity to it beside its further machines); without them every station has one machine, transport_s and capacity.
+    reentry: (unit, reentry_s) of units that came back from rework behind station rework_station; they arrive at the next no sooner.
     """
     order = [x, "unit"]
-    slots = [slot_of(visits, x, rows_per_slot)]
-    arrive = F.coalesce(F.lag(x).over(by_unit()) + transport_s, F.col("release_s"))
-    out = lagged(visits.withColumn("arrive_s", arrive), ["j"], order, {"prev_s": x}, 1, rows_per_slot, slots)
+    slots = [slots_of(visits, x, rows_per_slot)]
+    dims = {s["j"]: s for s in stations or []}
+    last = max(dims, default=None)
+
+    def of(value, default: float):
+        pairs = [(j, value(s)) for j, s in dims.items()]
+        return F.coalesce(*(F.when(F.col("j") == j, F.lit(v)) for j, v in pairs if v is not None), F.lit(None)) if pairs else F.lit(default)
+
+    machines = {j: max(s.get("parallel", 1), 1) for j, s in dims.items()}
+    # the capacity from j - 1 to j, which is looked back over in the order of j
+    into = {j: dims[j - 1].get("buffer", capacity) + machines[j] - 1 for j in dims if j - 1 in dims}
+    before = F.lag(of(lambda s: float(s.get("transport_s", transport_s)), transport_s)).over(by_unit())
+    arrive = F.coalesce(F.lag(x).over(by_unit()) + before, F.col("release_s"))
+    out = visits.withColumn("arrive_s", arrive)
+    if reentry is not None and rework_station is not None:
+        back = reentry.select(F.col("unit").alias("__u"), F.col("reentry_s").alias("__back")).filter("__back IS NOT NULL")
+        out = out.join(back, (out["unit"] == back["__u"]) & (out["j"] == rework_station + 1), "left")
+        out = out.withColumn("arrive_s", F.greatest("arrive_s", "__back")).drop("__u", "__back")
+    if dims:
+        out = out.withColumn("__p", of(lambda s: machines[s["j"]], 1)).withColumn("__cap", of(lambda s: into.get(s["j"]), capacity))
+        near, far = ("__p", sorted(set(machines.values()))), ("__cap", sorted(set(into.values())))
+    else:
+        near, far = (1, [1]), (capacity, [capacity])
+    out = lagged(out, ["j"], order, {"prev_s": x}, near[0], rows_per_slot, slots, near[1])
     out = out.withColumn("start_s", F.greatest("arrive_s", "prev_s"))
     out = out.withColumn("starved_s", F.coalesce(F.greatest(F.col("start_s") - F.col("prev_s"), F.lit(0.0)), F.lit(0.0)))
     out = out.withColumn("dwell_s", F.col(x) - F.col("start_s"))
-    out = lagged(out, ["j"], order, {"earlier_s": "start_s"}, capacity, rows_per_slot, slots)
+    out = lagged(out, ["j"], order, {"earlier_s": "start_s"}, far[0], rows_per_slot, slots, far[1])
     gate = F.lead("earlier_s").over(by_unit())
-    out = out.withColumn("theta_s", gate - F.col("start_s"))
+    out = out.withColumn("theta_s", gate - F.col("start_s") if last is None else F.when(F.col("j") < last, gate - F.col("start_s")))
     blocked = F.coalesce(F.col("dwell_s") - F.col("theta_s") < eps_s, F.lit(False))
     return out.select("unit", "j", "arrive_s", "start_s", "dwell_s", "starved_s", "theta_s", blocked.alias("blocked"), *keep)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taktwerk.functions.ranks import ROWS_PER_SLOT, positions
+from taktwerk.functions.ranks import quantiles
 from taktwerk.operators.causes import benjamini_hochberg, contingency, fisher, ranked
 
 ENVIRONMENT = ("humidity", "booth_temp", "zone_temp")
@@ -31,18 +31,12 @@ def dwell_exposures(scored: DataFrame, limit: float = 2.0) -> DataFrame:
     return scored.filter(F.col("z") > limit).select(F.lit("STATION_DWELL").alias("kind"), F.concat("sid", F.lit(":dwell_high")).alias("label"), "unit")
 
 
-def quantile_edges(values: DataFrame, column: str, parts: int, rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
+def quantile_edges(values: DataFrame, column: str, parts: int) -> DataFrame:
     """(k, edge), k from 0 to parts: the quantiles k / parts, linear between neighbours; no rows without values.
 
-    The order is cut into slots, so no task sorts all values; only the 2 (parts + 1) rows at the wanted places are kept.
+    Approximate quantiles bracket the wanted places, so no task sorts all values.
     """
-    known = values.select(F.col(column).alias("x")).filter(F.col("x").isNotNull())
-    placed = positions(known, [], ["x"], "place", rows_per_slot)
-    at = F.col("k") * (F.col("n") - 1) / parts
-    wanted = known.agg(F.count("*").alias("n")).filter("n > 0").select("n", F.explode(F.sequence(F.lit(0), F.lit(parts))).alias("k"))
-    wanted = wanted.select("k", at.alias("at"), F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at)))).alias("place"))
-    share = F.when(F.floor("at") == F.ceil("at"), 1.0).otherwise(1 - F.abs(F.col("at") - F.col("place")))
-    return placed.join(F.broadcast(wanted), "place").groupBy("k").agg(F.sum(F.col("x") * share).alias("edge"))
+    return quantiles(values, [], column, [k / parts for k in range(parts + 1)]).select("k", F.col("value").alias("edge"))
 
 
 def window_exposures(visits: DataFrame, edges: DataFrame) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taktwerk.plans import charts, decisions, forecasts, layouts, states, tables, traces
+from taktwerk.plans import charts, decisions, forecasts, layouts, states, tables, traces, twin
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**charts.QUERIES, **tables.QUERIES, **forecasts.QUERIES, **layouts.QUERIES, **decisions.QUERIES, **traces.QUERIES, **states.QUERIES}
-ORACLES: dict[str, str] = {**charts.ORACLES, **tables.ORACLES, **layouts.ORACLES, **decisions.ORACLES, **traces.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**charts.QUERIES, **tables.QUERIES, **forecasts.QUERIES, **layouts.QUERIES, **decisions.QUERIES, **traces.QUERIES, **states.QUERIES, **twin.QUERIES}
+ORACLES: dict[str, str] = {**charts.ORACLES, **tables.ORACLES, **layouts.ORACLES, **decisions.ORACLES, **traces.ORACLES, **twin.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
