@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def contingency(exposed: DataFrame, labels: DataFrame, least: int = 25) -> DataFrame:
-    """kind, label, a, b, c, d, rates and lift of each candidate, from (kind, label, unit) and (unit, bad).
+def contingency(exposed: DataFrame, labels: DataFrame, least: int = 25, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, kind, label, ne, a, n, nd, rates and lift of each candidate, from (by, kind, label, unit) and (by, unit, bad).
 
     Both arms need `least` units, and the exposed one the higher rate. The masks are never built: one hash
-    aggregate counts the exposed, and the totals are broadcast (one row).
+    aggregate counts the exposed, and the totals, one row a key, join it.
     """
-    total = labels.agg(F.count("*").alias("n"), F.sum("bad").alias("nd"))
-    found = exposed.join(labels, "unit").groupBy("kind", "label").agg(F.count("*").alias("ne"), F.sum("bad").alias("a"))
-    out = found.crossJoin(F.broadcast(total)).filter((F.col("ne") >= least) & (F.col("n") - F.col("ne") >= least))
+    total = labels.groupBy(*by).agg(F.count("*").alias("n"), F.sum("bad").alias("nd"))
+    found = exposed.join(labels, [*by, "unit"]).groupBy(*by, "kind", "label").agg(F.count("*").alias("ne"), F.sum("bad").alias("a"))
+    out = (found.join(total, list(by)) if by else found.crossJoin(F.broadcast(total))).filter((F.col("ne") >= least) & (F.col("n") - F.col("ne") >= least))
     out = out.withColumn("rate_exposed", F.col("a") / F.col("ne"))
     out = out.withColumn("rate_unexposed", (F.col("nd") - F.col("a")) / (F.col("n") - F.col("ne")))
     out = out.filter(F.col("rate_exposed") > F.col("rate_unexposed"))
@@ -106,26 +106,27 @@ def slot_of_p(p: Column) -> Column:
     return F.when(p >= 2.0**-12, F.floor(p * 4096)).otherwise(-fine).cast("long")
 
 
-def benjamini_hochberg(table: DataFrame, tie: list[str]) -> DataFrame:
-    """Adds q: the least p m / rank over this rank and all larger ones; ties go by the columns of `tie`.
+def benjamini_hochberg(table: DataFrame, tie: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds q: the least p m / rank over this rank and all larger ones, in each key; ties go by the columns of `tie`.
 
     However many candidates there are: p values, which lie between 0 and 1, fall into fixed slots. Ranks and least values are found
-    in each slot, and carried over the slots, of which there are some 60,000 at most.
+    in each slot, and carried over the slots, of which a key has some 60,000 at most.
     """
+    keys = [*by, "__slot"]
     rows = table.withColumn("__slot", slot_of_p(F.col("p")))
-    sizes = rows.groupBy("__slot").agg(F.count("*").alias("__n"))
-    over = Window.orderBy("__slot")  # of slots
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    over = Window.partitionBy(*by).orderBy("__slot")  # of slots
     before = sizes.select(
-        "__slot",
+        *keys,
         (F.sum("__n").over(over.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")).alias("__before"),
-        F.sum("__n").over(Window.partitionBy()).alias("__m"),
+        F.sum("__n").over(Window.partitionBy(*by)).alias("__m"),
     )
-    rank = F.row_number().over(Window.partitionBy("__slot").orderBy("p", *tie)) + F.col("__before")
-    rows = rows.join(before, "__slot").withColumn("__rank", rank).withColumn("__v", F.col("p") * F.col("__m") / F.col("__rank"))
-    least = rows.groupBy("__slot").agg(F.min("__v").alias("__v"))
-    later = least.select("__slot", F.min("__v").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("__later"))
-    own = F.min("__v").over(Window.partitionBy("__slot").orderBy("__rank").rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    out = rows.join(later, "__slot").withColumn("q", F.least(F.lit(1.0), own, "__later"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("p", *tie)) + F.col("__before")
+    rows = rows.join(before, keys).withColumn("__rank", rank).withColumn("__v", F.col("p") * F.col("__m") / F.col("__rank"))
+    least = rows.groupBy(*keys).agg(F.min("__v").alias("__v"))
+    later = least.select(*keys, F.min("__v").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("__later"))
+    own = F.min("__v").over(Window.partitionBy(*keys).orderBy("__rank").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    out = rows.join(later, keys).withColumn("q", F.least(F.lit(1.0), own, "__later"))
     return out.select(*table.columns, "q")
 
 

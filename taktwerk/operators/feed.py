@@ -1,4 +1,7 @@
-"""Repair of a scan feed and reconstruction of station states; every operator is a window over (unit, j)."""
+"""Repair of a scan feed and reconstruction of station states; every operator is a window over (unit, j).
+
+Columns named as `keys` part feeds that share a table, such as those of a sweep.
+"""
 
 from __future__ import annotations
 
@@ -8,47 +11,47 @@ from pyspark.sql import functions as F
 from taktwerk.functions.ranks import ROWS_PER_SLOT, lagged, quantiles, slots_of
 
 
-def by_unit():
-    return Window.partitionBy("unit").orderBy("j")
+def by_unit(keys: tuple[str, ...] = ()):
+    return Window.partitionBy(*keys, "unit").orderBy("j")
 
 
-def so_far():
-    return by_unit().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def so_far(keys: tuple[str, ...] = ()):
+    return by_unit(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def repair_duplicates(scans: DataFrame, transport_s: float = 4.5) -> DataFrame:
+def repair_duplicates(scans: DataFrame, transport_s: float = 4.5, keys: tuple[str, ...] = ()) -> DataFrame:
     """Adds x_dup: no scan precedes the one before it by less than the transport time, within a run without gaps.
 
     x'_j = C_j + max(x_k - C_k) over the run so far, with C_j the transport up to station j: one window, no loop.
     """
     c = F.col("j") * F.lit(transport_s)
-    runs = scans.withColumn("__run", F.sum(F.col("x").isNull().cast("int")).over(so_far()))
-    w = Window.partitionBy("unit", "__run").orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = scans.withColumn("__run", F.sum(F.col("x").isNull().cast("int")).over(so_far(keys)))
+    w = Window.partitionBy(*keys, "unit", "__run").orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return runs.withColumn("x_dup", F.when(F.col("x").isNotNull(), c + F.max(F.col("x") - c).over(w))).drop("__run")
 
 
-def late_floors(scans: DataFrame, x: str = "x_dup", least: int = 200) -> DataFrame:
+def late_floors(scans: DataFrame, x: str = "x_dup", least: int = 200, keys: tuple[str, ...] = ()) -> DataFrame:
     """(j, floor_s): the 0.5 % quantile of the gap to the station before, where there are `least` gaps."""
-    gaps = scans.select("j", (F.col(x) - F.lag(x).over(by_unit())).alias("gap"))
-    return quantiles(gaps, ["j"], "gap", [0.005]).filter(F.col("n") >= least).select("j", F.col("value").alias("floor_s"))
+    gaps = scans.select(*keys, "j", (F.col(x) - F.lag(x).over(by_unit(keys))).alias("gap"))
+    return quantiles(gaps, [*keys, "j"], "gap", [0.005]).filter(F.col("n") >= least).select(*keys, "j", F.col("value").alias("floor_s"))
 
 
-def repair_late(scans: DataFrame, floors: DataFrame, x: str = "x_dup") -> DataFrame:
+def repair_late(scans: DataFrame, floors: DataFrame, x: str = "x_dup", keys: tuple[str, ...] = ()) -> DataFrame:
     """Adds x_late: a scan after which the next station follows too soon moves back to the floor before that one."""
-    own = scans.join(floors, "j", "left")
-    gap = F.lead(x).over(by_unit()) - F.col(x)
-    floor = F.lead("floor_s").over(by_unit())
-    return own.withColumn("x_late", F.when(gap < floor, F.lead(x).over(by_unit()) - floor).otherwise(F.col(x))).drop("floor_s")
+    own = scans.join(floors, [*keys, "j"], "left")
+    gap = F.lead(x).over(by_unit(keys)) - F.col(x)
+    floor = F.lead("floor_s").over(by_unit(keys))
+    return own.withColumn("x_late", F.when(gap < floor, F.lead(x).over(by_unit(keys)) - floor).otherwise(F.col(x))).drop("floor_s")
 
 
-def interpolate(scans: DataFrame, x: str = "x_late") -> DataFrame:
+def interpolate(scans: DataFrame, x: str = "x_late", keys: tuple[str, ...] = ()) -> DataFrame:
     """Adds x_fill: linear between the reads around a gap, constant at the edges; null with fewer than two reads."""
-    after = by_unit().rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    every = Window.partitionBy("unit")
+    after = by_unit(keys).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    every = Window.partitionBy(*keys, "unit")
     at = F.when(F.col(x).isNotNull(), F.col("j"))
     out = scans.withColumn("__n", F.count(x).over(every))
     for name, value, w, pick in (
-        ("j0", at, so_far(), F.last), ("x0", F.col(x), so_far(), F.last), ("j1", at, after, F.first), ("x1", F.col(x), after, F.first)
+        ("j0", at, so_far(keys), F.last), ("x0", F.col(x), so_far(keys), F.last), ("j1", at, after, F.first), ("x1", F.col(x), after, F.first)
     ):
         out = out.withColumn(f"__{name}", pick(value, ignorenulls=True).over(w))
     lerp = F.col("__x0") + (F.col("__x1") - F.col("__x0")) * (F.col("j") - F.col("__j0")) / F.nullif(F.col("__j1") - F.col("__j0"), F.lit(0))
@@ -123,7 +126,7 @@ def score_repair(report: DataFrame, injected: DataFrame) -> DataFrame:
 def reconstruct(
     visits: DataFrame, x: str = "true_s", transport_s: float = 4.5, capacity: int = 1, eps_s: float = 1.5,
     rows_per_slot: int = ROWS_PER_SLOT, keep: tuple[str, ...] = (), stations: list[dict] | None = None, reentry: DataFrame | None = None,
-    rework_station: int | None = None,
+    rework_station: int | None = None, keys: tuple[str, ...] = (),
 ) -> DataFrame:
     """unit, j, arrive_s, start_s, dwell_s, starved_s, theta_s, blocked from release_s and the scans x, and the columns of `keep`.
 
@@ -148,8 +151,8 @@ def reconstruct(
     machines = {j: max(s.get("parallel", 1), 1) for j, s in dims.items()}
     # the capacity from j - 1 to j, which is looked back over in the order of j
     into = {j: dims[j - 1].get("buffer", capacity) + machines[j] - 1 for j in dims if j - 1 in dims}
-    before = F.lag(of(lambda s: float(s.get("transport_s", transport_s)), transport_s)).over(by_unit())
-    arrive = F.coalesce(F.lag(x).over(by_unit()) + before, F.col("release_s"))
+    before = F.lag(of(lambda s: float(s.get("transport_s", transport_s)), transport_s)).over(by_unit(keys))
+    arrive = F.coalesce(F.lag(x).over(by_unit(keys)) + before, F.col("release_s"))
     out = visits.withColumn("arrive_s", arrive)
     if reentry is not None and rework_station is not None:
         back = reentry.select(F.col("unit").alias("__u"), F.col("reentry_s").alias("__back")).filter("__back IS NOT NULL")
@@ -160,12 +163,12 @@ def reconstruct(
         near, far = ("__p", sorted(set(machines.values()))), ("__cap", sorted(set(into.values())))
     else:
         near, far = (1, [1]), (capacity, [capacity])
-    out = lagged(out, ["j"], order, {"prev_s": x}, near[0], rows_per_slot, slots, near[1])
+    out = lagged(out, [*keys, "j"], order, {"prev_s": x}, near[0], rows_per_slot, slots, near[1])
     out = out.withColumn("start_s", F.greatest("arrive_s", "prev_s"))
     out = out.withColumn("starved_s", F.coalesce(F.greatest(F.col("start_s") - F.col("prev_s"), F.lit(0.0)), F.lit(0.0)))
     out = out.withColumn("dwell_s", F.col(x) - F.col("start_s"))
-    out = lagged(out, ["j"], order, {"earlier_s": "start_s"}, far[0], rows_per_slot, slots, far[1])
-    gate = F.lead("earlier_s").over(by_unit())
+    out = lagged(out, [*keys, "j"], order, {"earlier_s": "start_s"}, far[0], rows_per_slot, slots, far[1])
+    gate = F.lead("earlier_s").over(by_unit(keys))
     out = out.withColumn("theta_s", gate - F.col("start_s") if last is None else F.when(F.col("j") < last, gate - F.col("start_s")))
     blocked = F.coalesce(F.col("dwell_s") - F.col("theta_s") < eps_s, F.lit(False))
-    return out.select("unit", "j", "arrive_s", "start_s", "dwell_s", "starved_s", "theta_s", blocked.alias("blocked"), *keep)
+    return out.select(*keys, "unit", "j", "arrive_s", "start_s", "dwell_s", "starved_s", "theta_s", blocked.alias("blocked"), *keep)

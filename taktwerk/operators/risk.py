@@ -8,17 +8,32 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taktwerk.functions.ranks import ROWS_PER_SLOT, positions
+from taktwerk.functions import metrics
+from taktwerk.functions.ranks import ROWS_PER_SLOT, positions, same_key_join
 
 
 def assembled(rows: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="__features", handleInvalid="keep").transform(rows.fillna(0.0, features))
 
 
-def fit_risk(train: DataFrame, features: list[str], label: str = "y", rounds: int = 20, depth: int = 5) -> GBTClassificationModel:
-    """Boosted trees of the label on the features (nulls count as 0), distributed over the rows; the seed makes the fit repeatable."""
-    trees = GBTClassifier(labelCol=label, featuresCol="__features", maxIter=rounds, maxDepth=depth, stepSize=0.2, seed=17)
-    return trees.fit(assembled(train, features))
+def fit_risk(
+    train: DataFrame, features: list[str], label: str = "y", rounds: int = 20, depth: int = 5, step: float = 0.2, held_percent: int = 0, bins: int = 32
+) -> GBTClassificationModel:
+    """Boosted trees of the label on the features (nulls count as 0), distributed over the rows; the seed makes the fit repeatable.
+
+    held_percent: so many of a hundred rows, by a hash of their features, are held out of the fit; it stops before `rounds` once they don't
+    gain any more.
+    """
+    trees = GBTClassifier(labelCol=label, featuresCol="__features", maxIter=rounds, maxDepth=depth, stepSize=step, seed=17, maxBins=bins)
+    rows = assembled(train, features)
+    if held_percent:
+        rows = rows.withColumn("__held", F.pmod(F.xxhash64(*features), F.lit(100)) < held_percent)
+        trees = trees.setValidationIndicatorCol("__held").setValidationTol(0.001)
+    rows = rows.select(label, "__features", *(["__held"] if held_percent else [])).persist()
+    try:
+        return trees.fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def with_risk(rows: DataFrame, model: GBTClassificationModel | None, features: list[str]) -> DataFrame:
@@ -48,6 +63,85 @@ def recalibrated(levels: DataFrame, block: str, least: int = 20) -> DataFrame:
     return levels.select(block, "y", F.coalesce(F.last(known, ignorenulls=True).over(w), F.lit(1.0)).alias("q"))
 
 
+def decide(rows: DataFrame, levels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds in0, in1, decision and confidence to rows (by, score), from levels (by, y, q); a class without a level has 1.
+
+    A class is in the set if 1 less its chance is at most its level. Both or none in it: `abstain`, and none `flag`; else the class, `flag` or
+    `pass`. Confidence is how far the decided class lies inside its level, from 0 to 1; an abstention has 0.
+    """
+    keys = list(by)
+    q = levels.groupBy(*keys).agg(*(F.max(F.when(F.col("y") == k, F.col("q"))).alias(f"__q{k}") for k in (0, 1)))  # a row a key
+    out = same_key_join(rows, q, keys, "left") if keys else rows.crossJoin(F.broadcast(q))
+    q0, q1 = (F.coalesce(f"__q{k}", F.lit(1.0)) for k in (0, 1))
+    risk = F.col("score")
+    out = out.withColumn("in1", 1 - risk <= q1).withColumn("in0", risk <= q0)
+    both = F.col("in1") & F.col("in0")
+    out = out.withColumn("decision", F.when(both, "abstain").when(F.col("in0"), "pass").otherwise("flag"))
+    inside = F.when(F.col("decision") == "flag", 1 - (1 - risk) / F.greatest(q1, F.lit(1e-6))).when(F.col("decision") == "pass", 1 - risk / F.greatest(q0, F.lit(1e-6))).otherwise(0.0)
+    return out.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), inside))).drop("__q0", "__q1")
+
+
+def evaluate(decided: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """A row a key: n, prevalence, coverage of both classes, shares of flags and abstentions, precision, recall, share of defects passed."""
+    y, flag = F.col("y").cast("double"), F.col("decision") == "flag"
+    share = lambda hit, of=F.lit(True): F.avg(F.when(of, hit.cast("double")))
+    return decided.groupBy(*by).agg(
+        F.count("*").alias("n"),
+        F.avg(y).alias("prevalence"),
+        share(F.col("in1"), F.col("y") == 1).alias("coverage_defect"),
+        share(F.col("in0"), F.col("y") == 0).alias("coverage_ok"),
+        share(flag).alias("flag_rate"),
+        share(F.col("decision") == "abstain").alias("abstain_rate"),
+        F.avg(F.when(flag, y)).alias("flag_precision"),
+        (F.coalesce(F.sum(F.when(flag, y)), F.lit(0.0)) / F.greatest(F.sum(y), F.lit(1.0))).alias("flag_recall"),
+        F.avg(F.when(F.col("decision") == "pass", y)).alias("pass_miss_rate"),
+    )
+
+
+def rolling(rows: DataFrame, test_start: int, block: int = 480, calib_window: int = 1920, alpha: float = 0.1, least: int = 20) -> DataFrame:
+    """Adds block_start, in0, in1, decision and confidence to rows (unit, score, y) of units from test_start on.
+
+    Each block of units is decided with the levels of the calib_window units before it, so that a drift of the line moves the levels
+    too; a class with fewer than `least` rows there keeps the level of the last block with enough. A row goes to the blocks
+    that look back on it by arithmetic, calib_window / block of them at most, and no block waits for another.
+    """
+    own = F.floor((F.col("unit") - test_start) / block)
+    first = F.greatest(own + 1, F.lit(0))
+    last = F.floor((F.col("unit") - test_start + calib_window) / block)
+    blocks = rows.filter(F.col("unit") >= test_start).select((own * block + test_start).alias("block_start")).distinct()
+    seen = rows.filter(first <= last).withColumn("block_start", F.explode(F.transform(F.sequence(first, last), lambda b: b * block + test_start)))
+    seen = seen.join(blocks, "block_start").select("block_start", "y", "score")
+    levels = conformal_levels(seen, alpha, least, ("block_start",))
+    every = blocks.crossJoin(rows.sparkSession.range(2).select(F.col("id").cast("int").alias("y")))  # two classes
+    levels = every.join(levels.withColumn("y", F.col("y").cast("int")), ["block_start", "y"], "left").na.fill(0, ["n"])
+    levels = recalibrated(levels, "block_start", least)
+    test = rows.filter(F.col("unit") >= test_start).withColumn("block_start", (own * block + test_start).cast("long"))
+    return decide(test, levels, ("block_start",))
+
+
+def prequential(decided: DataFrame, by: str = "block_start") -> DataFrame:
+    """evaluate() of each block, with the block's own ROC AUC and average precision."""
+    out = evaluate(decided, (by,))
+    auc = metrics.roc_auc(decided, by=[by]).drop("n")
+    return out.join(auc, by, "left").join(metrics.average_precision(decided, by=[by]), by, "left")
+
+
+def prequential_summary(decided: DataFrame, by: str = "block_start") -> DataFrame:
+    """One row: ROC AUC and average precision over all blocks, and the blocks' mean coverage, precision, recall and abstention."""
+    blocks = evaluate(decided, (by,))
+    means = blocks.agg(F.count("*").alias("n_blocks"), *(F.avg(c).alias(f"{c}_mean") for c in ("coverage_defect", "coverage_ok", "flag_precision", "flag_recall", "abstain_rate")))
+    return means.crossJoin(metrics.roc_auc(decided).drop("n")).crossJoin(metrics.average_precision(decided))  # one row each
+
+
+def time_split(rows: DataFrame, day: str, train_share: float = 0.65, calib_share: float = 0.15) -> DataFrame:
+    """Adds part: `train`, `calib` or `test`, by day, so that no later day is learned from. Shares are of the days from the first to the last."""
+    ends = rows.agg(F.min(day).alias("__d0"), F.max(day).alias("__d1"))  # one row
+    length = F.col("__d1") - F.col("__d0") + 1
+    at = F.col(day) - F.col("__d0")
+    part = F.when(at < F.floor(length * train_share), "train").when(at < F.floor(length * (train_share + calib_share)), "calib").otherwise("test")
+    return rows.crossJoin(F.broadcast(ends)).withColumn("part", part).drop("__d0", "__d1")
+
+
 def type_status(rows: DataFrame, least_train: int = 60, least_calib: int = 20) -> DataFrame:
     """(type, n_train, n_calib, status) from rows (type, part, y): which defect types have positives enough to be modelled."""
     counts = rows.groupBy("type").agg(
@@ -58,10 +152,37 @@ def type_status(rows: DataFrame, least_train: int = 60, least_calib: int = 20) -
     return counts.withColumn("status", status)
 
 
-def fit_per_type(rows: DataFrame, features: list[str], **limits: int) -> dict[str, GBTClassificationModel | None]:
-    """A model for each defect type with positives enough, fitted on its rows of part `train`; None for the others."""
+def typed_labels(units: DataFrame, findings: DataFrame, types: DataFrame) -> DataFrame:
+    """(type, unit, y) for every unit and type, from findings (unit, type); types is a dimension (type), given by the line."""
+    found = findings.select("unit", "type").distinct().withColumn("__y", F.lit(1))
+    rows = units.crossJoin(F.broadcast(types.select("type").distinct()))
+    return rows.join(found, ["unit", "type"], "left").withColumn("y", F.coalesce("__y", F.lit(0))).drop("__y")
+
+
+def evaluate_per_type(rows: DataFrame, features: list[str], alpha: float = 0.1, fit: dict | None = None, **limits: int) -> DataFrame:
+    """(type, status, n, prevalence and so on): type_status of each type, and for the fitted ones evaluate() of its part `test`.
+
+    rows is (type, unit, part, y, features). A model is fitted for each type with positives enough, and calibrated on its part `calib`.
+    """
+    status = type_status(rows, **limits)
+    out = None
+    for kind, model in fit_per_type(rows, features, fit, **limits).items():
+        if model is None:
+            continue
+        scored = with_risk(rows.filter(F.col("type") == kind), model, features)
+        levels = conformal_levels(scored.filter("part = 'calib'"), alpha)
+        one = evaluate(decide(scored.filter("part = 'test'"), levels)).withColumn("type", F.lit(kind).cast(rows.schema["type"].dataType))
+        out = one if out is None else out.unionByName(one)
+    return status if out is None else status.join(out, "type", "left")
+
+
+def fit_per_type(rows: DataFrame, features: list[str], fit: dict | None = None, **limits: int) -> dict[str, GBTClassificationModel | None]:
+    """A model for each defect type with positives enough, fitted on its rows of part `train`; None for the others.
+
+    fit: what fit_risk takes beside rows and features.
+    """
     models: dict[str, GBTClassificationModel | None] = {}
     for r in type_status(rows, **limits).collect():  # a row for each defect type
         own = rows.filter((F.col("type") == r.type) & (F.col("part") == "train"))
-        models[r.type] = fit_risk(own, features) if r.status == "fitted" else None
+        models[r.type] = fit_risk(own, features, **(fit or {})) if r.status == "fitted" else None
     return models
