@@ -1,7 +1,7 @@
 """Positions, ranks, lags and running values over a whole order, without one task that sorts it all.
 
 The order column's range is cut into slots at approximate quantiles, about `rows_per_slot` rows each, so an outlier or a skewed
-clock fills no slot with all rows. Count and quantiles come from one pass. A window then sorts one slot; what a slot needs of those before
+clock fills no slot with all rows. A window then sorts one slot; what a slot needs of those before
 it is a row or a few for each slot, put together over the table of slots. Where all rows fit one slot, no cut is made. The order
 column must be numeric or a timestamp, and rows that share one of its values share a slot.
 """
@@ -44,7 +44,12 @@ class Slots:
 
 
 def slots_of(df: DataFrame, order: str, rows_per_slot: int = ROWS_PER_SLOT) -> Slots | None:
-    """The slots of an order, from one aggregate; None if one slot does."""
+    """The slots of an order, from a count and, if one slot doesn't do, one aggregate more; None if it does.
+
+    The count needs no column, so windows and joins that only add columns drop out of it.
+    """
+    if df.count() <= rows_per_slot:
+        return None
     probes = [k / MOST_SLOTS for k in range(1, MOST_SLOTS)]
     x = number(df, order)
     n, at = df.agg(F.count(order), F.percentile_approx(x, probes, 10 * MOST_SLOTS)).first()
@@ -179,10 +184,10 @@ def average_ranks(df: DataFrame, column: str, name: str, rows_per_slot: int = RO
     return same_key_join(df.withColumn("__tie", F.col(column)), ranked, [*by, "__tie"]).drop("__tie")
 
 
-def quantiles(df: DataFrame, by: list[str], column: str, shares: list[float]) -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], column: str, shares: list[float], few_keys: bool = True) -> DataFrame:
     """(by, k, n, value): the quantile at shares[k] of each key, linear between neighbours; nulls don't count, keys of nulls alone have none.
 
-    No key may be named k, n or value.
+    few_keys: the keys are a dimension, such as stations, so a row for each is broadcast. No key may be named k, n or value.
 
     Exact, in two passes and without a job before the query: approximate quantiles bracket each wanted place, and only what lies
     in a bracket, some 6 rows in ACCURACY and their ties, is counted by value and ordered.
@@ -198,7 +203,8 @@ def quantiles(df: DataFrame, by: list[str], column: str, shares: list[float]) ->
         return F.when(F.col("n") < 4 * ACCURACY, most if i % 2 else least).otherwise(near)
 
     brackets = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(s)).alias("s"), end(2 * k).alias("a"), end(2 * k + 1).alias("b")) for k, s in enumerate(shares)))
-    rows = same_key_join(known, at.select(*by, "n", brackets.alias("__w")), by) if by else known.crossJoin(F.broadcast(at.select("n", brackets.alias("__w"))))  # one row
+    at = at.select(*by, "n", brackets.alias("__w"))
+    rows = same_key_join(known, F.broadcast(at) if few_keys else at, by) if by else known.crossJoin(F.broadcast(at))  # one row
     rows = rows.select(*by, "__x", "n", F.explode("__w").alias("w")).filter(F.col("__x") <= F.col("w.b"))
     below = F.col("__x") < F.col("w.a")
     ties = rows.groupBy(*by, "n", F.col("w.k").alias("k"), F.col("w.s").alias("__s"), F.when(~below, F.col("__x")).alias("__x")).agg(F.count("*").alias("__c"))

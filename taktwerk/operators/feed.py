@@ -38,7 +38,7 @@ def late_floors(scans: DataFrame, x: str = "x_dup", least: int = 200, keys: tupl
 
 def repair_late(scans: DataFrame, floors: DataFrame, x: str = "x_dup", keys: tuple[str, ...] = ()) -> DataFrame:
     """Adds x_late: a scan after which the next station follows too soon moves back to the floor before that one."""
-    own = scans.join(floors, [*keys, "j"], "left")
+    own = scans.join(F.broadcast(floors), [*keys, "j"], "left")  # a row for each station
     gap = F.lead(x).over(by_unit(keys)) - F.col(x)
     floor = F.lead("floor_s").over(by_unit(keys))
     return own.withColumn("x_late", F.when(gap < floor, F.lead(x).over(by_unit(keys)) - floor).otherwise(F.col(x))).drop("floor_s")
@@ -62,7 +62,7 @@ def interpolate(scans: DataFrame, x: str = "x_late", keys: tuple[str, ...] = ())
 def fill_rest(scans: DataFrame, x: str = "x_fill") -> DataFrame:
     """Adds x_full: what interpolation left open gets the median of its station's scans, or its unit's release where there are none."""
     medians = quantiles(scans, ["j"], x, [0.5]).select("j", F.col("value").alias("__median"))  # a row for each station
-    return scans.join(medians, "j", "left").withColumn("x_full", F.coalesce(x, "__median", "release_s")).drop("__median")
+    return scans.join(F.broadcast(medians), "j", "left").withColumn("x_full", F.coalesce(x, "__median", "release_s")).drop("__median")
 
 
 def clock_drift(scans: DataFrame, x: str = "x", share: float = 0.01, least: int = 100, limit_s: float = 3.0) -> DataFrame:

@@ -33,9 +33,10 @@ def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every exposure of every unit: signals, dwells, sub-windows, lot, operator and shift."""
     sid = F.concat(F.lit("S"), F.col("j").cast("string")).alias("sid")
     signals = tracing.z_scores(torque(spark, sf_dir).select("unit", sid, F.lit("torque").alias("signal"), "v"), ["sid", "signal"], BASELINE)
-    visits = feed.reconstruct(plant.scans(spark, sf_dir)).withColumn("depart_s", F.col("start_s") + F.col("dwell_s"))
+    scans = plant.scans(spark, sf_dir)
+    visits = feed.reconstruct(scans).select("unit", "j", "start_s", "dwell_s").persist()  # read three times
     dark = visits.filter(~F.col("j").isin(*SENSORS)).select("unit", sid, F.col("dwell_s").alias("v"))
-    last = visits.groupBy("unit").agg(F.max("depart_s").alias("last_s"))
+    last = scans.groupBy("unit").agg(F.max("true_s").alias("last_s"))
     edges = tracing.quantile_edges(last, "last_s", 6)
     units = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         F.col("o_orderkey").alias("unit"),

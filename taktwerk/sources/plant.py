@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
@@ -27,14 +29,15 @@ scan AS (
   FROM clean)"""
 
 
-def register(spark: SparkSession, sf_dir: str) -> None:
-    """The tables of a data folder as temporary views."""
-    for name in TABLES:
+def register(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TABLES) -> None:
+    """Tables of a data folder as temporary views."""
+    for name in names:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    register(spark, sf_dir)
+    """A query over the tables that its text names."""
+    register(spark, sf_dir, tuple(t for t in TABLES if re.search(rf"\b{t}\b", text)))
     return spark.sql(text)
 
 
