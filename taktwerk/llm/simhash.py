@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taktwerk.llm.common import deal, heavy_keys, map_column, runs, written
+from taktwerk.llm.common import deal, forget, heavy_keys, map_column, runs, written
 from taktwerk.llm.components import connected_components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -97,22 +97,17 @@ def similar_prints(prints: DataFrame, budget: int = 4, block_rows: int = 4096) -
     ring = Ring(budget)
     schema = "key long, fp long, exact boolean"
 
-    def spread(exact_only: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                fp = batch.column(0).to_numpy()
-                for key, exact in ring.keys(fp.view(np.uint64)):
-                    if exact or not exact_only:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(key.view(np.int64)), batch.column(0), pa.array(np.full(len(fp), exact))],
-                            names=["key", "fp", "exact"],
-                        )
-
-        return run
-
-    prints = prints.select("fp")
-    heavy = heavy_keys(prints.mapInArrow(spread(True), schema), "key", block_rows)
-    rows = deal(prints.mapInArrow(spread(False), schema), "key", "fp", heavy)
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(0).to_numpy()
+            for key, exact in ring.keys(fp.view(np.uint64)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), batch.column(0), pa.array(np.full(len(fp), exact))], names=["key", "fp", "exact"]
+                )
+
+    keyed = prints.select("fp").mapInArrow(spread, schema)
+    heavy = heavy_keys(keyed, "key", block_rows)  # of all rows, as a key of few exact ones may lie beside a hot one
+    rows = deal(keyed, "key", "fp", heavy)
     group = ["key", "block_i", "block_j"]
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,4 +198,6 @@ def simhash_components(
         .join(least, "component", "left")
         .select("fp", F.when(F.col("component").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"))
     )
+    forget(nodes)
+    forget(parts)
     return prints.join(by_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
