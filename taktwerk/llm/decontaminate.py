@@ -184,8 +184,9 @@ def decontaminate(
     without its hit spans).
 
     An automaton is of about chunk_bytes of items (or of one longer item) and goes to the executors by broadcast. More items
-    are dealt over more automata by a hash; the documents pass one after the other, each pass a written table, and an automaton is
-    gone before the next is made, so memory is bounded whatever the benchmark. Null or wordless texts have no words and no hits;
+    are dealt over more automata by a hash. The documents are then written once, with a number each; they are read once for each automaton,
+    which leaves a table of the hits alone and is gone before the next is made, so memory is bounded whatever the benchmark; at the end
+    the hits join the documents. Null or wordless texts have no words and no hits;
     an item without id is found but not listed; repeated items count once; repeated documents are judged each; no items: nothing
     is hit.
     """
@@ -194,63 +195,87 @@ def decontaminate(
     rows = rows.filter("t is not null").distinct()
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(-(-size // chunk_bytes), 1)
-    if n > 1:
-        rows = written(rows.withColumn("chunk", F.pmod(F.xxhash64("t", "i"), F.lit(n))))
-    names = apart(keep, {"__text", "__spans", "__items", "n_words", "n_hit", "items", "spans", "contaminated", *(["cleaned"] if clean else [])})
+    names = apart(keep, {"__text", "__row", "__spans", "__items", "n_words", "n_hit", "items", "spans", "contaminated", *(["cleaned"] if clean else [])})
     out = docs.select(F.col(text_col).alias("__text"), *(F.col(k).alias(v) for k, v in names.items()))
-    for k in range(n):
-        own = [(r.i, words_of(r.t.encode())) for r in (rows.filter(F.col("chunk") == k) if n > 1 else rows).collect()]
-        shared = context.broadcast(Automaton(own, window))
-        last = k == n - 1
 
-        def setup(shared=shared, last=last):
+    def judged(got: dict[str, list], t: bytes | None, words: list[bytes], spans: list[tuple[int, int]], found: set) -> None:
+        spans = merged(spans)
+        hit = sum(e - s for s, e in spans)
+        long = max_span_words is not None and any(e - s > max_span_words for s, e in spans)
+        got["n_words"].append(len(words))
+        got["n_hit"].append(hit)
+        got["items"].append(sorted(x for x in found if x is not None))
+        got["spans"].append([{"start": s, "end": e} for s, e in spans])
+        got["contaminated"].append(hit > 0 and (long or hit >= round(coverage * len(words), 9)))
+        if clean:
+            got["cleaned"].append(None if t is None else without(t.decode(), spans))
+
+    final = [
+        T.StructField("n_words", T.LongType()),
+        T.StructField("n_hit", T.LongType()),
+        T.StructField("items", T.ArrayType(T.StringType())),
+        T.StructField("spans", SPANS),
+        T.StructField("contaminated", T.BooleanType()),
+        *([T.StructField("cleaned", T.StringType())] if clean else []),
+    ]
+
+    def automaton_of(chunk: DataFrame):
+        return context.broadcast(Automaton([(r.i, words_of(r.t.encode())) for r in chunk.collect()], window))
+
+    if n == 1:
+        shared = automaton_of(rows)
+
+        def setup():
             automaton = shared.value
 
-            def work(texts: list, *before: list) -> dict[str, list]:
-                got: dict[str, list] = {f.name: [] for f in (final if last else between)}
-                for i, t in enumerate(texts):
+            def work(texts: list) -> dict[str, list]:
+                got: dict[str, list] = {f.name: [] for f in final}
+                for t in texts:
                     words = words_of(t)
-                    spans, found = automaton.scan(words)
-                    found = {x for x in found if x is not None}
-                    if before:
-                        spans += [(s["start"], s["end"]) for s in before[0][i]]
-                        found.update(before[1][i])
-                    spans = merged(spans)
-                    listed = [{"start": s, "end": e} for s, e in spans]
-                    if not last:
-                        got["__spans"].append(listed)
-                        got["__items"].append(list(found))
-                        continue
-                    hit = sum(e - s for s, e in spans)
-                    long = max_span_words is not None and any(e - s > max_span_words for s, e in spans)
-                    got["n_words"].append(len(words))
-                    got["n_hit"].append(hit)
-                    got["items"].append(sorted(found))
-                    got["spans"].append(listed)
-                    got["contaminated"].append(hit > 0 and (long or hit >= round(coverage * len(words), 9)))
-                    if clean:
-                        got["cleaned"].append(None if t is None else without(t.decode(), spans))
+                    judged(got, t, words, *automaton.scan(words))
+                return got
+
+            return work
+
+        return map_column(out, "__text", list(names.values()), final, setup, binary=True)
+
+    chunks = written(rows.withColumn("chunk", F.pmod(F.xxhash64("t", "i"), F.lit(n))))
+    numbered = written(out.withColumn("__row", F.monotonically_increasing_id()))
+    hits, tables = None, []
+    for k in range(n):
+        shared = automaton_of(chunks.filter(F.col("chunk") == k))
+
+        def setup(shared=shared):
+            automaton = shared.value
+
+            def work(texts: list) -> dict[str, list]:
+                got: dict[str, list] = {"__spans": [], "__items": []}
+                for t in texts:
+                    spans, found = automaton.scan(words_of(t))
+                    got["__spans"].append([{"start": s, "end": e} for s, e in merged(spans)])
+                    got["__items"].append([x for x in found if x is not None])
                 return got
 
             return work
 
         between = [T.StructField("__spans", SPANS), T.StructField("__items", T.ArrayType(T.StringType()))]
-        final = [
-            T.StructField("n_words", T.LongType()),
-            T.StructField("n_hit", T.LongType()),
-            T.StructField("items", T.ArrayType(T.StringType())),
-            T.StructField("spans", SPANS),
-            T.StructField("contaminated", T.BooleanType()),
-            *([T.StructField("cleaned", T.StringType())] if clean else []),
-        ]
-        columns = ["__text", *(["__spans", "__items"] if k else [])]
-        if last:
-            return map_column(out, columns, list(names.values()), final, setup, binary=True)
-        passed = written(map_column(out, columns, ["__text", *names.values()], between, setup, binary=True))
+        tables.append(written(map_column(numbered, "__text", ["__row"], between, setup, binary=True).filter(F.size("__spans") > 0)))
+        hits = tables[-1] if hits is None else hits.union(tables[-1])
         shared.destroy()
-        if k:
-            forget(out)
-        out = passed
+    hits = written(hits.groupBy("__row").agg(F.flatten(F.collect_list("__spans")).alias("__spans"), F.flatten(F.collect_list("__items")).alias("__items")))
+    for table in (chunks, *tables):
+        forget(table)
+
+    def finish():
+        def work(texts: list, spans: list, found: list) -> dict[str, list]:
+            got: dict[str, list] = {f.name: [] for f in final}
+            for t, own, ids in zip(texts, spans, found, strict=True):
+                judged(got, t, words_of(t), [(s["start"], s["end"]) for s in own or ()], set(ids or ()))
+            return got
+
+        return work
+
+    return map_column(numbered.join(hits, "__row", "left"), ["__text", "__spans", "__items"], list(names.values()), final, finish, binary=True)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
