@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes of text whose words a task holds as arrays at a time (some 20 bytes of arrays a byte); a longer text alone.
-PART_BYTES = 8 << 20
+PART_BYTES = 6 << 20
 WORD, GAP, BREAK = 0, 1, 2
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
