@@ -142,3 +142,51 @@ def business_case(facts: DataFrame, escapes: float = 0.18, working_days: int = 2
     rca = rca_impact(F.lit(causes_a_year * hours_saved * ECONOMICS["engineer_hours_per_rca"]))
     out = rows.select("scenario", throughput.alias("throughput_inr"), quality.alias("quality_inr"), rca.alias("rca_inr"))
     return out.withColumn("total_inr", c("throughput_inr") + c("quality_inr") + c("rca_inr"))
+
+
+def evidence(**pairs: Column) -> Column:
+    """A map of strings; nulls are left out."""
+    entries = F.array_compact(F.array(*(F.when(c.isNotNull(), F.struct(F.lit(k).alias("key"), c.cast("string").alias("value"))) for k, c in pairs.items())))
+    return F.map_from_entries(entries)
+
+
+ALERT = ("kind", "subject", "t_s", "confidence", "impact", "outcome", "evidence")
+
+
+def bottleneck_alerts(calls: DataFrame, takt_s: float, shift_hours: float, least_impact: float = 40_000) -> DataFrame:
+    """An alert a forecast (t_s, predicted, present, confidence, gap_s), worth what the gap costs a shift; correct if the station became the present one."""
+    impact = F.greatest(bottleneck_impact(F.col("gap_s"), F.lit(takt_s), F.lit(shift_hours)), F.lit(float(least_impact)))
+    outcome = F.when(F.col("predicted") == F.col("present"), "correct").otherwise("incorrect")
+    return calls.select(
+        F.lit("BOTTLENECK").alias("kind"), F.col("predicted").alias("subject"), "t_s", "confidence", impact.alias("impact"), outcome.alias("outcome"),
+        evidence(present=F.col("present")).alias("evidence"),
+    )
+
+
+def risk_alerts(blocks: DataFrame, subject: str, escape_rate: float = 0.18) -> DataFrame:
+    """An alert a block of decisions (t_s and what risk.evaluate gives) that flagged anything, correct if over a twentieth of it was defective."""
+    flagged = F.col("flag_rate") * F.col("n")
+    sound = blocks.filter(F.col("flag_precision").isNotNull() & (F.col("flag_rate") > 0))
+    return sound.select(
+        F.lit("DEFECT_RISK").alias("kind"), F.lit(subject).alias("subject"), "t_s", F.least(F.greatest(F.col("flag_precision") * 3, F.lit(0.0)), F.lit(0.95)).alias("confidence"),
+        defect_impact(flagged, F.col("flag_precision"), F.lit(escape_rate)).alias("impact"), F.when(F.col("flag_precision") > 0.05, "correct").otherwise("incorrect").alias("outcome"),
+        evidence(precision=F.round("flag_precision", 3), recall=F.round("flag_recall", 3)).alias("evidence"),
+    )
+
+
+def trace_alerts(scored: DataFrame, hours_saved: float = 0.7) -> DataFrame:
+    """An alert a trace (t_s and what tracing.score_probes gives), as the engineer who reviewed it found it."""
+    return scored.select(
+        F.lit("ROOT_CAUSE").alias("kind"), F.coalesce("rank1_label", F.lit("none")).alias("subject"), "t_s", F.coalesce("rank1_confidence", F.lit(0.0)).alias("confidence"),
+        rca_impact(F.lit(ECONOMICS["engineer_hours_per_rca"] * hours_saved)).alias("impact"), F.when(F.col("correct"), "correct").otherwise("incorrect").alias("outcome"),
+        evidence(probe=F.col("probe"), status=F.col("status"), lift=F.round("rank1_lift", 2)).alias("evidence"),
+    )
+
+
+def ledger(parts: list[DataFrame], shadow_until_day: float = 0.0, per_shift: int = 5) -> DataFrame:
+    """All alerts of the parts, numbered by time, then kind, subject and evidence, with the attention budget of each shift applied."""
+    rows = parts[0].select(*ALERT)
+    for part in parts[1:]:
+        rows = rows.unionByName(part.select(*ALERT))
+    rows = rows.withColumn("__text", F.to_json("evidence")).persist()  # alerts are few beside what they come from, and read several times
+    return apply_budget(issue(rows, ["t_s", "kind", "subject", "__text"], shadow_until_day).drop("__text"), per_shift)

@@ -108,3 +108,91 @@ def score_against_faults(charts: DataFrame, faults: DataFrame, early: float = 0.
         F.col("b.first_day").alias("detect_day"), F.round(F.col("b.first_day") - F.col("start_day"), 2).alias("lag_days"),
         onset_day.alias("onset_day"), F.round(onset_day - F.col("start_day"), 2).alias("onset_error_days"),
     )
+
+
+def line_series(signals: DataFrame, dwells: DataFrame, instrumented: DataFrame, size: int, first: int = BASELINE, sigmas: float = 4.0) -> DataFrame:
+    """(station, signal, instrumented, blk, m): the block means of every series that a line can be charted on.
+
+    signals is (unit, sid, signal, v) of stations with sensors, dwells (unit, sid, v) of all, instrumented (sid) the stations with sensors.
+    Those have their signals and a stoppage rate, of their cycle_time_s or else their dwell; the others the soft dwell and its
+    stoppage rate. A stoppage is a time beyond the mean and `sigmas` deviations of the first `first` blocks. Blocks are of `size` units in
+    their order, a partial last one is left out.
+    """
+    known = instrumented.select(F.col("sid").alias("__sid")).distinct()
+    seen = dwells.join(F.broadcast(known), F.col("sid") == F.col("__sid"), "left").withColumn("inst", F.col("__sid").isNotNull()).drop("__sid")  # a row a station
+    timed = signals.filter("signal = 'cycle_time_s'").select(F.col("sid").alias("__sid")).distinct()
+    own = signals.filter("signal = 'cycle_time_s'").select("unit", "sid", F.lit("stoppage_rate").alias("signal"), F.lit(True).alias("inst"), "v")
+    rest = seen.filter("inst").join(F.broadcast(timed), F.col("sid") == F.col("__sid"), "left_anti").select("unit", "sid", F.lit("stoppage_rate").alias("signal"), "inst", "v")
+    dark = seen.filter("NOT inst")
+    rows = signals.select("unit", "sid", "signal", F.lit(True).alias("inst"), "v").unionByName(own).unionByName(rest)
+    for name in ("soft_dwell_s", "soft_stoppage_rate"):
+        rows = rows.unionByName(dark.select("unit", "sid", F.lit(name).alias("signal"), "inst", "v"))
+    placed = positions(rows, ["sid", "signal"], ["unit"], "rn")
+    early = F.when(F.col("rn") < first * size, F.col("v"))
+    bars = placed.groupBy("sid", "signal").agg((F.avg(early) + sigmas * F.stddev_pop(early)).alias("bar"))  # a row a series
+    value = F.when(F.col("signal").endswith("stoppage_rate"), (F.col("v") > F.col("bar")).cast("double")).otherwise(F.col("v"))
+    blocked = placed.join(F.broadcast(bars), ["sid", "signal"]).groupBy("sid", "signal", "inst", F.floor(F.col("rn") / size).alias("blk"))
+    means = blocked.agg(F.avg(value).alias("m"), F.count("*").alias("n")).filter(F.col("n") == size)
+    return means.select(F.col("sid").alias("station"), "signal", F.col("inst").alias("instrumented"), "blk", "m")
+
+
+def line_charts(series: DataFrame, ewma_l: float = EWMA_L, h: float = H) -> DataFrame:
+    """Both charts of every series of line_series, a row a block: station, signal, instrumented, chart, blk, stat, lim, onset, flag, mu, sd.
+
+    The series are read several times; the caller persists them, which are a row a block, where computing them is dear.
+    """
+    means = series.withColumn("series", F.concat_ws("|", "station", "signal")).select("series", "blk", "m")
+    base = baseline(means)
+    parts = [
+        ewma(means, base, limit=ewma_l).select("series", F.lit("EWMA").alias("chart"), "blk", "stat", "lim", F.lit(None).cast("long").alias("onset"), "flag"),
+        cusum(means, base, h=h).select("series", F.lit("CUSUM").alias("chart"), "blk", "stat", F.lit(h).alias("lim"), "onset", "flag"),
+    ]
+    names = series.select(F.concat_ws("|", "station", "signal").alias("series"), "station", "signal", "instrumented").distinct()
+    return parts[0].union(parts[1]).join(base, "series").join(names, "series").drop("series")
+
+
+def scan(charts: DataFrame, blocks_per_day: float, k: int = PERSISTENCE) -> DataFrame:
+    """A row a chart of line_charts: station, signal, instrumented, chart, mu, sd, first_blk, first_day, onset_day, n_signals, peak, lim.
+
+    The first signal is the first of k flags in a row; the onset that of a CUSUM chart then; both in days, null without a signal.
+    """
+    keys = ["station", "signal", "instrumented", "chart", "mu", "sd"]
+    w = Window.partitionBy(*keys).orderBy("blk")  # of blocks
+    ahead = F.sum(F.col("flag").cast("int")).over(w.rowsBetween(Window.currentRow, k - 1)) == k
+    begun = charts.withColumn("begins", F.coalesce(ahead, F.lit(False)))
+    out = begun.groupBy(*keys).agg(
+        F.min(F.when(F.col("begins"), F.col("blk"))).alias("first_blk"),
+        F.min_by("onset", F.when(F.col("begins"), F.col("blk"))).alias("onset"),
+        F.sum(F.col("flag").cast("long")).alias("n_signals"),
+        F.max(F.abs("stat")).alias("peak"),
+        F.max_by("lim", "blk").alias("lim"),
+    )
+    first = F.col("first_blk")
+    return out.select(
+        *keys, F.coalesce(first, F.lit(-1)).cast("long").alias("first_blk"), F.round(first / blocks_per_day, 2).alias("first_day"),
+        F.when(first.isNotNull(), F.round(F.col("onset") / blocks_per_day, 2)).alias("onset_day"), "n_signals", "peak", "lim",
+    )
+
+
+def false_alarm_rate(found: DataFrame, affected: DataFrame) -> DataFrame:
+    """(chart, n_charts, n_firing, rate) of the charts of stations that no fault touches, by chart and over all (`ALL`).
+
+    found is scan()'s, affected (sid), a row a touched station.
+    """
+    clean = found.join(affected.select(F.col("sid").alias("station")).distinct(), "station", "left_anti")
+    fires = clean.withColumn("fires", (F.col("first_blk") >= 0).cast("long")).withColumn("chart", F.explode(F.array("chart", F.lit("ALL"))))
+    return fires.groupBy("chart").agg(F.count("*").alias("n_charts"), F.sum("fires").alias("n_firing"), F.avg("fires").alias("rate"))
+
+
+def sweep(charts: DataFrame, limits: tuple[float, ...] = (3.0, 3.5, 4.1, 4.6, 5.2), ratio: float = 1.7, k: int = PERSISTENCE, first: int = BASELINE) -> DataFrame:
+    """(ewma_l, cusum_h, station, chart, signal, first_blk, n_signals) for each operating point (L, h = ratio * L).
+
+    The statistics of line_charts don't depend on the limits, so they are computed once and held against every point.
+    """
+    points = charts.withColumn("ewma_l", F.explode(F.array(*map(F.lit, limits)))).withColumn("cusum_h", F.round(F.col("ewma_l") * ratio, 6))
+    over = F.when(F.col("chart") == "EWMA", F.abs("stat") > F.col("lim") / EWMA_L * F.col("ewma_l")).otherwise(F.col("stat") > F.col("cusum_h"))
+    rows = points.withColumn("flag", over & (F.col("blk") >= first))
+    keys = ["ewma_l", "cusum_h", "station", "signal", "chart"]
+    held = F.sum(F.col("flag").cast("int")).over(Window.partitionBy(*keys).orderBy("blk").rowsBetween(-(k - 1), Window.currentRow)) == k
+    out = rows.withColumn("held", held).groupBy(*keys)
+    return out.agg(F.coalesce(F.min(F.when(F.col("held"), F.col("blk") - (k - 1))), F.lit(-1)).cast("long").alias("first_blk"), F.sum(F.col("flag").cast("long")).alias("n_signals"))

@@ -123,11 +123,11 @@ def q_bottleneck_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(hour, predicted, present): the station that leads most in each hour, and in the hour before, which is its forecast."""
+    """(hour, predicted, present, confidence): the station that leads most in each hour, and in the hour before, which is its forecast."""
     best, _ = leaders(spark, sf_dir)
     top = bottleneck.timeline(best, "sid", 60, 1)
-    ahead = top.select((F.col("blk") + 1).alias("blk"), F.col("sid").alias("predicted"))
-    return top.join(ahead, "blk").select(F.col("blk").alias("hour"), "predicted", F.col("sid").alias("present"))
+    ahead = top.select((F.col("blk") + 1).alias("blk"), F.col("sid").alias("predicted"), (F.col("n") / 60).alias("confidence"))
+    return top.join(ahead, "blk").select(F.col("blk").alias("hour"), "predicted", F.col("sid").alias("present"), "confidence")
 
 
 def q_regime_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
