@@ -7,20 +7,23 @@ from pyspark.sql import functions as F
 
 
 def plan_within_budget(ranked: DataFrame, budget: int, rank: list[Column], most: int = 5) -> DataFrame:
-    """(place, sid, cost): greedy by `rank`, passing over what no longer fits, `most` stations at most.
+    """(place, sid, cost): greedy by `rank`, then sid, passing over what no longer fits, `most` items at most.
 
-    The choice of one station depends on all before it. The list of stations is a dimension (tens to hundreds of rows),
-    so it is one array, folded inside one expression.
+    The next choice is the first item behind the last one that the rest of the budget can pay: one aggregate for each choice, whatever the
+    number of items, so no task orders them all.
     """
-    order = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(rank)), F.col("sid").alias("sid"), F.col("cost").cast("long").alias("cost"))
-    start = F.struct(F.lit(0).cast("long").alias("spend"), F.array().cast("array<struct<sid:string,cost:bigint>>").alias("chosen"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = (F.size(acc["chosen"]) < most) & (acc["spend"] + x["cost"] <= budget)
-        one = F.struct(x["sid"].cast("string").alias("sid"), x["cost"].alias("cost"))
-        return F.when(
-            fits, F.struct((acc["spend"] + x["cost"]).alias("spend"), F.concat(acc["chosen"], F.array(one)).alias("chosen"))
-        ).otherwise(acc)
-
-    folded = ranked.agg(F.array_sort(F.collect_list(order)).alias("items")).select(F.aggregate("items", start, step).alias("plan"))
-    return folded.select(F.posexplode("plan.chosen").alias("place", "pick")).select("place", "pick.sid", "pick.cost")
+    key = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(rank)), F.col("sid").cast("string").alias("sid"))
+    items = ranked.select(key.alias("key"), F.col("sid").cast("string").alias("sid"), F.col("cost").cast("long").alias("cost"))
+    picks: list[DataFrame] = []
+    for place in range(most):
+        open_items = items.filter(F.col("cost") <= budget)
+        if picks:
+            last = picks[-1].select(F.col("key").alias("__key"), F.col("spent").alias("__spent"))  # one row at most
+            open_items = items.crossJoin(F.broadcast(last)).filter((F.col("key") > F.col("__key")) & (F.col("__spent") + F.col("cost") <= budget))
+        spent = F.col("cost") + (F.col("__spent") if picks else F.lit(0))
+        first = open_items.groupBy().agg(F.min(F.struct("key", "sid", "cost", spent.alias("spent"))).alias("pick")).filter("pick IS NOT NULL")
+        picks.append(first.select(F.lit(place).alias("place"), "pick.*"))
+    out = picks[0]
+    for pick in picks[1:]:
+        out = out.union(pick)
+    return out.select("place", "sid", "cost")

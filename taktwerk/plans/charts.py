@@ -210,8 +210,9 @@ def repaired(spark, sf_dir):
 
 def drifting(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = plant.scans(spark, sf_dir)
-    half = spark.read.parquet(f"{sf_dir}/orders.parquet").agg((F.max("o_orderkey") / 2).alias("half")).first()["half"] or 0.0
-    return scans.withColumn("offset_s", F.expr(DRIFT.format(half=half))).withColumn("x", F.col("x") + F.col("offset_s"))
+    half = spark.read.parquet(f"{sf_dir}/orders.parquet").agg((F.max("o_orderkey") / 2).alias("half"))  # one row
+    scans = scans.crossJoin(F.broadcast(half)).withColumn("offset_s", F.expr(DRIFT.format(half="half")))
+    return scans.withColumn("x", F.col("x") + F.col("offset_s")).drop("half")
 
 
 def drift_of_all(scans: DataFrame) -> DataFrame:

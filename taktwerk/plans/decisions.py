@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from taktwerk.operators import decision
 from taktwerk.plans.charts import rounded
+from taktwerk.plans.layouts import PLACES
 from taktwerk.sources import lines
 
 SHADOW_UNTIL = 19_400.0
@@ -76,10 +77,7 @@ named AS (SELECT *, 'A' || CASE WHEN n < 100000 THEN lpad(n::VARCHAR, 5, '0') EL
 ledger AS (SELECT *, row_number() OVER (PARTITION BY shift_no ORDER BY prio DESC, alert_id) <= 5 AS surfaced,
     CASE WHEN event_id % 6 = 4 THEN 'confirmed' WHEN event_id % 2 = 0 THEN ['confirmed', 'rejected', 'unsure'][event_id % 3 + 1] END AS verdict FROM named),
 judged AS (SELECT *, CASE verdict WHEN 'confirmed' THEN 'correct' WHEN 'rejected' THEN 'incorrect' END AS outcome FROM ledger)"""
-TYPES = ", ".join("('{}', {}e0)".format(*x.split()[:2]) for x in lines.STATION_TYPES.strip().splitlines())
-PLACED = ", ".join(
-    f"('{x.split()[0]}', {x.split()[1]}e0)" for texts in lines.LAYOUTS["alpha"]["stations"].values() for x in texts.split(",")
-)
+CYCLES = "('weld_robot', 46e0), ('torque_station', 52e0), ('manual_fit', 53e0), ('sealer', 50e0), ('paint_booth', 58e0), ('oven', 56e0), ('electrical_fit', 55e0), ('inspection_gate', 41e0)"
 ORACLES = {
     "q_alert_log": f"WITH {LEDGER} SELECT alert_id, kind, round(t_s / 86400, 3) AS day, shadow FROM named",
     "q_alert_budget": f"""WITH {LEDGER} SELECT alert_id, shift_no FROM named WHERE NOT shadow
@@ -92,9 +90,8 @@ ORACLES = {
     "q_calibration": f"""WITH {LEDGER}, b AS (SELECT CASE WHEN confidence <= 0.2 THEN 1 WHEN confidence <= 0.4 THEN 2 WHEN confidence <= 0.6 THEN 3 WHEN confidence <= 0.8 THEN 4 ELSE 5 END::BIGINT AS bin,
       confidence, (outcome = 'correct')::INT AS hit FROM judged WHERE outcome IS NOT NULL)
       SELECT bin, count(*) AS n, round(avg(confidence), 6) AS mean_conf, round(avg(hit), 6) AS hit_rate, round(avg(hit) - avg(confidence), 3) AS gap FROM b GROUP BY bin""",
-    "q_impact": f"""WITH t AS (SELECT * FROM (VALUES {TYPES}) AS t(name, cycle)),
-      p AS (SELECT name, scale, row_number() OVER () AS i FROM (VALUES {PLACED}) AS p(name, scale))
-      SELECT 'S' || lpad(i::VARCHAR, 2, '0') AS sid, round(62000 * greatest(576e0 - 28800 / (cycle * scale), 0), 6) AS per_shift_inr FROM p JOIN t USING (name)""",
+    "q_impact": f"""WITH t(type_name, cycle) AS (VALUES {CYCLES}), {PLACES}
+      SELECT sid, round(62000 * greatest(576e0 - 28800 / (cycle * cycle_scale), 0), 6) AS per_shift_inr FROM station JOIN t USING (type_name) WHERE line = 'alpha'""",
     "q_business_case": """WITH f AS (SELECT avg(l_quantity) / 10 AS gap, avg((l_returnflag = 'R')::INT) AS rate FROM lineitem),
       g AS (SELECT col0 AS scenario, (480 - 28800 / (60 + gap * col3)) * 62000 * 500 AS t, 240000 * rate * 0.7e0 * col1 * col2 * (0.82e0 * 4800 + 0.18e0 * 34000) AS q,
         26 * 0.7e0 * 22 * 1450 AS r FROM f, (VALUES ('conservative', 0.5e0, 0.3e0, 0.35e0), ('base', 1e0, 0.5e0, 0.6e0), ('optimistic', 1e0, 0.7e0, 0.8e0)))

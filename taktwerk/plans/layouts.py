@@ -12,28 +12,38 @@ def both(spark: SparkSession) -> DataFrame:
     return lines.stations(spark, "alpha").union(lines.stations(spark, "beta"))
 
 
-def layout_rows() -> str:
-    rows = []
-    for line, layout in lines.LAYOUTS.items():
-        for zone, texts in layout["stations"].items():
-            rows += [f"('{line}', '{zone}', '{x.strip()}')" for x in texts.split(",")]
-    return ", ".join(rows)
-
-
-def fault_rows(line: str) -> str:
-    return ", ".join("('{}', '{}', '{}')".format(*x.split()[:3]) for x in lines.FAULTS[line].strip().splitlines())
-
-
-PLACES = f"""
-place AS (SELECT line, zone, string_split(x, ' ') AS w, row_number() OVER (PARTITION BY line ORDER BY n) AS i
-  FROM (SELECT *, row_number() OVER () AS n FROM (VALUES {layout_rows()}) AS t(line, zone, x))),
+# What the oracles say of the lines in their own words: where each type stands, cycle scales in order, stations without sensors, ends of zones.
+PLACES = """
+place(line, i, scale) AS (
+  SELECT 'alpha', generate_subscripts(s, 1), unnest(s) FROM (SELECT [1.00, 1.05, 0.98, 1.02, 1.00, 1.00, 1.10, 0.97, 1.01, 1.03, 1.00, 1.04, 1.02, 1.00, 1.00, 1.00, 1.03, 0.95, 1.00, 1.01, 1.00, 0.99, 1.00, 1.00, 1.00, 1.00, 1.01, 1.04, 0.98, 1.03, 0.98, 1.02, 1.05, 0.99, 1.03, 1.00, 1.02, 0.96, 1.01, 1.03, 1.00, 1.15] AS s)
+  UNION ALL
+  SELECT 'beta', generate_subscripts(s, 1), unnest(s) FROM (SELECT [1.00, 1.04, 1.06, 1.02, 1.00, 1.02, 1.08, 1.01, 1.00, 1.00, 1.03, 1.02, 1.00, 1.10, 0.99, 1.01, 1.05, 1.02, 1.00, 1.07, 1.01, 0.98, 1.00, 1.03, 1.02, 0.99, 1.05, 1.12] AS s)),
+kind(line, type_name, spots) AS (VALUES
+  ('alpha', 'weld_robot', [1, 2, 4, 7, 10]),
+  ('alpha', 'manual_fit', [3, 6, 9, 13, 18, 21, 25, 28, 31, 35, 38, 41]),
+  ('alpha', 'sealer', [5, 11, 32, 39]),
+  ('alpha', 'torque_station', [8, 12, 27, 30, 34, 37]),
+  ('alpha', 'inspection_gate', [14, 24, 42]),
+  ('alpha', 'paint_booth', [15, 16, 19, 22]),
+  ('alpha', 'oven', [17, 20, 23]),
+  ('alpha', 'electrical_fit', [26, 29, 33, 36, 40]),
+  ('beta', 'weld_robot', [1, 3, 8]),
+  ('beta', 'manual_fit', [2, 4, 7, 9, 11, 14, 16, 19, 22, 25, 27]),
+  ('beta', 'sealer', [5, 18, 23]),
+  ('beta', 'torque_station', [6, 13, 17, 21, 26]),
+  ('beta', 'inspection_gate', [10, 28]),
+  ('beta', 'electrical_fit', [12, 15, 20, 24])),
+unlit(line, spots) AS (VALUES ('alpha', [3, 6, 9, 11, 13, 18, 21, 25, 28, 31, 35, 38, 41]), ('beta', [2, 4, 5, 7, 9, 11, 14, 16, 19, 22, 25, 27])),
 station AS (
-  SELECT line, CASE line WHEN 'alpha' THEN 'S' ELSE 'B' END || lpad(i::VARCHAR, 2, '0') AS sid, w[1] AS type_name, zone, i::INT AS station_idx,
-    (CASE WHEN w[1] = 'oven' THEN 5 WHEN zone <> 'FINAL' THEN 3 WHEN line = 'alpha' THEN 1 ELSE 2 END)::INT AS buffer_capacity,
-    w[1] <> 'manual_fit' AND len(w) = 2 AS instrumented, w[2]::DOUBLE AS cycle_scale,
-    CASE line WHEN 'alpha' THEN (320 + 26 * (i * 37 % 11)) / 100 ELSE (360 + 22 * (i * 29 % 9)) / 100 END AS transport_s FROM place)"""
-TOUCHED = f"""
-fault AS (SELECT * FROM (VALUES {fault_rows('alpha')}) AS t(fault_id, kind, target)),
+  SELECT place.line, CASE place.line WHEN 'alpha' THEN 'S' ELSE 'B' END || lpad(i::VARCHAR, 2, '0') AS sid, type_name,
+    CASE WHEN i <= CASE place.line WHEN 'alpha' THEN 14 ELSE 10 END THEN 'BODY' WHEN place.line = 'alpha' AND i <= 24 THEN 'PAINT' ELSE 'FINAL' END AS zone, i::INT AS station_idx,
+    (CASE WHEN type_name = 'oven' THEN 5 WHEN i <= CASE place.line WHEN 'alpha' THEN 24 ELSE 10 END THEN 3 WHEN place.line = 'alpha' THEN 1 ELSE 2 END)::INT AS buffer_capacity,
+    NOT list_contains(unlit.spots, i) AS instrumented, scale::DOUBLE AS cycle_scale,
+    CASE place.line WHEN 'alpha' THEN (320 + 26 * (i * 37 % 11)) / 100 ELSE (360 + 22 * (i * 29 % 9)) / 100 END AS transport_s
+  FROM place JOIN kind ON kind.line = place.line AND list_contains(kind.spots, i) JOIN unlit ON unlit.line = place.line)"""
+TOUCHED = """
+fault(fault_id, kind, target) AS (VALUES ('F1', 'PARAM_DRIFT', 'S12'), ('F2', 'CYCLE_DEGRADE', 'S28'), ('F3', 'LOT_CONTAM', 'LOT-425'), ('F4', 'ENV_EXCURSION', 'PAINT'),
+  ('F6', 'OPERATOR_VAR', 'FINAL-OP2'), ('F5', 'MICROSTOP', 'S07')),
 touched AS (SELECT line, fault_id, sid FROM station, fault WHERE line = 'alpha' AND CASE
   WHEN target IN (SELECT sid FROM station WHERE line = 'alpha') THEN sid = target WHEN kind = 'ENV_EXCURSION' THEN zone = target
   WHEN kind = 'OPERATOR_VAR' THEN zone = split_part(target, '-', 1) AND type_name = 'manual_fit' WHEN kind = 'LOT_CONTAM' THEN type_name = 'electrical_fit' ELSE false END)"""
@@ -80,12 +90,9 @@ ORACLES = {
       round(avg(instrumented::INT), 6) AS coverage, line = 'alpha' AS has_rework, line = 'alpha' AS has_parallel FROM station GROUP BY line""",
     "q_coverage_after": f"WITH {PLACES} SELECT line, round(avg((instrumented OR sid IN ('S28', 'S11', 'B14'))::INT), 6) AS coverage FROM station GROUP BY line",
     "q_affected_stations": f"WITH {PLACES}, {TOUCHED} SELECT * FROM touched",
-    "q_gate_map": "SELECT line, defect_type, first(gate ORDER BY gate) AS gate, min(substr(gate, 2)::INT) - 1 AS cutoff FROM ("
-    + " UNION ALL ".join(
-        f"SELECT '{'alpha' if gate[0] == 'S' else 'beta'}' AS line, '{gate}' AS gate, unnest(string_split('{kinds}', ' ')) AS defect_type"
-        for gate, (_, kinds) in lines.GATES.items()
-    )
-    + ") GROUP BY line, defect_type",
+    "q_gate_map": """SELECT * FROM (VALUES ('alpha', 'WELD_POROSITY', 'S14', 13), ('alpha', 'SEALANT_VOID', 'S14', 13), ('alpha', 'PAINT_FINISH', 'S24', 23), ('alpha', 'LOOSE_FASTENER', 'S42', 41),
+      ('alpha', 'ELECTRICAL_FAULT', 'S42', 41), ('alpha', 'FIT_MISALIGN', 'S42', 41), ('beta', 'WELD_POROSITY', 'B10', 9), ('beta', 'SEALANT_VOID', 'B10', 9), ('beta', 'LOOSE_FASTENER', 'B28', 27),
+      ('beta', 'ELECTRICAL_FAULT', 'B28', 27), ('beta', 'FIT_MISALIGN', 'B28', 27)) AS t(line, defect_type, gate, cutoff)""",
     "q_inr_format": """SELECT s_suppkey AS id, CASE WHEN abs(v) >= 1e7 THEN round(v / 1e7, 2)::VARCHAR || ' cr' WHEN abs(v) >= 1e5 THEN round(v / 1e5, 2)::VARCHAR || ' L'
       ELSE 'Rs ' || round(v)::BIGINT::VARCHAR END AS inr FROM (SELECT s_suppkey, s_acctbal * 10 AS v FROM supplier)""",
 }

@@ -124,7 +124,7 @@ TEXTS = {
       SELECT station.sid AS sid, round(0.9e0 * coalesce(quality, 1e0), 6) AS confidence, 0.9e0 AS raw FROM station LEFT JOIN quality ON station.sid = quality.sid""",
     "q_sweep_missed": f"""WITH {plant.PLANT}, dose AS (SELECT * FROM (VALUES (0), (1), (3), (6), (12)) AS t(rate))
       SELECT rate, j, count_if((unit * 37 + j * 53) % 100 < rate) AS n_missed, round(avg(CASE WHEN (unit * 37 + j * 53) % 100 >= rate THEN proc_s END), 6) AS mean_s FROM scan, dose GROUP BY rate, j""",
-    "q_soft_sensor_direct": f"""WITH {STATES}, est AS (SELECT j, count(*) AS n, avg(dwell_s) AS mean_s, stddev_samp(dwell_s) AS sd FROM state WHERE unit >= 200 GROUP BY j)
+    "q_soft_sensor_direct": f"""WITH {STATES}, est AS (SELECT j, count(*) AS n, avg(dwell_s) AS mean_s, stddev_samp(dwell_s) AS sd FROM state GROUP BY j)
       SELECT j, n, round(mean_s, 6) AS mean_s, round(sd, 6) AS sd, round(mean_s - 1.96e0 * sd / sqrt(n), 6) AS lo95, round(mean_s + 1.96e0 * sd / sqrt(n), 6) AS hi95,
       round(least(greatest(least(1e0, n / 120e0), 0.05e0), 0.99e0), 6) AS confidence, 'direct' AS method FROM est WHERE n >= 30""",
     "q_score_soft": f"""WITH {STATES}, est AS (SELECT j, avg(proc_s) AS truth, avg(dwell_s) AS mean_s, stddev_samp(dwell_s) / sqrt(count(*)) AS se FROM state GROUP BY j)

@@ -7,42 +7,100 @@ from pyspark.sql import functions as F
 
 # Type, nominal cycle (s), its coefficient of variation, defect sensitivity, defect type, cost to equip one
 # dark station (INR), signals of a station with sensors.
-STATION_TYPES = """
-weld_robot      46 0.06 0.030 WELD_POROSITY    310000 cycle_time_s,weld_current_a,servo_load_pct
-torque_station  52 0.08 0.040 LOOSE_FASTENER   185000 cycle_time_s,torque_nm,angle_deg
-manual_fit      53 0.16 0.012 FIT_MISALIGN      95000 cycle_time_s
-sealer          50 0.09 0.018 SEALANT_VOID     240000 cycle_time_s,flow_rate_mlps,nozzle_pressure_bar
-paint_booth     58 0.07 0.035 PAINT_FINISH     420000 cycle_time_s,booth_temp_c,booth_humidity_pct,flow_rate_mlps
-oven            56 0.03 0.010 PAINT_FINISH     265000 cycle_time_s,zone_temp_c
-electrical_fit  55 0.11 0.028 ELECTRICAL_FAULT 205000 cycle_time_s,insertion_force_n,continuity_ohm
-inspection_gate 41 0.12 0     -                120000 cycle_time_s
-"""
-
-# The stations in order, by zone, as type and cycle scale; manual stations and those marked dark have no sensors.
-ALPHA_STATIONS = {
-    "BODY": """weld_robot 1.00, weld_robot 1.05, manual_fit 0.98, weld_robot 1.02, sealer 1.00, manual_fit 1.00, weld_robot 1.10,
-  torque_station 0.97, manual_fit 1.01, weld_robot 1.03, sealer 1.00 dark, torque_station 1.04, manual_fit 1.02, inspection_gate 1.00""",
-    "PAINT": """paint_booth 1.00, paint_booth 1.00, oven 1.03, manual_fit 0.95, paint_booth 1.00, oven 1.01, manual_fit 1.00,
-  paint_booth 0.99, oven 1.00, inspection_gate 1.00""",
-    "FINAL": """manual_fit 1.00, electrical_fit 1.00, torque_station 1.01, manual_fit 1.04, electrical_fit 0.98, torque_station 1.03,
-  manual_fit 0.98, sealer 1.02, electrical_fit 1.05, torque_station 0.99, manual_fit 1.03, electrical_fit 1.00,
-  torque_station 1.02, manual_fit 0.96, sealer 1.01, electrical_fit 1.03, manual_fit 1.00, inspection_gate 1.15""",
-}
-BETA_STATIONS = {
-    "BODY": """weld_robot 1.00, manual_fit 1.04, weld_robot 1.06, manual_fit 1.02, sealer 1.00 dark, torque_station 1.02, manual_fit 1.08,
-  weld_robot 1.01, manual_fit 1.00, inspection_gate 1.00""",
-    "FINAL": """manual_fit 1.03, electrical_fit 1.02, torque_station 1.00, manual_fit 1.10, electrical_fit 0.99, manual_fit 1.01,
-  torque_station 1.05, sealer 1.02, manual_fit 1.00, electrical_fit 1.07, torque_station 1.01, manual_fit 0.98, sealer 1.00,
-  electrical_fit 1.03, manual_fit 1.02, torque_station 0.99, manual_fit 1.05, inspection_gate 1.12""",
-}
+STATION_TYPES = [
+    ("weld_robot", 46.0, 0.06, 0.03, "WELD_POROSITY", 310000, ["cycle_time_s", "weld_current_a", "servo_load_pct"]),
+    ("torque_station", 52.0, 0.08, 0.04, "LOOSE_FASTENER", 185000, ["cycle_time_s", "torque_nm", "angle_deg"]),
+    ("manual_fit", 53.0, 0.16, 0.012, "FIT_MISALIGN", 95000, ["cycle_time_s"]),
+    ("sealer", 50.0, 0.09, 0.018, "SEALANT_VOID", 240000, ["cycle_time_s", "flow_rate_mlps", "nozzle_pressure_bar"]),
+    ("paint_booth", 58.0, 0.07, 0.035, "PAINT_FINISH", 420000, ["cycle_time_s", "booth_temp_c", "booth_humidity_pct", "flow_rate_mlps"]),
+    ("oven", 56.0, 0.03, 0.01, "PAINT_FINISH", 265000, ["cycle_time_s", "zone_temp_c"]),
+    ("electrical_fit", 55.0, 0.11, 0.028, "ELECTRICAL_FAULT", 205000, ["cycle_time_s", "insertion_force_n", "continuity_ohm"]),
+    ("inspection_gate", 41.0, 0.12, 0.0, None, 120000, ["cycle_time_s"]),
+]
+
+# The stations in order: type, zone, whether they have sensors, cycle scale.
+ALPHA_STATIONS = [
+    ("weld_robot", "BODY", True, 1.00),
+    ("weld_robot", "BODY", True, 1.05),
+    ("manual_fit", "BODY", False, 0.98),
+    ("weld_robot", "BODY", True, 1.02),
+    ("sealer", "BODY", True, 1.00),
+    ("manual_fit", "BODY", False, 1.00),
+    ("weld_robot", "BODY", True, 1.10),
+    ("torque_station", "BODY", True, 0.97),
+    ("manual_fit", "BODY", False, 1.01),
+    ("weld_robot", "BODY", True, 1.03),
+    ("sealer", "BODY", False, 1.00),
+    ("torque_station", "BODY", True, 1.04),
+    ("manual_fit", "BODY", False, 1.02),
+    ("inspection_gate", "BODY", True, 1.00),
+    ("paint_booth", "PAINT", True, 1.00),
+    ("paint_booth", "PAINT", True, 1.00),
+    ("oven", "PAINT", True, 1.03),
+    ("manual_fit", "PAINT", False, 0.95),
+    ("paint_booth", "PAINT", True, 1.00),
+    ("oven", "PAINT", True, 1.01),
+    ("manual_fit", "PAINT", False, 1.00),
+    ("paint_booth", "PAINT", True, 0.99),
+    ("oven", "PAINT", True, 1.00),
+    ("inspection_gate", "PAINT", True, 1.00),
+    ("manual_fit", "FINAL", False, 1.00),
+    ("electrical_fit", "FINAL", True, 1.00),
+    ("torque_station", "FINAL", True, 1.01),
+    ("manual_fit", "FINAL", False, 1.04),
+    ("electrical_fit", "FINAL", True, 0.98),
+    ("torque_station", "FINAL", True, 1.03),
+    ("manual_fit", "FINAL", False, 0.98),
+    ("sealer", "FINAL", True, 1.02),
+    ("electrical_fit", "FINAL", True, 1.05),
+    ("torque_station", "FINAL", True, 0.99),
+    ("manual_fit", "FINAL", False, 1.03),
+    ("electrical_fit", "FINAL", True, 1.00),
+    ("torque_station", "FINAL", True, 1.02),
+    ("manual_fit", "FINAL", False, 0.96),
+    ("sealer", "FINAL", True, 1.01),
+    ("electrical_fit", "FINAL", True, 1.03),
+    ("manual_fit", "FINAL", False, 1.00),
+    ("inspection_gate", "FINAL", True, 1.15),
+]
+BETA_STATIONS = [
+    ("weld_robot", "BODY", True, 1.00),
+    ("manual_fit", "BODY", False, 1.04),
+    ("weld_robot", "BODY", True, 1.06),
+    ("manual_fit", "BODY", False, 1.02),
+    ("sealer", "BODY", False, 1.00),
+    ("torque_station", "BODY", True, 1.02),
+    ("manual_fit", "BODY", False, 1.08),
+    ("weld_robot", "BODY", True, 1.01),
+    ("manual_fit", "BODY", False, 1.00),
+    ("inspection_gate", "BODY", True, 1.00),
+    ("manual_fit", "FINAL", False, 1.03),
+    ("electrical_fit", "FINAL", True, 1.02),
+    ("torque_station", "FINAL", True, 1.00),
+    ("manual_fit", "FINAL", False, 1.10),
+    ("electrical_fit", "FINAL", True, 0.99),
+    ("manual_fit", "FINAL", False, 1.01),
+    ("torque_station", "FINAL", True, 1.05),
+    ("sealer", "FINAL", True, 1.02),
+    ("manual_fit", "FINAL", False, 1.00),
+    ("electrical_fit", "FINAL", True, 1.07),
+    ("torque_station", "FINAL", True, 1.01),
+    ("manual_fit", "FINAL", False, 0.98),
+    ("sealer", "FINAL", True, 1.00),
+    ("electrical_fit", "FINAL", True, 1.03),
+    ("manual_fit", "FINAL", False, 1.02),
+    ("torque_station", "FINAL", True, 0.99),
+    ("manual_fit", "FINAL", False, 1.05),
+    ("inspection_gate", "FINAL", True, 1.12),
+]
 
 # What each gate inspects, and the chance that it sees a defect.
 GATES = {
-    "S14": (0.55, "WELD_POROSITY SEALANT_VOID"),
-    "S24": (0.62, "PAINT_FINISH"),
-    "S42": (0.86, "WELD_POROSITY SEALANT_VOID PAINT_FINISH LOOSE_FASTENER ELECTRICAL_FAULT FIT_MISALIGN"),
-    "B10": (0.52, "WELD_POROSITY SEALANT_VOID"),
-    "B28": (0.84, "WELD_POROSITY SEALANT_VOID LOOSE_FASTENER ELECTRICAL_FAULT FIT_MISALIGN"),
+    "S14": (0.55, ["WELD_POROSITY", "SEALANT_VOID"]),
+    "S24": (0.62, ["PAINT_FINISH"]),
+    "S42": (0.86, ["WELD_POROSITY", "SEALANT_VOID", "PAINT_FINISH", "LOOSE_FASTENER", "ELECTRICAL_FAULT", "FIT_MISALIGN"]),
+    "B10": (0.52, ["WELD_POROSITY", "SEALANT_VOID"]),
+    "B28": (0.84, ["WELD_POROSITY", "SEALANT_VOID", "LOOSE_FASTENER", "ELECTRICAL_FAULT", "FIT_MISALIGN"]),
 }
 
 # Takt (s), shift (h), shifts a day, days, seed, units a lot, operators a zone; then buffers by zone, transport and the exceptions.
@@ -57,26 +115,26 @@ LAYOUTS = {
 
 # Fault, kind, target, first and last day, magnitude, defect type.
 FAULTS = {
-    "alpha": """
-F1 PARAM_DRIFT   S12        9 20   0.30   LOOSE_FASTENER
-F2 CYCLE_DEGRADE S28        6 20   0.0075 -
-F3 LOT_CONTAM    LOT-425    0 99   6.2    ELECTRICAL_FAULT
-F4 ENV_EXCURSION PAINT     15 16.6 14     PAINT_FINISH
-F6 OPERATOR_VAR  FINAL-OP2  0 99   1.55   FIT_MISALIGN
-F5 MICROSTOP     S07        3 20   0.011  -
-""",
-    "beta": """
-F1 PARAM_DRIFT   B17        8 20   0.32   LOOSE_FASTENER
-F2 CYCLE_DEGRADE B14        5 20   0.0080 -
-F3 LOT_CONTAM    LOT-418    0 99   5.8    ELECTRICAL_FAULT
-F6 OPERATOR_VAR  FINAL-OP2  0 99   1.55   FIT_MISALIGN
-F5 MICROSTOP     B03        3 20   0.012  -
-""",
-    "adversarial": """
-A1 STEP          S30       11 20   2.6    LOOSE_FASTENER
-A2 OSCILLATE     S19        4 20   0.055  -
-A3 BURST         S36        7 20   0.16   -
-""",
+    "alpha": [
+        ("F1", "PARAM_DRIFT", "S12", 9.0, 20.0, 0.3, "LOOSE_FASTENER"),
+        ("F2", "CYCLE_DEGRADE", "S28", 6.0, 20.0, 0.0075, None),
+        ("F3", "LOT_CONTAM", "LOT-425", 0.0, 99.0, 6.2, "ELECTRICAL_FAULT"),
+        ("F4", "ENV_EXCURSION", "PAINT", 15.0, 16.6, 14.0, "PAINT_FINISH"),
+        ("F6", "OPERATOR_VAR", "FINAL-OP2", 0.0, 99.0, 1.55, "FIT_MISALIGN"),
+        ("F5", "MICROSTOP", "S07", 3.0, 20.0, 0.011, None),
+    ],
+    "beta": [
+        ("F1", "PARAM_DRIFT", "B17", 8.0, 20.0, 0.32, "LOOSE_FASTENER"),
+        ("F2", "CYCLE_DEGRADE", "B14", 5.0, 20.0, 0.008, None),
+        ("F3", "LOT_CONTAM", "LOT-418", 0.0, 99.0, 5.8, "ELECTRICAL_FAULT"),
+        ("F6", "OPERATOR_VAR", "FINAL-OP2", 0.0, 99.0, 1.55, "FIT_MISALIGN"),
+        ("F5", "MICROSTOP", "B03", 3.0, 20.0, 0.012, None),
+    ],
+    "adversarial": [
+        ("A1", "STEP", "S30", 11.0, 20.0, 2.6, "LOOSE_FASTENER"),
+        ("A2", "OSCILLATE", "S19", 4.0, 20.0, 0.055, None),
+        ("A3", "BURST", "S36", 7.0, 20.0, 0.16, None),
+    ],
 }
 
 STATION_SCHEMA = """line string, sid string, type_name string, zone string, station_idx int, buffer_capacity int, instrumented boolean,
@@ -85,12 +143,8 @@ STATION_SCHEMA = """line string, sid string, type_name string, zone string, stat
 
 def station_types(spark: SparkSession) -> DataFrame:
     """type_name, nominal_cycle_s, cycle_cv, defect_sensitivity, defect_type (null for gates), retrofit_cost_inr, signals."""
-    rows = []
-    for text in STATION_TYPES.strip().splitlines():
-        name, cycle, cv, sensitivity, defect, cost, signals = text.split()
-        rows.append((name, float(cycle), float(cv), float(sensitivity), None if defect == "-" else defect, int(cost), signals.split(",")))
     schema = "type_name string, nominal_cycle_s double, cycle_cv double, defect_sensitivity double, defect_type string, retrofit_cost_inr long, signals array<string>"
-    return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(STATION_TYPES, schema)
 
 
 def stations(spark: SparkSession, line: str) -> DataFrame:
@@ -98,28 +152,20 @@ def stations(spark: SparkSession, line: str) -> DataFrame:
     layout = LAYOUTS[line]
     low, span, step, ring = layout["transport"]
     rows = []
-    for zone, texts in layout["stations"].items():
-        for words in map(str.split, texts.split(",")):
-            i = len(rows) + 1
-            sid = f"{layout['prefix']}{i:02d}"
-            seen, inspects = GATES.get(sid, (0.0, ""))
-            rate, minutes = layout["rework"].get(sid, (0.0, 0.0))
-            buffer = 5 if words[0] == "oven" else layout["final_buffer"] if zone == "FINAL" else 3
-            lit = words[0] != "manual_fit" and "dark" not in words
-            transport = round(low + span * (i * step % ring) / 10, 2)
-            place = (line, sid, words[0], zone, i, buffer, lit, float(words[1]), transport)
-            rows.append((*place, layout["parallel"].get(sid, 1), rate, minutes, inspects.split(), seen))
+    for i, (kind, zone, sensors, scale) in enumerate(layout["stations"], 1):
+        sid = f"{layout['prefix']}{i:02d}"
+        seen, inspects = GATES.get(sid, (0.0, []))
+        rate, minutes = layout["rework"].get(sid, (0.0, 0.0))
+        buffer = 5 if kind == "oven" else layout["final_buffer"] if zone == "FINAL" else 3
+        place = (line, sid, kind, zone, i, buffer, sensors, scale, round(low + span * (i * step % ring) / 10, 2))
+        rows.append((*place, layout["parallel"].get(sid, 1), rate, minutes, inspects, seen))
     return spark.createDataFrame(rows, STATION_SCHEMA)
 
 
 def faults(spark: SparkSession, name: str) -> DataFrame:
     """fault_id, kind, target, start_day, end_day, magnitude and defect_type (may be null) of a set of faults."""
-    rows = []
-    for text in FAULTS[name].strip().splitlines():
-        fault, kind, target, start, end, magnitude, defect = text.split()
-        rows.append((fault, kind, target, float(start), float(end), float(magnitude), None if defect == "-" else defect))
     return spark.createDataFrame(
-        rows, "fault_id string, kind string, target string, start_day double, end_day double, magnitude double, defect_type string"
+        FAULTS[name], "fault_id string, kind string, target string, start_day double, end_day double, magnitude double, defect_type string"
     )
 
 
