@@ -86,6 +86,13 @@ def station_quality(scans: DataFrame, drift: DataFrame, x: str = "x") -> DataFra
     return out.withColumn("quality", quality)
 
 
+def adjust_confidence(estimates: DataFrame, quality: DataFrame, key: str = "sid") -> DataFrame:
+    """Adds confidence times the quality of the station's feed, 1 where it has none, and keeps the former as raw; quality is (key, quality)."""
+    known = quality.select(F.col(key).alias("__k"), "quality")
+    out = estimates.withColumn("raw", F.col("confidence")).join(F.broadcast(known), F.col(key) == F.col("__k"), "left")  # a row a station
+    return out.withColumn("confidence", F.col("raw") * F.coalesce("quality", F.lit(1.0))).drop("__k", "quality")
+
+
 def repair_report(repaired: DataFrame, quality: DataFrame) -> DataFrame:
     """One row: n_missing, n_duplicates, n_late and n_drifted found, overall_quality (the mean of the stations) and notes on each.
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taktwerk.plans import charts, decisions, evaluation, forecasts, layouts, monitor, states, tables, traces, twin
+from taktwerk.plans import charts, decisions, evaluation, forecasts, layouts, monitor, states, tabled, tables, traces, twin
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**charts.QUERIES, **tables.QUERIES, **forecasts.QUERIES, **layouts.QUERIES, **decisions.QUERIES, **traces.QUERIES, **states.QUERIES, **twin.QUERIES, **evaluation.QUERIES, **monitor.QUERIES}
-ORACLES: dict[str, str] = {**charts.ORACLES, **tables.ORACLES, **layouts.ORACLES, **decisions.ORACLES, **traces.ORACLES, **twin.ORACLES, **evaluation.ORACLES, **monitor.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**charts.QUERIES, **tables.QUERIES, **forecasts.QUERIES, **layouts.QUERIES, **decisions.QUERIES, **traces.QUERIES, **states.QUERIES, **tabled.QUERIES, **twin.QUERIES, **evaluation.QUERIES, **monitor.QUERIES}
+ORACLES: dict[str, str] = {**charts.ORACLES, **tables.ORACLES, **layouts.ORACLES, **decisions.ORACLES, **traces.ORACLES, **twin.ORACLES, **evaluation.ORACLES, **monitor.ORACLES, **tabled.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

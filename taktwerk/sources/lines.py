@@ -193,6 +193,12 @@ def coverage_after(stations: DataFrame, chosen: DataFrame) -> DataFrame:
     return new.groupBy("line").agg(F.avg((F.col("instrumented") | F.col("__sid").isNotNull()).cast("double")).alias("coverage"))
 
 
+def observable(view: DataFrame, stations: DataFrame, hidden: list[str]) -> DataFrame:
+    """What the twin may see of a view with a column sid: the columns that aren't `hidden` truth, of stations with sensors only."""
+    lit = stations.filter("instrumented").select("sid").distinct()
+    return view.drop(*hidden).join(F.broadcast(lit), "sid", "left_semi")  # a row a station
+
+
 def affected(stations: DataFrame, faults: DataFrame) -> DataFrame:
     """(line, fault_id, sid): every station that a fault moves, not only the one that it names.
 
