@@ -110,10 +110,11 @@ def benjamini_hochberg(table: DataFrame, tie: list[str], by: tuple[str, ...] = (
     """Adds q: the least p m / rank over this rank and all larger ones, in each key; ties go by the columns of `tie`.
 
     However many candidates there are: p values, which lie between 0 and 1, fall into fixed slots. Ranks and least values are found
-    in each slot, and carried over the slots, of which a key has some 60,000 at most.
+    in each slot, and carried over the slots, of which a key has some 60,000 at most. The tested candidates, one row each for all the
+    units that they count, are persisted, as they are read four times.
     """
     keys = [*by, "__slot"]
-    rows = table.withColumn("__slot", slot_of_p(F.col("p")))
+    rows = table.withColumn("__slot", slot_of_p(F.col("p"))).persist()
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
     over = Window.partitionBy(*by).orderBy("__slot")  # of slots
     before = sizes.select(
