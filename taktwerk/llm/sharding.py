@@ -90,7 +90,11 @@ def shard(
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 16 << 20) -> None:
-    """Writes docs to path, a folder for each shard. Rows go to writers by shard, so each shard is one file."""
+    """Writes docs to path, a folder for each shard, named b and its bits, which no reader takes for a number.
+
+    Rows go to writers by shard, so each shard is one file.
+    """
     out = shard(docs, docs.columns, id_col, text_col, max_bytes)
     kept = apart(docs.columns, {"n_bytes", "shard", "shard_depth", "fits"})
-    out.repartition("shard").select(*kept.values(), "shard").write.partitionBy("shard").parquet(path)
+    named = F.concat(F.lit("b"), F.col("shard")).alias("shard")
+    out.repartition("shard").select(*kept.values(), named).write.partitionBy("shard").parquet(path)
