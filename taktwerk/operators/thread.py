@@ -61,3 +61,25 @@ def neighbourhood(units: DataFrame, attributes: dict[str, tuple[str, str]], visi
     own = units.select("unit", F.explode(edges).alias("e")).select("unit", "e.*").filter("dst IS NOT NULL")
     at = visits.join(units.select("unit").distinct(), "unit", "left_semi").select("unit", F.lit("Visit").alias("src"), F.lit("AT").alias("relation"), F.col("sid").alias("dst"))
     return own.union(at)
+
+
+def edge_counts(units: DataFrame, visits: DataFrame, stations: DataFrame, findings: DataFrame) -> DataFrame:
+    """(src, relation, dst, n_edges): each kind of edge of the thread's graph and how many of them the tables hold.
+
+    units is (unit, lot, shift), visits (unit, sid, operator, n_signals), stations (zone, type_name), findings (unit, gate, defect_type). A null end
+    has no edge; an empty table has none of its kinds, which stay with 0. Each table is read once, for one row of counts.
+    """
+
+    def tally(df: DataFrame, kinds: dict[tuple[str, str, str], Column]) -> DataFrame:
+        row = df.agg(*(F.coalesce(n, F.lit(0)).cast("long").alias(f"n{i}") for i, n in enumerate(kinds.values())))
+        edges = (F.struct(F.lit(src).alias("src"), F.lit(rel).alias("relation"), F.lit(dst).alias("dst"), F.col(f"n{i}").alias("n_edges")) for i, (src, rel, dst) in enumerate(kinds))
+        return row.select(F.inline(F.array(*edges)))
+
+    parts = (
+        tally(units, {("Unit", "IN_LOT", "Lot"): F.count("lot"), ("Unit", "IN_SHIFT", "Shift"): F.count("shift")}),
+        tally(visits, {("Unit", "HAS_VISIT", "Visit"): F.count("unit"), ("Visit", "AT", "Station"): F.count("sid"), ("Visit", "BY", "Operator"): F.count("operator"),
+                       ("Visit", "MEASURED", "Signal"): F.sum("n_signals")}),
+        tally(stations, {("Station", "IN_ZONE", "Zone"): F.count("zone"), ("Station", "OF_TYPE", "StationType"): F.count("type_name")}),
+        tally(findings, {("Unit", "HAS_FINDING", "Finding"): F.count("unit"), ("Finding", "AT_GATE", "Gate"): F.count("gate"), ("Finding", "OF_DEFECT", "DefectType"): F.count("defect_type")}),
+    )
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from taktwerk.operators import decision
 from taktwerk.plans.charts import rounded
-from taktwerk.plans.layouts import PLACES
-from taktwerk.sources import lines
+from taktwerk.sources import plant
 
 SHADOW_UNTIL = 19_400.0
 
@@ -42,9 +41,9 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The loss a shift at each station of line alpha whose nominal cycle is over 50 s."""
-    rows = lines.described(lines.stations(spark, "alpha"), lines.station_types(spark))
-    return rounded(rows.select("sid", decision.bottleneck_impact(F.col("nominal_cycle_s") - 50, F.lit(50.0), F.lit(8.0)).alias("per_shift_inr")))
+    """What each station of the feed costs a shift, by how far its mean cycle in that shift lies over 50 s."""
+    cycles = plant.scans(spark, sf_dir).groupBy("j", F.floor(F.col("release_s") / 28800).alias("shift_no")).agg((F.avg("proc_s") - 50).alias("gap_s"))
+    return cycles.select("j", "shift_no", F.round(decision.bottleneck_impact(F.col("gap_s"), F.lit(50.0), F.lit(8.0)), 2).alias("per_shift_inr"))
 
 
 def q_business_case(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +76,6 @@ named AS (SELECT *, 'A' || CASE WHEN n < 100000 THEN lpad(n::VARCHAR, 5, '0') EL
 ledger AS (SELECT *, row_number() OVER (PARTITION BY shift_no ORDER BY prio DESC, alert_id) <= 5 AS surfaced,
     CASE WHEN event_id % 6 = 4 THEN 'confirmed' WHEN event_id % 2 = 0 THEN ['confirmed', 'rejected', 'unsure'][event_id % 3 + 1] END AS verdict FROM named),
 judged AS (SELECT *, CASE verdict WHEN 'confirmed' THEN 'correct' WHEN 'rejected' THEN 'incorrect' END AS outcome FROM ledger)"""
-CYCLES = "('weld_robot', 46e0), ('torque_station', 52e0), ('manual_fit', 53e0), ('sealer', 50e0), ('paint_booth', 58e0), ('oven', 56e0), ('electrical_fit', 55e0), ('inspection_gate', 41e0)"
 ORACLES = {
     "q_alert_log": f"WITH {LEDGER} SELECT alert_id, kind, round(t_s / 86400, 3) AS day, shadow FROM named",
     "q_alert_budget": f"""WITH {LEDGER} SELECT alert_id, shift_no FROM named WHERE NOT shadow
@@ -90,8 +88,8 @@ ORACLES = {
     "q_calibration": f"""WITH {LEDGER}, b AS (SELECT CASE WHEN confidence <= 0.2 THEN 1 WHEN confidence <= 0.4 THEN 2 WHEN confidence <= 0.6 THEN 3 WHEN confidence <= 0.8 THEN 4 ELSE 5 END::BIGINT AS bin,
       confidence, (outcome = 'correct')::INT AS hit FROM judged WHERE outcome IS NOT NULL)
       SELECT bin, count(*) AS n, round(avg(confidence), 6) AS mean_conf, round(avg(hit), 6) AS hit_rate, round(avg(hit) - avg(confidence), 3) AS gap FROM b GROUP BY bin""",
-    "q_impact": f"""WITH t(type_name, cycle) AS (VALUES {CYCLES}), {PLACES}
-      SELECT sid, round(62000 * greatest(576e0 - 28800 / (cycle * cycle_scale), 0), 6) AS per_shift_inr FROM station JOIN t USING (type_name) WHERE line = 'alpha'""",
+    "q_impact": """WITH v AS (SELECT j, o_orderkey * 30 // 28800 AS shift_no, 40 + (o_orderkey * 7919 + j * 104729) % 20001 / 1000 AS cycle FROM orders, (SELECT unnest(range(1, 8))::INT AS j)),
+      m AS (SELECT j, shift_no, avg(cycle) AS cycle FROM v GROUP BY ALL) SELECT j, shift_no, round(62000 * greatest(576 - 28800 / cycle, 0), 2) AS per_shift_inr FROM m""",
     "q_business_case": """WITH f AS (SELECT avg(l_quantity) / 10 AS gap, avg((l_returnflag = 'R')::INT) AS rate FROM lineitem),
       g AS (SELECT col0 AS scenario, (480 - 28800 / (60 + gap * col3)) * 62000 * 500 AS t, 240000 * rate * 0.7e0 * col1 * col2 * (0.82e0 * 4800 + 0.18e0 * 34000) AS q,
         26 * 0.7e0 * 22 * 1450 AS r FROM f, (VALUES ('conservative', 0.5e0, 0.3e0, 0.35e0), ('base', 1e0, 0.5e0, 0.6e0), ('optimistic', 1e0, 0.7e0, 0.8e0)))

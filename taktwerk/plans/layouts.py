@@ -1,10 +1,12 @@
-"""Registered queries over the lines as data. The oracles get the fixed values as rows and apply the rules in SQL."""
+"""Registered queries over what passes the lines that are data. The oracles get the fixed values as rows and apply the rules in SQL, a row a visit."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taktwerk.operators import thread, traffic
+from taktwerk.plans.charts import rounded
 from taktwerk.sources import lines
 
 
@@ -42,33 +44,70 @@ station AS (
     CASE place.line WHEN 'alpha' THEN (320 + 26 * (i * 37 % 11)) / 100 ELSE (360 + 22 * (i * 29 % 9)) / 100 END AS transport_s
   FROM place JOIN kind ON kind.line = place.line AND list_contains(kind.spots, i) JOIN unlit ON unlit.line = place.line)"""
 TOUCHED = """
-fault(fault_id, kind, target) AS (VALUES ('F1', 'PARAM_DRIFT', 'S12'), ('F2', 'CYCLE_DEGRADE', 'S28'), ('F3', 'LOT_CONTAM', 'LOT-425'), ('F4', 'ENV_EXCURSION', 'PAINT'),
-  ('F6', 'OPERATOR_VAR', 'FINAL-OP2'), ('F5', 'MICROSTOP', 'S07')),
-touched AS (SELECT line, fault_id, sid FROM station, fault WHERE line = 'alpha' AND CASE
-  WHEN target IN (SELECT sid FROM station WHERE line = 'alpha') THEN sid = target WHEN kind = 'ENV_EXCURSION' THEN zone = target
+fault(of, fault_id, kind, target, lo, hi) AS (VALUES ('alpha', 'F1', 'PARAM_DRIFT', 'S12', 9.0, 20.0), ('alpha', 'F2', 'CYCLE_DEGRADE', 'S28', 6.0, 20.0), ('alpha', 'F3', 'LOT_CONTAM', 'LOT-425', 0.0, 99.0),
+  ('alpha', 'F4', 'ENV_EXCURSION', 'PAINT', 15.0, 16.6), ('alpha', 'F6', 'OPERATOR_VAR', 'FINAL-OP2', 0.0, 99.0), ('alpha', 'F5', 'MICROSTOP', 'S07', 3.0, 20.0),
+  ('beta', 'F1', 'PARAM_DRIFT', 'B17', 8.0, 20.0), ('beta', 'F2', 'CYCLE_DEGRADE', 'B14', 5.0, 20.0), ('beta', 'F3', 'LOT_CONTAM', 'LOT-418', 0.0, 99.0),
+  ('beta', 'F6', 'OPERATOR_VAR', 'FINAL-OP2', 0.0, 99.0), ('beta', 'F5', 'MICROSTOP', 'B03', 3.0, 20.0)),
+touched AS (SELECT line, fault_id, sid, station_idx, lo, hi FROM station JOIN fault ON of = line WHERE CASE
+  WHEN target IN (SELECT sid FROM station) THEN sid = target WHEN kind = 'ENV_EXCURSION' THEN zone = target
   WHEN kind = 'OPERATOR_VAR' THEN zone = split_part(target, '-', 1) AND type_name = 'manual_fit' WHEN kind = 'LOT_CONTAM' THEN type_name = 'electrical_fit' ELSE false END)"""
+VISITS = """
+visit AS (SELECT CASE WHEN l_orderkey % 3 = 2 THEN 'beta' ELSE 'alpha' END AS line, (l_partkey % CASE WHEN l_orderkey % 3 = 2 THEN 28 ELSE 42 END + 1)::INT AS station_idx,
+  (date_diff('day', DATE '1992-01-01', l_shipdate::DATE) % 20 + 20) % 20 AS day FROM lineitem),
+passed AS (SELECT s.*, (SELECT count(*) FROM visit v WHERE v.line = s.line AND v.station_idx = s.station_idx AND day IS NOT NULL) AS n_visits,
+  (SELECT count(DISTINCT day) FROM visit v WHERE v.line = s.line AND v.station_idx = s.station_idx) AS n_days FROM station s)"""
+
+
+def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(line, station_idx, day): line items as visits; two orders of three run on the large line, a part's key is its station, a shipping date one of 20 days."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    large = F.col("l_orderkey") % 3 < 2
+    idx = F.col("l_partkey") % F.when(large, len(lines.ALPHA_STATIONS)).otherwise(len(lines.BETA_STATIONS)) + 1
+    day = F.pmod(F.datediff(F.to_date("l_shipdate"), F.lit("1992-01-01").cast("date")), F.lit(20))
+    return items.select(F.when(large, "alpha").otherwise("beta").alias("line"), idx.cast("int").alias("station_idx"), day.alias("day"))
+
+
+def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traffic.loads(traffic.daily(visits(spark, sf_dir)), both(spark))
 
 
 def q_line_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return both(spark).select("line", "sid", "type_name", "zone", "station_idx", "buffer_capacity", "instrumented", "cycle_scale", "transport_s")
+    columns = ["line", "sid", "type_name", "zone", "station_idx", "buffer_capacity", "instrumented", "cycle_scale", "transport_s", "n_visits", "n_days"]
+    return loaded(spark, sf_dir).select(*columns)
 
 
 def q_line_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.coverage(both(spark))
-    return found.withColumn("coverage", F.round("coverage", 6))
+    return rounded(traffic.seen_share(loaded(spark, sf_dir)))
 
 
 def q_coverage_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = spark.createDataFrame([("S28",), ("S11",), ("B14",), ("S01",)], "sid string")
-    return lines.coverage_after(both(spark), chosen).withColumn("coverage", F.round("coverage", 6))
+    """Once the three busiest dark stations of each line have sensors."""
+    found = loaded(spark, sf_dir)
+    return rounded(lines.coverage_after(found, traffic.busiest_dark(found, 3)))
 
 
 def q_affected_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.affected(lines.stations(spark, "alpha"), lines.faults(spark, "alpha"))
+    """Of both lines, each with its own faults."""
+    days = traffic.daily(visits(spark, sf_dir))
+    parts = [traffic.fault_reach(days, lines.stations(spark, line), lines.faults(spark, line)) for line in ("alpha", "beta")]
+    return parts[0].union(parts[1])
 
 
 def q_gate_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.gate_map(both(spark))
+    return traffic.gate_loads(loaded(spark, sf_dir)).select("line", "defect_type", "gate", "cutoff", "n_gated", "n_before")
+
+
+def q_kg_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of edge of the thread's graph, with the edges that the tables hold."""
+    orders, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+    shift = F.floor(F.col("o_orderkey") * 30 / 28800)
+    units = orders.select(F.col("o_orderkey").alias("unit"), F.floor(F.col("o_orderkey") / 480).alias("lot"), shift.alias("shift"))
+    signals = F.array_compact(F.array("l_quantity", "l_extendedprice"))
+    passed = items.select(F.col("l_orderkey").alias("unit"), F.col("l_linenumber").alias("sid"), F.col("l_suppkey").alias("operator"), F.size(signals).alias("n_signals"))
+    found = items.filter("l_returnflag = 'R'").select(
+        F.col("l_orderkey").alias("unit"), F.when(F.col("l_linenumber") > 4, "G7").otherwise("G4").alias("gate"), F.when(F.col("l_quantity") > 25, "HEAVY").alias("defect_type")
+    )
+    return thread.edge_counts(units, passed, both(spark), found)
 
 
 def q_inr_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,17 +121,27 @@ QUERIES = {
     "q_coverage_after": q_coverage_after,
     "q_affected_stations": q_affected_stations,
     "q_gate_map": q_gate_map,
+    "q_kg_schema": q_kg_schema,
     "q_inr_format": q_inr_format,
 }
 ORACLES = {
-    "q_line_layout": f"WITH {PLACES} SELECT * FROM station",
-    "q_line_coverage": f"""WITH {PLACES} SELECT line, count(*) AS n_stations, count(*) FILTER (WHERE NOT instrumented) AS n_dark,
-      round(avg(instrumented::INT), 6) AS coverage, line = 'alpha' AS has_rework, line = 'alpha' AS has_parallel FROM station GROUP BY line""",
-    "q_coverage_after": f"WITH {PLACES} SELECT line, round(avg((instrumented OR sid IN ('S28', 'S11', 'B14'))::INT), 6) AS coverage FROM station GROUP BY line",
-    "q_affected_stations": f"WITH {PLACES}, {TOUCHED} SELECT * FROM touched",
-    "q_gate_map": """SELECT * FROM (VALUES ('alpha', 'WELD_POROSITY', 'S14', 13), ('alpha', 'SEALANT_VOID', 'S14', 13), ('alpha', 'PAINT_FINISH', 'S24', 23), ('alpha', 'LOOSE_FASTENER', 'S42', 41),
+    "q_line_layout": f"WITH {PLACES}, {VISITS} SELECT * FROM passed",
+    "q_line_coverage": f"""WITH {PLACES}, {VISITS} SELECT line, count(*) AS n_stations, count(*) FILTER (WHERE NOT instrumented) AS n_dark,
+      round(avg(instrumented::INT), 6) AS coverage, line = 'alpha' AS has_rework, line = 'alpha' AS has_parallel,
+      sum(n_visits)::BIGINT AS n_visits, (sum(n_visits * instrumented::INT))::BIGINT AS n_seen, round(sum(n_visits * instrumented::INT) / sum(n_visits), 6) AS seen_share FROM passed GROUP BY line""",
+    "q_coverage_after": f"""WITH {PLACES}, {VISITS}, dark AS (SELECT line, list(sid ORDER BY n_visits DESC, station_idx)[:3] AS chosen FROM passed WHERE NOT instrumented GROUP BY line)
+      SELECT line, round(avg((instrumented OR list_contains(chosen, sid))::INT), 6) AS coverage FROM station JOIN dark USING (line) GROUP BY line""",
+    "q_affected_stations": f"""WITH {PLACES}, {TOUCHED}, {VISITS} SELECT t.line, fault_id, sid, count(day) AS n_visits, count(DISTINCT day) AS n_days
+      FROM touched t LEFT JOIN visit v ON v.line = t.line AND v.station_idx = t.station_idx AND day >= lo AND day <= hi GROUP BY ALL""",
+    "q_gate_map": f"""WITH {PLACES}, {VISITS}, gate(line, defect_type, gate, cutoff) AS (VALUES ('alpha', 'WELD_POROSITY', 'S14', 13), ('alpha', 'SEALANT_VOID', 'S14', 13), ('alpha', 'PAINT_FINISH', 'S24', 23), ('alpha', 'LOOSE_FASTENER', 'S42', 41),
       ('alpha', 'ELECTRICAL_FAULT', 'S42', 41), ('alpha', 'FIT_MISALIGN', 'S42', 41), ('beta', 'WELD_POROSITY', 'B10', 9), ('beta', 'SEALANT_VOID', 'B10', 9), ('beta', 'LOOSE_FASTENER', 'B28', 27),
-      ('beta', 'ELECTRICAL_FAULT', 'B28', 27), ('beta', 'FIT_MISALIGN', 'B28', 27)) AS t(line, defect_type, gate, cutoff)""",
+      ('beta', 'ELECTRICAL_FAULT', 'B28', 27), ('beta', 'FIT_MISALIGN', 'B28', 27))
+      SELECT gate.*, count(*) FILTER (WHERE station_idx = cutoff + 1) AS n_gated, count(*) FILTER (WHERE station_idx <= cutoff) AS n_before FROM gate JOIN visit USING (line) WHERE day IS NOT NULL GROUP BY ALL""",
+    "q_kg_schema": """SELECT 'Unit' AS src, 'HAS_VISIT' AS relation, 'Visit' AS dst, count(*) AS n_edges FROM lineitem UNION ALL SELECT 'Visit', 'AT', 'Station', count(l_linenumber) FROM lineitem
+      UNION ALL SELECT 'Unit', 'IN_LOT', 'Lot', count(*) FROM orders UNION ALL SELECT 'Unit', 'IN_SHIFT', 'Shift', count(*) FROM orders UNION ALL SELECT 'Visit', 'BY', 'Operator', count(l_suppkey) FROM lineitem
+      UNION ALL SELECT 'Station', 'IN_ZONE', 'Zone', 70 UNION ALL SELECT 'Station', 'OF_TYPE', 'StationType', 70 UNION ALL SELECT 'Visit', 'MEASURED', 'Signal', count(l_quantity) + count(l_extendedprice) FROM lineitem
+      UNION ALL SELECT 'Unit', 'HAS_FINDING', 'Finding', count(*) FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT 'Finding', 'AT_GATE', 'Gate', count(*) FROM lineitem WHERE l_returnflag = 'R'
+      UNION ALL SELECT 'Finding', 'OF_DEFECT', 'DefectType', count(*) FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 25""",
     "q_inr_format": """SELECT s_suppkey AS id, CASE WHEN abs(v) >= 1e7 THEN round(v / 1e7, 2)::VARCHAR || ' cr' WHEN abs(v) >= 1e5 THEN round(v / 1e5, 2)::VARCHAR || ' L'
       ELSE 'Rs ' || round(v)::BIGINT::VARCHAR END AS inr FROM (SELECT s_suppkey, s_acctbal * 10 AS v FROM supplier)""",
 }

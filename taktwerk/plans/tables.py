@@ -102,9 +102,6 @@ rk AS (SELECT sid, (rank() OVER (ORDER BY evi) + (count(*) OVER (PARTITION BY ev
 TEXTS = {
     # lines, faults, knowledge graph
     "q_observable_view": f"WITH {STATION} SELECT l_orderkey AS unit, l_linenumber AS j, count(*) AS n, round(sum(l_quantity), 6) AS v FROM lineitem JOIN station ON station_idx = l_linenumber WHERE instrumented GROUP BY l_orderkey, l_linenumber",
-    "q_kg_schema": """SELECT * FROM (VALUES ('Unit', 'HAS_VISIT', 'Visit'), ('Visit', 'AT', 'Station'), ('Unit', 'IN_LOT', 'Lot'), ('Unit', 'IN_SHIFT', 'Shift'),
-      ('Visit', 'BY', 'Operator'), ('Station', 'IN_ZONE', 'Zone'), ('Station', 'OF_TYPE', 'StationType'), ('Visit', 'MEASURED', 'Signal'),
-      ('Unit', 'HAS_FINDING', 'Finding'), ('Finding', 'AT_GATE', 'Gate'), ('Finding', 'OF_DEFECT', 'DefectType')) AS t(src, relation, dst)""",
     "q_kg_neighbourhood": """SELECT 'Unit' AS src, 'IN_LOT' AS relation, 'LOT-' || CAST(DIV(o_orderkey, 480) AS STRING) AS dst FROM orders WHERE o_orderkey = 7
       UNION ALL SELECT 'Unit', 'BY', o_orderpriority FROM orders WHERE o_orderkey = 7
       UNION ALL SELECT 'Visit', 'AT', 'S' || CAST(l_linenumber AS STRING) FROM lineitem WHERE l_orderkey = 7""",
