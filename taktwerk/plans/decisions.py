@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from taktwerk.operators import decision
 from taktwerk.plans.charts import rounded
-from taktwerk.sources import plant
+from taktwerk.plans import layouts
+from taktwerk.sources import dashboard, plant
 
 SHADOW_UNTIL = 19_400.0
 
@@ -57,7 +58,27 @@ def q_business_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("scenario", *(F.round(c, 2).alias(c) for c in out.columns if c != "scenario"))
 
 
+def tabs(spark: SparkSession, sf_dir: str) -> dict[str, tuple[list[str], DataFrame]]:
+    """The dashboard's four tabs: alerts that took a place, worth most; the score of each kind; how sure alerts were; the stations of the lines."""
+    judged = ledger(spark, sf_dir)
+    worth = [F.col("impact").desc(), F.col("alert_id")]
+    shown = {
+        "Alerts": (judged.filter("surfaced"), {"alert_id": "text", "kind": "text", "confidence": "share", "impact": "money", "verdict": "text"}, worth),
+        "Scorecard": (decision.scorecard(judged), {"kind": "text", "issued": "count", "judged": "count", "hit_rate": "share", "impact": "money"}, [F.col("kind")]),
+        "Calibration": (decision.calibration(judged), {"bin": "count", "n": "count", "mean_conf": "share", "hit_rate": "share"}, [F.col("bin")]),
+        "Stations": (layouts.loaded(spark, sf_dir), {"sid": "text", "type_name": "text", "n_visits": "count", "instrumented": "text"}, [F.col("n_visits").desc(), F.col("sid")]),
+    }
+    return {name: (list(columns), dashboard.tab(df, columns, order)) for name, (df, columns, order) in shown.items()}
+
+
+def q_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the page's tables, the 200 first of each tab, as they are marked up."""
+    parts = [rows.select(F.lit(name).alias("tab"), "place", "html") for name, (_, rows) in tabs(spark, sf_dir).items()]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
 QUERIES = {
+    "q_dashboard": q_dashboard,
     "q_alert_log": lambda s, d: alerts(s, d).select("alert_id", "kind", "day", "shadow"),
     "q_alert_budget": lambda s, d: decision.apply_budget(alerts(s, d)).filter("surfaced").select("alert_id", "shift_no"),
     "q_adjudicate": lambda s, d: ledger(s, d).select("alert_id", "verdict", "outcome"),
@@ -76,7 +97,18 @@ named AS (SELECT *, 'A' || CASE WHEN n < 100000 THEN lpad(n::VARCHAR, 5, '0') EL
 ledger AS (SELECT *, row_number() OVER (PARTITION BY shift_no ORDER BY prio DESC, alert_id) <= 5 AS surfaced,
     CASE WHEN event_id % 6 = 4 THEN 'confirmed' WHEN event_id % 2 = 0 THEN ['confirmed', 'rejected', 'unsure'][event_id % 3 + 1] END AS verdict FROM named),
 judged AS (SELECT *, CASE verdict WHEN 'confirmed' THEN 'correct' WHEN 'rejected' THEN 'incorrect' END AS outcome FROM ledger)"""
+BAR = "coalesce('<i style=\"width:' || round({0} * 100)::BIGINT || 'px\"></i> ' || round({0} * 100, 1)::VARCHAR || ' %', '')"
+WORTH = "CASE WHEN abs({0}) >= 1e7 THEN round({0} / 1e7, 2)::VARCHAR || ' cr' WHEN abs({0}) >= 1e5 THEN round({0} / 1e5, 2)::VARCHAR || ' L' ELSE 'Rs ' || round({0})::BIGINT END"
 ORACLES = {
+    "q_dashboard": f"""WITH {LEDGER}, {layouts.PLACES}, {layouts.VISITS},
+      score AS (SELECT kind, count(*) AS issued, count(outcome) AS judged, avg((outcome = 'correct')::INT) AS hit_rate, coalesce(sum(impact) FILTER (WHERE surfaced), 0) AS impact FROM judged GROUP BY kind),
+      sure AS (SELECT greatest(ceil(confidence * 5), 1)::BIGINT AS bin, count(*) AS n, avg(confidence) AS mean_conf, avg((outcome = 'correct')::INT) AS hit_rate FROM judged WHERE outcome IS NOT NULL GROUP BY 1),
+      told AS (
+        SELECT 'Alerts' AS tab, row_number() OVER (ORDER BY impact DESC, alert_id) AS place, [alert_id, kind, {BAR.format("confidence")}, {WORTH.format("impact")}, coalesce(verdict, '')] AS cells FROM judged WHERE surfaced
+        UNION ALL SELECT 'Scorecard', row_number() OVER (ORDER BY kind), [kind, issued::VARCHAR, judged::VARCHAR, {BAR.format("hit_rate")}, {WORTH.format("impact")}] FROM score
+        UNION ALL SELECT 'Calibration', row_number() OVER (ORDER BY bin), [bin::VARCHAR, n::VARCHAR, {BAR.format("mean_conf")}, {BAR.format("hit_rate")}] FROM sure
+        UNION ALL SELECT 'Stations', row_number() OVER (ORDER BY n_visits DESC, sid), [sid, type_name, n_visits::VARCHAR, instrumented::VARCHAR] FROM passed)
+      SELECT tab, place, '<tr><td>' || array_to_string(cells, '</td><td>') || '</td></tr>' AS html FROM told WHERE place <= 200""",
     "q_alert_log": f"WITH {LEDGER} SELECT alert_id, kind, round(t_s / 86400, 3) AS day, shadow FROM named",
     "q_alert_budget": f"""WITH {LEDGER} SELECT alert_id, shift_no FROM named WHERE NOT shadow
       QUALIFY row_number() OVER (PARTITION BY shift_no ORDER BY prio DESC, alert_id) <= 5""",
