@@ -145,7 +145,6 @@ TEXTS = {
     "q_impute_proc": f"""WITH {STATES}, gated AS (SELECT *, lag(start_s) OVER (PARTITION BY j ORDER BY true_s, unit) AS earlier_s FROM state),
       theta AS (SELECT *, lead(earlier_s) OVER (PARTITION BY unit ORDER BY j) - start_s AS theta_s FROM gated)
       SELECT unit, j, round(greatest(CASE WHEN dwell_s - theta_s < 1.5e0 THEN least(dwell_s, theta_s) ELSE dwell_s END, 0.1e0), 6) AS proc_s FROM theta""",
-    "q_rc_exposures": f"WITH {SIGNAL} SELECT unit, 'S' || CAST(j AS STRING) || CASE WHEN z > 0 THEN ':high' ELSE ':low' END AS label FROM zed WHERE abs(z) > 2",
     "q_regime_lead": """WITH day AS (SELECT DIV(EPOCH_US(ts), 86400000000) AS d, event_type, count(*) AS n FROM events GROUP BY DIV(EPOCH_US(ts), 86400000000), event_type),
       top AS (SELECT d, event_type, row_number() OVER (PARTITION BY d ORDER BY n DESC, event_type) AS r FROM day),
       run AS (SELECT d, event_type, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (ORDER BY d ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS hot FROM top WHERE r = 1)

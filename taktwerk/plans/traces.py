@@ -69,6 +69,17 @@ exposed AS (
   UNION ALL SELECT 'SHIFT', (['A', 'B', 'C'])[(o_orderkey * 30 // 28800 % 3) + 1], o_orderkey FROM orders)"""
 
 
+def q_rc_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exposures to two measured signals, a line's mean quantity and discount. Both are nearly uniform and never leave two deviations, so the band here has 1.6."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    means = items.groupBy(F.col("l_orderkey").alias("unit"), F.concat(F.lit("S"), F.col("l_linenumber").cast("string")).alias("sid")).agg(
+        F.avg("l_quantity").alias("load"), F.avg("l_discount").alias("humidity")
+    )
+    each = F.array(*(F.struct(F.lit(name).alias("signal"), F.col(name).alias("v")) for name in ("load", "humidity")))
+    values = means.select("unit", "sid", F.inline(each))
+    return tracing.signal_exposures(tracing.z_scores(values, ["sid", "signal"], BASELINE), 1.6)
+
+
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """unit, part by time (65, 15 and 20 % of the units), y and the torque of each sensor."""
     wide = torque(spark, sf_dir).groupBy("unit").agg(*(F.max(F.when(F.col("j") == j, F.col("v"))).alias(f"v{j}") for j in SENSORS))
@@ -105,6 +116,7 @@ sorted AS (SELECT b, y, list(s ORDER BY s) AS s, count(*) AS n FROM blk GROUP BY
 level AS (SELECT b, y, n, CASE WHEN n < 20 THEN 1.0::DOUBLE ELSE s[1 + least(ceil(least(1.0, ceil((n + 1) * 0.9) / n) * (n - 1)), n - 1)::INT] END AS q FROM sorted)"""
 
 QUERIES = {
+    "q_rc_exposures": q_rc_exposures,
     "q_trace_exposures": lambda s, d: exposures(s, d).groupBy("kind", "label").agg(F.count("*").alias("n"), F.sum("unit").alias("units")),
     "q_trace": lambda s, d: tracing.trace(exposures(s, d), defects(s, d)),
     "q_conformal_blocks": lambda s, d: rounded(risk.conformal_levels(blocks_of_risk(s, d), by=("b",))),
@@ -112,6 +124,10 @@ QUERIES = {
     "q_gbt_risk": q_gbt_risk,
 }
 ORACLES = {
+    "q_rc_exposures": f"""WITH m AS (SELECT l_orderkey AS unit, l_linenumber AS j, avg(l_quantity) AS q, avg(l_discount) AS d FROM lineitem GROUP BY ALL),
+      ref AS (SELECT j, avg(q) AS q0, stddev_pop(q) + 1e-9 AS q1, avg(d) AS d0, stddev_pop(d) + 1e-9 AS d1 FROM m WHERE unit < {BASELINE} GROUP BY j)
+      SELECT 'STATION_SIGNAL' AS kind, 'S' || j || CASE WHEN q > q0 THEN ':load_high' ELSE ':load_low' END AS label, unit FROM m JOIN ref USING (j) WHERE q > q0 + 1.6 * q1 OR q < q0 - 1.6 * q1
+      UNION ALL SELECT 'ENVIRONMENT', 'S' || j || CASE WHEN d > d0 THEN ':humidity_high' ELSE ':humidity_low' END, unit FROM m JOIN ref USING (j) WHERE d > d0 + 1.6 * d1 OR d < d0 - 1.6 * d1""",
     "q_trace_exposures": f"WITH {EXPOSURES} SELECT kind, label, count(*) AS n, sum(unit)::BIGINT AS units FROM exposed GROUP BY kind, label",
     "q_trace": f"""WITH {EXPOSURES},{TESTED},
       conf AS (SELECT *, least(1, greatest(0, (1 - q) * tanh((lift - 1) / 2) * least(1, a / 25))) AS c FROM bh WHERE q <= 0.05)
