@@ -5,10 +5,12 @@ Columns named as `keys` part feeds that share a table, such as those of a sweep.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taktwerk.functions.ranks import ROWS_PER_SLOT, lagged, quantiles, slots_of
+from taktwerk.functions.ranks import ROWS_PER_SLOT, Slots, haloed, quantiles, rows_before, slots_of
 
 
 def by_unit(keys: tuple[str, ...] = ()):
@@ -133,7 +135,7 @@ def score_repair(report: DataFrame, injected: DataFrame) -> DataFrame:
 def reconstruct(
     visits: DataFrame, x: str = "true_s", transport_s: float = 4.5, capacity: int = 1, eps_s: float = 1.5,
     rows_per_slot: int = ROWS_PER_SLOT, keep: tuple[str, ...] = (), stations: list[dict] | None = None, reentry: DataFrame | None = None,
-    rework_station: int | None = None, keys: tuple[str, ...] = (),
+    rework_station: int | None = None, keys: tuple[str, ...] = (), before: str | None = None, slots: list[Slots | None] | None = None,
 ) -> DataFrame:
     """unit, j, arrive_s, start_s, dwell_s, starved_s, theta_s, blocked from release_s and the scans x, and the columns of `keep`.
 
@@ -144,23 +146,26 @@ def reconstruct(
 
     stations: the line's stations as dicts of j, transport_s (to the next), parallel (machines) and buffer (places before the next
     station, the capacity to it beside its further machines); without them every station has one machine, transport_s and capacity.
+    before: the column with the unit's scan at the station before (j - 1), where the feed carries it; else a window finds it.
+    slots: what slots_of gave for this order, or a like one, in a list of one, if the caller has it.
     reentry: (unit, reentry_s) of units that came back from rework behind station rework_station; they arrive at the next no sooner.
     """
     order = [x, "unit"]
-    slots = [slots_of(visits, x, rows_per_slot)]
+    slots = [cut and replace(cut, order=x) for cut in slots or [slots_of(visits, x, rows_per_slot)]]
     dims = {s["j"]: s for s in stations or []}
     last = max(dims, default=None)
 
-    def of(value, default: float):
-        pairs = [(j, value(s)) for j, s in dims.items()]
+    def of(value, default: float, ahead: int = 0):
+        pairs = [(j + ahead, value(s)) for j, s in dims.items()]
         return F.coalesce(*(F.when(F.col("j") == j, F.lit(v)) for j, v in pairs if v is not None), F.lit(None)) if pairs else F.lit(default)
 
     machines = {j: max(s.get("parallel", 1), 1) for j, s in dims.items()}
     # the capacity from j - 1 to j, which is looked back over in the order of j
     into = {j: dims[j - 1].get("buffer", capacity) + machines[j] - 1 for j in dims if j - 1 in dims}
-    before = F.lag(of(lambda s: float(s.get("transport_s", transport_s)), transport_s)).over(by_unit(keys))
-    arrive = F.coalesce(F.lag(x).over(by_unit(keys)) + before, F.col("release_s"))
-    out = visits.withColumn("arrive_s", arrive)
+    hop = lambda s: float(s.get("transport_s", transport_s))
+    came = F.lag(x).over(by_unit(keys)) + F.lag(of(hop, transport_s)).over(by_unit(keys)) if before is None else F.col(before) + of(hop, transport_s, 1)
+    used = dict.fromkeys((*keys, "unit", "j", x, *keep))
+    out = visits.withColumn("arrive_s", F.coalesce(came, F.col("release_s"))).select(*used, "arrive_s")
     if reentry is not None and rework_station is not None:
         back = reentry.select(F.col("unit").alias("__u"), F.col("reentry_s").alias("__back")).filter("__back IS NOT NULL")
         out = out.join(back, (out["unit"] == back["__u"]) & (out["j"] == rework_station + 1), "left")
@@ -170,11 +175,11 @@ def reconstruct(
         near, far = ("__p", sorted(set(machines.values()))), ("__cap", sorted(set(into.values())))
     else:
         near, far = (1, [1]), (capacity, [capacity])
-    out = lagged(out, [*keys, "j"], order, {"prev_s": x}, near[0], rows_per_slot, slots, near[1])
-    out = out.withColumn("start_s", F.greatest("arrive_s", "prev_s"))
+    out, w = haloed(out, [*keys, "j"], order, near[1][-1] + max(far[1], default=0), rows_per_slot, slots)
+    out = out.withColumn("prev_s", rows_before(x, *near, w)).withColumn("start_s", F.greatest("arrive_s", "prev_s"))
+    out = out.withColumn("earlier_s", rows_before("start_s", *far, w).cast("double")).filter("__own")
     out = out.withColumn("starved_s", F.coalesce(F.greatest(F.col("start_s") - F.col("prev_s"), F.lit(0.0)), F.lit(0.0)))
     out = out.withColumn("dwell_s", F.col(x) - F.col("start_s"))
-    out = lagged(out, [*keys, "j"], order, {"earlier_s": "start_s"}, far[0], rows_per_slot, slots, far[1])
     gate = F.lead("earlier_s").over(by_unit(keys))
     out = out.withColumn("theta_s", gate - F.col("start_s") if last is None else F.when(F.col("j") < last, gate - F.col("start_s")))
     blocked = F.coalesce(F.col("dwell_s") - F.col("theta_s") < eps_s, F.lit(False))
