@@ -22,7 +22,7 @@ OF_VIEW = "WITH state AS (SELECT * FROM feed_states)"
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feed.reconstruct(plant.scans(spark, sf_dir), keep=("true_s", "proc_s"))
+    return feed.reconstruct(plant.scans(spark, sf_dir), keep=("true_s", "proc_s"), before="before_s")
 
 
 def on_states(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -32,7 +32,7 @@ def on_states(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
     def call(spark: SparkSession, sf_dir: str) -> DataFrame:
         states(spark, sf_dir).createOrReplaceTempView("feed_states")
-        return spark.sql(tables.spark_text(text.replace(f"WITH {tables.STATES}", OF_VIEW)))
+        return plant.sql(spark, sf_dir, tables.spark_text(text.replace(f"WITH {tables.STATES}", OF_VIEW)))
 
     return call
 

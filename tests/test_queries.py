@@ -82,3 +82,10 @@ def test_interpolation_at_edges_and_inside(spark):
     x = [None, 2.0, None, None, 8.0, None]
     df = spark.createDataFrame([(1, j, v) for j, v in enumerate(x, 1)], "unit long, j int, x_late double")
     assert [r.x_fill for r in feed.interpolate(df).orderBy("j").collect()] == [2.0, 2.0, 4.0, 6.0, 8.0, 8.0]
+
+
+def test_queries_on_states_register_what_they_read(spark):
+    """A view left from other tables, or none at all, must not matter."""
+    spark.catalog.dropTempView("lineitem")
+    spark.createDataFrame([(42, 1)], "o_orderkey long, o_custkey long").createOrReplaceTempView("orders")
+    assert registry.QUERIES["q_unit_thread"](spark, SF).count() == 7
