@@ -22,11 +22,14 @@ SUMS = ("n", "n_log", "x", "xx", "d", "dd")
 SCHEMA = "window_id long, j int, n long, n_censored long, mean_s double, sd_s double, lo95 double, hi95 double, method string, confidence double"
 
 
-def statistics(visits: DataFrame, key: list[Column]) -> DataFrame:
-    """Sums by key, station and cell of (unit, j, dwell_s, theta_s, blocked): exact visits have a null cell, bounds one of WIDTH in the log."""
+def statistics(visits: DataFrame, key: list[Column], cells: bool = True) -> DataFrame:
+    """Sums by key, station and cell of (unit, j, dwell_s, theta_s, blocked): exact visits have a null cell, bounds one of WIDTH in the log.
+
+    Without `cells` all bounds share one.
+    """
     v = F.when(F.col("blocked"), F.col("theta_s")).otherwise(F.col("dwell_s"))
     rows = visits.select(*key, "j", "blocked", v.alias("v")).withColumn("log", F.when(F.col("v") > 0, F.ln("v")))
-    cell = F.when(F.col("blocked"), F.coalesce(F.floor(F.col("log") / WIDTH), F.lit(-(1 << 40))))
+    cell = F.when(F.col("blocked"), F.coalesce(F.floor(F.col("log") / WIDTH), F.lit(-(1 << 40))) if cells else F.lit(0).cast("long"))
     names = [c for c in rows.columns if c not in ("j", "blocked", "v", "log")]
     return rows.groupBy(*names, "j", cell.alias("cell")).agg(
         F.count("*").alias("n"), F.count("log").alias("n_log"), F.sum("log").alias("x"), F.sum(F.col("log") * F.col("log")).alias("xx"),
@@ -65,12 +68,17 @@ def edges_of(windows: DataFrame, block: int = BLOCK) -> DataFrame:
     return windows.select("window_id", F.explode(units).alias("unit"))
 
 
-def window_statistics(visits: DataFrame, windows: DataFrame, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
-    """(window_id, j, cell, sums) of each window (window_id, lo, hi) of units; windows may overlap."""
-    nodes = dyadic(statistics(visits, [F.floor(F.col("unit") / block).cast("long").alias("block")]), levels)
+def window_statistics(visits: DataFrame, windows: DataFrame, block: int = BLOCK, levels: int = LEVELS, cells: bool = True) -> DataFrame:
+    """(window_id, j, cell, sums) of each window (window_id, lo, hi) of units; windows may overlap.
+
+    Ranges longer than the longest window are in none, so none are made. cells: as in `statistics`; `direct` needs none.
+    """
+    longest = windows.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 0  # one number
+    levels = min(levels, max(int(longest) // block, 1).bit_length() - 1)
+    nodes = dyadic(statistics(visits, [F.floor(F.col("unit") / block).cast("long").alias("block")], cells), levels)
     whole = ranges_of(windows, block, levels).join(nodes, ["level", "node"]).select("window_id", "j", "cell", *SUMS)
     near = visits.join(edges_of(windows, block), "unit")
-    part = statistics(near, [F.col("window_id")]).select("window_id", "j", "cell", *SUMS)
+    part = statistics(near, [F.col("window_id")], cells).select("window_id", "j", "cell", *SUMS)
     return whole.union(part).groupBy("window_id", "j", "cell").agg(*(F.sum(c).alias(c) for c in SUMS))
 
 

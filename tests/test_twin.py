@@ -233,3 +233,16 @@ def test_sensors_and_threads_of_nothing(spark):
     assert sensors.profiles(none, spark.createDataFrame([(1, 0, 10)], "window_id long, lo long, hi long")).count() == 0
     asked = spark.createDataFrame([], "question long, j int, t0 double, t1 double")
     assert thread.overlaps(none.select("unit", "j", F.lit(0.0).alias("start_s"), F.lit(1.0).alias("depart_s")), asked).count() == 0
+
+
+def test_statistics_without_cells_and_beyond_the_longest_window(spark):
+    """One cell of bounds a window and station, the same direct estimates, and no ranges longer than the windows."""
+    rng = random.Random(2)
+    rows = [(u, j, 50 + 10 * rng.random(), 40 + 20 * rng.random(), rng.random() < 0.4) for u in range(900) for j in (1, 2)]
+    visits = spark.createDataFrame(rows, "unit long, j int, dwell_s double, theta_s double, blocked boolean")
+    windows = spark.createDataFrame([(1, 10, 700), (2, 128, 256), (3, 5, 6)], "window_id long, lo long, hi long")
+    fine, slim = (sensors.window_statistics(visits, windows, cells=c) for c in (True, False))
+    key = lambda df: sorted((r.window_id, r.j, r.n, r.n_censored, round(r.mean_s or 0, 9), round(r.sd_s or 0, 6)) for r in sensors.direct(df).collect())
+    assert key(fine) == key(slim)
+    assert slim.count() <= 2 * 3 * 2 < fine.count()
+    assert slim._jdf.queryExecution().analyzed().toString().count("sequence(0, 3") and windows.count() == 3
