@@ -36,7 +36,7 @@ def impute_processing(visits: DataFrame, fits: DataFrame) -> DataFrame:
     dwell and theta stands. Never below 0.1 s.
     """
     known = fits.select("j", F.ln("mean_s").alias("lm"), F.log1p(F.pow(F.col("sd_s") / F.col("mean_s"), F.lit(2))).alias("var"))
-    rows = visits.join(known, "j", "left")
+    rows = visits.join(F.broadcast(known), "j", "left")  # a row a station
     s = F.sqrt("var")
     z = (F.ln("theta_s") - (F.col("lm") - F.col("var") / 2)) / s
     mean = F.exp("lm") * normal_cdf(z - s) / F.least(F.greatest(normal_cdf(z), F.lit(1e-9)), F.lit(1.0))

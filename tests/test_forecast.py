@@ -94,3 +94,11 @@ def test_forecast_names_the_slow_station(visits):
     out = forecast.evaluate(found, visits, 20, 15, 20).collect()
     assert {r.trigger for r in out} == {20, 40}
     assert all(r.predicted == 2 and r.actual == 2 and r.pred_correct and r.pred_in_top2 and 0 < r.confidence <= 1 for r in out)
+
+
+def test_imputation_moves_no_visits(spark):
+    """A fit a station is broadcast: seven keys would put each station into one task."""
+    visits = spark.createDataFrame([(1, 1, 50.0, 40.0, True)], "unit long, j int, dwell_s double, theta_s double, blocked boolean")
+    fits = spark.createDataFrame([(1, 45.0, 5.0)], "j int, mean_s double, sd_s double").groupBy("j").applyInPandas(lambda df: df, "j int, mean_s double, sd_s double")
+    plan = forecast.impute_processing(visits, fits)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
