@@ -268,13 +268,10 @@ class FormatModel:
         return out
 
 
-def labelled_rows(docs: DataFrame, text_col: str, max_docs: int, longest: int) -> DataFrame:
-    """(kind, value, n) in about max_docs documents: the credentials that base patterns label, up to `longest` letters each,
+def labelled_rows(docs: DataFrame, text_col: str, longest: int) -> DataFrame:
+    """(kind, value, n) in all documents: the credentials that base patterns label, up to `longest` letters each,
     and (pair) how often two letters follow each other in all other runs."""
     rows = docs.select(F.col(text_col).cast("string").alias("t")).dropna()
-    n = rows.count()
-    if n > max_docs:
-        rows = rows.filter(F.pmod(F.xxhash64("t", F.lit(8)), F.lit(1 << 20)) < int((1 << 20) * max_docs / n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros((BORDER + 1, BORDER + 1), np.int64)
@@ -312,14 +309,14 @@ def labelled_rows(docs: DataFrame, text_col: str, max_docs: int, longest: int) -
     return rows.mapInArrow(run, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, text_col: str = "text", max_docs: int = 20_000, samples: int = 400, longest: int = 256, least: int = 8) -> FormatModel:
-    """Learns the formats from what the base patterns label in about max_docs documents.
+def fit(docs: DataFrame, text_col: str = "text", samples: int = 400, longest: int = 256, least: int = 8) -> FormatModel:
+    """Learns the formats from what the base patterns label in all documents.
 
-    Of each kind `samples` different values of at most `longest` letters are taken, by the order of a hash, so the fit is bounded;
-    the model of ordinary runs counts all others in those documents. A kind with fewer than `least` values gets no grammar;
+    The model of ordinary runs counts all others in them. Of each kind, `samples` of all different values of at most `longest` letters make
+    the grammar, by the order of a hash: its prefix tree is built on the driver, so it must be bounded. A kind with fewer than `least` values gets no grammar;
     without grammars nothing is added.
     """
-    rows = written(labelled_rows(docs, text_col, max_docs, longest))
+    rows = written(labelled_rows(docs, text_col, longest))
     labelled = {}
     for kind in KINDS:
         some = rows.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(samples)

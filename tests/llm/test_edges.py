@@ -79,3 +79,10 @@ def test_written_shards_hold_every_row_within_the_limit(spark, tmp_path):
     assert got.count() == len(rows) and len(sizes) > 8 and max(n or 0 for n in sizes.values()) <= 900 and got.select("shard_kept").distinct().count() == 1
     bits = bin(int(hashlib.md5(b"7").hexdigest()[:8], 16))[2:].zfill(32)
     assert {bits.startswith(r.shard[1:]) for r in got.filter("doc_id = 7").collect()} == {True}
+
+
+def test_secrets_count_every_document(spark):
+    """Beyond 20,000 documents too: each adds its pair of letters, and a credential that one of them holds is known."""
+    docs = spark.range(30_000).selectExpr("CASE WHEN id = 17 THEN 'token = \"abcdef123456\"' ELSE concat('qz ', id) END AS text")
+    got = {(r.kind, r.value): r.n for r in secrets.labelled_rows(docs, "text", 256).collect()}
+    assert got["pair", "qz"] == 29_999 and got["assign", "abcdef123456"] == 1
