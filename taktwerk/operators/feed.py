@@ -150,10 +150,26 @@ def reconstruct(
     slots: what slots_of gave for this order, or a like one, in a list of one, if the caller has it.
     reentry: (unit, reentry_s) of units that came back from rework behind station rework_station; they arrive at the next no sooner.
     """
+    last = max((s["j"] for s in stations or []), default=None)
+    out = served(visits, x, transport_s, capacity, rows_per_slot, keep, stations, reentry, rework_station, keys, before, slots)
+    out = out.withColumn("starved_s", F.coalesce(F.greatest(F.col("start_s") - F.col("prev_s"), F.lit(0.0)), F.lit(0.0)))
+    out = out.withColumn("dwell_s", F.col(x) - F.col("start_s"))
+    gate = F.lead("earlier_s").over(by_unit(keys))
+    out = out.withColumn("theta_s", gate - F.col("start_s") if last is None else F.when(F.col("j") < last, gate - F.col("start_s")))
+    blocked = F.coalesce(F.col("dwell_s") - F.col("theta_s") < eps_s, F.lit(False))
+    return out.select(*keys, "unit", "j", "arrive_s", "start_s", "dwell_s", "starved_s", "theta_s", blocked.alias("blocked"), *keep)
+
+
+def served(
+    visits: DataFrame, x: str = "true_s", transport_s: float = 4.5, capacity: int = 1, rows_per_slot: int = ROWS_PER_SLOT, keep: tuple[str, ...] = (),
+    stations: list[dict] | None = None, reentry: DataFrame | None = None, rework_station: int | None = None, keys: tuple[str, ...] = (),
+    before: str | None = None, slots: list[Slots | None] | None = None,
+) -> DataFrame:
+    """What reconstruct knows before a unit's stations meet: unit, j, x, arrive_s, start_s, prev_s (when the station was free) and earlier_s, the start that
+    gates the unit at the station before, and the columns of `keep`. Takes what reconstruct does."""
     order = [x, "unit"]
     slots = [cut and replace(cut, order=x) for cut in slots or [slots_of(visits, x, rows_per_slot)]]
     dims = {s["j"]: s for s in stations or []}
-    last = max(dims, default=None)
 
     def of(value, default: float, ahead: int = 0):
         pairs = [(j + ahead, value(s)) for j, s in dims.items()]
@@ -176,11 +192,8 @@ def reconstruct(
     else:
         near, far = (1, [1]), (capacity, [capacity])
     out, w = haloed(out, [*keys, "j"], order, near[1][-1] + max(far[1], default=0), rows_per_slot, slots)
+    if keys:  # feeds that share a visit move side by side, and what they have in common compresses
+        out = out.repartition("j", *(["__at"] if "__at" in out.columns else []))
     out = out.withColumn("prev_s", rows_before(x, *near, w)).withColumn("start_s", F.greatest("arrive_s", "prev_s"))
     out = out.withColumn("earlier_s", rows_before("start_s", *far, w).cast("double")).filter("__own")
-    out = out.withColumn("starved_s", F.coalesce(F.greatest(F.col("start_s") - F.col("prev_s"), F.lit(0.0)), F.lit(0.0)))
-    out = out.withColumn("dwell_s", F.col(x) - F.col("start_s"))
-    gate = F.lead("earlier_s").over(by_unit(keys))
-    out = out.withColumn("theta_s", gate - F.col("start_s") if last is None else F.when(F.col("j") < last, gate - F.col("start_s")))
-    blocked = F.coalesce(F.col("dwell_s") - F.col("theta_s") < eps_s, F.lit(False))
-    return out.select(*keys, "unit", "j", "arrive_s", "start_s", "dwell_s", "starved_s", "theta_s", blocked.alias("blocked"), *keep)
+    return out.drop("__own", "__at", "__p", "__cap")
