@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taktwerk.functions.ranks import positions
+from taktwerk.functions.ranks import ROWS_PER_SLOT, positions
 
 LAM, EWMA_L, K, H = 0.22, 5.5, 0.5, 9.35
 BASELINE, PERSISTENCE = 10, 2
@@ -110,7 +110,9 @@ def score_against_faults(charts: DataFrame, faults: DataFrame, early: float = 0.
     )
 
 
-def line_series(signals: DataFrame, dwells: DataFrame, instrumented: DataFrame, size: int, first: int = BASELINE, sigmas: float = 4.0) -> DataFrame:
+def line_series(
+    signals: DataFrame, dwells: DataFrame, instrumented: DataFrame, size: int, first: int = BASELINE, sigmas: float = 4.0, rows_per_slot: int = ROWS_PER_SLOT
+) -> DataFrame:
     """(station, signal, instrumented, blk, m): the block means of every series that a line can be charted on.
 
     signals is (unit, sid, signal, v) of stations with sensors, dwells (unit, sid, v) of all, instrumented (sid) the stations with sensors.
@@ -121,17 +123,18 @@ def line_series(signals: DataFrame, dwells: DataFrame, instrumented: DataFrame,
     known = instrumented.select(F.col("sid").alias("__sid")).distinct()
     seen = dwells.join(F.broadcast(known), F.col("sid") == F.col("__sid"), "left").withColumn("inst", F.col("__sid").isNotNull()).drop("__sid")  # a row a station
     timed = signals.filter("signal = 'cycle_time_s'").select(F.col("sid").alias("__sid")).distinct()
-    own = signals.filter("signal = 'cycle_time_s'").select("unit", "sid", F.lit("stoppage_rate").alias("signal"), F.lit(True).alias("inst"), "v")
     rest = seen.filter("inst").join(F.broadcast(timed), F.col("sid") == F.col("__sid"), "left_anti").select("unit", "sid", F.lit("stoppage_rate").alias("signal"), "inst", "v")
-    dark = seen.filter("NOT inst")
-    rows = signals.select("unit", "sid", "signal", F.lit(True).alias("inst"), "v").unionByName(own).unionByName(rest)
-    for name in ("soft_dwell_s", "soft_stoppage_rate"):
-        rows = rows.unionByName(dark.select("unit", "sid", F.lit(name).alias("signal"), "inst", "v"))
-    placed = positions(rows, ["sid", "signal"], ["unit"], "rn")
+    dark = seen.filter("NOT inst").select("unit", "sid", F.lit("soft_dwell_s").alias("signal"), "inst", "v")
+    rows = signals.select("unit", "sid", "signal", F.lit(True).alias("inst"), "v").unionByName(rest).unionByName(dark)
+    # a stoppage rate has the rows of the time it is of, so it joins them once they are placed
+    also = F.when(F.col("inst") & (F.col("signal") == "cycle_time_s"), "stoppage_rate").when(~F.col("inst"), "soft_stoppage_rate")
+    placed = positions(rows, ["sid", "signal"], ["unit"], "rn", rows_per_slot, few_keys=True)
+    placed = placed.withColumn("signal", F.explode(F.array_compact(F.array("signal", also))))
     early = F.when(F.col("rn") < first * size, F.col("v"))
-    bars = placed.groupBy("sid", "signal").agg((F.avg(early) + sigmas * F.stddev_pop(early)).alias("bar"))  # a row a series
+    # a row a series; with inst, as then both readings of `placed` share what was moved
+    bars = placed.groupBy("sid", "signal", "inst").agg((F.avg(early) + sigmas * F.stddev_pop(early)).alias("bar"))
     value = F.when(F.col("signal").endswith("stoppage_rate"), (F.col("v") > F.col("bar")).cast("double")).otherwise(F.col("v"))
-    blocked = placed.join(F.broadcast(bars), ["sid", "signal"]).groupBy("sid", "signal", "inst", F.floor(F.col("rn") / size).alias("blk"))
+    blocked = placed.join(F.broadcast(bars), ["sid", "signal", "inst"]).groupBy("sid", "signal", "inst", F.floor(F.col("rn") / size).alias("blk"))
     means = blocked.agg(F.avg(value).alias("m"), F.count("*").alias("n")).filter(F.col("n") == size)
     return means.select(F.col("sid").alias("station"), "signal", F.col("inst").alias("instrumented"), "blk", "m")
 

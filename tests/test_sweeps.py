@@ -55,3 +55,16 @@ def test_a_sweep_moves_visits_twice(spark):
 
 def test_no_scans_give_no_errors(spark):
     assert sweeps.sweep_read_rate(scans(spark).limit(0), [0, 30], missed, STATIONS).collect() == []
+
+
+def test_series_of_a_line_move_their_rows_once(spark):
+    from taktwerk.operators import spc
+
+    rows = spark.range(600).select(F.col("id").alias("unit"), F.explode(F.array(F.lit("S1"), F.lit("S2"))).alias("sid"))
+    rows = rows.withColumn("v", (F.col("unit") * 7919 % 101).cast("double"))
+    signals = rows.filter("sid = 'S1'").select("unit", "sid", F.lit("cycle_time_s").alias("signal"), "v")
+    known = spark.createDataFrame([("S1",)], "sid string")
+    one, many = (spc.line_series(signals, rows, known, 10, rows_per_slot=n) for n in (2_000_000, 100))
+    assert "SortMergeJoin" not in many._jdf.queryExecution().executedPlan().toString()  # the counts of slots come to the rows
+    assert {r.signal for r in one.collect()} == {"cycle_time_s", "stoppage_rate", "soft_dwell_s", "soft_stoppage_rate"}
+    assert sorted(one.collect()) == sorted(many.collect()) and one.count() == 240
