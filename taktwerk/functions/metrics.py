@@ -33,6 +33,11 @@ def average_precision(risk: DataFrame, score: str = "score", y: str = "y", rows_
 
 
 def spearman(df: DataFrame, a: str, b: str, rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
-    """(n, rho): the correlation of the average ranks of two columns."""
-    ranked = average_ranks(average_ranks(df.select(a, b), a, "ra", rows_per_slot), b, "rb", rows_per_slot)
+    """(n, rho): the correlation of the average ranks of two columns.
+
+    The two columns are computed once, before the query: rows meet their ranks by value, and a mean of doubles that is computed again
+    may differ in its last bit, as its parts come in any order. A lost executor ends the query instead of changing the values.
+    """
+    pairs = df.select(a, b).localCheckpoint()
+    ranked = average_ranks(average_ranks(pairs, a, "ra", rows_per_slot), b, "rb", rows_per_slot)
     return ranked.agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"))

@@ -50,6 +50,14 @@ def test_metrics_of_one_class_and_of_no_rows(spark):
     assert metrics.average_precision(df.limit(0)).first().ap is None
 
 
+@pytest.mark.parametrize("per_slot", [50, 10**6])
+def test_spearman_keeps_rows_whose_values_change_when_computed_again(spark, per_slot):
+    noisy = F.udf(lambda i: i + random.random() / 4, "double").asNondeterministic()
+    df = spark.range(200).select(noisy("id").alias("a"), (-F.col("id")).cast("double").alias("b"))
+    got = metrics.spearman(df, "a", "b", per_slot).first()
+    assert got.n == 200 and math.isclose(got.rho, -1)
+
+
 def test_states_do_not_depend_on_the_slots(spark):
     scans = plant.scans(spark, "/root/testdata/sf0.001").filter("unit < 200")
     whole, cut = (feed.reconstruct(scans, capacity=2, rows_per_slot=n).orderBy("unit", "j").collect() for n in (10**6, 100))
