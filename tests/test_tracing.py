@@ -1,9 +1,18 @@
 """Tracing and risk operators on small inputs, with slots of a few rows, ties, nulls and empty tables."""
 
+import re
+
 import numpy as np
 import pytest
 
 from taktwerk.operators import risk, tracing
+from taktwerk.plans import evaluation, traces
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("times", [1, 5000])  # few rows are all ordered, many only in brackets
@@ -43,3 +52,26 @@ def test_models_by_type_are_fitted_only_with_positives_enough(spark):
     scores = {r.x: r.score for r in risk.with_risk(df.filter("type = 'a'").select("x").distinct(), models["a"], ["x"]).collect()}
     assert min(scores[7.0], scores[9.0]) > 0.8 > 0.2 > max(scores[0.0], scores[6.0])
     assert risk.with_risk(df, models["b"], ["x"]).filter("score > 0").count() == 0
+
+
+def test_units_meet_their_findings_before_they_are_spread_over_types(spark):
+    """Repeats, null types and units without findings; no row for each unit and type is shuffled."""
+    units = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "unit long, part string")
+    findings = spark.createDataFrame([(1, 7), (1, 7), (1, 8), (2, None), (9, 7)], "unit long, type int")
+    types = spark.createDataFrame([(7,), (8,), (None,)], "type int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = risk.typed_labels(units, findings, types)
+        assert not re.search(r"hashpartitioning\(unit#\d+L?, type#", plan(out))
+        got = {(r.unit, r.type, r.part): r.y for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(u, t, p): int((u, t) in {(1, 7), (1, 8)}) for u, p in ((1, "x"), (2, "y"), (3, None)) for t in (7, 8, None)}
+
+
+def test_seeded_signals_come_from_a_units_own_row(spark):
+    for df in (evaluation.scored(spark, SF), traces.defects(spark, SF), traces.feature_rows(spark, SF)):
+        assert "Exchange" not in plan(df)
+    wide = {r.unit: (r.v1, r.v3, r.v5, r.v7) for r in traces.feature_rows(spark, SF).collect()}
+    tall = {(r.unit, r.j): r.v for r in traces.torque(spark, SF).collect()}
+    assert len(tall) == 4 * len(wide) and all(wide[u] == tuple(tall[u, j] for j in traces.SENSORS) for u in wide)
