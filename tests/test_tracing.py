@@ -75,3 +75,11 @@ def test_seeded_signals_come_from_a_units_own_row(spark):
     wide = {r.unit: (r.v1, r.v3, r.v5, r.v7) for r in traces.feature_rows(spark, SF).collect()}
     tall = {(r.unit, r.j): r.v for r in traces.torque(spark, SF).collect()}
     assert len(tall) == 4 * len(wide) and all(wide[u] == tuple(tall[u, j] for j in traces.SENSORS) for u in wide)
+
+
+def test_exposures_of_asked_units_are_those_of_all(spark):
+    """The bands and edges stay those of all units; what is kept of the visits doesn't grow with the units that aren't asked."""
+    asked = spark.createDataFrame([(7,), (481,), (481,), (1499,), (-1,)], "unit long")
+    some = traces.exposures(spark, SF, asked)
+    every = traces.exposures(spark, SF).filter("unit IN (7, 481, 1499)")
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, every.collect())) and some.count() > 20
