@@ -5,40 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
+PART = 4096  # unit numbers in a part of a question's units
 
 
-def overlaps(visits: DataFrame, questions: DataFrame, bucket_s: float = 600.0) -> DataFrame:
+def overlaps(visits: DataFrame, questions: DataFrame, bucket_s: float = 600.0, keep: tuple[str, ...] = (), told: tuple[str, ...] = ()) -> DataFrame:
     """(question, unit, j, start_s, depart_s): the visits to a question's station with depart_s > t0 and start_s < t1.
 
     visits is (unit, j, start_s, depart_s), questions (question, j, t0, t1), a row each, however many. Both fall into the buckets of time that
     they touch and meet by station and bucket, so no nested loop compares them; a pair that shares several buckets counts in the first
-    of them. A question of no length has no visits.
+    of them. A question of no length has no visits. keep and told: columns of visits and of questions that come along.
     """
 
-    def spread(df: DataFrame, lo: Column, hi: Column, name: str) -> DataFrame:
-        first, last = F.floor(lo / bucket_s).cast("long"), F.floor(hi / bucket_s).cast("long")
-        return df.withColumn(name, first).withColumn("bucket", F.explode(F.sequence(first, F.greatest(first, last))))
+    def first(lo: str) -> Column:
+        return F.floor(F.col(lo) / bucket_s).cast("long")
 
-    v = spread(visits.select("unit", "j", "start_s", "depart_s").filter("start_s <= depart_s"), F.col("start_s"), F.col("depart_s"), "v_first")
-    q = spread(questions.select("question", "j", "t0", "t1").filter("t0 < t1"), F.col("t0"), F.col("t1"), "q_first")
-    met = v.join(q, ["j", "bucket"]).filter((F.col("bucket") == F.greatest("v_first", "q_first")) & (F.col("depart_s") > F.col("t0")) & (F.col("start_s") < F.col("t1")))
-    return met.select("question", "unit", "j", "start_s", "depart_s")
+    def spread(df: DataFrame, lo: str, hi: str) -> DataFrame:
+        return df.withColumn("bucket", F.explode(F.sequence(first(lo), F.greatest(first(lo), first(hi)))))
 
+    v = spread(visits.select("unit", "j", "start_s", "depart_s", *keep).filter("start_s <= depart_s"), "start_s", "depart_s")
+    q = spread(questions.select("question", "j", "t0", "t1", *told).filter("t0 < t1"), "t0", "t1")
+    met = v.join(q, ["j", "bucket"]).filter((F.col("bucket") == F.greatest(first("start_s"), first("t0"))) & (F.col("depart_s") > F.col("t0")) & (F.col("start_s") < F.col("t1")))
+    return met.select("question", "unit", "j", "start_s", "depart_s", *keep, *told)
 
-def suspects(exposed: DataFrame, spans: DataFrame, now: DataFrame, listed: int = 200) -> DataFrame:
+
+def suspects(exposed: DataFrame, spans: DataFrame | None, now: DataFrame | None, listed: int = 200) -> DataFrame:
     """(question, n_exposed, n_in_line, n_shipped, units): the units of each question, split by whether they had left the line by its now_s.
 
-    exposed is (question, unit), spans (unit, gone_s), now (question, now_s). units lists the first `listed` in the line, put together from
-    SALTS parts of a question's units, so no task orders them all. A question without units has no row.
+    exposed is (question, unit), spans (unit, gone_s), now (question, now_s); spans or now may be None where exposed has gone_s or now_s already,
+    which saves moving its pairs for a join. units lists the first `listed` in the line. A question's units move once, in parts of PART unit
+    numbers, so no task orders them all; a row or a few for each question put the parts together. A question without units has no row.
     """
-    units = exposed.select("question", "unit").distinct().join(spans.select("unit", "gone_s"), "unit").join(now, "question")
-    units = units.withColumn("here", F.col("gone_s") > F.col("now_s"))
-    counts = units.groupBy("question").agg(F.count("*").alias("n_exposed"), F.count_if("here").alias("n_in_line"), F.count_if(~F.col("here")).alias("n_shipped"))
-    salted = units.filter("here").withColumn("salt", F.pmod(F.xxhash64("unit"), F.lit(SALTS)))
-    first = salted.withColumn("r", F.row_number().over(Window.partitionBy("question", "salt").orderBy("unit"))).filter(F.col("r") <= listed)
-    top = first.groupBy("question").agg(F.slice(F.array_sort(F.collect_list("unit")), 1, listed).alias("units"))
-    return counts.join(top, "question", "left").withColumn("units", F.coalesce("units", F.array().cast("array<bigint>")))
+    units = exposed if spans is None else exposed.join(spans.select("unit", "gone_s"), "unit")
+    units = units if now is None else units.join(now.select("question", "now_s"), "question")
+    units = units.select("question", F.floor(F.col("unit") / PART).alias("part"), "unit", (F.col("gone_s") > F.col("now_s")).alias("here"))
+    tasks = int(exposed.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that small rows aren't put together into tasks that spill
+    units = units.repartition(tasks, "question", "part").distinct()
+    parts = units.groupBy("question", "part").agg(
+        F.count("*").alias("n_exposed"), F.count_if("here").alias("n_in_line"), F.count_if(~F.col("here")).alias("n_shipped"),
+        F.slice(F.array_sort(F.collect_list(F.when(F.col("here"), F.col("unit")))), 1, listed).alias("units"),
+    )
+    counts = (F.sum(n).alias(n) for n in ("n_exposed", "n_in_line", "n_shipped"))
+    return parts.groupBy("question").agg(*counts, F.slice(F.array_sort(F.flatten(F.collect_list("units"))), 1, listed).alias("units"))
 
 
 def thread(units: DataFrame, visits: DataFrame, signals: DataFrame) -> DataFrame:

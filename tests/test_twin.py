@@ -200,6 +200,26 @@ def test_overlaps_and_suspects(spark):
         assert (r.n_exposed, r.n_in_line, r.units) == (sum(q == r.question for q, _ in want), len(here), here[:3])
 
 
+def test_suspects_with_columns_that_come_along(spark):
+    """Visits bring gone_s and questions now_s, so no pair is joined; units of several parts, and those seen twice, count once."""
+    rng = random.Random(4)
+    gone = {u: rng.random() * 300 for u in rng.sample(range(3 * thread.PART), 150)}
+    visits = [(u, j, s, s + 40.0, g) for u, g in gone.items() for j in (1, 1, 2) for s in [rng.random() * 300]]
+    asked = [(q, rng.randint(1, 2), t, t + 90.0, rng.random() * 300) for q in range(30) for t in [rng.random() * 300]]
+    v = spark.createDataFrame(visits, "unit long, j int, start_s double, depart_s double, gone_s double")
+    q = spark.createDataFrame(asked, "question long, j int, t0 double, t1 double, now_s double")
+    got = thread.suspects(thread.overlaps(v, q, 7.0, keep=("gone_s",), told=("now_s",)), None, None, 3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(question") == 2  # pairs, then a row for each part
+    joined = thread.suspects(thread.overlaps(v, q, 7.0), v.select("unit", "gone_s").distinct(), q.select("question", "now_s"), 3)
+    assert sorted(got.collect()) == sorted(joined.collect())
+    want = []
+    for k, j, t0, t1, now in asked:
+        met = {u for u, i, s, e, _ in visits if i == j and e > t0 and s < t1}
+        here = sorted(u for u in met if gone[u] > now)
+        want += [(k, len(met), len(here), len(met) - len(here), here[:3])] if met else []
+    assert sorted(map(tuple, got.collect())) == want
+
 def test_fisher_at_any_size():
     rng = random.Random(1)
     for _ in range(400):
