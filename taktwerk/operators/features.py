@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taktwerk.operators.tracing import z_scores
+from taktwerk.operators.tracing import bands, z_scores
 
 
 def category_codes(units: DataFrame, columns: list[str]) -> DataFrame:
@@ -44,7 +44,8 @@ def build(
     units is (unit, categories), states (unit, j, starved_s, dwell_s, blocked), signals (unit, j, signal, v), stations dicts of j, sid, type,
     instrumented and signals (a list of names). Features: z_<sid>_<signal> against the first baseline_units units; min_ and max_<type>__<signal> over
     the stations of a type; zdwell_<sid> of stations without sensors, with their largest and mean; starved_total_s, blocked_frac,
-    line_dwell_total_s; codes of the categories; gate flags. All stations of a unit are one aggregate, however many features.
+    line_dwell_total_s; codes of the categories; gate flags. All stations of a unit are one aggregate, however many features,
+    so the states move once by unit; their bands are read before.
     """
     live = [s for s in stations if s["j"] <= upto_station]
     near = [s["j"] for s in live]
@@ -61,12 +62,14 @@ def build(
         columns += [F.min(of).alias(f"min_{key}"), F.max(of).alias(f"max_{key}")]
     out = units.join(z.groupBy("unit").agg(*columns), "unit", "left") if columns else units
     dark = [s for s in live if not s["instrumented"]]
-    if dark:
-        slow = z_scores(states.filter(F.col("j").isin([s["j"] for s in dark])).select("unit", "j", F.col("dwell_s").alias("v")), ["j"], baseline_units)
-        own = [F.max(F.when(F.col("j") == s["j"], F.col("z"))).alias(f"zdwell_{s['sid']}") for s in dark]
-        out = out.join(slow.groupBy("unit").agg(*own, F.max("z").alias("dark_zdwell_max"), F.avg("z").alias("dark_zdwell_mean")), "unit", "left")
-    context = states.filter(F.col("j").isin(near)).groupBy("unit").agg(
-        F.sum("starved_s").alias("starved_total_s"), F.avg(F.col("blocked").cast("double")).alias("blocked_frac"), F.sum("dwell_s").alias("line_dwell_total_s")
-    )
+    seen = states.filter(F.col("j").isin(near))
+    columns = []
+    if dark:  # other stations have no band, so their z is null and drops out of the aggregates
+        band = bands(states.filter(F.col("j").isin([s["j"] for s in dark])).select("unit", "j", F.col("dwell_s").alias("v")), ["j"], baseline_units)
+        seen = seen.join(F.broadcast(band), "j", "left").withColumn("z", (F.col("dwell_s") - F.col("mu")) / F.col("sd"))
+        columns = [F.max(F.when(F.col("j") == s["j"], F.col("z"))).alias(f"zdwell_{s['sid']}") for s in dark]
+        columns += [F.max("z").alias("dark_zdwell_max"), F.avg("z").alias("dark_zdwell_mean")]
+    columns += [F.sum("starved_s").alias("starved_total_s"), F.avg(F.col("blocked").cast("double")).alias("blocked_frac"), F.sum("dwell_s").alias("line_dwell_total_s")]
+    context = seen.groupBy("unit").agg(*columns)
     out = category_codes(out.join(context, "unit", "left"), categories).drop(*categories)
     return out.join(gate_flags(units, findings, gates, upto_station), "unit")

@@ -11,11 +11,15 @@ from taktwerk.operators.causes import benjamini_hochberg, contingency, fisher, r
 ENVIRONMENT = ("humidity", "booth_temp", "zone_temp")
 
 
+def bands(values: DataFrame, by: list[str], baseline_units: int) -> DataFrame:
+    """(by, mu, sd): the mean and deviation of v over the first units; a row for each station and signal, null where there are none."""
+    early = F.when(F.col("unit") < baseline_units, F.col("v"))
+    return values.groupBy(*by).agg(F.avg(early).alias("mu"), (F.stddev_pop(early) + 1e-9).alias("sd"))
+
+
 def z_scores(values: DataFrame, by: list[str], baseline_units: int) -> DataFrame:
     """Adds z of v against the mean and deviation of its key over the first units; null where there are none."""
-    early = F.when(F.col("unit") < baseline_units, F.col("v"))
-    band = values.groupBy(*by).agg(F.avg(early).alias("mu"), (F.stddev_pop(early) + 1e-9).alias("sd"))  # a row for each station and signal
-    return values.join(F.broadcast(band), by).withColumn("z", (F.col("v") - F.col("mu")) / F.col("sd")).drop("mu", "sd")
+    return values.join(F.broadcast(bands(values, by, baseline_units)), by).withColumn("z", (F.col("v") - F.col("mu")) / F.col("sd")).drop("mu", "sd")
 
 
 def signal_exposures(scored: DataFrame, limit: float = 2.0) -> DataFrame:

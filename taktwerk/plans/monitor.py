@@ -80,7 +80,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_features(spark: SparkSession, sf_dir: str, upto: int = 5) -> DataFrame:
     signals = traces.torque(spark, sf_dir).select("unit", "j", F.lit("torque").alias("signal"), "v")
-    out = features.build(units(spark, sf_dir), twin.feed_states(spark, sf_dir), signals, STATIONS, findings(spark, sf_dir), {"G2": 2, "G4": 4, "G7": 7}, ["operator", "variant"], upto)
+    out = features.build(units(spark, sf_dir), twin.feed_states(spark, sf_dir, upto), signals, STATIONS, findings(spark, sf_dir), {"G2": 2, "G4": 4, "G7": 7}, ["operator", "variant"], upto)
     return rounded(out)
 
 

@@ -97,6 +97,23 @@ def test_features_of_nulls_and_cutoffs(spark):
     assert y == {0: 0, 1: 1, 2: 0, 3: 0} and sum(r.y for r in features.labels(units, findings, "G3", "y").collect()) == 0
 
 
+def test_features_of_states_are_one_aggregate(spark):
+    rng = random.Random(5)
+    dwell = {(u, j): rng.random() * 60 for u in range(40) for j in (1, 2, 3, 4) if (u, j) != (7, 2)}
+    states = spark.createDataFrame([(u, j, 1.0, d, False) for (u, j), d in dwell.items()], "unit long, j int, starved_s double, dwell_s double, blocked boolean")
+    units, signals = spark.createDataFrame([(u,) for u in range(41)], "unit long"), spark.createDataFrame([], "unit long, j int, signal string, v double")
+    stations = [{"j": j, "sid": f"S{j}", "type": "P", "instrumented": j == 3, "signals": []} for j in (1, 2, 3, 4)]
+    out = features.build(units, states, signals, stations, spark.createDataFrame([], "unit long, gate string"), {"G1": 1}, [], 3, 20)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning(unit" in line for line in plan.splitlines()) == 4  # units twice, states and findings
+    first = {j: [dwell[u, j] for u in range(20) if (u, j) in dwell] for j in (1, 2)}
+    for r in out.collect():
+        z = {j: (dwell[r.unit, j] - np.mean(v)) / np.std(v) for j, v in first.items() if (r.unit, j) in dwell}
+        for got, want in ((r.zdwell_S1, z.get(1)), (r.zdwell_S2, z.get(2)), (r.dark_zdwell_max, max(z.values(), default=None)), (r.dark_zdwell_mean, np.mean(list(z.values())) if z else None)):
+            assert got is None and want is None or math.isclose(got, want, rel_tol=1e-6, abs_tol=1e-9)
+        assert r.starved_total_s == (sum((r.unit, j) in dwell for j in (1, 2, 3)) or None)
+
+
 def test_rolling_decisions_equal_the_loop(spark):
     rng = random.Random(12)
     rows = [(u, round(rng.random() * (0.6 if rng.random() < 0.8 else 1.0), 3), int(rng.random() < 0.2)) for u in range(260)]
