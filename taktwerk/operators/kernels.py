@@ -82,6 +82,35 @@ def fit_lognormal(n: int, total: float, squares: float, bound: np.ndarray, weigh
     return mu, s, False
 
 
+def fit_lognormals(n: np.ndarray, total: np.ndarray, squares: np.ndarray, bound: np.ndarray, weight: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """fit_lognormal of many samples side by side, a row each; bounds without weight only fill a row up. A row that has settled takes no more rounds."""
+    every = n + weight.sum(axis=1)
+    out, out_s, ok = np.full(len(n), np.nan), np.full(len(n), np.nan), np.zeros(len(n), bool)
+    left = np.flatnonzero((every >= 30) & (n >= 2))
+    mu = total[left] / n[left]
+    s = np.maximum(np.sqrt(np.maximum(squares[left] - n[left] * mu * mu, 0.0) / (n[left] - 1)), 1e-3)
+    at = lambda: (total[left], squares[left], every[left], bound[left], weight[left])
+    own = at()
+    for _ in range(rounds):
+        if not len(left):
+            break
+        sums, sums_2, count, b, w = own
+        z = (b - mu[:, None]) / s[:, None]
+        ratio = mills(z)
+        mean = mu[:, None] - s[:, None] * ratio
+        square = mean**2 + (s * s)[:, None] * (1 - z * ratio - ratio**2)
+        new = (sums + (w * mean).sum(axis=1)) / count
+        new_s = np.sqrt(np.maximum((sums_2 + (w * square).sum(axis=1)) / count - new * new, 1e-12))
+        done = np.abs(new - mu) + np.abs(new_s - s) < 1e-9
+        mu, s = new, new_s
+        out[left], out_s[left] = mu, s
+        if done.any():
+            ok[left[done]] = True
+            left, mu, s = left[~done], mu[~done], s[~done]
+            own = at()
+    return out, out_s, ok
+
+
 def censored_cycle_times(visits: DataFrame, width: float = 0.001) -> DataFrame:
     """(j, n, n_censored, mean_s, sd_s, method) for each station, from (j, dwell_s, theta_s, blocked).
 

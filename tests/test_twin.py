@@ -266,3 +266,64 @@ def test_statistics_without_cells_and_beyond_the_longest_window(spark):
     assert key(fine) == key(slim)
     assert slim.count() <= 2 * 3 * 2 < fine.count()
     assert slim._jdf.queryExecution().analyzed().toString().count("sequence(0, 3") and windows.count() == 3
+
+
+def test_short_windows_cut_from_tiles_equal_those_put_together_from_ranges(spark, monkeypatch):
+    """Windows over tile borders, of any length, empty and beyond the feed; visits without time, or with a bound that is none; a true column."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for u in range(0, 1000):
+        for j in (1, 2, 3):
+            if (u * 7 + j) % 13:
+                p, t = rng.lognormal(4, 0.2), rng.lognormal(3.95, 0.2)
+                rows.append((u, j, None if u % 97 == 5 else float(max(p, t)), -1.0 if u % 89 == 3 else None if u % 83 == 2 else float(t), bool(p < t) if j < 3 else False, float(p)))
+    df = spark.createDataFrame(rows, "unit long, j int, dwell_s double, theta_s double, blocked boolean, proc_s double")
+    pick = random.Random(1)
+    wins = [(i, lo, lo + pick.randint(0, 250)) for i in range(40) for lo in [pick.randint(-20, 1000)]] + [(90, 0, 1000), (91, 64, 128), (92, 5000, 5100)]
+    windows = spark.createDataFrame(wins, "window_id long, lo long, hi long")
+    found = {}
+    for name, tile, short in (("ranges", 64, -1), ("both", 128, 120), ("tiles", 1000, 1000)):
+        monkeypatch.setattr(sensors, "TILE", tile)
+        monkeypatch.setattr(sensors, "SHORT", short)
+        out = sensors.profiles(df, windows, block=8, levels=5, true="proc_s")
+        found[name] = {(r.window_id, r.j): r[2:] for r in out.collect()}
+        assert out.columns == [*(c.split()[0] for c in sensors.SCHEMA.split(", ")), "true_mean_s"]
+    assert found["ranges"].keys() == found["both"].keys() == found["tiles"].keys() and {r[6] for r in found["tiles"].values()} == {"insufficient", "direct", "censored-mle"}
+    for other in ("both", "tiles"):
+        for key, want in found["ranges"].items():
+            for mine, own in zip(found[other][key], want, strict=True):
+                assert mine == own or mine == pytest.approx(own, rel=1e-7, nan_ok=True)
+    for (i, j), r in found["tiles"].items():
+        _, lo, hi = next(w for w in wins if w[0] == i)
+        assert r[-1] == pytest.approx(np.mean([p for u, k, _, _, _, p in rows if k == j and lo <= u < hi]))
+
+
+def test_no_cells_of_short_windows_move(spark):
+    """A visit moves once, and a second time near the border of a tile; it used to be a row for each cell of each window."""
+    rows = spark.range(20000).select(F.col("id").alias("unit"), F.lit(1).alias("j"), (F.col("id") % 91 + 50.0).alias("dwell_s"), (F.col("id") % 89 + 50.0).alias("theta_s"), (F.col("id") % 3 == 0).alias("blocked"))
+    windows = spark.range(9, 200).select(F.col("id").alias("window_id"), (F.col("id") * 100 - 900).alias("lo"), (F.col("id") * 100).alias("hi"))
+    plan = sensors.profiles(rows, windows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_edges_of_windows_are_not_broadcast(spark):
+    """They are many rows a window, made behind a small table, whose size Spark takes for theirs."""
+    visits = spark.createDataFrame([(u, 1, 5.0, 6.0, False) for u in range(200)], "unit long, j int, dwell_s double, theta_s double, blocked boolean")
+    stats = sensors.window_statistics(visits, spark.createDataFrame([(1, 3, 150)], "window_id long, lo long, hi long"))
+    assert [r.n for r in stats.collect()] == [147]
+    assert "Broadcast" not in stats._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fits_side_by_side_equal_single_ones():
+    rng = np.random.default_rng(9)
+    single, args = [], []
+    for k in (0, 1, 25, 40, 200):
+        logs, bound = rng.normal(4, 0.2, 50 if k != 25 else 3), rng.normal(4.05, 0.2, k)
+        args.append((len(logs), logs.sum(), (logs**2).sum(), bound, np.ones(k)))
+        single.append(kernels.fit_lognormal(*args[-1]))
+    bound, weight = np.zeros((2, len(args), 200))
+    for i, a in enumerate(args):
+        bound[i, : len(a[3])], weight[i, : len(a[3])] = a[3], a[4]
+    n, x, xx = (np.array([a[k] for a in args], float) for k in range(3))
+    for got, want in zip(zip(*kernels.fit_lognormals(n, x, xx, bound, weight), strict=True), single, strict=True):
+        assert got[2] == want[2] and got[:2] == pytest.approx(want[:2], rel=1e-9, nan_ok=True)
