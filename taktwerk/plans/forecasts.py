@@ -13,31 +13,20 @@ STEP, LOOKBACK, HORIZON = 480, 480, 480
 
 
 def imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = feed.reconstruct(plant.scans(spark, sf_dir), keep=("release_s", "true_s"), before="before_s")
+    """The states with proc_s. They carry what the fits need and no more, so Spark moves them once for both."""
+    states = feed.reconstruct(plant.scans(spark, sf_dir), before="before_s")
     return forecast.impute_processing(states, kernels.censored_cycle_times(states))
 
 
-def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(unit, j, release_s, start_s, depart_s, proc_s), units of a step side by side, so that what is counted by trigger shrinks before it moves.
-
-    Read by the states of the triggers and by their windows.
-    """
-    rows = imputed(spark, sf_dir).select("unit", "j", "release_s", "start_s", F.col("true_s").alias("depart_s"), "proc_s")
-    return rows.repartition(F.floor(F.col("unit") / STEP)).persist()
-
-
-def runs(rows: DataFrame) -> DataFrame:
-    return forecast.simulate(forecast.states_at(rows, STEP, LOOKBACK, HORIZON))
-
-
-def q_forecast_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = visits(spark, sf_dir)
-    return rounded(forecast.evaluate(forecast.forecast(runs(rows)), rows, STEP, HORIZON, LOOKBACK))
+def visits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(unit, j, start_s, proc_s), which the triggers' windows are cut from, and the scans (unit, j, release_s, depart_s)."""
+    scans = plant.scans(spark, sf_dir).select("unit", "j", "release_s", F.col("true_s").alias("depart_s"))
+    return imputed(spark, sf_dir).select("unit", "j", "start_s", "proc_s"), scans
 
 
 QUERIES = {
     "q_impute_fitted": lambda s, d: rounded(imputed(s, d).select("unit", "j", "proc_s")),
-    "q_horizon_sim": lambda s, d: rounded(runs(visits(s, d))),
-    "q_forecast": lambda s, d: rounded(forecast.forecast(runs(visits(s, d)))),
-    "q_forecast_eval": q_forecast_eval,
+    "q_horizon_sim": lambda s, d: rounded(forecast.rolling_runs(*visits(s, d), STEP, LOOKBACK, HORIZON)),
+    "q_forecast": lambda s, d: rounded(forecast.rolling_forecast(*visits(s, d), STEP, LOOKBACK, HORIZON)),
+    "q_forecast_eval": lambda s, d: rounded(forecast.rolling_evaluation(*visits(s, d), STEP, LOOKBACK, HORIZON)),
 }

@@ -102,3 +102,41 @@ def test_imputation_moves_no_visits(spark):
     fits = spark.createDataFrame([(1, 45.0, 5.0)], "j int, mean_s double, sd_s double").groupBy("j").applyInPandas(lambda df: df, "j int, mean_s double, sd_s double")
     plan = forecast.impute_processing(visits, fits)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("drop", [False, True])
+def test_rolling_functions_equal_those_behind_one_another(spark, visits, monkeypatch, drop):
+    """Over several tiles, with a slope, units that skip a station, visits without time and triggers whose horizon isn't whole."""
+    monkeypatch.setattr(forecast, "TRIGGERS", 2)
+    rows = visits.crossJoin(spark.range(20).select("id")).select((F.col("unit") + 60 * F.col("id")).alias("unit"), "j", *((F.col(c) + 1200 * F.col("id")).alias(c) for c in ("release_s", "start_s", "depart_s")), "proc_s")
+    rows = rows.withColumn("proc_s", F.col("proc_s") + F.when(F.col("j") == 1, F.col("unit") / 20).otherwise(0))
+    if drop:
+        rows = rows.filter("NOT (j = 1 AND unit = 333) AND NOT (j = 2 AND unit % 5 = 0)").withColumn("proc_s", F.expr("CASE WHEN unit % 7 <> 3 THEN proc_s END"))
+    rows = rows.persist()
+    scans, args = rows.select("unit", "j", "release_s", "depart_s"), (60, 300, 90)
+    runs = forecast.simulate(forecast.states_at(rows, *args)).persist()
+    key = lambda df, n: {tuple(r[:n]): tuple(r[n:]) for r in df.collect()}
+    same = lambda a, b: a.keys() == b.keys() and all(x == pytest.approx(b[k], rel=1e-9) for k, x in a.items())
+    want = key(runs, 4)
+    assert want and same(key(forecast.rolling_runs(rows, scans, *args), 4), want)
+    predicted = forecast.forecast(runs)
+    assert same(key(forecast.rolling_forecast(rows, scans, *args), 1), key(predicted, 1))
+    if not drop:  # a visit without time has none in a share either, but the windows of shares take its start
+        assert same(key(forecast.rolling_evaluation(rows, scans, *args), 1), key(forecast.evaluate(predicted, rows, 60, 90, 300), 1))
+
+
+def test_runs_of_a_forecast_stay_in_their_task(spark, visits):
+    """Visits move once, by tile; five runs a trigger used to move for its shares, and the visits twice more for the actual ones."""
+    plan = forecast.rolling_evaluation(visits, visits, 20, 20, 15)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(tile") == 1 and plan.count("Exchange hashpartitioning") == 2 and "Window" not in plan  # the other is of the few scans told
+
+
+def test_led_equals_shares(spark):
+    rng = random.Random(3)
+    rows = [(k, j, s, s + rng.choice([0.0, 5.0, 40.0, 300.0])) for k in range(30) for j in (1, 2, 5) for s in [rng.choice([rng.random() * 900, 90.0, 92.0]) for _ in range(rng.randint(0, 12))]]
+    want = {}
+    for r in forecast.ranked_shares(forecast.shares(spark.createDataFrame(rows, "k int, j int, start_s double, finish_s double"), ["k"], 7.0), ["k"]).orderBy("k", "r").collect():
+        want.setdefault(r.k, []).append((r.j, r.total))
+    for k in range(30):
+        j, s, e = (np.array([r[i] for r in rows if r[0] == k], float) for i in (1, 2, 3))
+        assert forecast.led(j, s, e, 7.0) == want.get(k, [])
