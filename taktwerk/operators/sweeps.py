@@ -6,11 +6,12 @@ import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taktwerk.functions.ranks import ROWS_PER_SLOT, slots_of
+from taktwerk.functions.ranks import ROWS_PER_SLOT, Slots, slots_of
 from taktwerk.operators import feed
 
 KEY = ("param",)
@@ -217,11 +218,162 @@ def errors(rows: DataFrame, values: list[float], eps_s: float = EPS_S) -> DataFr
     return row.select(F.inline(F.array(*(F.struct(F.lit(float(v)).alias("param"), *(F.col(f"{name}__{i}").alias(name) for name in sums)) for i, v in enumerate(values, 1)))))
 
 
+def arrays(columns: Callable[[str], np.ndarray], stations: list[int], bounds: tuple[float, ...]) -> tuple[np.ndarray, ...]:
+    """(x, passed, arrival, slot) by row of cases() and station; the slot of a missing scan is -1, and -2 stands where the unit didn't pass."""
+    x, here = (np.stack([columns(f"{c}{j}").astype(float) for j in stations], axis=1) for c in "xt")
+    here = ~np.isnan(here)
+    arrive, before = np.empty_like(x), np.full(len(x), np.nan)
+    for k in range(len(stations)):
+        came = before + TRANSPORT_S
+        arrive[:, k] = np.where(np.isnan(came), columns("release_s"), came)
+        before = np.where(here[:, k], x[:, k], before)
+    slot = np.where(np.isnan(x), -1, np.searchsorted(np.array(bounds), x, side="right"))
+    return x, here, arrive, np.where(here, slot, -2)
+
+
+def last_two(found: np.ndarray) -> np.ndarray:
+    """Of rows (cell, x, unit, arrival) the last two of each cell, in order; a missing x comes first."""
+    found = found[:, np.lexsort((found[2], np.where(np.isnan(found[1]), -np.inf, found[1]), found[0]))]
+    cell = np.r_[found[0], np.nan, np.nan]
+    return found[:, (cell[:-2] != cell[1:-1]) | (cell[:-2] != cell[2:])]
+
+
+def tails(rows: DataFrame, stations: list[int], n_cases: int, slots: Slots) -> np.ndarray:
+    """[case, station, slot + 1]: scan and start of the last visit before the slot, nan where there is none; in a job of its own, two rows a cell."""
+    k, width = len(stations), len(slots.bounds) + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, kept = [], 0
+        for batch in batches:
+            x, _, arrive, slot = arrays(lambda c: batch.column(c).to_numpy(zero_copy_only=False), stations, slots.bounds)  # noqa: B023
+            cell = (batch.column("case").to_numpy()[:, None] * k + np.arange(k)) * width + slot + 1
+            unit = np.repeat(batch.column("unit").to_numpy()[:, None], k, axis=1)
+            found.append(np.stack([a[slot > -2].astype(float) for a in (cell, x, unit, arrive)]))
+            if sum(f.shape[1] for f in found) > 2 * kept + 1_000_000:
+                found = [last_two(np.concatenate(found, axis=1))]
+                kept = found[0].shape[1]
+        if found:
+            cell, x, unit, arrive = last_two(np.concatenate(found, axis=1))
+            yield pa.RecordBatch.from_pydict({"cell": cell.astype("int64"), "x": pa.array(x, from_pandas=True), "unit": unit.astype("int64"), "arrive": arrive})
+
+    last = F.slice(F.sort_array(F.collect_list(F.struct("x", "unit", "arrive")), False), 1, 2)
+    cells = rows.mapInArrow(run, "cell long, x double, unit long, arrive double").groupBy("cell").agg(last.alias("two"))
+    out = np.full((n_cases * k, width, 2), np.nan)
+    told = {r.cell: r.two for r in cells.collect()}
+    for series in range(n_cases * k):
+        two: list = []
+        for s in range(width):
+            if two:
+                reach = [v for v in (two[0].arrive, two[1].x if len(two) > 1 else None) if v is not None]
+                out[series, s] = two[0].x if two[0].x is not None else np.nan, max(reach, default=np.nan)
+            two = [*told.get(series * width + s, []), *two][:2]
+    return out.reshape(n_cases, k, width, 2)
+
+
+SUMS = ("n", "depart", "n_start", "start", "n_dwell", "dwell", "n_depart", "rows", "agreed")
+SERVED = "part long, unit long, j int, case int, x double, start_s double, earlier_s double, before_j int, " + ", ".join(f"{s} double" for s in SUMS)
+
+
+def served_in_slots(rows: DataFrame, stations: list[int], n_cases: int, slots: Slots, eps_s: float = EPS_S) -> DataFrame:
+    """What errors() needs, of rows in slots: SUMS of the units that lie in one slot with all their visits and cases (with part, the slot, and the case as j), and the visits of others.
+
+    A unit moves as it is, a row a case, to each slot in which it has a scan; few have two. What a slot needs of those before it is one visit a case and station.
+    """
+    ends = tails(rows, stations, n_cases, slots)
+    names = [f"x{j}" for j in stations] + [f"t{j}" for j in stations]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = arrays(lambda c: batch.column(c).to_numpy(zero_copy_only=False), stations, slots.bounds)[3]  # noqa: B023
+            order = np.sort(slot, axis=1)
+            new = (order > -2) & np.c_[np.ones(len(order), bool), order[:, 1:] != order[:, :-1]]
+            row, at = np.nonzero(new)
+            moved = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(order[row, at]), pa.array(new.sum(axis=1)[row] == 1), *moved.columns], names=["at", "alone", *batch.schema.names])
+
+    def serve(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(["unit", "case"])
+        unit, case = df["unit"].to_numpy(), df["case"].to_numpy()
+        x, here, arrive, slot = arrays(lambda c: df[c].to_numpy(), stations, slots.bounds)
+        mine, place = slot == key[0], np.where(np.isnan(x), -np.inf, x)
+        start, earlier = np.full((2, *x.shape), np.nan)
+        for c in range(n_cases):
+            for k in range(len(stations)):
+                at = np.flatnonzero((case == c) & mine[:, k])
+                at = at[np.lexsort((unit[at], place[at, k]))]
+                left, began = ends[c, k, key[0] + 1]
+                start[at, k] = np.fmax(arrive[at, k], np.r_[left, x[at, k]][:-1])
+                earlier[at, k] = np.r_[began, start[at, k]][:-1]
+        _, first, size = np.unique(unit, return_index=True, return_counts=True)
+        whole = np.repeat((size == n_cases) & np.logical_and.reduceat(df["alone"].to_numpy(bool), first), size)
+        by_case = lambda a: a[whole].reshape(-1, n_cases, len(stations))
+        gate, after, before_j = np.full_like(x, np.nan), np.full(len(x), np.nan), np.full(x.shape, -1)
+        for k in reversed(range(len(stations))):
+            gate[:, k], after = after, np.where(here[:, k], earlier[:, k], after)
+        last = np.full(len(x), -1)
+        for k, j in enumerate(stations):
+            before_j[:, k], last = last, np.where(here[:, k], j, last)
+        dwell = x - start
+        values = {"depart": start + dwell, "start": start, "dwell": dwell, "blocked": dwell - (gate - start) < eps_s}
+        own, scan, passed = {n: by_case(v) for n, v in values.items()}, by_case(x)[:, 0], by_case(here)[:, 0]
+        sums = []
+        for i in range(1, n_cases):
+            off = {n: np.abs(own[n][:, i] - (scan if n == "depart" else own[n][:, 0]))[passed] for n in ("depart", "start", "dwell")}
+            same = (own["blocked"][:, i] == own["blocked"][:, 0])[passed]
+            row = {n: np.nansum(v) for n, v in off.items()} | {f"n_{n}": np.count_nonzero(~np.isnan(v)) for n, v in off.items()}
+            sums.append({"part": key[0], "j": i, "case": i, "n": np.count_nonzero(~np.isnan(own["depart"][:, i][passed])), "rows": len(same), "agreed": same.sum()} | row)
+        row, k = np.nonzero(mine & ~whole[:, None])
+        split = {"unit": unit[row], "j": np.array(stations)[k], "case": case[row], "x": x[row, k], "start_s": start[row, k], "earlier_s": earlier[row, k], "before_j": before_j[row, k]}
+        out = pd.concat([pd.DataFrame(sums, columns=[c.split()[0] for c in SERVED.split(", ")]), pd.DataFrame(split)])
+        return out.astype({c: "Int64" for c in ("part", "unit", "j", "case", "before_j")})
+
+    moved = rows.select("unit", "case", "release_s", *names)
+    moved = moved.mapInArrow(place, f"at long, alone boolean, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in moved.schema)}")
+    return moved.groupBy("at").applyInPandas(serve, SERVED)
+
+
+def errors_in_slots(served: DataFrame, values: list[float], eps_s: float = EPS_S) -> DataFrame:
+    """errors() from served_in_slots: sums as they are, and the visits of units in several slots once their cases and gates have met."""
+    n, none = range(len(values) + 1), F.lit(None).cast("double")
+    own = F.struct("j", "x", "start_s", none.alias("gate_s"))
+    gate = F.struct(F.nullif("before_j", F.lit(-1)).alias("j"), none.alias("x"), none.alias("start_s"), F.col("earlier_s").alias("gate_s"))
+    both = served.select("part", "unit", "case", *SUMS, F.inline(F.array(own, gate))).filter("j IS NOT NULL")
+    met = both.groupBy("part", "unit", "j").agg(
+        *(F.max(F.when(F.col("part").isNull() & (F.col("case") == i), F.col(c))).alias(f"{c}{i}") for i in n for c in ("x", "start_s", "gate_s")), *(F.max(s).alias(s) for s in SUMS)
+    )
+    x, start, late = (lambda i, c=c: F.col(f"{c}{i}") for c in ("x", "start_s", "gate_s"))
+    dwell = lambda i: x(i) - start(i)
+    blocked = lambda i: F.coalesce(dwell(i) - (late(i) - start(i)) < eps_s, F.lit(False))
+    depart = lambda i: start(i) + dwell(i)
+    of = {"depart": lambda i: F.abs(depart(i) - x(0)), "start": lambda i: F.abs(start(i) - start(0)), "dwell": lambda i: F.abs(dwell(i) - dwell(0))}
+    split = F.col("part").isNull()
+
+    def total(i: int, name: str) -> Column:
+        if name in of:
+            mine = of[name](i)
+        else:
+            mine = {"rows": F.lit(1.0), "agreed": (blocked(i) == blocked(0)).cast("double"), "n": depart(i).isNotNull().cast("double")}.get(name)
+            mine = of[name[2:]](i).isNotNull().cast("double") if mine is None else mine
+        return F.sum(F.when(split, mine).when(F.col("j") == i, F.col(name)))
+
+    row = met.agg(*(total(i, name).alias(f"{name}__{i}") for i in n if i for name in SUMS))
+    mean = lambda i, name, count: (F.col(f"{name}__{i}") / F.nullif(F.col(f"{count}__{i}"), F.lit(0.0)))
+    each = (
+        F.struct(
+            F.lit(float(v)).alias("param"), F.col(f"n__{i}").cast("long").alias("n"), *(mean(i, name, f"n_{name}").alias(f"{name}_mae_s") for name in ("depart", "start", "dwell")),
+            mean(i, "agreed", "rows").alias("blocked_agreement"),
+        ) for i, v in enumerate(values, 1)
+    )
+    return row.select(F.inline(F.array(*each)))
+
+
 def scored(clean: DataFrame, rows: DataFrame, values: list[float], stations: list[int], rows_per_slot: int) -> DataFrame:
-    """errors() of the cases in rows; their slots are those of the clean feed, which is read once for all of them."""
-    slots = [slots_of(clean, "true_s", max(rows_per_slot // (len(values) + 1), 1))]
-    served = feed.served(visits(rows, stations), "x", TRANSPORT_S, keep=("before_j",), keys=CASE, before="before_s", slots=slots)
-    return errors(served, values)
+    """errors() of the cases in rows; their slots are those of the clean feed, which is read once for all of them. What fits one slot is parted by station instead."""
+    slots = slots_of(clean, "true_s", max(rows_per_slot // (len(values) + 1), 1))
+    if slots is None:
+        served = feed.served(visits(rows, stations), "x", TRANSPORT_S, keep=("before_j",), keys=CASE, before="before_s", slots=[None])
+        return errors(served, values)
+    return errors_in_slots(served_in_slots(rows, stations, len(values) + 1, slots), values)
 
 
 def sweep_read_rate(clean: DataFrame, percents: list[float], missed: AtStation, stations: list[int], rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:

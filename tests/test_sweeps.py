@@ -68,3 +68,28 @@ def test_series_of_a_line_move_their_rows_once(spark):
     assert "SortMergeJoin" not in many._jdf.queryExecution().executedPlan().toString()  # the counts of slots come to the rows
     assert {r.signal for r in one.collect()} == {"cycle_time_s", "stoppage_rate", "soft_dwell_s", "soft_stoppage_rate"}
     assert sorted(one.collect()) == sorted(many.collect()) and one.count() == 240
+
+
+def test_a_sweep_in_slots_moves_a_row_a_unit_and_case(spark):
+    """Not one a visit and case, twice; only what lies in several slots meets by unit and station."""
+    out = sweeps.sweep_clock_sync(scans(spark), [0.5, 8], lambda j: F.lit(j % 3 - 1.0), STATIONS, 700)
+    moves = re.findall(r"Exchange hashpartitioning\((\w+)#", out._jdf.queryExecution().executedPlan().toString())
+    assert sorted(moves) == ["at", "part"]
+    rows = sweeps.cases(scans(spark), [0.5, 8], lambda j: F.col("true_s") + F.col("param") * (j % 3 - 1.0), STATIONS)
+    slots = sweeps.slots_of(scans(spark), "true_s", 700)
+    served = sweeps.served_in_slots(rows, STATIONS, 3, slots).groupBy(F.col("part").isNull().alias("split")).count().collect()
+    assert {r.split: r["count"] for r in served}[True] < 0.2 * 3 * scans(spark).count()
+
+
+def test_units_without_reads_and_far_from_their_slot(spark):
+    """Missing scans come first in the order, as in the windows; units whose clock is off by many slots meet their clean ones."""
+    clean, values = scans(spark), [0, 90]
+    gone = lambda j: (F.col("unit") % 5 == 2) & (F.col("param") > 0) if j < 4 else missed(j)
+    one, many = (sweeps.sweep_read_rate(clean, values, gone, STATIONS, n).orderBy("param").collect() for n in (2_000_000, 500))
+    assert len(one) == 2 and one[1].n < one[0].n
+    for a, b in zip(one, many, strict=True):
+        assert tuple(b) == pytest.approx(tuple(a), abs=1e-9)
+    far = lambda j: F.lit(j - 2.0) * (F.col("unit") % 3)
+    one, many = (sweeps.sweep_clock_sync(clean, [0.5, 4000], far, STATIONS, n).orderBy("param").collect() for n in (2_000_000, 500))
+    for a, b in zip(one, many, strict=True):
+        assert tuple(b) == pytest.approx(tuple(a), abs=1e-9)
